@@ -23,19 +23,23 @@ FORMAT_VALUES = ("correct", "incorrect")
 FIELD_RANGE = (0, 8)
 
 
+def verdict(ev: Column, gv: Column) -> Column:
+    """Verdict of one field, checked in order: missing, correct, hallucinated, mismatch."""
+    return (
+        F.when(gv.isNull(), F.lit(MISSING))
+        .when(gv == ev, F.lit(CORRECT))
+        .when(ev == "", F.lit(HALLUCINATED))
+        .otherwise(F.lit(MISMATCH))
+    )
+
+
 def _verdicts(e: Column, g: Column) -> Column:
     """array<struct<field, expected, generated, verdict>> over the expected keys, in document order."""
 
     def one(k):
         ev = F.try_element_at(e, k)
         gv = F.when(g.isNotNull(), F.try_element_at(g, k))
-        verdict = (
-            F.when(gv.isNull(), F.lit(MISSING))
-            .when(gv == ev, F.lit(CORRECT))
-            .when(ev == "", F.lit(HALLUCINATED))
-            .otherwise(F.lit(MISMATCH))
-        )
-        return F.struct(k.alias("field"), ev.alias("expected"), gv.alias("generated"), verdict.alias("verdict"))
+        return F.struct(k.alias("field"), ev.alias("expected"), gv.alias("generated"), verdict(ev, gv).alias("verdict"))
 
     return F.transform(F.map_keys(e), one)
 
@@ -51,9 +55,12 @@ def with_scores(df: DataFrame, expected: str = "expected", generated: str = "gen
 
 
 def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "generated") -> DataFrame:
+    # The stripped text is its own column: referenced three times by the parse, it is then
+    # computed once instead of being inlined into each reference.
+    staged = df.withColumn("_gtext", fence_strip(F.col(generated)))
     e = parse_object(F.col(expected), strip_fence=False)
-    g = parse_object(F.col(generated))
-    staged = df.withColumns({"_e": e, "_g": g})
+    g = parse_object(F.col("_gtext"), strip_fence=False)
+    staged = staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
     staged = staged.withColumn("_verdicts", _verdicts(F.col("_e"), F.col("_g")))
     v = F.col("_verdicts")
     n_correct = F.size(F.filter(v, lambda x: x["verdict"] == CORRECT))
@@ -95,16 +102,29 @@ def fence_report(df: DataFrame, generated: str = "generated") -> DataFrame:
     )
 
 
-def field_verdicts(df: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_version")) -> DataFrame:
-    """One row per (result, expected field) with its verdict."""
-    staged = with_verdicts(df)
-    return staged.select(*keys, F.posexplode("_verdicts").alias("pos", "v")).select(
+def field_verdicts(df: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_version"),
+                   expected: str = "expected", generated: str = "generated") -> DataFrame:
+    """One row per (result, expected field) with its verdict.
+
+    The expected map's entries are exploded and each verdict is computed after the explode,
+    so both parsed maps stay column references (computing an array of verdict structs first
+    lets nested-field pruning copy the parse into every extracted field).
+    """
+    staged = df.select(*keys, F.col(expected), fence_strip(F.col(generated)).alias("_gtext")).select(
+        *keys,
+        parse_object(F.col(expected), strip_fence=False).alias("_e"),
+        parse_object(F.col("_gtext"), strip_fence=False).alias("_g"),
+    )
+    exploded = staged.select(*keys, "_g", F.posexplode(F.map_entries("_e")).alias("pos", "kv"))
+    ev = F.col("kv.value")
+    gv = F.when(F.col("_g").isNotNull(), F.try_element_at(F.col("_g"), F.col("kv.key")))
+    return exploded.select(
         *keys,
         (F.col("pos") + 1).alias("field_pos"),
-        F.col("v.field").alias("field"),
-        F.col("v.expected").alias("expected_value"),
-        F.col("v.generated").alias("generated_value"),
-        F.col("v.verdict").alias("verdict"),
+        F.col("kv.key").alias("field"),
+        ev.alias("expected_value"),
+        gv.alias("generated_value"),
+        verdict(ev, gv).alias("verdict"),
     )
 
 

@@ -188,7 +188,7 @@ def table_sort(spark, sf):
 @query
 def table_filter(spark, sf):
     s = td.scored(spark, sf)
-    preds = [("model", "=", "m1"), ("execution_time", ">=", 30.0), ("tags", "contains", "tilt")]
+    preds = [("model", "=", "m0"), ("execution_time", ">=", 30.0), ("tags", "contains", "tilt")]
     return A.table_filter(s, preds).select("id", "model", "execution_time", "tags")
 
 
@@ -410,7 +410,7 @@ def _envelopes(spark, sf) -> DataFrame:
         F.when(failed, F.lit("")).otherwise(F.col("answer")),
         F.lit("text-model"),
         F.round(F.length("answer") / 1000.0, 3),
-        F.to_timestamp(F.lit("2026-03-08 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("conv_id").cast("decimal(18,6)")),
+        F.to_timestamp_ntz(F.lit("2026-03-08 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("conv_id").cast("decimal(18,6)")),
         F.lit("cpu"),
         F.when(failed, F.lit("timeout")),
     )
