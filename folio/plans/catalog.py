@@ -46,17 +46,17 @@ def _as_text_ts(df: DataFrame, col: str = "timestamp") -> DataFrame:
 @query
 def leaderboard(spark, sf):
     """A4 (flagship): mean correct fields, % format incorrect, mean / min time per model x prompt."""
-    return A.leaderboard(td.scored(spark, sf))
+    return A.leaderboard(td.scored_table(spark, sf))
 
 
 @query
 def score_fields(spark, sf):
-    return td.scored(spark, sf).select("id", "correct_fields")
+    return td.scored_table(spark, sf).select("id", "correct_fields")
 
 
 @query
 def score_format(spark, sf):
-    return td.scored(spark, sf).select("id", "format_compliance")
+    return td.scored_table(spark, sf).select("id", "format_compliance")
 
 
 @query
@@ -66,12 +66,12 @@ def fence_strip(spark, sf):
 
 @query
 def score_domain(spark, sf):
-    return S.score_domain(td.scored(spark, sf))
+    return S.score_domain(td.scored_table(spark, sf))
 
 
 @query
 def score_reason(spark, sf):
-    return td.scored(spark, sf).select("id", "correct_fields_reason", "format_compliance_reason")
+    return td.scored_table(spark, sf).select("id", "correct_fields_reason", "format_compliance_reason")
 
 
 @query
@@ -100,7 +100,7 @@ def judge_prompt(spark, sf):
 
 @query
 def judge_agreement(spark, sf):
-    return S.judge_agreement(td.scored(spark, sf))
+    return S.judge_agreement(td.scored_table(spark, sf))
 
 
 # ---------------------------------------------------------------- analytics
@@ -108,41 +108,41 @@ def judge_agreement(spark, sf):
 
 @query
 def avg_correct_fields(spark, sf):
-    s = td.scored(spark, sf).withColumn("model", F.col("model_or_null"))
+    s = td.scored_table(spark, sf).withColumn("model", F.col("model_or_null"))
     return A.avg_correct_fields(s, score="judge_fields")
 
 
 @query
 def pct_format_incorrect(spark, sf):
-    return A.pct_format_incorrect(td.scored(spark, sf), verdict="judge_format")
+    return A.pct_format_incorrect(td.scored_table(spark, sf), verdict="judge_format")
 
 
 @query
 def avg_execution_time(spark, sf):
-    return A.avg_execution_time(td.scored(spark, sf))
+    return A.avg_execution_time(td.scored_table(spark, sf))
 
 
 @query
 def filter_isin(spark, sf):
     spec = A.FilterSpec(models=("m0", "m2"), docs=("cin",), prompt_versions=("v2",), format_compliance=("incorrect",))
-    return spec.apply(td.scored(spark, sf)).select("id", "model", "prompt_version", "format_compliance")
+    return spec.apply(td.scored_table(spark, sf)).select("id", "model", "prompt_version", "format_compliance")
 
 
 @query
 def filter_tags_any(spark, sf):
-    return A.FilterSpec(tags=("tilt",)).apply(td.scored(spark, sf)).select("id", "tags")
+    return A.FilterSpec(tags=("tilt",)).apply(td.scored_table(spark, sf)).select("id", "tags")
 
 
 @query
 def filter_dates(spark, sf):
     spec = A.FilterSpec(start_date="1996-01-01", end_date="1997-12-31", timestamp_col="timestamp_text")
-    return spec.apply(td.scored(spark, sf)).select("id", "timestamp_text")
+    return spec.apply(td.scored_table(spark, sf)).select("id", "timestamp_text")
 
 
 @query
 def filter_score_range(spark, sf):
     spec = A.FilterSpec(ncorrect_min=7, ncorrect_max=8, score_col="judge_fields")
-    return spec.apply(td.scored(spark, sf)).select("id", "judge_fields")
+    return spec.apply(td.scored_table(spark, sf)).select("id", "judge_fields")
 
 
 @query
@@ -161,12 +161,12 @@ def filter_all(spark, sf):
         score_col="judge_fields",
         verdict_col="judge_format",
     )
-    return spec.apply(td.scored(spark, sf)).select("id")
+    return spec.apply(td.scored_table(spark, sf)).select("id")
 
 
 @query
 def facet_values(spark, sf):
-    return A.facet_values(td.scored(spark, sf), ("model", "doc", "prompt_version", "judge_format"))
+    return A.facet_values(td.scored_table(spark, sf), ("model", "doc", "prompt_version", "judge_format"))
 
 
 @query
@@ -176,31 +176,31 @@ def facet_tags(spark, sf):
 
 @query
 def score_bounds(spark, sf):
-    return A.score_bounds(td.scored(spark, sf), "judge_fields")
+    return A.score_bounds(td.scored_table(spark, sf), "judge_fields")
 
 
 @query
 def table_sort(spark, sf):
-    s = _as_text_ts(td.scored(spark, sf))
+    s = _as_text_ts(td.scored_table(spark, sf))
     return A.table_sort(s.select(*DISPLAY_COLS), [("execution_time", False)])
 
 
 @query
 def table_filter(spark, sf):
-    s = td.scored(spark, sf)
+    s = td.scored_table(spark, sf)
     preds = [("model", "=", "m0"), ("execution_time", ">=", 30.0), ("tags", "contains", "tilt")]
     return A.table_filter(s, preds).select("id", "model", "execution_time", "tags")
 
 
 @query
 def table_page(spark, sf):
-    page = A.table_page(td.scored(spark, sf), page=2, page_size=25)
+    page = A.table_page(td.scored_table(spark, sf), page=2, page_size=25)
     return _as_text_ts(page.select("id", "timestamp", "model"))
 
 
 @query
 def reason_bullets(spark, sf):
-    return A.reason_bullets(td.scored(spark, sf))
+    return A.reason_bullets(td.scored_table(spark, sf))
 
 
 @query
@@ -213,7 +213,7 @@ def results_union(spark, sf):
     """S2 + A14: run files with different column sets unioned by name, known columns kept."""
     from ..sources.experiments import project_known, union_runs
 
-    s = _as_text_ts(td.scored(spark, sf))
+    s = _as_text_ts(td.scored_table(spark, sf))
     runs = [s.where(F.col("prompt_version") == "v1"), s.where(F.col("prompt_version") == "v2").drop("notes")]
     out = project_known(union_runs(runs))
     return out.drop("expected", "generated")
@@ -222,7 +222,7 @@ def results_union(spark, sf):
 @query
 def run_identity(spark, sf):
     """Prompt version parsed from run file names (odd names included)."""
-    s = td.scored(spark, sf)
+    s = td.scored_table(spark, sf)
     k = F.col("id")
     ts = F.date_format("timestamp", "yyyyMMdd_HHmmss")
     version = F.when(k % 10 == 1, F.concat(F.col("prompt_version"), F.lit("_beta"))).otherwise(F.col("prompt_version"))
@@ -493,7 +493,7 @@ def experiment_grid(spark, sf):
 
 @query
 def model_pivot(spark, sf):
-    return X.model_pivot(td.scored(spark, sf), MODELS)
+    return X.model_pivot(td.scored_table(spark, sf), MODELS)
 
 
 # ---------------------------------------------------------------- Python stages (rows-only checks)
@@ -509,7 +509,7 @@ def pretty_json(spark, sf):
 @query
 def row_detail(spark, sf):
     """Detail rows for the keys on the first table page (lookup by key, then pretty JSON)."""
-    s = td.scored(spark, sf)
+    s = td.scored_table(spark, sf)
     first = A.table_page(s, page=0, page_size=25).select("id")
     return _detail_of_page(s, first)
 

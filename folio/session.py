@@ -54,3 +54,16 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables and stream state)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "folio", *parts) if "://" not in base else "/".join([base.rstrip("/"), "folio", *parts])
+
+
+def spread(df, *keys: str):
+    """Hash-spread a scan that has fewer splits than the cluster has cores.
+
+    Per-row work here (JSON parsing, regexes, layout flattening) is CPU-bound; a small table
+    stored as one row group would otherwise run as one task. A scan that already has enough
+    splits (any large table) is returned unchanged, so no shuffle is added at scale.
+    """
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)

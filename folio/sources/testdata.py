@@ -6,12 +6,14 @@ grows with the data and can be re-derived in plain SQL by an independent oracle.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import text_to_layout
+from ..session import shared_path, spread
 from ..operators import scoring
 
 # The eight fields of the identity-card ground truth, in document order.
@@ -31,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str], key: str) -> DataFrame:
+    """A table that feeds per-row heavy work: project first, then spread when the scan is narrow."""
+    return spread(table(spark, sf_dir, name).select(*columns), key)
+
+
 def _date_text(start: str, days: Column) -> Column:
     return F.date_format(F.date_add(F.lit(start).cast("date"), days.cast("int")), "dd.MM.yyyy")
 
@@ -64,7 +71,7 @@ def _tags_rule(k: Column) -> Column:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment results without scores: one row per order, generated JSON mutated by rules on the key."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    o = wide_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "o_orderkey")
     t = truth(spark, sf_dir)
     k = F.col("o_orderkey")
     generated_obj = F.to_json(
@@ -131,6 +138,35 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, sf_dir: str, build, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """A derived table written once per application under the shared checkpoint folder, then read.
+
+    The written table cuts the lineage (it survives lost executors) and is a real scan for the
+    queries on top, so their filters are pushed into Parquet instead of being pushed into, and
+    copied through, the expressions that built the columns.
+    """
+    app = spark.sparkContext.applicationId
+    key = (app, name, os.path.abspath(sf_dir))
+    path = _STORED.get(key)
+    if path is None:
+        tag = hashlib.sha1(key[2].encode()).hexdigest()[:10]
+        path = shared_path(spark, "tables", app, f"{name}-{tag}")
+        writer = build(spark, sf_dir).write.mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored results as written by the scoring job, partitioned by run identity."""
+    return stored(spark, "scored", sf_dir, scored, ("doc", "prompt_version", "model"))
+
+
 # Input suffixes of the manifest (two are not accepted by the chat API) and asset formats.
 MANIFEST_SUFFIXES = ["png", "jpg", "jpeg", "pdf", "gif", "webp", "bmp", "TIFF"]
 ASSET_FORMATS = ["JPEG", "PNG", "BMP", "TIFF", "GIF", "WEBP", "jpg"]
@@ -190,7 +226,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_pages(spark: SparkSession, sf_dir: str, lines_per_page: int = 20) -> DataFrame:
     """Layout trees of the documents: one block per page, ``lines_per_page`` lines per page."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = wide_table(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
     return d.select("doc_id", text_to_layout(F.col("text"), lines_per_page).alias("pages"))
 
 
