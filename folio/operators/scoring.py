@@ -44,32 +44,56 @@ def _verdicts(e: Column, g: Column) -> Column:
     return F.transform(F.map_keys(e), one)
 
 
-def with_scores(df: DataFrame, expected: str = "expected", generated: str = "generated") -> DataFrame:
-    """Add parsed maps, verdicts, ``correct_fields`` (J1), ``format_compliance`` (J2) and reasons.
-
-    Intermediate columns start with ``_`` and are dropped at the end; callers that need the
-    verdicts call :func:`with_verdicts` instead.
+def with_scores(df: DataFrame, expected: str = "expected", generated: str = "generated",
+                fields: Sequence[str] | None = None) -> DataFrame:
+    """Add ``correct_fields`` (J1), ``format_compliance`` (J2) and their reasons.
+
+    ``fields``: the document kind's field list, when known. The per-field verdicts are then
+    plain CASE expressions over map lookups (compiled by whole-stage codegen); without it the
+    verdicts iterate over each expected object's own keys with higher-order functions, which
+    Spark evaluates interpreted. Fields absent from an expected object are skipped either way.
     """
-    out = with_verdicts(df, expected, generated)
-    return out.drop("_e", "_g", "_verdicts")
+    out = with_verdicts(df, expected, generated, fields)
+    return out.drop("_e", "_g", "_verdicts", *[c for c in out.columns if c.startswith("_v_")])
 
 
-def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "generated") -> DataFrame:
+def _parsed(df: DataFrame, expected: str, generated: str) -> DataFrame:
     # The stripped text is its own column: referenced three times by the parse, it is then
     # computed once instead of being inlined into each reference.
     staged = df.withColumn("_gtext", fence_strip(F.col(generated)))
     e = parse_object(F.col(expected), strip_fence=False)
     g = parse_object(F.col("_gtext"), strip_fence=False)
-    staged = staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
-    staged = staged.withColumn("_verdicts", _verdicts(F.col("_e"), F.col("_g")))
-    v = F.col("_verdicts")
-    n_correct = F.size(F.filter(v, lambda x: x["verdict"] == CORRECT))
-    ek = F.array_sort(F.map_keys(F.col("_e")))
-    gk = F.array_sort(F.map_keys(F.col("_g")))
-    same_keys = F.col("_g").isNotNull() & (ek == gk)
-    fields_reason = F.array_join(F.transform(v, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])), ", ")
+    return staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
+
+
+def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "generated",
+                  fields: Sequence[str] | None = None) -> DataFrame:
+    staged = _parsed(df, expected, generated)
+    e, g = F.col("_e"), F.col("_g")
+    if fields:
+        lookups = {}
+        for f in fields:
+            ev = F.try_element_at(e, F.lit(f))
+            gv = F.when(g.isNotNull(), F.try_element_at(g, F.lit(f)))
+            lookups[f"_v_{f}"] = F.when(ev.isNotNull(), verdict(ev, gv))
+        staged = staged.withColumns(lookups)
+        vcols = [(f, F.col(f"_v_{f}")) for f in fields]
+        n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
+        fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols])
+        verdicts = F.array(
+            *[F.struct(F.lit(f).alias("field"), vc.alias("verdict")) for f, vc in vcols]
+        )
+    else:
+        staged = staged.withColumn("_verdicts", _verdicts(e, g))
+        v = F.col("_verdicts")
+        n_correct = F.size(F.filter(v, lambda x: x["verdict"] == CORRECT))
+        fields_reason = F.array_join(F.transform(v, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])), ", ")
+        verdicts = v
+    ek = F.array_sort(F.map_keys(e))
+    gk = F.array_sort(F.map_keys(g))
+    same_keys = g.isNotNull() & (ek == gk)
     format_reason = (
-        F.when(F.col("_g").isNull(), F.lit("not a JSON object"))
+        F.when(g.isNull(), F.lit("not a JSON object"))
         .when(same_keys, F.lit(""))
         .otherwise(
             F.concat(
@@ -82,7 +106,8 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
     )
     return staged.withColumns(
         {
-            "correct_fields": F.when(F.col("_g").isNull(), F.lit(0.0)).otherwise(n_correct.cast("double")),
+            "_verdicts": verdicts,
+            "correct_fields": F.when(g.isNull(), F.lit(0.0)).otherwise(n_correct.cast("double")),
             "correct_fields_reason": fields_reason,
             "format_compliance": F.when(same_keys, F.lit("correct")).otherwise(F.lit("incorrect")),
             "format_compliance_reason": format_reason,

@@ -67,3 +67,18 @@ def spread(df, *keys: str):
     if df.rdd.getNumPartitions() >= parallelism:
         return df
     return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
+
+
+# Largest estimated size of a side we broadcast explicitly. Above it the join shuffles both
+# sides (sort-merge, AQE splits skewed keys) and AQE may still switch to a broadcast at runtime.
+BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+
+
+def estimated_bytes(df) -> int:
+    """The optimizer's size estimate of a plan (from file sizes for scans; no job is run)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits_broadcast(df, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    """True when the plan's estimated size is within ``limit``."""
+    return estimated_bytes(df) <= limit

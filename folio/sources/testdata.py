@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import text_to_layout
-from ..session import shared_path, spread
+from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
 
 # The eight fields of the identity-card ground truth, in document order.
@@ -73,6 +73,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment results without scores: one row per order, generated JSON mutated by rules on the key."""
     o = wide_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "o_orderkey")
     t = truth(spark, sf_dir)
+    # One truth row per customer: broadcast it when the customer scan is small (checked
+    # estimate), so the orders side keeps its partitioning; otherwise a shuffle join.
+    if fits_broadcast(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")):
+        t = F.broadcast(t)
     k = F.col("o_orderkey")
     generated_obj = F.to_json(
         F.struct(
@@ -118,7 +122,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results plus deterministic scores and reasons, and the judge / trap columns."""
-    r = scoring.with_scores(results(spark, sf_dir))
+    r = scoring.with_scores(results(spark, sf_dir), fields=CIN_FIELDS)
     k = F.col("id")
     return r.select(
         "*",
