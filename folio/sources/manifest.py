@@ -14,7 +14,7 @@ from ..schemas import MANIFEST
 def load_dataset(spark: SparkSession, datasets_dir: str, doc: str) -> DataFrame:
     """Read ``<doc>/<doc>.csv`` with the fixed manifest schema; resolve ``in`` / ``out``."""
     base = os.path.join(datasets_dir, doc)
-    df = spark.read.schema(MANIFEST).option("header", True).csv(os.path.join(base, f"{doc}.csv"))
+    df = spark.read.schema(MANIFEST).option("header", True).option("escape", "\"").csv(os.path.join(base, f"{doc}.csv"))
     return df.withColumns({"in": resolve(base, F.col("in")), "out": resolve(base, F.col("out"))})
 
 
