@@ -552,3 +552,14 @@ def infer_stream(spark, sf):
     from ..streaming.inference_stream import requests_stream_roundtrip
 
     return requests_stream_roundtrip(spark, td.requests(spark, sf))
+
+
+@query
+def asset_facts(spark, sf):
+    """T-6: header facts read back from image headers built from each asset's decoded facts."""
+    from ..sources.assets import header_facts, synth_header
+
+    a = td.assets(spark, sf)
+    files = a.select("id", synth_header(F.col("format"), F.col("width"), F.col("height"), F.col("channels")).alias("content"))
+    f = header_facts(files)
+    return f.select("id", "facts.format", "facts.width", "facts.height", "facts.bands")

@@ -427,6 +427,13 @@ ORACLES["model_pivot"] = _w(BASE) + (
     + " FROM s GROUP BY ck"
 )
 
+ORACLES["asset_facts"] = _w(ASSETS) + """
+SELECT id, fmt AS format, CASE WHEN fmt IS NULL THEN NULL ELSE width END AS width,
+  CASE WHEN fmt IS NULL THEN NULL ELSE height END AS height,
+  CASE WHEN fmt IS NULL THEN NULL WHEN fmt = 'GIF' THEN 1
+       WHEN fmt = 'WEBP' THEN CASE WHEN channels = 4 THEN 4 ELSE 3 END ELSE channels END AS bands
+FROM (SELECT *, CASE upper(format) WHEN 'JPG' THEN 'JPEG' ELSE upper(format) END AS fmt FROM a)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

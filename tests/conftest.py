@@ -27,3 +27,15 @@ def sf_small():
 def rows(df, *cols):
     """Collect selected columns as a list of tuples (small test frames only)."""
     return [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
+
+
+@pytest.fixture(autouse=True)
+def _ship_test_module_by_value(request):
+    """Functions and classes defined in a test module reach the Python workers by value."""
+    try:
+        from pyspark import cloudpickle
+
+        if request.module.__name__ in sys.modules:
+            cloudpickle.register_pickle_by_value(request.module)
+    except Exception:
+        pass
