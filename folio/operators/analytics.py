@@ -291,5 +291,12 @@ def top_mistakes(verdicts: DataFrame, k: int = 3, by: str = "model") -> DataFram
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def judge_fields_bounds(df: DataFrame) -> DataFrame:
-    return score_bounds(df, "judge_fields")
+def mistake_prompts(top: DataFrame, metric_name: str = "correct_fields", by: str = "model") -> DataFrame:
+    """One summary prompt per model from its top-k mistakes (at most k lines per
+    group, so the collected list is bounded by k, not by the data)."""
+    line = F.concat(F.lit("- "), F.col("field"), F.lit(": "), F.col("verdict"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    grouped = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("items"))
+    bullets = F.array_join(F.transform(F.col("items"), lambda x: x["line"]), "\n")
+    has = F.size(F.col("items")) > 0
+    prompt = F.when(has, F.concat(F.lit(summary_prompt(metric_name)), bullets, F.lit("\n\nSummary:")))
+    return grouped.select(by, prompt.alias("prompt"), F.when(~has, F.lit(NO_REASONS)).alias("message"))

@@ -106,6 +106,34 @@ class LayoutReaderBackend(BaseBackend):
         return "\n".join(lines)
 
 
+class KeywordJudgeBackend(BaseBackend):
+    """Deterministic judge for tests: the label of the first keyword found in the prompt."""
+
+    model_id = "keyword-judge"
+
+    def __init__(self, rules=(("I cannot read", "incorrect"), ("```", "Correct."), ("CASABLANCA", "maybe")),
+                 default="correct"):
+        super().__init__()
+        self.rules = rules
+        self.default = default
+
+    def _generate(self, prompt, settings):
+        for keyword, label in self.rules:
+            if keyword in prompt:
+                return label
+        return self.default
+
+
+class OutlineBackend(BaseBackend):
+    """Deterministic summariser for tests: a markdown outline of the bullet lines it is given."""
+
+    model_id = "outline"
+
+    def _generate(self, prompt, settings):
+        bullets = [ln[2:] for ln in str(prompt).splitlines() if ln.startswith("- ")]
+        return "# Summary\n" + "\n".join(f"## {b}" for b in bullets[:3])
+
+
 class FailingBackend(BaseBackend):
     """Raises for inputs that match ``predicate``; otherwise echoes."""
 

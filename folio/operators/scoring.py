@@ -246,3 +246,10 @@ def judge_agreement(df: DataFrame, judge_col: str = "judge_format", computed_col
     return df.groupBy(F.col(judge_col).alias("judge"), F.col(computed_col).alias("computed")).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+def parse_judge_verdict(text: Column, allowed=FORMAT_VALUES) -> Column:
+    """A judge's answer to a verdict: first word, lower case, punctuation dropped;
+    NULL when it is not an allowed value."""
+    word = F.lower(F.regexp_extract(text, r"^\s*([A-Za-z_]+)", 1))
+    return F.when(word.isin(*allowed), word)

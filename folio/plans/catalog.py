@@ -563,3 +563,22 @@ def asset_facts(spark, sf):
     files = a.select("id", synth_header(F.col("format"), F.col("width"), F.col("height"), F.col("channels")).alias("content"))
     f = header_facts(files)
     return f.select("id", "facts.format", "facts.width", "facts.height", "facts.bands")
+
+
+@query
+def judge_run(spark, sf):
+    """J8 run: judge prompts through a (test) judge backend; answers checked against the allowed values."""
+    r = td.results(spark, sf)
+    prompts = r.select("id", S.judge_prompt(F.col("generated"), F.col("expected")).alias("prompt"))
+    out = I.run_batch(prompts, I.KeywordJudgeBackend, "prompt", ["id"])
+    v = S.parse_judge_verdict(F.col("text"))
+    return out.select("id", "success", v.alias("judge_format"), v.isNull().alias("out_of_domain"))
+
+
+@query
+def mistake_summary(spark, sf):
+    """A20 with a model: top mistakes per model -> summary prompt -> backend -> headings demoted."""
+    top = A.top_mistakes(S.field_verdicts(td.results(spark, sf)), k=3)
+    p = A.mistake_prompts(top)
+    out = I.run_batch(p.where(F.col("prompt").isNotNull()), I.OutlineBackend, "prompt", ["model"])
+    return out.select("model", "success", fn.demote_headings(F.col("text")).alias("summary"))

@@ -434,6 +434,21 @@ SELECT id, fmt AS format, CASE WHEN fmt IS NULL THEN NULL ELSE width END AS widt
        WHEN fmt = 'WEBP' THEN CASE WHEN channels = 4 THEN 4 ELSE 3 END ELSE channels END AS bands
 FROM (SELECT *, CASE upper(format) WHEN 'JPG' THEN 'JPEG' ELSE upper(format) END AS fmt FROM a)"""
 
+ORACLES["judge_run"] = _w(BASE) + """
+SELECT id, true AS success,
+  CASE WHEN k % 29 = 0 THEN 'incorrect' WHEN k % 2 = 0 THEN 'correct' WHEN k % 13 = 0 THEN NULL ELSE 'correct' END
+    AS judge_format,
+  (k % 29 <> 0 AND k % 2 <> 0 AND k % 13 = 0) AS out_of_domain
+FROM s"""
+ORACLES["mistake_summary"] = _w(BASE, VERDICTS) + f"""
+SELECT model, true AS success,
+  '## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} ORDER BY rank)
+    AS summary
+FROM (
+  SELECT model, field, verdict, n, row_number() OVER (PARTITION BY model ORDER BY n DESC, field, verdict) AS rank
+  FROM (SELECT model, field, verdict, count(*) AS n FROM fv WHERE verdict <> 'correct' GROUP BY 1, 2, 3)
+) WHERE rank <= 3 GROUP BY model"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

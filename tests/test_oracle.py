@@ -53,6 +53,7 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
 def test_every_query_has_an_oracle_or_is_python(spark):
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only == {"pretty_json", "row_detail", "infer_text", "infer_ocr", "infer_stream"}
+    assert {"judge_run", "mistake_summary", "asset_facts"} <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
