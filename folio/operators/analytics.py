@@ -211,6 +211,24 @@ def table_page(df: DataFrame, page: int, page_size: int = 25, order=(("timestamp
     return table_sort(df, order, tiebreak).offset(page * page_size).limit(page_size)
 
 
+def table_page_after(df: DataFrame, after: tuple | None, page_size: int = 25, ts_col: str = "timestamp",
+                     key_col: str = "id") -> DataFrame:
+    """A17 for deep pages: keyset pagination on (timestamp desc, id asc) after the last row shown.
+
+    Unlike an offset, the cost does not grow with the page number: the predicate is pushed to
+    the scan and each task keeps only ``page_size`` rows.
+    """
+    ordered = df
+    if after is not None:
+        last_ts, last_id = after
+        ts, key = F.col(ts_col), F.col(key_col)
+        if last_ts is None:
+            ordered = df.where(ts.isNull() & (key > F.lit(last_id)))
+        else:
+            ordered = df.where(ts.isNull() | (ts < F.lit(last_ts)) | ((ts == F.lit(last_ts)) & (key > F.lit(last_id))))
+    return table_sort(ordered, ((ts_col, False),), key_col).limit(page_size)
+
+
 def row_detail(df: DataFrame, key, key_col: str = "id") -> DataFrame:
     """One row's detail with blanks shown as ``—`` / ``""``, reasons as text and pretty JSON."""
     from ..functions.jsontext import pretty_json

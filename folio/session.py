@@ -69,9 +69,12 @@ def spread(df, *keys: str):
     return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
 
 
-# Largest estimated size of a side we broadcast explicitly. Above it the join shuffles both
-# sides (sort-merge, AQE splits skewed keys) and AQE may still switch to a broadcast at runtime.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+def broadcast_limit(spark) -> int:
+    """The session's own broadcast threshold (``spark.sql.autoBroadcastJoinThreshold``)."""
+    value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    units = {"b": 1, "k": 1024, "m": 1024**2, "g": 1024**3}
+    v = value.strip().lower().rstrip("b") or "0"
+    return int(float(v[:-1]) * units[v[-1]]) if v[-1] in units else int(v)
 
 
 def estimated_bytes(df) -> int:
@@ -79,6 +82,12 @@ def estimated_bytes(df) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_broadcast(df, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """True when the plan's estimated size is within ``limit``."""
-    return estimated_bytes(df) <= limit
+def fits_broadcast(df, limit: int | None = None) -> bool:
+    """True when the estimated size of ``df`` is within the session's broadcast threshold.
+
+    Use it on the scan that bounds a join side (for example the dimension table before its
+    own small lookups): Spark estimates a join's size as the product of its inputs, which
+    hides a small side behind an inflated number. A threshold of -1 disables broadcasting.
+    """
+    limit = broadcast_limit(df.sparkSession) if limit is None else limit
+    return limit >= 0 and estimated_bytes(df) <= limit

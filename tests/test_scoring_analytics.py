@@ -181,3 +181,18 @@ def test_top_mistakes_ranks_after_aggregation(spark):
     got = [tuple(r) for r in A.top_mistakes(v, k=1).orderBy("model").select("model", "field", "verdict", "n").collect()]
     assert got == [("m", "a", "mismatch", 3), ("n", "a", "missing", 1)]
     assert not math.isnan(1.0)
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    df = spark.createDataFrame(
+        [(i, None if i % 7 == 0 else f"2026-01-{1 + i % 5:02d}") for i in range(40)], "id long, timestamp string"
+    )
+    pages, after = [], None
+    for _ in range(5):
+        page = [(r.timestamp, r.id) for r in A.table_page_after(df, after, page_size=9).collect()]
+        if not page:
+            break
+        pages.extend(page)
+        after = page[-1]
+    offset_rows = [(r.timestamp, r.id) for p in range(5) for r in A.table_page(df, p, 9).collect()]
+    assert pages == offset_rows and len(pages) == 40
