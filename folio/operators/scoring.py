@@ -54,7 +54,7 @@ def with_scores(df: DataFrame, expected: str = "expected", generated: str = "gen
     Spark evaluates interpreted. Fields absent from an expected object are skipped either way.
     """
     out = with_verdicts(df, expected, generated, fields)
-    return out.drop("_e", "_g", "_verdicts", *[c for c in out.columns if c.startswith("_v_")])
+    return out.drop("_e", "_g", "_verdicts", *[c for c in out.columns if c.startswith(("_v_", "_ev_", "_gv_"))])
 
 
 def _parsed(df: DataFrame, expected: str, generated: str) -> DataFrame:
@@ -73,15 +73,22 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
     if fields:
         lookups = {}
         for f in fields:
-            ev = F.try_element_at(e, F.lit(f))
-            gv = F.when(g.isNotNull(), F.try_element_at(g, F.lit(f)))
-            lookups[f"_v_{f}"] = F.when(ev.isNotNull(), verdict(ev, gv))
+            lookups[f"_ev_{f}"] = F.try_element_at(e, F.lit(f))
+            lookups[f"_gv_{f}"] = F.when(g.isNotNull(), F.try_element_at(g, F.lit(f)))
         staged = staged.withColumns(lookups)
+        staged = staged.withColumns(
+            {f"_v_{f}": F.when(F.col(f"_ev_{f}").isNotNull(), verdict(F.col(f"_ev_{f}"), F.col(f"_gv_{f}"))) for f in fields}
+        )
         vcols = [(f, F.col(f"_v_{f}")) for f in fields]
         n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
         fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols])
+        # Entries for fields the expected object lacks have a NULL verdict; explode_verdicts drops them.
         verdicts = F.array(
-            *[F.struct(F.lit(f).alias("field"), vc.alias("verdict")) for f, vc in vcols]
+            *[
+                F.struct(F.lit(f).alias("field"), F.col(f"_ev_{f}").alias("expected"),
+                         F.col(f"_gv_{f}").alias("generated"), vc.alias("verdict"))
+                for f, vc in vcols
+            ]
         )
     else:
         staged = staged.withColumn("_verdicts", _verdicts(e, g))
@@ -153,6 +160,23 @@ def field_verdicts(df: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_
     )
 
 
+def explode_verdicts(scored: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_version"),
+                     verdicts_col: str = "verdicts") -> DataFrame:
+    """J5 from a stored scored table: explode the kept verdicts (no JSON is parsed again)."""
+    return (
+        scored.select(*keys, F.posexplode(verdicts_col).alias("pos", "v"))
+        .where(F.col("v.verdict").isNotNull())
+        .select(
+            *keys,
+            (F.col("pos") + 1).alias("field_pos"),
+            F.col("v.field").alias("field"),
+            F.col("v.expected").alias("expected_value"),
+            F.col("v.generated").alias("generated_value"),
+            F.col("v.verdict").alias("verdict"),
+        )
+    )
+
+
 def field_accuracy(verdicts: DataFrame) -> DataFrame:
     """Accuracy per field (partial + final aggregation; as many groups as fields)."""
     ok = F.when(F.col("verdict") == CORRECT, 1).otherwise(0)

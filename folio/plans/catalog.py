@@ -76,19 +76,19 @@ def score_reason(spark, sf):
 
 @query
 def field_verdicts(spark, sf):
-    return S.field_verdicts(td.results(spark, sf)).select(
+    return S.explode_verdicts(td.scored_table(spark, sf)).select(
         "id", "model", "prompt_version", "field_pos", "field", "verdict"
     )
 
 
 @query
 def field_accuracy(spark, sf):
-    return S.field_accuracy(S.field_verdicts(td.results(spark, sf)))
+    return S.field_accuracy(S.explode_verdicts(td.scored_table(spark, sf)))
 
 
 @query
 def field_rules(spark, sf):
-    return S.field_rules(S.field_verdicts(td.results(spark, sf)))
+    return S.field_rules(S.explode_verdicts(td.scored_table(spark, sf)))
 
 
 @query
@@ -205,7 +205,7 @@ def reason_bullets(spark, sf):
 
 @query
 def top_mistakes(spark, sf):
-    return A.top_mistakes(S.field_verdicts(td.results(spark, sf)), k=3)
+    return A.top_mistakes(S.explode_verdicts(td.scored_table(spark, sf)), k=3)
 
 
 @query
@@ -578,7 +578,7 @@ def judge_run(spark, sf):
 @query
 def mistake_summary(spark, sf):
     """A20 with a model: top mistakes per model -> summary prompt -> backend -> headings demoted."""
-    top = A.top_mistakes(S.field_verdicts(td.results(spark, sf)), k=3)
+    top = A.top_mistakes(S.explode_verdicts(td.scored_table(spark, sf)), k=3)
     p = A.mistake_prompts(top)
     out = I.run_batch(p.where(F.col("prompt").isNotNull()), I.OutlineBackend, "prompt", ["model"])
     return out.select("model", "success", fn.demote_headings(F.col("text")).alias("summary"))

@@ -121,8 +121,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results plus deterministic scores and reasons, and the judge / trap columns."""
-    r = scoring.with_scores(results(spark, sf_dir), fields=CIN_FIELDS)
+    """Results plus deterministic scores, reasons and per-field verdicts, and the judge / trap columns."""
+    r = scoring.with_verdicts(results(spark, sf_dir), fields=CIN_FIELDS)
+    r = r.withColumnRenamed("_verdicts", "verdicts")
+    r = r.drop("_e", "_g", *[c for c in r.columns if c.startswith(("_v_", "_ev_", "_gv_"))])
     k = F.col("id")
     return r.select(
         "*",
