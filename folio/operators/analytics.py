@@ -132,10 +132,9 @@ def _as_ntz(value: str) -> dt.datetime:
 
 def parse_timestamp(c: Column) -> Column:
     """Text or timestamp to TIMESTAMP_NTZ; unparseable text becomes NULL (dropped only when a date filter is on)."""
-    return F.coalesce(
-        F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(c.cast("string"), F.lit("yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]")),
-    ).cast("timestamp_ntz")
+    # A cast to TIMESTAMP_NTZ reads ISO text with or without fractions and with 'T' or a space,
+    # and does not depend on the session time zone.
+    return c.cast("string").try_cast("timestamp_ntz")
 
 
 def facet_values(df: DataFrame, columns: Sequence[str] = ("model", "doc", "prompt_version")) -> DataFrame:
@@ -309,6 +308,27 @@ def top_mistakes(verdicts: DataFrame, k: int = 3, by: str = "model") -> DataFram
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def summary_status(df: DataFrame) -> DataFrame:
+    """Per metric, how many non-blank reasons there are and the message to show instead of
+    a summary when there are none (or when the table is empty). One aggregate, no collection."""
+    parts = []
+    for metric, reason in REASON_COLUMNS.items():
+        if reason not in df.columns:
+            continue
+        text = F.col(reason).cast("string")
+        nonblank = F.when(text.isNotNull() & (py_strip(text) != ""), 1).otherwise(0)
+        parts.append(
+            df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nonblank).alias("n_reasons")).select(
+                F.lit(metric).alias("metric"),
+                F.coalesce(F.col("n_reasons"), F.lit(0)).cast("bigint").alias("n_reasons"),
+                F.when(F.col("n_rows") == 0, F.lit(NO_DATA))
+                .when(F.coalesce(F.col("n_reasons"), F.lit(0)) == 0, F.lit(NO_REASONS))
+                .alias("message"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mistake_prompts(top: DataFrame, metric_name: str = "correct_fields", by: str = "model") -> DataFrame:
     """One summary prompt per model from its top-k mistakes (at most k lines per
     group, so the collected list is bounded by k, not by the data)."""

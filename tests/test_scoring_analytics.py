@@ -196,3 +196,17 @@ def test_keyset_pages_equal_offset_pages(spark):
         after = page[-1]
     offset_rows = [(r.timestamp, r.id) for p in range(5) for r in A.table_page(df, p, 9).collect()]
     assert pages == offset_rows and len(pages) == 40
+
+
+def test_summary_status_messages(spark):
+    df = spark.createDataFrame([(1, "a", " "), (2, None, "")], "id long, correct_fields_reason string, format_compliance_reason string")
+    got = {r.metric: (r.n_reasons, r.message) for r in A.summary_status(df).collect()}
+    assert got == {"correct_fields": (1, None), "format_compliance": (0, A.NO_REASONS)}
+    got = {r.metric: r.message for r in A.summary_status(df.where("false")).collect()}
+    assert got == {"correct_fields": A.NO_DATA, "format_compliance": A.NO_DATA}
+
+
+def test_parse_timestamp_forms(spark):
+    df = spark.createDataFrame([("2026-03-08T21:05:26.544783",), ("2026-03-08T21:05:36",), ("2026-03-08 01:02:03",), ("bad",), (None,)], "t string")
+    got = [r[0] for r in df.select(A.parse_timestamp(F.col("t")).cast("string")).collect()]
+    assert got == ["2026-03-08 21:05:26.544783", "2026-03-08 21:05:36", "2026-03-08 01:02:03", None, None]
