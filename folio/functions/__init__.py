@@ -1,7 +1,7 @@
 """Column functions: pure expressions that Catalyst can push, prune and code-generate."""
 
 from .jsontext import looks_like_object, parse_object, parse_object_strict, pretty_json, raw_valid_json
-from .layout import items_to_text, layout_to_text, page_text, text_to_layout
+from .layout import items_to_text, layout_to_text, lines_to_layout, page_text, text_to_layout
 from .paths import block_type, file_name, media_type, resolve, stem, suffix
 from .tags import has_all_tags, has_any_tag, parse_tags
 from .text import demote_headings, fence_strip, is_fenced, preview, py_strip, strip_echo
@@ -16,6 +16,7 @@ __all__ = [
     "is_fenced",
     "items_to_text",
     "layout_to_text",
+    "lines_to_layout",
     "looks_like_object",
     "media_type",
     "page_text",

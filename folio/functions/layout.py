@@ -35,8 +35,17 @@ def items_to_text(items, field: str = "text") -> Column:
 
 
 def text_to_layout(text, lines_per_page: int = 20) -> Column:
-    """Build a one-block-per-page layout tree from text (``lines_per_page`` lines per page)."""
-    lines = F.split(as_col(text), "\n", -1)
+    """Build a one-block-per-page layout tree from text (``lines_per_page`` lines per page).
+
+    The split is referenced once per page; on a frame, split in its own projection and call
+    ``lines_to_layout`` on that column so each text is split once (see ``ocr_pages``).
+    """
+    return lines_to_layout(F.split(as_col(text), "\n", -1), lines_per_page)
+
+
+def lines_to_layout(lines, lines_per_page: int = 20) -> Column:
+    """Build a one-block-per-page layout tree from an array of lines."""
+    lines = as_col(lines)
     n_pages = F.floor((F.size(lines) - 1) / lines_per_page).cast("int")
     return F.transform(
         F.sequence(F.lit(0), n_pages),

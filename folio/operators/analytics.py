@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions._util import posexplode_rows
 from ..functions.tags import has_any_tag, parse_tags
 from ..functions.text import py_strip
 from . import scoring
@@ -156,7 +157,8 @@ def facet_values(df: DataFrame, columns: Sequence[str] = ("model", "doc", "promp
 def facet_tags(df: DataFrame) -> DataFrame:
     """Sorted distinct tags over all cells."""
     return (
-        df.select(F.explode(parse_tags(F.col("tags"))).alias("tag"))
+        posexplode_rows(df, [], parse_tags(F.col("tags")), value="tag")
+        .select("tag")
         .distinct()
         .orderBy("tag")
     )

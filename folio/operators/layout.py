@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import posexplode_rows
 from ..functions.layout import layout_to_text, page_text
 
 
@@ -19,7 +20,7 @@ def page_explode(df: DataFrame, key: str = "doc_id", pages: str = "pages") -> Da
     Page-level rows let a later ``repartition`` balance documents of very different lengths
     before per-page inference.
     """
-    return df.select(key, F.posexplode(F.col(pages)).alias("pos", "page")).select(
+    return posexplode_rows(df, [key], pages, value="page").select(
         key,
         (F.col("pos") + 1).alias("page_no"),
         F.size(F.flatten(F.transform(F.col("page.blocks"), lambda b: b["lines"]))).alias("n_lines"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions._util import posexplode_rows
 from ..functions.jsontext import parse_object
 from ..functions.text import fence_strip, is_fenced
 from ..schemas import FIELD_RULES
@@ -147,7 +148,7 @@ def field_verdicts(df: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_
         parse_object(F.col(expected), strip_fence=False).alias("_e"),
         parse_object(F.col("_gtext"), strip_fence=False).alias("_g"),
     )
-    exploded = staged.select(*keys, "_g", F.posexplode(F.map_entries("_e")).alias("pos", "kv"))
+    exploded = posexplode_rows(staged, [*keys, "_g"], F.map_entries("_e"), value="kv")
     ev = F.col("kv.value")
     gv = F.when(F.col("_g").isNotNull(), F.try_element_at(F.col("_g"), F.col("kv.key")))
     return exploded.select(

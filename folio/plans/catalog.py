@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from ..functions._util import posexplode_rows
 from ..functions.paths import resolve
 from ..operators import analytics as A
 from ..operators import experiment as X
@@ -541,7 +542,7 @@ def infer_text(spark, sf):
 
 @query
 def infer_ocr(spark, sf):
-    raw = td.ocr_pages(spark, sf).select("doc_id", F.posexplode("pages").alias("pos", "page"))
+    raw = posexplode_rows(td.ocr_pages(spark, sf), ["doc_id"], "pages", value="page")
     inp = raw.select("doc_id", (F.col("pos") + 1).alias("page_no"), F.to_json("page").alias("page_json"))
     out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"])
     return out.select("doc_id", "page_no", "model_id", "success", F.md5("text").alias("text_md5"))

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.layout import text_to_layout
+from ..functions.layout import lines_to_layout
 from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
 
@@ -233,7 +233,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_pages(spark: SparkSession, sf_dir: str, lines_per_page: int = 20) -> DataFrame:
     """Layout trees of the documents: one block per page, ``lines_per_page`` lines per page."""
     d = wide_table(spark, sf_dir, "documents", ["doc_id", "text"], "doc_id")
-    return d.select("doc_id", text_to_layout(F.col("text"), lines_per_page).alias("pages"))
+    # Split once per document: the layout refers to the lines once per page, and a separate
+    # projection of an expensive expression is not collapsed into its many references.
+    lines = d.select("doc_id", F.split(F.col("text"), "\n", -1).alias("lines"))
+    return lines.select("doc_id", lines_to_layout(F.col("lines"), lines_per_page).alias("pages"))
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
