@@ -545,14 +545,15 @@ def infer_ocr(spark, sf):
     raw = posexplode_rows(td.ocr_pages(spark, sf), ["doc_id"], "pages", value="page")
     inp = raw.select("doc_id", (F.col("pos") + 1).alias("page_no"), F.to_json("page").alias("page_json"))
     out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"])
-    return out.select("doc_id", "page_no", "model_id", "success", F.md5("text").alias("text_md5"))
+    return out.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), "model_id", "success",
+                      F.md5("text").alias("text_md5"))
 
 
 @query
 def infer_stream(spark, sf):
     from ..streaming.inference_stream import requests_stream_roundtrip
 
-    return requests_stream_roundtrip(spark, td.requests(spark, sf))
+    return requests_stream_roundtrip(spark, td.requests(spark, sf)).withColumn("n_chars", F.col("n_chars").cast("bigint"))
 
 
 @query

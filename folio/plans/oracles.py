@@ -450,5 +450,25 @@ FROM (
 ) WHERE rank <= 3 GROUP BY model"""
 
 
+# Python stages whose output columns are deterministic (no wall-clock column): the test
+# backends' answers written out as SQL.
+# LayoutReaderBackend reads a page's words back: the page text is its 20 source lines.
+ORACLES["infer_ocr"] = _w(PAGES) + f"""
+SELECT doc_id, CAST(p + 1 AS BIGINT) AS page_no, 'layout-reader' AS model_id, true AS success,
+  md5(array_to_string(pl, {NL})) AS text_md5 FROM pg"""
+# EchoTextBackend: an empty prompt is an error row; otherwise the prompt, then
+# "\n  answer: <words> words (max <limit>)  " with Python's whitespace word count.
+WORDS = ("CASE WHEN regexp_matches(prompt, '^[\\s\\v]*$') THEN 0 ELSE len(string_split_regex("
+         "regexp_replace(prompt, '^[\\s\\v]+|[\\s\\v]+$', '', 'g'), '[\\s\\v]+')) END")
+ORACLES["infer_stream"] = _w(REQUESTS) + f"""
+SELECT req_id, 'echo-text' AS model_id,
+  coalesce(prompt <> '', false) AS success,
+  CASE WHEN prompt IS NULL OR prompt = '' THEN 'ValueError: empty prompt' END AS error,
+  CAST(CASE WHEN prompt IS NULL OR prompt = '' THEN 0
+       ELSE length(prompt || {NL} || '  answer: ' || CAST({WORDS} AS VARCHAR) || ' words (max '
+                   || CAST(coalesce(max_tokens, 4096) AS VARCHAR) || ')  ') END AS BIGINT) AS n_chars
+FROM rq"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
