@@ -45,3 +45,10 @@ def strip_echo(text, prompt) -> Column:
     text, prompt = as_col(text), as_col(prompt)
     rest = text.substr(F.length(prompt) + 1, F.greatest(F.length(text), F.lit(1)))
     return F.when(text.startswith(prompt), py_strip(rest)).otherwise(text)
+
+
+def iso_text(ts) -> Column:
+    """Python ``datetime.isoformat()`` of a naive timestamp: the fraction only when it is not zero."""
+    t = as_col(ts)
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(t, "SSSSSS") == "000000", whole).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

@@ -220,6 +220,28 @@ def results_union(spark, sf):
     return out.drop("expected", "generated")
 
 
+@query
+def run_files(spark, sf):
+    """S11 + S2: the scored results written as CSV run folders (one per doc / prompt version /
+    model; multi-line, quoted cells), then every run read back in one scan."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.experiments import project_known, read_run_files
+    from ..sources.sinks import write_run_files
+
+    s = td.scored_table(spark, sf).withColumn("timestamp", fn.iso_text("timestamp"))
+    path = shared_path(spark, "runs", uuid.uuid4().hex)
+    write_run_files(s, path)
+    back = project_known(read_run_files(spark, path))
+    return back.select(
+        F.col("id").cast("bigint").alias("id"),
+        *[c for c in back.columns if c not in ("id", "expected", "generated")],
+        F.md5("expected").alias("expected_md5"),
+        F.md5("generated").alias("generated_md5"),
+    )
+
+
 @query
 def run_identity(spark, sf):
     """Prompt version parsed from run file names (odd names included)."""

@@ -300,6 +300,24 @@ SELECT id, doc, model, prompt_version, tags, CAST(NULL AS VARCHAR) AS notes, CAS
     AS format_compliance_reason
 FROM s"""
 )
+ORACLES["run_files"] = _w(BASE) + (
+    """
+SELECT id, doc, model, prompt_version, tags, CAST(NULL AS VARCHAR) AS notes,
+  CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END
+    AS "timestamp",
+  execution_time, cf AS correct_fields, fc AS format_compliance, """
+    + " || ', ' || ".join(f"'{f}=' || v_{f}" for f in FIELDS)
+    + """ AS correct_fields_reason,
+  CASE WHEN k % 29 = 0 THEN 'not a JSON object' WHEN k % 17 = 0 THEN 'missing: nom; extra: ' ELSE '' END
+    AS format_compliance_reason,
+  md5("""
+    + EXPECTED_TEXT
+    + """) AS expected_md5,
+  md5("""
+    + GENERATED_TEXT
+    + """) AS generated_md5
+FROM s"""
+)
 ORACLES["run_identity"] = _w(BASE) + """
 SELECT id,
   CASE WHEN k % 10 = 0 THEN 'cin_' || model || '_' || strftime(ts, '%Y%m%d_%H%M%S')

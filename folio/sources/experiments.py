@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.experiment import prompt_version_from_name
-from ..schemas import DETAIL_COLS, DISPLAY_COLS
+from ..schemas import DETAIL_COLS, DISPLAY_COLS, RESULT_ROW
 
 NUMERIC = {"execution_time": "double", "correct_fields": "double"}
+# Fixed value: the read-side null marker for run-file sinks (never written by the sink).
+NULL_MARKER = "\u0000"
 
 
 def empty_results(spark: SparkSession) -> DataFrame:
@@ -58,6 +60,28 @@ def load_experiments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return newest_first(project_known(union_runs(frames)))
 
 
+def read_run_files(spark: SparkSession, path: str, partition_by: Sequence[str] = ("doc", "prompt_version", "model")) -> DataFrame:
+    """S2 over a run-file sink (:func:`folio.sources.sinks.write_run_files`): all runs in one scan.
+
+    The schema is given: the M8 columns in the order they were written, then the run identity
+    from the folder names as text (no type inference, so a model named ``007`` keeps its
+    zeros). ``multiLine`` reads each file as one split; a sink holds one file per (task, run),
+    so the scan still has many splits.
+    """
+    data = [f for f in RESULT_ROW.fields if f.name not in partition_by]
+    schema = T.StructType(data + [T.StructField(c, T.StringType(), True) for c in partition_by])
+    return (
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("multiLine", True)
+        .option("escape", '"')
+        # The writer leaves a NULL cell empty and quotes an empty text (""). With the default
+        # null marker ("") both would read as NULL; a marker no cell holds keeps them apart.
+        .option("nullValue", NULL_MARKER)
+        .csv(path)
+    )
+
+
 def load_results_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Results written by :func:`folio.sources.sinks.write_results` (partition columns come back)."""
     return spark.read.option("mergeSchema", True).parquet(path)

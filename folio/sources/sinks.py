@@ -5,22 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import RESULT_ROW
+
 PARTITIONS = ("doc", "prompt_version", "model", "run_ts")
+RUN_PARTITIONS = ("doc", "prompt_version", "model")
+
+
+def _csv(writer):
+    # Cells may hold newlines, commas and quotes: quote them and double inner quotes. Spark's
+    # CSV writer trims leading / trailing spaces of values by default; answers keep theirs.
+    return (
+        writer.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
 
 
 def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     """One directory per run identity (doc / prompt version / model / run time).
 
-    Readers prune partitions on these columns instead of parsing file names. Rows are
-    clustered by the partition columns first so each task writes few files.
+    Readers prune partitions on these columns instead of parsing file names. No shuffle by
+    run identity: one run may hold most rows, and a hash shuffle on it would put them all in
+    one task. Each task sorts its rows by run and writes one file per run it holds.
     """
     cols = [c for c in PARTITIONS if c in df.columns]
-    df.repartition(*cols).write.mode(mode).partitionBy(*cols).parquet(path)
+    df.write.mode(mode).partitionBy(*cols).parquet(path)
+
+
+def write_run_files(df: DataFrame, path: str, partition_by=RUN_PARTITIONS, mode: str = "overwrite") -> None:
+    """S11 in the run-file dialect: a CSV folder per run identity, result columns in M8 order.
+
+    Every run folder holds the same columns in the same order, missing ones empty.
+    The run identity is in the folder names (``doc=…/prompt_version=…/model=…``) rather than in
+    a file name; :func:`folio.sources.experiments.read_run_files` reads every run in one scan.
+    """
+    parts = [c for c in partition_by if c in df.columns]
+    # Every M8 column is written (NULL where the input lacks it), so the file layout is fixed.
+    data = [
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in RESULT_ROW.fields
+        if f.name not in parts
+    ]
+    _csv(df.select(*data, *parts).write.mode(mode).partitionBy(*parts)).csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV export in the run-file dialect (header, quoted multi-line cells)."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).csv(path)
+    _csv(df.write.mode("overwrite")).csv(path)
 
 
 def write_text(df: DataFrame, text_col: str, path: str) -> None:

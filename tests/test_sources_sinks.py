@@ -126,3 +126,31 @@ def test_sinks_round_trip(spark):
     assert "PartitionFilters: [isnotnull(prompt_version" in pruned._jdf.queryExecution().executedPlan().toString()
     sinks.write_text(df, "id", os.path.join(out, "text"))
     assert sorted(r.value for r in spark.read.text(os.path.join(out, "text")).collect()) == ["1", "2"]
+
+
+def test_run_files_round_trip_keeps_cells_exact(spark):
+    out = tempfile.mkdtemp(prefix="runs-")
+    df = spark.createDataFrame(
+        [
+            ("1", "cin", "m0", "v1", None, "", "  lead and trail  ", 'a "q",\nline2', 1.5),
+            ("2", "cin", "007", "v2", '["a","b"]', None, "x", "", None),
+        ],
+        "id string, doc string, model string, prompt_version string, tags string, notes string,"
+        " correct_fields_reason string, generated string, execution_time double",
+    )  # no `expected`, `timestamp`, ...: written as empty cells
+    sinks.write_run_files(df, out)
+    back = {r.id: r for r in experiments.read_run_files(spark, out).collect()}
+    assert back["1"].notes == "" and back["2"].notes is None  # "" and NULL stay apart
+    assert back["1"].correct_fields_reason == "  lead and trail  "  # the writer does not trim
+    assert back["1"].generated == 'a "q",\nline2' and back["2"].generated == ""
+    assert back["2"].model == "007" and back["1"].prompt_version == "v1"  # folder names as text
+    assert back["1"].execution_time == 1.5 and back["2"].execution_time is None
+    assert back["1"].expected is None and back["1"].tags is None and back["2"].tags == '["a","b"]'
+
+
+def test_write_results_adds_no_shuffle(spark):
+    from unittest import mock
+
+    df = spark.createDataFrame([("1", "cin", "v1", "m")], "id string, doc string, prompt_version string, model string")
+    with mock.patch.object(type(df), "repartition", side_effect=AssertionError("shuffle by run identity")):
+        sinks.write_results(df, os.path.join(tempfile.mkdtemp(prefix="sink-"), "r"))
