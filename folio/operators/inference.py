@@ -202,14 +202,16 @@ def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str
               settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None) -> DataFrame:
     """Run a backend over a table; result = keys + the result envelope.
 
-    ``slots`` bounds the number of model copies working at once (one per partition). The input
-    is projected to the keys and the input column before the Python stage, so nothing else is
-    shipped to the workers.
+    ``slots`` sets the number of tasks (one model load each) and spreads the rows over them by a
+    hash of the keys. The keys identify a row, so the spread is even whatever the input layout
+    (the pages of one long document land in many tasks) and a retried task gets the same rows.
+    The input is projected to the keys and the input column before the Python stage, so nothing
+    else is shipped to the workers.
     """
     cols = list(dict.fromkeys([*keys, input_col] + ([settings_col] if settings_col else [])))
     projected = df.select(*cols)
     if slots:
-        projected = projected.repartition(slots)
+        projected = projected.repartition(slots, *keys)
     key_fields = [projected.schema[k] for k in keys]
     return projected.mapInPandas(
         _runner(make_backend, input_col, keys, settings, settings_col), envelope_schema(key_fields)

@@ -566,7 +566,9 @@ def infer_text(spark, sf):
 def infer_ocr(spark, sf):
     raw = posexplode_rows(td.ocr_pages(spark, sf), ["doc_id"], "pages", value="page")
     inp = raw.select("doc_id", (F.col("pos") + 1).alias("page_no"), F.to_json("page").alias("page_json"))
-    out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"])
+    # Pages, not documents, are spread over the tasks: a long document does not hold one task.
+    slots = spark.sparkContext.defaultParallelism
+    out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"], slots=slots)
     return out.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), "model_id", "success",
                       F.md5("text").alias("text_md5"))
 

@@ -82,3 +82,16 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark):
     assert sorted(first.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     start_inference_stream(*args, settings_col="max_tokens").awaitTermination()  # restart from the checkpoint
     assert spark.read.parquet(sink).count() == 20
+
+
+def test_slots_spread_one_long_document_over_tasks(spark):
+    # 400 pages of one document, all in one input partition (as a long document arrives).
+    pages = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") + 1).alias("page_no"),
+                                    F.concat(F.lit("page "), F.col("id").cast("string")).alias("text")).coalesce(1)
+    out = I.run_batch(pages, I.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
+    per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(per_task) == 4 and min(r["count"] for r in per_task) > 50
+    assert out.where("success").count() == 400
+    again = I.run_batch(pages, I.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
+    where = lambda df: sorted(df.select("page_no", F.spark_partition_id().alias("p")).collect())
+    assert where(out) == where(again)  # the same rows go to the same task on a rerun
