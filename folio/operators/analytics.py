@@ -82,6 +82,7 @@ class FilterSpec:
     ncorrect_min: float | None = None
     ncorrect_max: float | None = None
     format_compliance: tuple[str, ...] = ()
+    tag_mode: str = "json"
     timestamp_col: str = "timestamp"
     score_col: str = "correct_fields"
     verdict_col: str = "format_compliance"
@@ -96,7 +97,7 @@ class FilterSpec:
         if self.prompt_versions and "prompt_version" in cols:
             out.append(F.col("prompt_version").isin(list(self.prompt_versions)))
         if self.tags and "tags" in cols:
-            out.append(has_any_tag(F.col("tags"), self.tags))
+            out.append(has_any_tag(F.col("tags"), self.tags, self.tag_mode))
         if self.timestamp_col in cols and (self.start_date or self.end_date):
             ts = parse_timestamp(F.col(self.timestamp_col))
             if self.start_date:
@@ -154,10 +155,10 @@ def facet_values(df: DataFrame, columns: Sequence[str] = ("model", "doc", "promp
     )
 
 
-def facet_tags(df: DataFrame) -> DataFrame:
-    """Sorted distinct tags over all cells."""
+def facet_tags(df: DataFrame, mode: str = "json") -> DataFrame:
+    """Sorted distinct tags over all cells (``mode`` as in :func:`parse_tags`)."""
     return (
-        posexplode_rows(df, [], parse_tags(F.col("tags")), value="tag")
+        posexplode_rows(df, [], parse_tags(F.col("tags"), mode), value="tag")
         .select("tag")
         .distinct()
         .orderBy("tag")

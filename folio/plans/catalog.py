@@ -175,6 +175,19 @@ def facet_tags(spark, sf):
     return A.facet_tags(td.results(spark, sf))
 
 
+@query
+def facet_tags_split(spark, sf):
+    """A12 with the dashboard's own rule: comma split + strip, so JSON cells give bracketed pieces."""
+    return A.facet_tags(td.results(spark, sf), mode="split")
+
+
+@query
+def filter_tags_split(spark, sf):
+    """A6 with the dashboard's own rule: the tag option ``["background"]`` matches that exact piece."""
+    spec = A.FilterSpec(tags=('["background"]', '"tilt"]'), tag_mode="split")
+    return spec.apply(td.scored_table(spark, sf)).select("id", "tags")
+
+
 @query
 def score_bounds(spark, sf):
     return A.score_bounds(td.scored_table(spark, sf), "judge_fields")

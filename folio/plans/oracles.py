@@ -263,6 +263,17 @@ ORACLES["facet_tags"] = _w(BASE) + """
 SELECT DISTINCT tag FROM (
   SELECT 'background' AS tag FROM s WHERE k % 19 <> 0 AND k % 3 IN (0, 1) UNION ALL
   SELECT 'tilt' FROM s WHERE k % 19 <> 0 AND k % 3 = 0)"""
+# The dashboard's rule: split the cell text on ',' and strip each piece (no JSON).
+ORACLES["facet_tags_split"] = _w(BASE) + """
+SELECT DISTINCT tag FROM (
+  SELECT regexp_replace(unnest(string_split(tags, ',')), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS tag FROM s
+  WHERE tags IS NOT NULL)
+WHERE tag <> ''"""
+ORACLES["filter_tags_split"] = _w(BASE) + """
+SELECT id, tags FROM s WHERE id IN (
+  SELECT id FROM (
+    SELECT id, regexp_replace(unnest(string_split(tags, ',')), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') AS t FROM s)
+  WHERE t IN ('["background"]', '"tilt"]'))"""
 ORACLES["score_bounds"] = _w(BASE) + """
 SELECT CAST(coalesce(floor(min(j)), 0) AS INTEGER) AS n_min, CAST(coalesce(floor(max(j)), 15) AS INTEGER) AS n_max
 FROM (SELECT CASE WHEN isnan(judge_fields) THEN NULL ELSE judge_fields END AS j FROM s)"""

@@ -1,5 +1,6 @@
 """Column functions and the semantic traps they settle (one test per named behaviour)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio import functions as fn
@@ -111,3 +112,16 @@ def test_layout_round_trip(spark):
     layout = df.select(fn.text_to_layout(F.col("x"), 20).alias("pages"))
     assert layout.select(F.size("pages")).first()[0] == 3
     assert layout.select(fn.layout_to_text(F.col("pages"))).first()[0] == text
+
+
+def test_tags_split_mode_is_the_dashboard_rule(spark):
+    # The dashboard splits the cell text on ',' and strips; JSON cells keep their brackets.
+    df = spark.createDataFrame([('["a","b"]',), ('["a"]',), ("[]",), (" x , ,y",), (None,)], "x string")
+    got = [r[0] for r in df.select(fn.parse_tags(F.col("x"), mode="split")).collect()]
+    assert got == [['["a"', '"b"]'], ['["a"]'], ["[]"], ["x", "y"], None]
+    hit = [r[0] for r in df.select(fn.has_any_tag(F.col("x"), ['["a"]'], mode="split")).collect()]
+    assert hit == [False, True, False, False, False]
+    json_mode = [r[0] for r in df.select(fn.has_any_tag(F.col("x"), ["a"])).collect()]
+    assert json_mode == [True, True, False, False, False]
+    with pytest.raises(ValueError):
+        fn.parse_tags(F.col("x"), mode="other")
