@@ -17,6 +17,17 @@ def resolve(base: str, p) -> Column:
     return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p))
 
 
+def scan_path(uri) -> Column:
+    """A ``_metadata.file_path`` / ``file_name`` value as the path a manifest names.
+
+    Those values are URIs: a space is ``%20`` and ``%`` is ``%25``. The local ``file:`` scheme
+    is dropped and the escapes decoded (``+`` is literal in a URI, so it is kept, not read as a
+    space). Other schemes stay, so ``s3a://…`` paths compare as written.
+    """
+    u = F.regexp_replace(as_col(uri), r"^file:(//)?", "")
+    return F.url_decode(F.replace(u, F.lit("+"), F.lit("%2B")))
+
+
 def file_name(p) -> Column:
     return F.regexp_extract(as_col(p), r"([^/]*)$", 1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import scan_path
 from ..operators.experiment import prompt_version_from_name
 from ..schemas import DETAIL_COLS, DISPLAY_COLS, RESULT_ROW
 
@@ -33,7 +34,7 @@ def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
     )
     df = df.withColumns({c: F.col(c).cast(t) for c, t in NUMERIC.items() if c in df.columns})
-    return df.withColumn("prompt_version", prompt_version_from_name(F.col("_metadata.file_name")))
+    return df.withColumn("prompt_version", prompt_version_from_name(scan_path(F.col("_metadata.file_name"))))
 
 
 def union_runs(frames: Sequence[DataFrame]) -> DataFrame:

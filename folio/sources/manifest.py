@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import resolve
+from ..functions.paths import resolve, scan_path
 from ..schemas import MANIFEST
 
 
@@ -21,7 +21,7 @@ def load_dataset(spark: SparkSession, datasets_dir: str, doc: str) -> DataFrame:
 def read_truth_files(spark: SparkSession, glob: str) -> DataFrame:
     """Ground-truth JSON files as (path, content), one row per file."""
     df = spark.read.option("wholetext", True).text(glob)
-    path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")
+    path = scan_path(F.col("_metadata.file_path"))
     return df.select(path.alias("path"), F.col("value").alias("content"))
 
 

@@ -62,7 +62,7 @@ def test_empty_results_keep_schema(spark):
 
 
 def test_manifest_and_truth_join(spark):
-    base = tempfile.mkdtemp(prefix="ds-")
+    base = tempfile.mkdtemp(prefix="ds a+b%c-")  # scan paths are URIs: %20, %25 and a literal +
     os.makedirs(os.path.join(base, "cin", "outs"))
     with open(os.path.join(base, "cin", "cin.csv"), "w") as fh:
         fh.write("id,in,out,tags,notes\nc1,ins/c1.png,outs/c1.json,[],\nc2,/abs/c2.jpg,outs/missing.json,\"[\"\"background\"\"]\",\n")
