@@ -77,7 +77,7 @@ def render(catalog: DataFrame, vars_col: str) -> DataFrame:
 
     Only the declared variables are replaced (other braces stay); when the template declares
     none, the text is returned as is. ``missing_vars`` lists declared variables without a
-    value; ``rendered`` is NULL then (the reference raises).
+    value; ``rendered`` is NULL then (a renderer that raises would stop the whole job).
     """
     tv = F.coalesce(F.col("template_vars"), F.array().cast("array<string>"))
     values = F.col(vars_col)
