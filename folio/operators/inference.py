@@ -199,22 +199,25 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
 
 
 def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str],
-              settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None) -> DataFrame:
+              settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None,
+              carry: Sequence[str] = ()) -> DataFrame:
     """Run a backend over a table; result = keys + the result envelope.
 
     ``slots`` sets the number of tasks (one model load each) and spreads the rows over them by a
     hash of the keys. The keys identify a row, so the spread is even whatever the input layout
     (the pages of one long document land in many tasks) and a retried task gets the same rows.
-    The input is projected to the keys and the input column before the Python stage, so nothing
-    else is shipped to the workers.
+    The input is projected to the keys, the ``carry`` columns and the input column before the
+    Python stage, so nothing else is shipped to the workers. ``carry`` columns are copied to the
+    output (a row's context travels with it instead of being joined back after inference).
     """
-    cols = list(dict.fromkeys([*keys, input_col] + ([settings_col] if settings_col else [])))
+    out_cols = list(dict.fromkeys([*keys, *carry]))
+    cols = list(dict.fromkeys([*out_cols, input_col] + ([settings_col] if settings_col else [])))
     projected = df.select(*cols)
     if slots:
         projected = projected.repartition(slots, *keys)
-    key_fields = [projected.schema[k] for k in keys]
+    key_fields = [projected.schema[k] for k in out_cols]
     return projected.mapInPandas(
-        _runner(make_backend, input_col, keys, settings, settings_col), envelope_schema(key_fields)
+        _runner(make_backend, input_col, out_cols, settings, settings_col), envelope_schema(key_fields)
     )
 
 

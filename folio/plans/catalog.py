@@ -527,6 +527,22 @@ def experiment_grid(spark, sf):
     return g.select("id", "model", "prompt_version", "run_name")
 
 
+@query
+def evaluation_run(spark, sf):
+    """The evaluation job end to end: every case x 2 models x 2 prompts -> chat client -> scores.
+
+    The test client reads each case's printed card; its answers differ by model (fields skipped,
+    date separator) and by prompt (fenced or not), so the scores are known in advance."""
+    from ..operators import evaluation as EV
+
+    runs = [(m, v, td.CARD_PROMPTS[v]) for m in EV.CARD_READERS for v in td.CARD_PROMPTS]
+    out = EV.evaluation_run(td.cases(spark, sf), runs, EV.CardReaderClient, fields=td.CIN_FIELDS)
+    return out.select(
+        "id", "model", "prompt_version", "tags", "correct_fields", "format_compliance", "correct_fields_reason",
+        "format_compliance_reason", "success", fn.is_fenced(F.col("generated")).alias("fenced"),
+    )
+
+
 @query
 def model_pivot(spark, sf):
     return X.model_pivot(td.scored_table(spark, sf), MODELS)

@@ -498,6 +498,32 @@ SELECT req_id, 'echo-text' AS model_id,
                    || CAST(coalesce(max_tokens, 4096) AS VARCHAR) || ')  ') END AS BIGINT) AS n_chars
 FROM rq"""
 
+# The evaluation job with the card-reading test client: "reader-exact" copies every printed
+# field; "reader-sloppy" skips initiales and writes dates with '/'. Blank scans (k % 29 = 0)
+# get a refusal; prompt v1 answers are fenced.
+SLOPPY = {
+    "initiales": "'missing'",
+    "date_naissance": "'mismatch'",
+    "date_expiration": "CASE WHEN t_de = '' THEN 'correct' ELSE 'mismatch' END",
+}
+EVAL_REASON = " || ', ' || ".join(
+    f"'{f}=' || CASE WHEN k % 29 = 0 THEN 'missing' WHEN r.model = 'reader-sloppy' THEN {SLOPPY.get(f, repr('correct'))} "
+    "ELSE 'correct' END"
+    for f in FIELDS
+)
+ORACLES["evaluation_run"] = _w(BASE) + f"""
+SELECT k AS id, r.model, r.prompt_version, tags,
+  CASE WHEN k % 29 = 0 THEN 0.0 WHEN r.model = 'reader-exact' THEN 8.0
+       ELSE 6.0 - CASE WHEN t_de = '' THEN 0 ELSE 1 END END::DOUBLE AS correct_fields,
+  CASE WHEN k % 29 <> 0 AND r.model = 'reader-exact' THEN 'correct' ELSE 'incorrect' END AS format_compliance,
+  {EVAL_REASON} AS correct_fields_reason,
+  CASE WHEN k % 29 = 0 THEN 'not a JSON object' WHEN r.model = 'reader-sloppy' THEN 'missing: initiales; extra: '
+       ELSE '' END AS format_compliance_reason,
+  true AS success,
+  k % 29 <> 0 AND r.prompt_version = 'v1' AS fenced
+FROM s CROSS JOIN (VALUES ('reader-exact', 'v1'), ('reader-exact', 'v2'), ('reader-sloppy', 'v1'),
+                          ('reader-sloppy', 'v2')) AS r(model, prompt_version)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

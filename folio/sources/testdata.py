@@ -69,14 +69,18 @@ def _tags_rule(k: Column) -> Column:
     )
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Experiment results without scores: one row per order, generated JSON mutated by rules on the key."""
+def _orders_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = wide_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "o_orderkey")
     t = truth(spark, sf_dir)
     # One truth row per customer: broadcast it when the customer scan is small (checked
     # estimate), so the orders side keeps its partitioning; otherwise a shuffle join.
     if fits_broadcast(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")):
         t = F.broadcast(t)
+    return o.join(t, o.o_custkey == t.case_key)
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment results without scores: one row per order, generated JSON mutated by rules on the key."""
     k = F.col("o_orderkey")
     generated_obj = F.to_json(
         F.struct(
@@ -103,7 +107,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         )
     )
-    return o.join(t, o.o_custkey == t.case_key).select(
+    return _orders_with_truth(spark, sf_dir).select(
         k.alias("id"),
         F.lit("cin").alias("doc"),
         F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"),
@@ -120,6 +124,30 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The two extraction prompts of the evaluation runs (v2 forbids markdown).
+CARD_PROMPTS = {
+    "v1": "Extract the fields of this identity card as a JSON object.",
+    "v2": "Extract the fields of this identity card as a JSON object. Answer with the JSON object only, no markdown.",
+}
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation cases: one per order, its identity card printed as ``label: value`` lines (the
+    model's input; every 29th scan is blank) and the card's ground truth as JSON."""
+    from ..operators.evaluation import card_text
+
+    k = F.col("o_orderkey")
+    printed = card_text({f: F.col(f) for f in CIN_FIELDS})
+    return _orders_with_truth(spark, sf_dir).select(
+        k.alias("id"),
+        F.concat(F.lit("scans/"), k.cast("string"), F.lit(".png")).alias("in"),
+        F.encode(F.when(k % 29 == 0, F.lit("")).otherwise(printed), "UTF-8").alias("content"),
+        F.to_json(F.struct(*[F.col(f) for f in CIN_FIELDS])).alias("expected"),
+        _tags_rule(k).alias("tags"),
+        F.lit(None).cast("string").alias("notes"),
+    )
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results plus deterministic scores, reasons and per-field verdicts, and the judge / trap columns."""
     r = scoring.with_verdicts(results(spark, sf_dir), fields=CIN_FIELDS)
