@@ -82,12 +82,14 @@ def estimated_bytes(df) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def fits_broadcast(df, limit: int | None = None) -> bool:
-    """True when the estimated size of ``df`` is within the session's broadcast threshold.
+def fits_broadcast(df, limit: int | None = None, growth: float = 1.0) -> bool:
+    """True when ``growth`` x the estimated size of ``df`` is within the broadcast threshold.
 
     Use it on the scan that bounds a join side (for example the dimension table before its
     own small lookups): Spark estimates a join's size as the product of its inputs, which
-    hides a small side behind an inflated number. A threshold of -1 disables broadcasting.
+    hides a small side behind an inflated number. ``growth`` bounds how much wider the
+    broadcast rows are than the scanned ones (derived columns). A threshold of -1 disables
+    broadcasting.
     """
     limit = broadcast_limit(df.sparkSession) if limit is None else limit
-    return limit >= 0 and estimated_bytes(df) <= limit
+    return limit >= 0 and estimated_bytes(df) * growth <= limit

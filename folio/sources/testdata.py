@@ -73,8 +73,11 @@ def _orders_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = wide_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], "o_orderkey")
     t = truth(spark, sf_dir)
     # One truth row per customer: broadcast it when the customer scan is small (checked
-    # estimate), so the orders side keeps its partitioning; otherwise a shuffle join.
-    if fits_broadcast(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")):
+    # estimate), so the orders side keeps its partitioning; otherwise a shuffle join. A truth
+    # row adds six short strings (nation name, id, two dates, initials, nationality) to the
+    # four scanned columns: at most 3x the scanned width.
+    scan = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    if fits_broadcast(scan, growth=3.0):
         t = F.broadcast(t)
     return o.join(t, o.o_custkey == t.case_key)
 
