@@ -47,8 +47,40 @@ def strip_echo(text, prompt) -> Column:
     return F.when(text.startswith(prompt), py_strip(rest)).otherwise(text)
 
 
+# Timestamp texts are built from the TIMESTAMP_NTZ string form ('yyyy-MM-dd HH:mm:ss[.f]'),
+# which involves no time zone. ``date_format`` would read a naive value in the session zone,
+# and a wall clock inside a daylight-saving gap would move by an hour.
+def _ntz_text(ts) -> Column:
+    return as_col(ts).cast("timestamp_ntz").cast("string")
+
+
+def iso_seconds(ts) -> Column:
+    """``yyyy-MM-ddTHH:mm:ss`` of a naive timestamp (a TIMESTAMP is taken in the session zone)."""
+    s = _ntz_text(ts)
+    return F.concat(F.substring(s, 1, 10), F.lit("T"), F.substring(s, 12, 8))
+
+
 def iso_text(ts) -> Column:
     """Python ``datetime.isoformat()`` of a naive timestamp: the fraction only when it is not zero."""
-    t = as_col(ts)
-    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(F.date_format(t, "SSSSSS") == "000000", whole).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    frac = F.regexp_extract(_ntz_text(ts), r"\.(\d+)$", 1)
+    whole = iso_seconds(ts)
+    return F.when(frac == "", whole).otherwise(F.concat(whole, F.lit("."), F.rpad(frac, 6, "0")))
+
+
+def stamp_text(ts) -> Column:
+    """``yyyyMMdd_HHmmss`` of a naive timestamp (the run-time part of a run name)."""
+    s = _ntz_text(ts)
+    return F.concat(F.translate(F.substring(s, 1, 10), "-", ""), F.lit("_"), F.translate(F.substring(s, 12, 8), ":", ""))
+
+
+def utc_wall_clock(ts) -> Column:
+    """An instant (TIMESTAMP) as its UTC wall clock (TIMESTAMP_NTZ), whatever the session zone."""
+    us = F.unix_micros(as_col(ts))
+    days = F.floor(us / F.lit(86_400_000_000))
+    secs = ((us - days * F.lit(86_400_000_000)).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), secs)
+
+
+def iso_utc_text(ts) -> Column:
+    """Python ``isoformat()`` of a UTC-aware datetime: ``…T…[.ffffff]+00:00`` for an instant."""
+    return F.concat(iso_text(utc_wall_clock(ts)), F.lit("+00:00"))

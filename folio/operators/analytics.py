@@ -100,11 +100,13 @@ class FilterSpec:
             out.append(has_any_tag(F.col("tags"), self.tags, self.tag_mode))
         if self.timestamp_col in cols and (self.start_date or self.end_date):
             ts = parse_timestamp(F.col(self.timestamp_col))
+            # Bounds are naive (TIMESTAMP_NTZ) literals: comparing with a Python datetime would
+            # bring the session and driver time zones in.
             if self.start_date:
-                out.append(ts >= F.lit(_as_ntz(self.start_date)))
+                out.append(ts >= _ntz_literal(self.start_date))
             if self.end_date:
                 # Inclusive of midnight of the next day: ts <= end + 1 day.
-                out.append(ts <= F.lit(_as_ntz(self.end_date) + dt.timedelta(days=1)))
+                out.append(ts <= _ntz_literal(self.end_date) + F.make_dt_interval(F.lit(1)))
         if self.ncorrect_min is not None and self.score_col in cols:
             out.append(_nan_to_null(F.col(self.score_col)) >= F.lit(float(self.ncorrect_min)))
         if self.ncorrect_max is not None and self.score_col in cols:
@@ -128,8 +130,9 @@ def reset_filters() -> FilterSpec:
     return FilterSpec()
 
 
-def _as_ntz(value: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(value)
+def _ntz_literal(value: str) -> Column:
+    dt.datetime.fromisoformat(value)  # a malformed bound fails here, on the driver
+    return F.lit(value).cast("timestamp_ntz")
 
 
 def parse_timestamp(c: Column) -> Column:

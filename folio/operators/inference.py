@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import iso_utc_text
 from ..schemas import Settings
 
 ENVELOPE_FIELDS = [
@@ -260,14 +261,15 @@ def result_envelope(text: Column, model_id: Column, seconds: Column, timestamp:
 
 
 def result_json(envelope: Column) -> Column:
-    """The envelope as JSON, timestamp in ISO form, NULL error kept as ``null``."""
+    """The envelope as JSON, NULL error kept as ``null``; the timestamp (an instant) as
+    Python's ``isoformat()`` of a UTC datetime (``…+00:00``, fraction only when not zero)."""
     e = envelope
     return F.to_json(
         F.struct(
             e["text"].alias("text"),
             e["model_id"].alias("model_id"),
             e["inference_time_seconds"].alias("inference_time_seconds"),
-            F.date_format(e["timestamp"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+            iso_utc_text(e["timestamp"]).alias("timestamp"),
             e["device"].alias("device"),
             e["error"].alias("error"),
             e["success"].alias("success"),

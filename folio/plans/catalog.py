@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 MODELS = ["m0", "m1", "m2"]
 VERSIONS = ["v1", "v2"]
 DATASET_DIR = "/data/cin"
+RUN_EPOCH = 1772928000  # 2026-03-08 00:00:00 UTC in epoch seconds
 
 
 def query(f: Query) -> Query:
@@ -260,7 +261,7 @@ def run_identity(spark, sf):
     """Prompt version parsed from run file names (odd names included)."""
     s = td.scored_table(spark, sf)
     k = F.col("id")
-    ts = F.date_format("timestamp", "yyyyMMdd_HHmmss")
+    ts = fn.stamp_text("timestamp")
     version = F.when(k % 10 == 1, F.concat(F.col("prompt_version"), F.lit("_beta"))).otherwise(F.col("prompt_version"))
     name = F.when(k % 10 == 0, F.concat_ws("_", F.col("doc"), F.col("model"), ts)).otherwise(
         X.run_name(F.col("doc"), version, F.col("model"), ts)
@@ -446,7 +447,7 @@ def _envelopes(spark, sf) -> DataFrame:
         F.when(failed, F.lit("")).otherwise(F.col("answer")),
         F.lit("text-model"),
         F.round(F.length("answer") / 1000.0, 3),
-        F.to_timestamp_ntz(F.lit("2026-03-08 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("conv_id").cast("decimal(18,6)")),
+        F.timestamp_seconds(F.lit(RUN_EPOCH) + F.col("conv_id")),  # an instant, as the envelope's time is
         F.lit("cpu"),
         F.when(failed, F.lit("timeout")),
     )

@@ -414,7 +414,7 @@ ORACLES["result_json"] = _w(EXCHANGES) + """
 SELECT conv_id, turn, md5(
   '{"text":' || to_json(CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE answer END)::VARCHAR
   || ',"model_id":"text-model","inference_time_seconds":' || CAST(round(length(answer) / 1000.0, 3)::DOUBLE AS VARCHAR)
-  || ',"timestamp":"' || strftime(TIMESTAMP '2026-03-08 00:00:00' + to_seconds(conv_id), '%Y-%m-%dT%H:%M:%S.%f') || '"'
+  || ',"timestamp":"' || strftime(TIMESTAMP '2026-03-08 00:00:00' + to_seconds(conv_id), '%Y-%m-%dT%H:%M:%S') || '+00:00"'
   || ',"device":"cpu","error":' || CASE WHEN (conv_id + turn) % 7 = 0 THEN '"timeout"' ELSE 'null' END
   || ',"success":' || CASE WHEN (conv_id + turn) % 7 = 0 THEN 'false' ELSE 'true' END || '}') AS json_md5
 FROM x"""

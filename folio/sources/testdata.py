@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.layout import lines_to_layout
+from ..functions.text import iso_seconds
 from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
 
@@ -169,7 +170,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("format_compliance"))
         .alias("judge_format"),
         F.when(k % 47 == 0, F.lit("bad"))
-        .otherwise(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
+        .otherwise(iso_seconds(F.col("timestamp")))
         .alias("timestamp_text"),
         F.when(k % 53 == 0, F.lit(None).cast("string")).otherwise(F.col("model")).alias("model_or_null"),
     )

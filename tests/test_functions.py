@@ -125,3 +125,32 @@ def test_tags_split_mode_is_the_dashboard_rule(spark):
     assert json_mode == [True, True, False, False, False]
     with pytest.raises(ValueError):
         fn.parse_tags(F.col("x"), mode="other")
+
+
+def test_timestamp_texts_ignore_the_session_zone(spark):
+    # 2021-03-14 02:30 does not exist in New York (clocks jump from 02:00 to 03:00).
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("2021-03-14 02:30:00",), ("2021-03-14 02:30:00.5",)], "s string").select(
+            F.col("s").cast("timestamp_ntz").alias("t")
+        )
+        got = df.select(fn.iso_text("t"), fn.iso_seconds("t"), fn.stamp_text("t")).collect()
+        assert [tuple(r) for r in got] == [
+            ("2021-03-14T02:30:00", "2021-03-14T02:30:00", "20210314_023000"),
+            ("2021-03-14T02:30:00.500000", "2021-03-14T02:30:00", "20210314_023000"),
+        ]
+        # An instant is written as Python's isoformat() of a UTC datetime.
+        inst = spark.range(1).select(F.timestamp_seconds(F.lit(1772928000)).alias("u"), F.timestamp_micros(F.lit(1772928000000001)).alias("v"))
+        assert tuple(inst.select(fn.iso_utc_text("u"), fn.iso_utc_text("v")).first()) == (
+            "2026-03-08T00:00:00+00:00",
+            "2026-03-08T00:00:00.000001+00:00",
+        )
+        # Date filters compare naive values with naive bounds.
+        from folio.operators.analytics import FilterSpec
+
+        rows = spark.createDataFrame([("2021-03-14T02:30:00",), ("2021-03-16T00:00:00",), ("2021-03-16T00:00:01",)], "timestamp string")
+        kept = FilterSpec(start_date="2021-03-14", end_date="2021-03-15").apply(rows).collect()
+        assert sorted(r.timestamp for r in kept) == ["2021-03-14T02:30:00", "2021-03-16T00:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
