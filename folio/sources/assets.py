@@ -176,14 +176,27 @@ def header_facts(df: DataFrame, content_col: str = "content", head_bytes: int =
 
 
 def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col: str = "url", key: str = "id",
-                 host_slots: int = 4, timeout_s: float = 30.0) -> DataFrame:
+                 host_slots: int | None = None, timeout_s: float = 30.0, tasks: int | None = None) -> DataFrame:
     """Download every URL with an injected ``fetcher(url, timeout_s) -> bytes`` that raises on
-    HTTP errors. Rows are hashed on (host, url bucket): a host's URLs go to at most
-    ``host_slots`` tasks, which bounds the load on one host and still splits a host that holds
-    most of the URLs. A failing URL gives an ``error`` row, not a failed task."""
-    host = F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit(""))
-    bucket = F.pmod(F.xxhash64(F.col(url_col)), F.lit(host_slots))
-    src = df.select(key, url_col).repartition(host, bucket)
+    HTTP errors. A failing URL gives an ``error`` row, not a failed task.
+
+    By default the rows are spread by a hash of the URL, so a host that holds a third of all
+    URLs is fetched by all tasks alike. ``host_slots`` is an opt-in politeness bound: rows are
+    hashed on (host, URL bucket), and one host's URLs go to at most ``host_slots`` tasks,
+    which bounds the connections one server sees at the cost of that host's throughput.
+
+    A fetch costs time per URL, not per byte, so the number of tasks is explicit (``tasks``,
+    else the larger of the shuffle partitions and the cores) and AQE does not merge the small
+    partitions of a URL list into one task.
+    """
+    spark = df.sparkSession
+    n = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    src = df.select(key, url_col)
+    if host_slots:
+        host = F.coalesce(F.try_parse_url(F.col(url_col), F.lit("HOST")), F.lit(""))
+        src = src.repartition(n, host, F.pmod(F.xxhash64(F.col(url_col)), F.lit(host_slots)))
+    else:
+        src = src.repartition(n, F.xxhash64(F.col(url_col)))
     schema = T.StructType(
         [src.schema[key], T.StructField(url_col, T.StringType()), T.StructField("content", T.BinaryType()),
          T.StructField("error", T.StringType())]

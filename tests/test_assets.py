@@ -68,3 +68,14 @@ def test_fetch_assets_errors_are_rows(spark):
     assert len(got) == 8
     assert got[3].content is None and "404" in got[3].error
     assert got[2].content == b"http://h0.example/2.png" and got[2].error is None
+
+
+def test_fetch_spreads_a_hot_host_unless_bounded(spark):
+    df = spark.createDataFrame([(i, f"http://hot.example/{i}.png") for i in range(200)], "id long, url string").coalesce(1)
+
+    def tasks(out):
+        return out.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    spread = assets.fetch_assets(df, _fake_fetch)
+    assert spread.where("error is null").count() == 200 and tasks(spread) > 4
+    assert tasks(assets.fetch_assets(df, _fake_fetch, host_slots=2)) <= 2
