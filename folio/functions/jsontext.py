@@ -15,9 +15,14 @@ from .text import fence_strip
 STRING_MAP = T.MapType(T.StringType(), T.StringType())
 
 
+# Fixed value: JSON's insignificant whitespace (space, tab, line feed, carriage return).
+JSON_SPACE = " \t\n\r"
+
+
 def looks_like_object(c) -> Column:
-    """Trimmed text starts with ``{`` and ends with ``}`` (rejects the trailing prose ``from_json`` accepts)."""
-    t = F.trim(as_col(c))
+    """Text starts with ``{`` and ends with ``}`` once JSON whitespace is trimmed (so an answer
+    with a trailing newline is an object; the trailing prose ``from_json`` accepts is not)."""
+    t = F.btrim(as_col(c), F.lit(JSON_SPACE))
     return t.startswith("{") & t.endswith("}")
 
 

@@ -154,3 +154,9 @@ def test_timestamp_texts_ignore_the_session_zone(spark):
         assert sorted(r.timestamp for r in kept) == ["2021-03-14T02:30:00", "2021-03-16T00:00:00"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_json_object_with_surrounding_newlines_parses(spark):
+    assert one(spark, fn.parse_object(F.col("x")), '{"a": "1"}\n') == {"a": "1"}
+    assert one(spark, fn.parse_object(F.col("x")), '\r\n\t{"a": "1"} ') == {"a": "1"}
+    assert one(spark, fn.parse_object(F.col("x")), '{"a": "1"} trailing') is None
