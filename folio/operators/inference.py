@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import struct
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any, Protocol
@@ -107,6 +108,19 @@ class LayoutReaderBackend(BaseBackend):
         return "\n".join(lines)
 
 
+class ImageSizeBackend(BaseBackend):
+    """Deterministic OCR backend for tests: "reads" a PNG by reporting its size from the header."""
+
+    model_id = "image-size"
+
+    def _generate(self, content, settings):
+        b = bytes(content)
+        if b[:8] != b"\x89PNG\r\n\x1a\n":
+            raise ValueError("not a PNG image")
+        w, h = struct.unpack(">II", b[16:24])
+        return f"image {w}x{h}"
+
+
 class KeywordJudgeBackend(BaseBackend):
     """Deterministic judge for tests: the label of the first keyword found in the prompt."""
 
@@ -154,22 +168,33 @@ def envelope_schema(key_fields: Sequence[T.StructField]) -> T.StructType:
     return T.StructType(list(key_fields) + ENVELOPE_FIELDS)
 
 
+def _absent(v) -> bool:
+    return v is None or (isinstance(v, float) and pd.isna(v))
+
+
 def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str], settings: Settings,
-            settings_col: str | None):
+            settings_col: str | None, skip_col: str | None = None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = None
         try:
             for pdf in batches:
                 if pdf.empty:
                     continue
-                if backend is None:
-                    backend = make_backend()
-                    backend.load()
                 out = {k: pdf[k].tolist() for k in keys}
                 texts, secs, stamps, errors = [], [], [], []
                 inputs = pdf[input_col].tolist()
                 per_row = pdf[settings_col].tolist() if settings_col else [None] * len(inputs)
-                for x, limit in zip(inputs, per_row):
+                skips = pdf[skip_col].tolist() if skip_col else [None] * len(inputs)
+                for x, limit, skip in zip(inputs, per_row, skips):
+                    if not _absent(skip):  # rejected before the model: an error row, no call
+                        texts.append("")
+                        secs.append(0.0)
+                        stamps.append(dt.datetime.now(dt.timezone.utc))
+                        errors.append(str(skip))
+                        continue
+                    if backend is None:  # loaded on the first row that needs the model
+                        backend = make_backend()
+                        backend.load()
                     s = settings
                     if limit is not None and not (isinstance(limit, float) and pd.isna(limit)):
                         s = Settings(**{**settings.__dict__, "max_new_tokens": int(limit)})
@@ -182,12 +207,13 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                     stamps.append(dt.datetime.now(dt.timezone.utc))
                     texts.append(text)
                     errors.append(err)
+                model_id = backend.model_id if backend is not None else None
                 out.update(
                     text=texts,
-                    model_id=[backend.model_id] * len(texts),
+                    model_id=[model_id] * len(texts),
                     inference_time_seconds=secs,
                     timestamp=stamps,
-                    device=[getattr(backend, "device", "cpu")] * len(texts),
+                    device=[getattr(backend, "device", "cpu") if backend is not None else None] * len(texts),
                     error=errors,
                     success=[e is None for e in errors],
                 )
@@ -201,7 +227,7 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
 
 def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str],
               settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None,
-              carry: Sequence[str] = ()) -> DataFrame:
+              carry: Sequence[str] = (), skip_col: str | None = None) -> DataFrame:
     """Run a backend over a table; result = keys + the result envelope.
 
     ``slots`` sets the number of tasks (one model load each) and spreads the rows over them by a
@@ -210,15 +236,18 @@ def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str
     The input is projected to the keys, the ``carry`` columns and the input column before the
     Python stage, so nothing else is shipped to the workers. ``carry`` columns are copied to the
     output (a row's context travels with it instead of being joined back after inference).
+    ``skip_col``: a row whose value there is set (a triage error) becomes an error row with that
+    text and is not sent to the model; a task whose rows are all skipped loads no model.
     """
     out_cols = list(dict.fromkeys([*keys, *carry]))
-    cols = list(dict.fromkeys([*out_cols, input_col] + ([settings_col] if settings_col else [])))
+    extra = [c for c in (settings_col, skip_col) if c]
+    cols = list(dict.fromkeys([*out_cols, input_col, *extra]))
     projected = df.select(*cols)
     if slots:
         projected = projected.repartition(slots, *keys)
     key_fields = [projected.schema[k] for k in out_cols]
     return projected.mapInPandas(
-        _runner(make_backend, input_col, out_cols, settings, settings_col), envelope_schema(key_fields)
+        _runner(make_backend, input_col, out_cols, settings, settings_col, skip_col), envelope_schema(key_fields)
     )
 
 

@@ -64,11 +64,13 @@ def content_block(content: Column, path: Column) -> Column:
     )
 
 
-def triage_status(df: DataFrame, max_mb: float = 10, accepted=VALIDATION_FORMATS) -> DataFrame:
-    """T-7: first failing check in order missing -> format -> size gives the status; else 200."""
-    missing = F.coalesce(F.col("missing"), F.lit(False))
-    bad_format = ~format_ok(F.col("format"), accepted)
-    too_big = ~size_ok(F.col("width"), F.col("height"), F.col("channels"), max_mb)
+def status_of(missing: Column, fmt: Column, width: Column, height: Column, channels: Column, max_mb: float = 10,
+              accepted=VALIDATION_FORMATS) -> tuple[Column, Column]:
+    """T-7 as columns: (status, error class); the first failing check in order missing ->
+    format -> size decides, else 200 with no error class."""
+    missing = F.coalesce(missing, F.lit(False))
+    bad_format = ~format_ok(fmt, accepted)
+    too_big = ~size_ok(width, height, channels, max_mb)
     error_class = (
         F.when(missing, F.lit("not_found"))
         .when(bad_format, F.lit("unsupported_format"))
@@ -79,6 +81,13 @@ def triage_status(df: DataFrame, max_mb: float = 10, accepted=VALIDATION_FORMATS
         .when(bad_format | too_big, F.lit(STATUS["invalid"]))
         .otherwise(F.lit(STATUS["ok"]))
     )
+    return status, error_class
+
+
+def triage_status(df: DataFrame, max_mb: float = 10, accepted=VALIDATION_FORMATS) -> DataFrame:
+    """T-7: first failing check in order missing -> format -> size gives the status; else 200."""
+    status, error_class = status_of(F.col("missing"), F.col("format"), F.col("width"), F.col("height"),
+                                    F.col("channels"), max_mb, accepted)
     return df.select("id", status.alias("status"), error_class.alias("error_class"))
 
 

@@ -1,6 +1,8 @@
 """Inference on arriving requests (I10): file stream -> the batch operator unchanged -> append sink.
 
-Stateless: no watermark, no state store. The checkpoint makes a restart add no duplicate rows.
+Two routes: text requests arriving as Parquet files, and uploaded images arriving as files
+(``binaryFile``), which are triaged by their headers before OCR. Stateless: no watermark, no
+state store. The checkpoint makes a restart add no duplicate rows.
 """
 
 from __future__ import annotations
@@ -10,10 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import inference as I
-from ..schemas import Settings
+from ..operators import triage as TR
+from ..schemas import VALIDATION_FORMATS, Settings
 from ..session import shared_path
+from ..sources.assets import header_facts
 
 
 def start_inference_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
@@ -46,3 +51,54 @@ def requests_stream_roundtrip(spark: SparkSession, requests: DataFrame, run_id:
                                settings_col="max_tokens")
     q.awaitTermination()
     return spark.read.parquet(sink).select("req_id", "model_id", "success", "error", F.length("text").alias("n_chars"))
+
+
+# The fixed schema of the binaryFile source (a stream must be given it).
+BINARY_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType(), False),
+        T.StructField("modificationTime", T.TimestampType(), False),
+        T.StructField("length", T.LongType(), False),
+        T.StructField("content", T.BinaryType(), True),
+    ]
+)
+
+
+def ocr_files(files: DataFrame, make_backend: Callable[[], I.Backend], settings: Settings = Settings(),
+              max_mb: float = 10, accepted=VALIDATION_FORMATS) -> DataFrame:
+    """Uploaded files (``binaryFile`` rows, batch or stream) -> header facts -> triage -> OCR.
+
+    One row per file: the status and error class of the checks (format, decoded size), and the
+    result envelope. A rejected file becomes an error row without a model call, and its bytes
+    are not sent to Python. Works the same on a batch scan and on a stream.
+    """
+    facts = header_facts(files.select("path", "content"))
+    f = F.col("facts")
+    status, error_class = TR.status_of(F.lit(False), f["format"], f["width"], f["height"], f["bands"], max_mb, accepted)
+    staged = facts.select(
+        "path",
+        status.alias("status"),
+        error_class.alias("error_class"),
+        f["format"].alias("format"),
+        F.when(error_class.isNull(), F.col("content")).alias("content"),
+    )
+    return I.run_batch(staged, make_backend, "content", ["path"], settings, carry=["status", "error_class", "format"],
+                       skip_col="error_class")
+
+
+def start_upload_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                        make_backend: Callable[[], I.Backend], glob: str | None = None, settings: Settings = Settings(),
+                        max_mb: float = 10, accepted=VALIDATION_FORMATS, available_now: bool = True,
+                        max_files_per_trigger: int | None = None):
+    """OCR of images as they arrive in ``source_dir`` (the upload route as a stream)."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    out = ocr_files(reader.load(source_dir), make_backend, settings, max_mb, accepted)
+    writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+    writer = writer.outputMode("append")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

@@ -95,3 +95,55 @@ def test_slots_spread_one_long_document_over_tasks(spark):
     again = I.run_batch(pages, I.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
     where = lambda df: sorted(df.select("page_no", F.spark_partition_id().alias("p")).collect())
     assert where(out) == where(again)  # the same rows go to the same task on a rerun
+
+
+def _png(w, h, color_type=2):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data) & 0xFFFFFFFF)
+
+    raw = zlib.compress(b"\x00" * (h * (w * 3 + 1)))
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color_type, 0, 0, 0))
+            + chunk(b"IDAT", raw) + chunk(b"IEND", b""))
+
+
+def test_upload_stream_triages_then_reads_each_image_once(spark):
+    from folio.session import shared_path
+    from folio.streaming.inference_stream import start_upload_stream
+
+    run = uuid.uuid4().hex
+    src, sink, ckpt = (shared_path(spark, "test-uploads", run, x) for x in ("in", "out", "ckpt"))
+    local = src[len("file:"):] if src.startswith("file:") else src  # the folder is a URI; files are written locally
+    os.makedirs(local)
+    files = {"a.png": _png(3, 2), "big.png": _png(2000, 1400, color_type=6),  # 2000*1400*4 bytes > 10 MiB
+             "c.gif": b"GIF89a" + (40).to_bytes(2, "little") + (30).to_bytes(2, "little") + b"\x00" * 16}
+    for name, data in files.items():
+        with open(os.path.join(local, name), "wb") as fh:
+            fh.write(data)
+    args = (spark, src, sink, ckpt, I.ImageSizeBackend)
+    start_upload_stream(*args).awaitTermination()
+    got = {os.path.basename(r.path): r for r in spark.read.parquet(sink).collect()}
+    assert got["a.png"].success and got["a.png"].text == "image 3x2" and got["a.png"].status == 200
+    assert (got["big.png"].status, got["big.png"].error, got["big.png"].success) == (400, "too_large", False)
+    assert (got["c.gif"].status, got["c.gif"].error, got["c.gif"].format) == (400, "unsupported_format", "GIF")
+    assert got["big.png"].model_id is None or got["big.png"].inference_time_seconds == 0.0  # never sent to the model
+    start_upload_stream(*args).awaitTermination()  # restart: nothing new
+    assert spark.read.parquet(sink).count() == 3
+    with open(os.path.join(local, "d.png"), "wb") as fh:
+        fh.write(_png(7, 5))
+    start_upload_stream(*args).awaitTermination()  # a new arrival is read alone
+    after = {os.path.basename(r.path): r.text for r in spark.read.parquet(sink).collect()}
+    assert len(after) == 4 and after["d.png"] == "image 7x5"
+
+
+def test_skipped_rows_load_no_model(spark):
+    folder = tempfile.mkdtemp(prefix="loads-")
+    df = spark.createDataFrame([(i, f"p{i}", "rejected" if i < 4 else None) for i in range(6)],
+                               "k long, prompt string, err string").repartition(2, F.expr("k < 4"))
+    out = I.run_batch(df, lambda: CountingBackend(folder), "prompt", ["k"], skip_col="err")
+    got = {r.k: r for r in out.collect()}
+    assert got[0].error == "rejected" and not got[0].success and got[5].text == "p5:4096"
+    loads = [f for f in os.listdir(folder) if f.startswith("load-")]
+    assert len(loads) == 1  # the partition holding only rejected rows never loaded a model
