@@ -32,7 +32,7 @@ v AS (
     CASE WHEN k % 19 = 0 THEN NULL WHEN k % 3 = 0 THEN '["background","tilt"]'
          WHEN k % 3 = 1 THEN '["background"]' ELSE '[]' END AS tags,
     o_orderdate + to_seconds(k % 86400) AS ts,
-    round(o_totalprice / 10000, 3) AS execution_time,
+    CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 0.0001, 3) AS DOUBLE) AS execution_time,
     CASE WHEN k % 29 = 0 THEN 'missing' ELSE 'correct' END AS v_prenom,
     CASE WHEN k % 29 = 0 OR k % 17 = 0 THEN 'missing' ELSE 'correct' END AS v_nom,
     CASE WHEN k % 29 = 0 THEN 'missing' ELSE 'correct' END AS v_id_document_recto,

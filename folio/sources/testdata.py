@@ -121,7 +121,11 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 86400).cast("decimal(18,6)"))).alias(
             "timestamp"
         ),
-        F.round(F.col("o_totalprice") / 10000, 3).alias("execution_time"),
+        # Exact decimal arithmetic: a tie such as 32.4355 rounds up in every engine (a double
+        # division would leave it to each engine's binary rounding).
+        F.round(F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.0001).cast("decimal(5,4)"), 3)
+        .cast("double")
+        .alias("execution_time"),
         F.to_json(F.struct(*[F.col(f) for f in CIN_FIELDS])).alias("expected"),
         generated.alias("generated"),
         F.col("case_key"),
