@@ -13,7 +13,7 @@ import base64
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_text
@@ -74,7 +74,7 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     )
 
 
-def card_text(values: dict[str, F.Column]) -> F.Column:
+def card_text(values: dict[str, Column]) -> Column:
     """A document's printed text as ``label: value`` lines (the stand-in input for test clients)."""
     return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in values.items()])
 
