@@ -181,7 +181,7 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                 if pdf.empty:
                     continue
                 out = {k: pdf[k].tolist() for k in keys}
-                texts, secs, stamps, errors = [], [], [], []
+                texts, secs, stamps, errors, called = [], [], [], [], []
                 inputs = pdf[input_col].tolist()
                 per_row = pdf[settings_col].tolist() if settings_col else [None] * len(inputs)
                 skips = pdf[skip_col].tolist() if skip_col else [None] * len(inputs)
@@ -191,6 +191,7 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                         secs.append(0.0)
                         stamps.append(dt.datetime.now(dt.timezone.utc))
                         errors.append(str(skip))
+                        called.append(False)
                         continue
                     if backend is None:  # loaded on the first row that needs the model
                         backend = make_backend()
@@ -207,13 +208,15 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                     stamps.append(dt.datetime.now(dt.timezone.utc))
                     texts.append(text)
                     errors.append(err)
+                    called.append(True)
                 model_id = backend.model_id if backend is not None else None
+                device = getattr(backend, "device", "cpu") if backend is not None else None
                 out.update(
                     text=texts,
-                    model_id=[model_id] * len(texts),
+                    model_id=[model_id if c else None for c in called],
                     inference_time_seconds=secs,
                     timestamp=stamps,
-                    device=[getattr(backend, "device", "cpu") if backend is not None else None] * len(texts),
+                    device=[device if c else None for c in called],
                     error=errors,
                     success=[e is None for e in errors],
                 )

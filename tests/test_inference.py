@@ -128,7 +128,7 @@ def test_upload_stream_triages_then_reads_each_image_once(spark):
     assert got["a.png"].success and got["a.png"].text == "image 3x2" and got["a.png"].status == 200
     assert (got["big.png"].status, got["big.png"].error, got["big.png"].success) == (400, "too_large", False)
     assert (got["c.gif"].status, got["c.gif"].error, got["c.gif"].format) == (400, "unsupported_format", "GIF")
-    assert got["big.png"].model_id is None or got["big.png"].inference_time_seconds == 0.0  # never sent to the model
+    assert got["big.png"].model_id is None and got["a.png"].model_id == "image-size"  # rejected: never sent to the model
     start_upload_stream(*args).awaitTermination()  # restart: nothing new
     assert spark.read.parquet(sink).count() == 3
     with open(os.path.join(local, "d.png"), "wb") as fh:
