@@ -63,7 +63,7 @@ def score_format(spark, sf):
 
 @query
 def fence_strip(spark, sf):
-    return S.fence_report(td.results(spark, sf)).drop("stripped_length")
+    return S.fence_report(td.scored_table(spark, sf)).drop("stripped_length")
 
 
 @query
@@ -95,7 +95,7 @@ def field_rules(spark, sf):
 
 @query
 def judge_prompt(spark, sf):
-    r = td.results(spark, sf)
+    r = td.scored_table(spark, sf)
     p = S.judge_prompt(F.col("generated"), F.col("expected"))
     return r.select("id", F.md5(p).alias("prompt_md5"), F.length(p).cast("bigint").alias("prompt_length"))
 
@@ -173,13 +173,13 @@ def facet_values(spark, sf):
 
 @query
 def facet_tags(spark, sf):
-    return A.facet_tags(td.results(spark, sf))
+    return A.facet_tags(td.scored_table(spark, sf))
 
 
 @query
 def facet_tags_split(spark, sf):
     """A12 with the dashboard's own rule: comma split + strip, so JSON cells give bracketed pieces."""
-    return A.facet_tags(td.results(spark, sf), mode="split")
+    return A.facet_tags(td.scored_table(spark, sf), mode="split")
 
 
 @query
@@ -556,7 +556,7 @@ def model_pivot(spark, sf):
 def pretty_json(spark, sf):
     from ..functions.jsontext import pretty_json as pj
 
-    return td.results(spark, sf).select("id", pj(F.col("generated")).alias("generated_pretty"))
+    return td.scored_table(spark, sf).select("id", pj(F.col("generated")).alias("generated_pretty"))
 
 
 @query
@@ -585,8 +585,9 @@ def _detail_of_page(s: DataFrame, keys: DataFrame) -> DataFrame:
 @query
 def infer_text(spark, sf):
     r = td.requests(spark, sf)
-    out = I.run_batch(r, I.EchoTextBackend, "prompt", ["req_id"], slots=None, settings_col="max_tokens")
-    return out.join(r.select("req_id", "prompt"), "req_id").select(
+    # The prompt travels with its row (needed to remove the echo): no join back after the model.
+    out = I.run_batch(r, I.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens", carry=["prompt"])
+    return out.select(
         "req_id", "model_id", "success", "error", fn.strip_echo(F.col("text"), F.col("prompt")).alias("answer"),
         "inference_time_seconds",
     )
@@ -624,7 +625,7 @@ def asset_facts(spark, sf):
 @query
 def judge_run(spark, sf):
     """J8 run: judge prompts through a (test) judge backend; answers checked against the allowed values."""
-    r = td.results(spark, sf)
+    r = td.scored_table(spark, sf)
     prompts = r.select("id", S.judge_prompt(F.col("generated"), F.col("expected")).alias("prompt"))
     out = I.run_batch(prompts, I.KeywordJudgeBackend, "prompt", ["id"])
     v = S.parse_judge_verdict(F.col("text"))
