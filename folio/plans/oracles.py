@@ -524,6 +524,29 @@ SELECT k AS id, r.model, r.prompt_version, tags,
 FROM s CROSS JOIN (VALUES ('reader-exact', 'v1'), ('reader-exact', 'v2'), ('reader-sloppy', 'v1'),
                           ('reader-sloppy', 'v2')) AS r(model, prompt_version)"""
 
+# Python's json.dumps(indent=2, ensure_ascii=False) of an unfenced answer, written out: "{",
+# one '  "key": "value"' line per key in document order, "}". Fenced answers do not parse and
+# come back as they are, and so does the refusal text.
+_PRETTY_ITEMS = [
+    ("prenom", "c_name"),
+    ("nom", "CASE WHEN k % 17 = 0 THEN NULL ELSE c_mktsegment END"),
+    ("id_document_recto", "t_id"),
+    ("date_naissance", "CASE WHEN k % 11 = 0 THEN replace(t_dn, '.', '/') ELSE t_dn END"),
+    ("lieu_naissance", "CASE WHEN k % 13 = 0 THEN 'CASABLANCA' ELSE n_name END"),
+    ("initiales", "CASE WHEN k % 7 = 0 THEN 'XX' ELSE t_ini END"),
+    ("date_expiration", "t_de"),
+    ("nationalite", "'Marocaine'"),
+]
+PRETTY_TEXT = (
+    f"'{{' || {NL} || concat_ws(',' || {NL}, "
+    + ", ".join(f"'  \"{f}\": \"' || ({v}) || '\"'" for f, v in _PRETTY_ITEMS)
+    + f") || {NL} || '}}'"
+)
+ORACLES["pretty_json"] = _w(BASE) + f"""
+SELECT id, CASE WHEN k % 29 = 0 THEN 'I cannot read this image.' WHEN k % 2 = 0 THEN ({GENERATED_TEXT})
+  ELSE {PRETTY_TEXT} END AS generated_pretty
+FROM s"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -52,8 +52,8 @@ def test_query_matches_oracle(spark, duck, sf_small, name):
 
 def test_every_query_has_an_oracle_or_is_python(spark):
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"pretty_json", "row_detail", "infer_text"}
-    assert {"judge_run", "mistake_summary", "asset_facts", "infer_ocr", "infer_stream"} <= set(E.oracle_sql())
+    assert rows_only == {"row_detail", "infer_text"}
+    assert {"judge_run", "mistake_summary", "asset_facts", "infer_ocr", "infer_stream", "pretty_json"} <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):
