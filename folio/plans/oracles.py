@@ -547,6 +547,33 @@ SELECT id, CASE WHEN k % 29 = 0 THEN 'I cannot read this image.' WHEN k % 2 = 0
   ELSE {PRETTY_TEXT} END AS generated_pretty
 FROM s"""
 
+_TRUTH_ITEMS = [
+    ("prenom", "c_name"),
+    ("nom", "c_mktsegment"),
+    ("id_document_recto", "t_id"),
+    ("date_naissance", "t_dn"),
+    ("lieu_naissance", "n_name"),
+    ("initiales", "t_ini"),
+    ("date_expiration", "t_de"),
+    ("nationalite", "'Marocaine'"),
+]
+PRETTY_EXPECTED = (
+    f"'{{' || {NL} || concat_ws(',' || {NL}, "
+    + ", ".join(f"'  \"{f}\": \"' || ({v}) || '\"'" for f, v in _TRUTH_ITEMS)
+    + f") || {NL} || '}}'"
+)
+# The first results page (newest first, ties by id), each row with its header line, reason and
+# both JSON texts pretty-printed.
+ORACLES["row_detail"] = _w(BASE) + f"""
+SELECT id,
+  'id: ' || CAST(id AS VARCHAR) || '  |  doc: ' || doc || '  |  model: ' || model || '  |  correct_fields: '
+    || CAST(cf AS VARCHAR) AS header,
+  """ + " || ', ' || ".join(f"'{f}=' || v_{f}" for f in FIELDS) + f""" AS correct_fields_reason,
+  {PRETTY_EXPECTED} AS expected_pretty,
+  CASE WHEN k % 29 = 0 THEN 'I cannot read this image.' WHEN k % 2 = 0 THEN ({GENERATED_TEXT})
+    ELSE {PRETTY_TEXT} END AS generated_pretty
+FROM s ORDER BY ts DESC NULLS LAST, id LIMIT 25"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
