@@ -20,7 +20,7 @@ from ..operators import inference as I
 from ..operators import layout as L
 from ..operators import scoring as S
 from ..operators import triage as TR
-from ..schemas import DETAIL_COLS, DISPLAY_COLS
+from ..schemas import DISPLAY_COLS
 from ..sources import prompts as P
 from ..sources import testdata as td
 

@@ -8,7 +8,6 @@ import tempfile
 from pyspark.sql import functions as F
 
 from folio.operators import evaluation as EV
-from folio.operators import inference as I
 from folio.sources import experiments, sinks
 
 try:  # the failing client below is shipped to the Python workers by value
