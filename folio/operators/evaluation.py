@@ -46,6 +46,8 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     ``cases``: ``key``, the input path (its suffix gives the media type), the input bytes, the
     ground-truth JSON text, and optionally ``tags`` / ``notes``. The client receives the chat
     request as JSON text (model, max_tokens, messages), as a remote model API would.
+    ``timestamp`` is the answer's time as naive ISO text in the session time zone (result rows
+    record local time without a zone); ``execution_time`` is the model call alone, in seconds.
     """
     context = [c for c in ("tags", "notes") if c in cases.columns]
     grid = run_grid(cases, runs)
