@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, mixing, packing, token_counts
-from ._common import load
+from . import attention_lm, chat, fertility, fingerprint, licenses, mixing, neardup, packing, token_counts, toxicity
+from ._common import load, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +21,42 @@ def query(f: Query) -> Query:
     return f
 
 
+#: A text that consists of the marks of a common template.
+MARKS = "</s>[INST] ok [/INST]"
+
+
+@query
+def op1_chat_format(spark, sf):
+    """Every conversation as one formatted text, described by what is read back from it."""
+    rows = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)]
+    rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    messages = stored(chat.chain(rows, "conv_id", "turn", "role", "text"), "messages")
+    formatted = chat.format_paths(chat.reply_paths(messages, best=1), messages)
+    read = chat.read_back(F.col("formatted"), F.col("mask"))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return formatted.select(F.col("tree").alias("conv_id"), "formatted", *[c.alias(k) for k, c in read.items()]).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.char_length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op2_fingerprints(spark, sf):
+    """Digests of every document and of its edited text."""
+    return fingerprint.fingerprints(load(spark, sf, "documents"))
+
+
+@query
+def op3_lm_scoring(spark, sf):
+    """Attention model's and smoothed unigram's log-probability of every document."""
+    return attention_lm.lm_scores(load(spark, sf, "documents"))
+
+
 @query
 def op4_packing(spark, sf):
     """Pieces of all documents packed into windows of 2048 tokens."""
@@ -35,6 +71,12 @@ def op5_quality_rules(spark, sf):
     return fertility.measures(load(spark, sf, "documents"))
 
 
+@query
+def op6_minhash_near_dedup(spark, sf):
+    """Near-duplicate class of every document."""
+    return neardup.classes(load(spark, sf, "documents")).drop("node", "root")
+
+
 @query
 def op7_mixing(spark, sf):
     """Words that the mix takes of every document."""
@@ -48,6 +90,19 @@ def op7_mixing(spark, sf):
     )
 
 
+@query
+def op8_license_scan(spark, sf):
+    """Licence phrases and labels of every document."""
+    return licenses.scan(load(spark, sf, "documents"))
+
+
+@query
+def op9_toxicity(spark, sf):
+    """Toxicity score of every document, learned from the labelled rows of two of three folds."""
+    docs = load(spark, sf, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, load(spark, sf, "labels")))
+
+
 @query
 def op10_token_counts(spark, sf):
     """Bytes and sentence-piece tokens of every document."""
