@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path, spread
@@ -28,6 +28,17 @@ def narrow(docs: DataFrame, *cols: str, text: str = "text") -> DataFrame:
     return spread(docs.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("text")))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct) and the named columns: no name can clash."""
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` out of ``row``."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
 

@@ -13,8 +13,7 @@ windows.
 Defined results: a null or empty text has no words and fails the base; a null id or language is
 kept (the script decides); repeated rows are judged alike; whole texts are read, in slices of
 bounded size; an empty table gives no rows; other columns of the documents are ignored by
-:func:`measures`, and :func:`keep_clean` returns the documents' own columns (a column named
-``_found`` would be overwritten while it runs).
+:func:`measures`, and :func:`keep_clean` returns the documents' own columns.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import WORD, slices
+from ._common import WORD, packed, slices, unpacked
 from .token_counts import model_path
 
 _WORD = re.compile(WORD)
@@ -212,7 +211,7 @@ def keep_clean(
     model: str | None = None,
 ) -> DataFrame:
     """The documents that pass, with their own columns."""
-    found = measures_udf(bands, model)(F.coalesce(F.col(text), F.lit("")), F.col(lang))
-    rows = spread(docs).withColumn("_found", found)
-    failed = base_failed(F.col("_found.n_words"), F.col("_found.n_repeat_words"), min_words, max_repeat_percent)
-    return rows.where(F.col("_found.fertility_ok") & ~failed).select(*docs.columns)
+    rows = spread(packed(docs, text=F.coalesce(F.col(text), F.lit("")), lang=F.col(lang)))
+    rows = rows.select("row", measures_udf(bands, model)(F.col("text"), F.col("lang")).alias("found"))
+    failed = base_failed(F.col("found.n_words"), F.col("found.n_repeat_words"), min_words, max_repeat_percent)
+    return unpacked(rows.where(F.col("found.fertility_ok") & ~failed), docs)

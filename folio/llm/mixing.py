@@ -13,9 +13,8 @@
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
 null id is hashed like any other value; repeated rows draw alike, since id and text are equal; an
-empty table gives no rows; a source of size 0 has target and rate 0; columns of the documents
-that are not needed are left alone, and the names used here carry a leading underscore, so a
-clash needs a documents column of the same name (it is then replaced).
+empty table gives no rows; a source of size 0 has target and rate 0; the documents' columns travel
+in one struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_JAVA, stored
+from ._common import WORD_JAVA, packed, stored, unpacked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -42,37 +41,36 @@ def word_count(text: Column) -> Column:
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE
 ) -> DataFrame:
-    """``sizes(_source, _source_size)``, one row per source, with ``_target`` and ``_rate``.
+    """``sizes(source, source_size)``, one row per source, with ``target`` and ``rate``.
 
     Sources in code point order (null last) take the weights in turn. The single ordered window
     runs over the sources, not over documents.
     """
-    order = Window.orderBy(F.col("_source").asc_nulls_last())
+    order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    table = stored(sizes.withColumn("_weight", weight), "sources")
-    cap = F.col("_source_size") * max_rate
-    budget = (table.agg(F.sum("_source_size")).first()[0] or 0) * share
+    table = stored(sizes.withColumn("weight", weight), "sources")
+    cap = F.col("source_size") * max_rate
+    budget = (table.agg(F.sum("source_size")).first()[0] or 0) * share
     level = 0.0  # target per unit of weight
     while True:
-        fixed = cap <= F.col("_weight") * level
+        fixed = cap <= F.col("weight") * level
         full, free = table.agg(
-            F.sum(F.when(fixed, cap).otherwise(0.0)), F.sum(F.when(fixed, 0.0).otherwise(F.col("_weight")))
+            F.sum(F.when(fixed, cap).otherwise(0.0)), F.sum(F.when(fixed, 0.0).otherwise(F.col("weight")))
         ).first()
         raised = (budget - full) / free if free else level
         if raised <= level:
             break
         level = raised
-    target = F.least(cap, F.col("_weight") * level)
-    size = F.col("_source_size")
-    return table.withColumn("_target", target).withColumn(
-        "_rate", F.when(size > 0, F.col("_target") / size).otherwise(0.0)
-    )
+    target = F.least(cap, F.col("weight") * level)
+    size = F.col("source_size")
+    rate = F.when(size > 0, F.col("target") / size).otherwise(0.0)
+    return table.withColumn("target", target).withColumn("rate", rate).drop("weight")
 
 
 def _uniform(seed: Column) -> Column:
     """A number in [0, 1) from the document's hash and a seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("_key"), seed), 11) / F.lit(_UNIT)
+    return F.shiftrightunsigned(F.xxhash64(F.col("key"), seed), 11) / F.lit(_UNIT)
 
 
 def repetitions(
@@ -85,47 +83,36 @@ def repetitions(
     max_rate: float = MAX_RATE,
     seeds: int = SEEDS,
 ) -> DataFrame:
-    """The documents with ``_size``, ``_source_size``, ``_target``, ``_rate`` and ``_copies``."""
-    sized = docs.withColumns(
-        {"_size": word_count(F.col(text)), "_source": F.col(source), "_key": F.xxhash64(F.col(doc_id), F.col(text))}
-    )
-    keys = stored(sized.select("_source", "_size", "_key"), "sizes")
-    sources = source_targets(
-        keys.groupBy("_source").agg(F.sum("_size").alias("_source_size")), weights, share, max_rate
+    """``row`` (a document's columns), ``size``, ``source_size``, ``target``, ``rate`` and ``copies``."""
+    sized = packed(
+        docs, size=word_count(F.col(text)), source=F.col(source), key=F.xxhash64(F.col(doc_id), F.col(text))
     )
-    known = sources.select(F.col("_source").alias("_of"), "_source_size", "_target", "_rate")
-    fraction = F.col("_rate") - F.floor("_rate")
+    keys = stored(sized.drop("row"), "sizes")
+    sources = source_targets(keys.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_rate)
+    sources = sources.withColumnRenamed("source", "of")
+    fraction = F.col("rate") - F.floor("rate")
+    of_source = ["source_size", "target", "rate"]
     drawn = (
-        keys.join(known, F.col("_source").eqNullSafe(F.col("_of")))
-        .withColumn("_seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-        .groupBy("_of", "_seed")
+        keys.join(sources, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+        .groupBy("of", "seed")
         .agg(
-            F.sum(F.when(_uniform(F.col("_seed")) < fraction, F.col("_size")).otherwise(0)).alias("_extra"),
-            F.first("_source_size").alias("_source_size"),
-            F.first("_target").alias("_target"),
-            F.first("_rate").alias("_rate"),
+            F.sum(F.when(_uniform(F.col("seed")) < fraction, F.col("size")).otherwise(0)).alias("extra"),
+            *[F.first(c).alias(c) for c in of_source],
         )
     )
-    off = F.abs(F.col("_source_size") * F.floor("_rate") + F.col("_extra") - F.col("_target"))
-    best = stored(
-        drawn.groupBy("_of").agg(
-            F.min(F.struct(off.alias("off"), F.col("_seed"))).getField("_seed").alias("_seed"),
-            F.first("_source_size").alias("_source_size"),
-            F.first("_target").alias("_target"),
-            F.first("_rate").alias("_rate"),
-        ),
-        "rates",
-    )
-    copies = F.floor("_rate") + F.when(_uniform(F.col("_seed")) < fraction, 1).otherwise(0)
+    off = F.abs(F.col("source_size") * F.floor("rate") + F.col("extra") - F.col("target"))
+    best = F.min(F.struct(off.alias("off"), F.col("seed"))).getField("seed").alias("seed")
+    chosen = stored(drawn.groupBy("of").agg(best, *[F.first(c).alias(c) for c in of_source]), "rates")
+    copies = F.floor("rate") + F.when(_uniform(F.col("seed")) < fraction, 1).otherwise(0)
     return (
-        sized.join(best, F.col("_source").eqNullSafe(F.col("_of")))
-        .withColumn("_copies", copies.cast("long"))
-        .drop("_of", "_seed", "_key", "_source")
+        sized.join(chosen, F.col("source").eqNullSafe(F.col("of")))
+        .withColumn("copies", copies.cast("long"))
+        .select("row", "size", *of_source, "copies")
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each document ``_copies`` times, with the documents' own columns."""
-    rows = repetitions(docs, **options).where(F.col("_copies") > 0)
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return copies.select(*docs.columns)
+    """The mixed corpus: each document so many times, with the documents' own columns."""
+    rows = repetitions(docs, **options).where(F.col("copies") > 0)
+    return unpacked(rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)

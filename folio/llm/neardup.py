@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import WORD, mix64, slices, stored
+from ._common import WORD, mix64, packed, slices, stored, unpacked
 
 _WORD = re.compile(WORD)
 SHINGLE = 5
@@ -365,13 +365,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     key = [F.col("doc_id").alias("_id"), F.col("node").alias("_of")]
     # Rows of one id and text are the same document: if kept, one of them stays.
     again = stored(kept.select("first.*").where("times > 1").select(*key), "repeated")
-    lone = kept.select("first.*").where("times = 1").select(*key)
-    gone = found.select(*key).join(
-        lone.toDF("_lone_id", "_lone"), F.col("_id").eqNullSafe(F.col("_lone_id")) & (F.col("_of") == F.col("_lone")), "left_anti"
-    )
-    rows = docs.withColumn("_node", _node(F.coalesce(F.col(text), F.lit(""))))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of"))
-    out = rows.join(gone.distinct(), same, "left_anti")
+    lone = kept.select("first.*").where("times = 1").select(*key).toDF("lone_id", "lone")
+    other = F.col("_id").eqNullSafe(F.col("lone_id")) & (F.col("_of") == F.col("lone"))
+    gone = found.select(*key).distinct().join(lone, other, "left_anti")
+    rows = packed(docs, id=F.col(doc_id), node=_node(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_of"))
+    out = rows.join(gone, same, "left_anti")
     if not again.isEmpty():
-        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["_node", doc_id]))
-    return out.select(*docs.columns)
+        out = out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["id", "node"]))
+    return unpacked(out, docs)

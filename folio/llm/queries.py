@@ -81,13 +81,8 @@ def op6_minhash_near_dedup(spark, sf):
 def op7_mixing(spark, sf):
     """Words that the mix takes of every document."""
     rows = mixing.repetitions(load(spark, sf, "documents"))
-    return rows.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return rows.select("row.doc_id", "size", "source_size", "target", taken)
 
 
 @query
@@ -107,3 +102,77 @@ def op9_toxicity(spark, sf):
 def op10_token_counts(spark, sf):
     """Bytes and sentence-piece tokens of every document."""
     return token_counts.token_counts(load(spark, sf, "documents"))
+
+
+# ---------------------------------------------------------------- SQL
+
+ORACLES["op1_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *,
+    regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g') AS role_out,
+    regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g') AS text_out
+  FROM rows
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(length('<s></s>') + sum(length('<|turn|><|says|><|end|>') + length(role_out) + length(text_out)) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def _license_sql() -> str:
+    """Words joined with every template word at its place; anchors only choose the places."""
+    wordings = ", ".join(
+        f"({i}, '{t.label}', {t.base}, {t.key_at}, {t.key_at + len(t.key.split())}, {j}, '{w}')"
+        for i, t in enumerate(licenses.TEMPLATES)
+        for j, w in enumerate(t.words)
+    )
+    return (
+        r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), words AS (
+  SELECT r, pos, lower(ws[pos + 1]) AS word FROM (SELECT r, ws, unnest(range(len(ws))) AS pos FROM docs)
+), t(i, label, base, key_from, key_to, j, word) AS (VALUES """
+        + wordings
+        + f"""
+), df AS (
+  SELECT word, count(DISTINCT r) AS df FROM words WHERE word IN (SELECT word FROM t) GROUP BY word
+), anchors AS (
+  SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY i ORDER BY df, j) AS k FROM t JOIN df USING (word))
+  WHERE k <= {licenses.ANCHORS}
+), places AS (
+  SELECT DISTINCT r, i, pos - j AS start FROM words JOIN anchors USING (word)
+), matched AS (
+  SELECT p.r, p.i, p.start, any_value(t.label) AS label, any_value(t.base) AS base,
+    count(w.word) / CAST(count(*) AS DOUBLE) AS coverage,
+    bool_and(w.word IS NOT NULL OR t.j < t.key_from OR t.j >= t.key_to) AS key_found
+  FROM places p JOIN t ON t.i = p.i LEFT JOIN words w ON w.r = p.r AND w.pos = p.start + t.j AND w.word = t.word
+  GROUP BY p.r, p.i, p.start
+), found AS (
+  SELECT r, max(coverage) AS score,
+    count(*) FILTER (base AND coverage = 1) AS n_base,
+    min(start) FILTER (base AND coverage = 1) AS first_word,
+    max(start) FILTER (base AND coverage = 1) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND coverage = 1) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label)
+      FILTER (CASE WHEN base THEN coverage = 1 ELSE coverage >= {licenses.MIN_COVERAGE} AND key_found END) AS labels
+  FROM matched GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN found USING (r)
+"""
+    )
+
+
+ORACLES["op8_license_scan"] = _license_sql()

@@ -17,7 +17,7 @@ shuffle; kernel values are computed once per distinct word and task (table of bo
 only for words that share enough ordered character pairs with a landmark.
 
 Defined results: a null or empty text is scored like a text without insults; a null id is kept
-(it is in no fold's remainder, so its label is never learned and it counts as not held out);
+(it is in no fold's remainder and counts as not held out, and no label can belong to it);
 rows without a label are scored only; an id labelled several times counts as toxic if any label
 is; repeated rows score alike; without labels of both kinds every score is 0; an empty table gives
 no rows; other columns are ignored.
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import slices, stored
+from ._common import packed, slices, stored, unpacked
 
 SAMPLE_ROWS = 20_000
 LANDMARKS, CANDIDATES = 64, 2_000
@@ -378,5 +378,6 @@ def scores(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with their own columns."""
-    rows = spread(docs).withColumn("_score", score_udf(model)(F.coalesce(F.col("text"), F.lit(""))))
-    return rows.where(F.col("_score") < threshold).select(*docs.columns)
+    rows = spread(packed(docs, text=F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.select("row", score_udf(model)(F.col("text")).alias("score"))
+    return unpacked(rows.where(F.col("score") < threshold), docs)
