@@ -56,7 +56,8 @@ WORST = 3
 PAIR_SHARE = 0.6
 TABLE_ENTRIES = 200_000
 ROUNDS = 3
-_SENTENCE = re.compile(r"[.!?]+(?=\s)|\n+")
+#: Sentences end at white space after their marks, so their tokens are those of the text.
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _MARKS = re.compile(r"[\W_]+")
 #: Three or more single letters one after the other, each with punctuation or none.
 _ALONE = re.compile(r"(?:(?<=\s)|^)(?:[\W_]*[^\W_][\W_]*(?:\s+|$)){3,}")
