@@ -65,29 +65,37 @@ def content_block(content: Column, path: Column) -> Column:
 
 
 def status_of(missing: Column, fmt: Column, width: Column, height: Column, channels: Column, max_mb: float = 10,
-              accepted=VALIDATION_FORMATS) -> tuple[Column, Column]:
+              accepted=VALIDATION_FORMATS, decodable: Column | None = None) -> tuple[Column, Column]:
     """T-7 as columns: (status, error class); the first failing check in order missing ->
-    format -> size decides, else 200 with no error class."""
+    not decodable -> format -> size decides, else 200 with no error class.
+
+    ``decodable``: whether the bytes are an image at all (NULL counts as no). A NULL format passes
+    the format check only for a decoded image. Without ``decodable`` the rows are taken as decoded.
+    """
     missing = F.coalesce(missing, F.lit(False))
+    broken = F.lit(False) if decodable is None else ~F.coalesce(decodable, F.lit(False))
     bad_format = ~format_ok(fmt, accepted)
     too_big = ~size_ok(width, height, channels, max_mb)
     error_class = (
         F.when(missing, F.lit("not_found"))
+        .when(broken, F.lit("invalid_image"))
         .when(bad_format, F.lit("unsupported_format"))
         .when(too_big, F.lit("too_large"))
     )
     status = (
         F.when(missing, F.lit(STATUS["not_found"]))
-        .when(bad_format | too_big, F.lit(STATUS["invalid"]))
+        .when(broken | bad_format | too_big, F.lit(STATUS["invalid"]))
         .otherwise(F.lit(STATUS["ok"]))
     )
     return status, error_class
 
 
 def triage_status(df: DataFrame, max_mb: float = 10, accepted=VALIDATION_FORMATS) -> DataFrame:
-    """T-7: first failing check in order missing -> format -> size gives the status; else 200."""
+    """T-7: first failing check gives the status; else 200. A ``decodable`` column, if there is one,
+    is checked before the format."""
     status, error_class = status_of(F.col("missing"), F.col("format"), F.col("width"), F.col("height"),
-                                    F.col("channels"), max_mb, accepted)
+                                    F.col("channels"), max_mb, accepted,
+                                    F.col("decodable") if "decodable" in df.columns else None)
     return df.select("id", status.alias("status"), error_class.alias("error_class"))
 
 

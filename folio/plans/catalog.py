@@ -619,7 +619,20 @@ def asset_facts(spark, sf):
     a = td.assets(spark, sf)
     files = a.select("id", synth_header(F.col("format"), F.col("width"), F.col("height"), F.col("channels")).alias("content"))
     f = header_facts(files)
-    return f.select("id", "facts.format", "facts.width", "facts.height", "facts.bands")
+    sizes = [F.col(f"facts.{c}").try_cast("int").alias(c) for c in ("width", "height", "bands")]
+    return f.select("id", "facts.format", *sizes)
+
+
+@query
+def upload_triage(spark, sf):
+    """T-6 / T-7 / T-8 over whole files: valid, truncated, junk, oversized and late-header images."""
+    from ..sources.assets import header_facts
+
+    f = header_facts(td.uploads(spark, sf)).select(
+        "id", "missing", "decodable", "facts.format", "facts.width", "facts.height", F.col("facts.bands").alias("channels")
+    )
+    accepted, rejected = TR.split_accepted(TR.triage_status(f))
+    return accepted.withColumn("kept", F.lit(True)).unionByName(rejected.withColumn("kept", F.lit(False)))
 
 
 @query

@@ -460,9 +460,22 @@ ORACLES["asset_facts"] = _w(ASSETS) + """
 SELECT id, fmt AS format, CASE WHEN fmt IS NULL THEN NULL ELSE width END AS width,
   CASE WHEN fmt IS NULL THEN NULL ELSE height END AS height,
   CASE WHEN fmt IS NULL THEN NULL WHEN fmt = 'GIF' THEN 1
-       WHEN fmt = 'WEBP' THEN CASE WHEN channels = 4 THEN 4 ELSE 3 END ELSE channels END AS bands
+       WHEN fmt = 'WEBP' THEN CASE WHEN channels = 4 THEN 4 ELSE 3 END
+       WHEN fmt = 'BMP' THEN CASE WHEN channels = 1 THEN 1 ELSE 3 END ELSE channels END AS bands
 FROM (SELECT *, CASE upper(format) WHEN 'JPG' THEN 'JPEG' ELSE upper(format) END AS fmt FROM a)"""
 
+# Files by their rule: 3 x 2 PNG, junk, PNG cut in its header, PNG of 2**32 - 1 columns, JPEG with fill
+# bytes, GIF, 16-bit BMP of 11.4 MiB; headers after 70 kB decode to 231.7 MiB; the rest is missing.
+ORACLES["upload_triage"] = """
+SELECT id, status, error_class, status = 200 AS kept FROM (
+  SELECT id, CASE c WHEN 'ok' THEN 200 WHEN 'not_found' THEN 404 ELSE 400 END AS status,
+    CASE WHEN c <> 'ok' THEN c END AS error_class
+  FROM (SELECT o_orderkey AS id, CASE
+      WHEN o_orderkey % 64 IN (7, 15) THEN 'too_large'
+      WHEN o_orderkey % 8 IN (0, 4) THEN 'ok' WHEN o_orderkey % 8 IN (1, 2) THEN 'invalid_image'
+      WHEN o_orderkey % 8 IN (3, 6) THEN 'too_large' WHEN o_orderkey % 8 = 5 THEN 'unsupported_format'
+      ELSE 'not_found' END AS c FROM orders))"""
+
 ORACLES["judge_run"] = _w(BASE) + """
 SELECT id, true AS success,
   CASE WHEN k % 29 = 0 THEN 'incorrect' WHEN k % 2 = 0 THEN 'correct' WHEN k % 13 = 0 THEN NULL ELSE 'correct' END

@@ -1,7 +1,7 @@
 """Binary inputs (S6, S7, T-6): scan files, read header facts, fetch by URL.
 
-Bytes are large, so they are never shuffled: rows are matched to files on the path first (a
-join on metadata), and the content column is only read by the stage that needs it.
+Bytes are large: rows are matched to files on the path by a join on metadata, and only the rows
+that have a file take part in the join that brings its content.
 """
 
 from __future__ import annotations
@@ -17,11 +17,15 @@ from pyspark.sql import types as T
 FACTS = T.StructType(
     [
         T.StructField("format", T.StringType(), True),
-        T.StructField("width", T.IntegerType(), True),
-        T.StructField("height", T.IntegerType(), True),
-        T.StructField("bands", T.IntegerType(), True),
+        T.StructField("width", T.LongType(), True),
+        T.StructField("height", T.LongType(), True),
+        T.StructField("bands", T.LongType(), True),
     ]
 )
+#: Bytes that the first look at a header gets; formats whose header may lie anywhere get a second.
+FIRST_LOOK = 65536
+#: Bytes of fetched bodies that a task hands on at once.
+FETCH_BYTES = 32 * 1024 * 1024
 
 
 def scan_assets(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -38,14 +42,16 @@ def scan_assets(spark: SparkSession, path: str, glob: str | None = None, recursi
 def attach_assets(requests: DataFrame, files: DataFrame, path_col: str = "in") -> DataFrame:
     """Requests joined to their files on the path; missing files keep a row with ``missing = true``.
 
-    The join runs on the file listing without its content, and the content is joined back
-    afterwards, so the shuffle never carries the bytes.
+    Requests are matched on the file listing first. Only those with a file join the content, so
+    missing files (which would share one NULL key) never reach that join.
     """
     listing = files.select(F.col("path").alias("_asset_path"), "length")
     joined = requests.join(listing, requests[path_col] == F.col("_asset_path"), "left")
-    joined = joined.withColumn("missing", F.col("_asset_path").isNull())
-    content = files.select(F.col("path").alias("_asset_path"), "content")
-    return joined.join(content, "_asset_path", "left").drop("_asset_path")
+    content = files.select(F.col("path").alias("_content_path"), "content")
+    there = joined.where(F.col("_asset_path").isNotNull())
+    found = there.join(content, F.col("_asset_path") == F.col("_content_path")).drop("_content_path")
+    gone = joined.where(F.col("_asset_path").isNull()).withColumn("content", F.lit(None).cast("binary"))
+    return found.unionByName(gone).withColumn("missing", F.col("_asset_path").isNull()).drop("_asset_path")
 
 
 def _u32be(c: Column, pos: int) -> Column:
@@ -80,17 +86,15 @@ def header_facts_jvm(content: Column) -> Column:
     fmt = (
         F.when(is_png, F.lit("PNG")).when(is_bmp, F.lit("BMP")).when(is_gif, F.lit("GIF")).when(is_pdf, F.lit("PDF"))
     )
-    width = (
-        F.when(is_png, _u32be(content, 17)).when(is_bmp, _le(content, 19, 4)).when(is_gif, _le(content, 7, 2))
-    ).cast("int")
-    height = (
-        F.when(is_png, _u32be(content, 21)).when(is_bmp, bmp_height).when(is_gif, _le(content, 9, 2))
-    ).cast("int")
+    # Sizes are 32-bit unsigned in PNG and BMP: kept as LONG, so a corrupt header cannot overflow.
+    width = F.when(is_png, _u32be(content, 17)).when(is_bmp, _le(content, 19, 4)).when(is_gif, _le(content, 7, 2))
+    height = F.when(is_png, _u32be(content, 21)).when(is_bmp, bmp_height).when(is_gif, _le(content, 9, 2))
     bands = (
         F.when(is_png, png_bands)
-        .when(is_bmp, F.when(bpp == 32, 4).when(bpp == 24, 3).otherwise(1))
+        # Uncompressed 16 and 32 bit bitmaps decode to three bands, palettes and 8 bit to one.
+        .when(is_bmp, F.when(bpp >= 16, 3).otherwise(1))
         .when(is_gif, F.lit(1))
-    ).cast("int")
+    ).cast("long")
     return F.struct(fmt.alias("format"), width.alias("width"), height.alias("height"), bands.alias("bands"))
 
 
@@ -100,6 +104,9 @@ def _jpeg(b: bytes):
         if b[i] != 0xFF:
             return None
         marker = b[i + 1]
+        if marker == 0xFF:  # fill bytes may stand before a marker
+            i += 1
+            continue
         if marker in (0xD8, 0x01) or 0xD0 <= marker <= 0xD7:
             i += 2
             continue
@@ -150,29 +157,41 @@ def _facts_one(b):
             return _tiff(b)
         if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
             return _webp(b)
-    except (struct.error, IndexError):
+    except (struct.error, IndexError, ValueError):
         return None
     return None
 
 
 @F.pandas_udf(FACTS)
 def header_facts_py(content: pd.Series) -> pd.DataFrame:
-    """JPEG (SOF segment), TIFF (first IFD) and WEBP (VP8/VP8L/VP8X) headers; only the header bytes are read."""
+    """JPEG (SOF segment), TIFF (first IFD) and WEBP (VP8/VP8L/VP8X) headers; a bad row gives NULLs."""
     rows = [_facts_one(b) for b in content]
     return pd.DataFrame(
         [r if r else (None, None, None, None) for r in rows], columns=["format", "width", "height", "bands"]
-    ).astype({"width": "Int32", "height": "Int32", "bands": "Int32"})
+    ).astype({"width": "Int64", "height": "Int64", "bands": "Int64"})
+
 
+def header_facts(df: DataFrame, content_col: str = "content", head_bytes: int = FIRST_LOOK) -> DataFrame:
+    """T-6: ``facts`` struct per row, and ``decodable``: a known format with sizes above 0.
 
-def header_facts(df: DataFrame, content_col: str = "content", head_bytes: int = 65536) -> DataFrame:
-    """T-6: ``facts`` struct per row. Fixed-header formats are decoded in the JVM; the Python
-    reader receives only the first ``head_bytes`` bytes of rows the JVM could not tell (NULL
-    for the others), so little crosses into Python."""
-    head = F.substring(F.col(content_col), 1, head_bytes)
+    Fixed-header formats are decoded in the JVM. The Python reader gets the first ``head_bytes``
+    of rows the JVM could not tell. JPEG and TIFF headers may lie anywhere, so a row of these that
+    the first look could not decode is read whole in a second one: no format depends on a cut.
+    """
+    whole = F.col(content_col)
+    head = F.substring(whole, 1, head_bytes)
     staged = df.withColumn("_jvm_facts", header_facts_jvm(head))
     known = F.col("_jvm_facts.format").isNotNull()
-    py = header_facts_py(F.when(~known, head))
-    return staged.withColumn("facts", F.when(known, F.col("_jvm_facts")).otherwise(py)).drop("_jvm_facts")
+    staged = staged.withColumn("_first", header_facts_py(F.when(~known, head)))
+    magic = F.hex(F.substring(whole, 1, 4))
+    anywhere = magic.startswith("FFD8FF") | magic.isin("49492A00", "4D4D002A")
+    again = ~known & F.col("_first.format").isNull() & anywhere & (F.octet_length(whole) > head_bytes)
+    staged = staged.withColumn("_second", header_facts_py(F.when(again, whole)))
+    facts = F.when(known, F.col("_jvm_facts")).when(again, F.col("_second")).otherwise(F.col("_first"))
+    out = staged.withColumn("facts", facts).drop("_jvm_facts", "_first", "_second")
+    sized = (F.col("facts.width") > 0) & (F.col("facts.height") > 0) & (F.col("facts.bands") > 0)
+    decodable = F.col("facts.format").isNotNull() & ((F.col("facts.format") == "PDF") | sized)
+    return out.withColumn("decodable", F.coalesce(decodable, F.lit(False)))
 
 
 def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col: str = "url", key: str = "id",
@@ -204,15 +223,22 @@ def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col:
 
     def run(batches):
         for pdf in batches:
-            contents, errors = [], []
-            for u in pdf[url_col].tolist():
+            keys, urls = pdf[key].tolist(), pdf[url_col].tolist()
+            begin, held, contents, errors = 0, 0, [], []
+            for k, u in enumerate(urls):
                 try:
-                    contents.append(fetcher(u, timeout_s))
+                    body = fetcher(u, timeout_s)
+                    contents.append(body)
                     errors.append(None)
+                    held += len(body)
                 except Exception as e:  # one bad URL gives one error row
                     contents.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({key: pdf[key], url_col: pdf[url_col], "content": contents, "error": errors})
+                # Bodies are handed on in small pieces, not held for a whole input batch.
+                if held >= FETCH_BYTES or k + 1 == len(urls):
+                    part = {key: keys[begin : k + 1], url_col: urls[begin : k + 1], "content": contents, "error": errors}
+                    yield pd.DataFrame(part)
+                    begin, held, contents, errors = k + 1, 0, [], []
 
     return src.mapInPandas(run, schema)
 

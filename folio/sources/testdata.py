@@ -246,6 +246,39 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Image files byte by byte (not made by the header writer of the tests).
+_PNG = "89504E470D0A1A0A"
+_TIFF_DIRECTORY = "0300000103000100000028230000010103000100000028230000150103000100000003000000"
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uploaded files as stored: one per order, a literal image file chosen by a rule on the key."""
+    return stored(spark, "uploads", sf_dir, _uploads)
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    # The counts depend on the key, so that no 70 kB literal is folded into the plan.
+    zeros = lambda n: F.repeat(F.lit("00"), F.when(k.isNotNull(), F.lit(n)))
+    late_jpeg = F.concat(F.lit("FFD8FFE1FFFF"), zeros(65533), F.lit("FFE21388"), zeros(4998),
+                         F.lit("FFC00011082328232803"), zeros(12))
+    late_tiff = F.concat(F.lit("49492A0078110100"), zeros(70000), F.lit(_TIFF_DIRECTORY + "00000000"))
+    content = (
+        F.when(k % 64 == 7, late_jpeg)
+        .when(k % 64 == 15, late_tiff)
+        .when(k % 8 == 0, F.lit(_PNG + "0000000D49484452" + "0000000300000002" + "0802000000" + "00000000"))
+        .when(k % 8 == 1, F.lit(b"this is not an image at all".hex()))
+        .when(k % 8 == 2, F.lit(_PNG + "0000000D49484452" + "0000"))
+        .when(k % 8 == 3, F.lit(_PNG + "0000000D49484452" + "FFFFFFFF00000001" + "0802000000" + "00000000"))
+        .when(k % 8 == 4, F.lit("FFD8FFFFFFE00010" + "00" * 14 + "FFC0001108000A000A03" + "00" * 12))
+        .when(k % 8 == 5, F.lit("474946383961" + "0A000A00" + "00" * 8))
+        .when(k % 8 == 6, F.lit("424D" + "00" * 12 + "28000000" + "D0070000D0070000" + "01001000" + "00" * 24))
+    )
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.unhex(content).alias("content"), content.isNull().alias("missing")
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-generation requests: user turns of the conversations, with blank prompts and mixed sources."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")

@@ -68,13 +68,14 @@ def ocr_files(files: DataFrame, make_backend: Callable[[], I.Backend], settings:
               max_mb: float = 10, accepted=VALIDATION_FORMATS) -> DataFrame:
     """Uploaded files (``binaryFile`` rows, batch or stream) -> header facts -> triage -> OCR.
 
-    One row per file: the status and error class of the checks (format, decoded size), and the
+    One row per file: the status and error class of the checks (decodable, format, size), and the
     result envelope. A rejected file becomes an error row without a model call, and its bytes
     are not sent to Python. Works the same on a batch scan and on a stream.
     """
     facts = header_facts(files.select("path", "content"))
     f = F.col("facts")
-    status, error_class = TR.status_of(F.lit(False), f["format"], f["width"], f["height"], f["bands"], max_mb, accepted)
+    status, error_class = TR.status_of(F.lit(False), f["format"], f["width"], f["height"], f["bands"], max_mb, accepted,
+                                    F.col("decodable"))
     staged = facts.select(
         "path",
         status.alias("status"),

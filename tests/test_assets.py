@@ -79,3 +79,18 @@ def test_fetch_spreads_a_hot_host_unless_bounded(spark):
     spread = assets.fetch_assets(df, _fake_fetch)
     assert spread.where("error is null").count() == 200 and tasks(spread) > 4
     assert tasks(assets.fetch_assets(df, _fake_fetch, host_slots=2)) <= 2
+
+
+def test_undecodable_and_late_headers(spark):
+    jpeg_late = b"\xff\xd8" + b"\xff\xe1\xff\xff" + b"\0" * 65533 + b"\xff\xff\xff\xc0\0\x11\x08\x23\x28\x23\x28\x03" + b"\0" * 12
+    tiff_bad = b"II*\0" + struct.pack("<I", 10**9) + b"\0" * 70000
+    rows = [(1, b"junk that is no image"), (2, tiny_png(3, 2)[:20]), (3, jpeg_late), (4, tiff_bad), (5, b""), (6, None),
+            (7, tiny_png(3, 2)[:16] + b"\xff" * 8 + b"\x08\x02\0\0\0"), (8, tiny_png(3, 2)[:16] + b"\0" * 8 + b"\x08\x02\0\0\0")]
+    df = spark.createDataFrame([(i, bytearray(b) if b is not None else None) for i, b in rows], "id long, content binary")
+    got = {r.id: r for r in assets.header_facts(df).collect()}
+    assert {i: r.decodable for i, r in got.items()} == {1: False, 2: False, 3: True, 4: False, 5: False, 6: False, 7: True, 8: False}
+    assert got[3].facts.width == 9000 and got[7].facts.width == 2**32 - 1
+    bmp = {bpp: b"BM" + b"\0" * 12 + struct.pack("<IiiHH", 40, 7, -5, 1, bpp) + b"\0" * 24 for bpp in (8, 16, 24, 32)}
+    facts = assets.header_facts(spark.createDataFrame([(k, bytearray(v)) for k, v in bmp.items()], "id long, content binary"))
+    assert {r.id: (r.facts.width, r.facts.height, r.facts.bands) for r in facts.collect()} == {
+        8: (7, 5, 1), 16: (7, 5, 3), 24: (7, 5, 3), 32: (7, 5, 3)}
