@@ -29,13 +29,22 @@ def looks_like_object(c) -> Column:
 def parse_object(c, strip_fence: bool = True) -> Column:
     """Lenient parse of a JSON object into ``map<string,string>``; NULL when it is not an object.
 
-    Nested values come back as their JSON text, JSON ``null`` as NULL, duplicate keys keep the
-    last value (Spark ``from_json`` semantics).
+    Nested values come back as their JSON text and JSON ``null`` as NULL. A repeated key is in the
+    map as often as in the text: see :func:`last_wins`.
     """
     text = fence_strip(c) if strip_fence else as_col(c)
     return F.when(looks_like_object(text), F.from_json(text, STRING_MAP))
 
 
+def last_wins(c) -> Column:
+    """A parsed map with each repeated key reduced to its last value (give it a column, not a parse)."""
+    m = as_col(c)
+    keys, entries = F.map_keys(m), F.map_entries(m)
+    later = lambda e, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"])
+    kept = F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), kept).otherwise(m)
+
+
 def raw_valid_json(c) -> Column:
     """The raw text (no fence stripping) is a JSON object."""
     return F.coalesce(parse_object(c, strip_fence=False).isNotNull(), F.lit(False))

@@ -16,6 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import media_type, suffix
 from ..functions.text import iso_text
 from ..schemas import Settings
 from . import inference as I
@@ -48,15 +49,24 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     request as JSON text (model, max_tokens, messages), as a remote model API would.
     ``timestamp`` is the answer's time as naive ISO text in the session time zone (result rows
     record local time without a zone); ``execution_time`` is the model call alone, in seconds.
+    A failed call, an unsupported file type and a missing truth give rows without scores, with
+    ``score_error`` set, so that outages do not count as wrong answers.
     """
     context = [c for c in ("tags", "notes") if c in cases.columns]
     grid = run_grid(cases, runs)
     block = content_block(F.col(content_col), F.col(path_col))
     request = I.build_request(block, F.col("prompt"), F.col("model"), settings.api_max_tokens)
-    staged = grid.select(key, "model", "prompt_version", expected_col, *context, F.to_json(request).alias("request"))
+    # A file type the API does not take never reaches the model.
+    unsupported = F.when(
+        media_type(F.col(path_col)).isNull(),
+        F.concat(F.lit("Unsupported file type '"), F.lower(suffix(F.col(path_col))), F.lit("'")),
+    )
+    staged = grid.select(key, "model", "prompt_version", expected_col, *context,
+                         F.when(unsupported.isNull(), F.to_json(request)).alias("request"), unsupported.alias("unsupported"))
     answered = I.run_batch(staged, make_client, "request", [key, "model", "prompt_version"], settings, slots=slots,
-                           carry=[expected_col, *context])
-    scored = with_scores(answered.withColumnRenamed("text", "generated"), expected_col, "generated", fields)
+                           carry=[expected_col, *context], skip_col="unsupported")
+    scored = with_scores(answered.withColumnRenamed("text", "generated"), expected_col, "generated", fields,
+                         failed=~F.col("success"))
     return scored.select(
         key,
         F.lit(doc).alias("doc"),
@@ -69,6 +79,7 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
         "correct_fields_reason",
         "format_compliance",
         "format_compliance_reason",
+        "score_error",
         F.col(expected_col).alias("expected"),
         "generated",
         "success",

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import posexplode_rows
-from ..functions.jsontext import parse_object
+from ..functions.jsontext import last_wins, parse_object, parse_object_strict
 from ..functions.text import fence_strip, is_fenced
 from ..schemas import FIELD_RULES
 
@@ -45,31 +45,38 @@ def _verdicts(e: Column, g: Column) -> Column:
     return F.transform(F.map_keys(e), one)
 
 
-def with_scores(df: DataFrame, expected: str = "expected", generated: str = "generated",
-                fields: Sequence[str] | None = None) -> DataFrame:
-    """Add ``correct_fields`` (J1), ``format_compliance`` (J2) and their reasons.
+# Why a row has no scores.
+MISSING_TRUTH, FAILED_CALL = "missing_truth", "failed_call"
+
 
-    ``fields``: the document kind's field list, when known. The per-field verdicts are then
-    plain CASE expressions over map lookups (compiled by whole-stage codegen); without it the
-    verdicts iterate over each expected object's own keys with higher-order functions, which
-    Spark evaluates interpreted. Fields absent from an expected object are skipped either way.
+def with_scores(df: DataFrame, expected: str = "expected", generated: str = "generated",
+                fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False) -> DataFrame:
+    """Add ``correct_fields`` (J1), ``format_compliance`` (J2), their reasons (J4) and ``score_error``.
+
+    ``fields``: the document kind's field list, when known. Their verdicts are then plain CASE
+    expressions over map lookups; expected keys outside the list are scored as well, by the
+    generic way, so both ways score every expected key. ``failed`` marks rows whose model call
+    failed: they, and rows without a ground-truth object, are not scorable (NULL scores and a
+    ``score_error``), which is not the same as wrong. ``strict``: the answer must be one JSON text
+    (Python's parser), with nothing after it.
     """
-    out = with_verdicts(df, expected, generated, fields)
+    out = with_verdicts(df, expected, generated, fields, failed, strict)
     return out.drop("_e", "_g", "_verdicts", *[c for c in out.columns if c.startswith(("_v_", "_ev_", "_gv_"))])
 
 
-def _parsed(df: DataFrame, expected: str, generated: str) -> DataFrame:
+def _parsed(df: DataFrame, expected: str, generated: str, strict: bool = False) -> DataFrame:
     # The stripped text is its own column: referenced three times by the parse, it is then
     # computed once instead of being inlined into each reference.
     staged = df.withColumn("_gtext", fence_strip(F.col(generated)))
     e = parse_object(F.col(expected), strip_fence=False)
-    g = parse_object(F.col("_gtext"), strip_fence=False)
-    return staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
+    g = parse_object_strict(F.col("_gtext")) if strict else parse_object(F.col("_gtext"), strip_fence=False)
+    staged = staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
+    return staged.withColumns({"_e": last_wins("_e"), "_g": last_wins("_g")})
 
 
 def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "generated",
-                  fields: Sequence[str] | None = None) -> DataFrame:
-    staged = _parsed(df, expected, generated)
+                  fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False) -> DataFrame:
+    staged = _parsed(df, expected, generated, strict)
     e, g = F.col("_e"), F.col("_g")
     if fields:
         lookups = {}
@@ -81,15 +88,24 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
             {f"_v_{f}": F.when(F.col(f"_ev_{f}").isNotNull(), verdict(F.col(f"_ev_{f}"), F.col(f"_gv_{f}"))) for f in fields}
         )
         vcols = [(f, F.col(f"_v_{f}")) for f in fields]
+        # Expected keys outside the list (none, for well-formed truths) go the generic way.
+        others = F.map_filter(e, lambda k, _: ~k.isin(list(fields)))
+        staged = staged.withColumn("_v_others", F.when(F.size(e) > 0, _verdicts(others, g)))
+        rest = F.coalesce(F.col("_v_others"), F.array().cast(staged.schema["_v_others"].dataType))
         n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
-        fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols])
+        n_correct = n_correct + F.size(F.filter(rest, lambda x: x["verdict"] == CORRECT))
+        named = F.array_compact(F.transform(rest, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])))
+        fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols], named)
         # Entries for fields the expected object lacks have a NULL verdict; explode_verdicts drops them.
-        verdicts = F.array(
-            *[
-                F.struct(F.lit(f).alias("field"), F.col(f"_ev_{f}").alias("expected"),
-                         F.col(f"_gv_{f}").alias("generated"), vc.alias("verdict"))
-                for f, vc in vcols
-            ]
+        verdicts = F.concat(
+            F.array(
+                *[
+                    F.struct(F.lit(f).alias("field"), F.col(f"_ev_{f}").alias("expected"),
+                             F.col(f"_gv_{f}").alias("generated"), vc.alias("verdict"))
+                    for f, vc in vcols
+                ]
+            ),
+            rest,
         )
     else:
         staged = staged.withColumn("_verdicts", _verdicts(e, g))
@@ -112,13 +128,18 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
             )
         )
     )
+    error = F.when(F.coalesce(failed, F.lit(False)), F.lit(FAILED_CALL)) if failed is not None else None
+    missing = e.isNull()
+    error = F.when(missing, F.lit(MISSING_TRUTH)) if error is None else error.when(missing, F.lit(MISSING_TRUTH))
+    scorable = error.isNull()
     return staged.withColumns(
         {
-            "_verdicts": verdicts,
-            "correct_fields": F.when(g.isNull(), F.lit(0.0)).otherwise(n_correct.cast("double")),
-            "correct_fields_reason": fields_reason,
-            "format_compliance": F.when(same_keys, F.lit("correct")).otherwise(F.lit("incorrect")),
-            "format_compliance_reason": format_reason,
+            "_verdicts": F.when(scorable, verdicts),
+            "correct_fields": F.when(scorable, F.when(g.isNull(), F.lit(0.0)).otherwise(n_correct.cast("double"))),
+            "correct_fields_reason": F.when(scorable, fields_reason),
+            "format_compliance": F.when(scorable, F.when(same_keys, F.lit("correct")).otherwise(F.lit("incorrect"))),
+            "format_compliance_reason": F.when(scorable, format_reason),
+            "score_error": error,
         }
     )
 
@@ -147,7 +168,7 @@ def field_verdicts(df: DataFrame, keys: Sequence[str] = ("id", "model", "prompt_
         *keys,
         parse_object(F.col(expected), strip_fence=False).alias("_e"),
         parse_object(F.col("_gtext"), strip_fence=False).alias("_g"),
-    )
+    ).select(*keys, last_wins("_e").alias("_e"), last_wins("_g").alias("_g"))
     exploded = posexplode_rows(staged, [*keys, "_g"], F.map_entries("_e"), value="kv")
     ev = F.col("kv.value")
     gv = F.when(F.col("_g").isNotNull(), F.try_element_at(F.col("_g"), F.col("kv.key")))

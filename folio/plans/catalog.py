@@ -61,6 +61,25 @@ def score_format(spark, sf):
     return td.scored_table(spark, sf).select("id", "format_compliance")
 
 
+@query
+def score_errors(spark, sf):
+    """J1 / J2 on rows that cannot be scored: missing truths and failed calls are errors, not zeros."""
+    k = F.col("id")
+    r = td.results(spark, sf).withColumn("expected", F.when(k % 31 != 0, F.col("expected")))
+    out = S.with_scores(r, fields=td.CIN_FIELDS[:5], failed=k % 37 == 0)  # the other three keys are scored, too
+    return out.select("id", "correct_fields", "format_compliance", "score_error")
+
+
+@query
+def score_strict(spark, sf):
+    """J1 / J2 with the strict parser: text after the object makes the answer no JSON."""
+    k = F.col("id")
+    more = F.concat(F.col("generated"), F.lit(' and {"x": "y"}'))
+    r = td.results(spark, sf).withColumn("generated", F.when(k % 10 == 1, more).otherwise(F.col("generated")))
+    out = S.with_scores(r, strict=True)
+    return out.select("id", "correct_fields", "format_compliance", "format_compliance_reason")
+
+
 @query
 def fence_strip(spark, sf):
     return S.fence_report(td.scored_table(spark, sf)).drop("stripped_length")

@@ -188,6 +188,16 @@ FROM s WHERE doc = 'cin' GROUP BY model, prompt_version"""
 
 ORACLES["score_fields"] = _w(BASE) + "SELECT id, cf AS correct_fields FROM s"
 ORACLES["score_format"] = _w(BASE) + "SELECT id, fc AS format_compliance FROM s"
+ORACLES["score_errors"] = _w(BASE) + """
+SELECT id, CASE WHEN e IS NULL THEN cf END AS correct_fields, CASE WHEN e IS NULL THEN fc END AS format_compliance,
+  e AS score_error
+FROM (SELECT *, CASE WHEN k % 37 = 0 THEN 'failed_call' WHEN k % 31 = 0 THEN 'missing_truth' END AS e FROM s)"""
+ORACLES["score_strict"] = _w(BASE) + """
+SELECT id, CASE WHEN k % 10 = 1 THEN 0.0 ELSE cf END AS correct_fields,
+  CASE WHEN k % 10 = 1 THEN 'incorrect' ELSE fc END AS format_compliance,
+  CASE WHEN k % 10 = 1 OR k % 29 = 0 THEN 'not a JSON object' WHEN k % 17 = 0 THEN 'missing: nom; extra: ' ELSE '' END
+    AS format_compliance_reason
+FROM s"""
 ORACLES["fence_strip"] = _w(BASE) + """
 SELECT id, (k % 2 = 0 AND k % 29 <> 0) AS fenced, (k % 2 = 1 AND k % 29 <> 0) AS raw_valid_json,
   (k % 29 <> 0) AS stripped_valid_json FROM s"""

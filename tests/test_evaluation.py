@@ -55,7 +55,8 @@ def test_failing_calls_are_error_rows_and_runs_reach_the_sink(spark):
     out = EV.evaluation_run(_cases(spark), RUNS, BrokenClient, fields=list(TRUTH))
     rows = {(r.id, r.model): r for r in out.collect()}
     bad = rows[("c1", "reader-sloppy")]
-    assert bad.success is False and "TimeoutError" in bad.error and bad.correct_fields == 0.0
+    assert bad.success is False and "TimeoutError" in bad.error
+    assert bad.correct_fields is None and bad.format_compliance is None and bad.score_error == "failed_call"
     assert rows[("c1", "reader-exact")].success
     folder = os.path.join(tempfile.mkdtemp(prefix="eval-"), "runs")
     sinks.write_run_files(out, folder)
@@ -68,3 +69,12 @@ def test_failing_calls_are_error_rows_and_runs_reach_the_sink(spark):
 def test_grid_is_a_generator_not_a_join(spark):
     plan = EV.run_grid(_cases(spark), RUNS)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "Join" not in plan and "CartesianProduct" not in plan
+
+
+def test_unsupported_types_and_missing_truths_have_no_scores(spark):
+    cases = _cases(spark).select("id", F.when(F.col("id") == "c1", "a.docx").otherwise("b.png").alias("in"), "content",
+                                 F.when(F.col("id") == "c1", F.col("expected")).alias("expected"), "tags")
+    rows = {r.id: r for r in EV.evaluation_run(cases, RUNS[:1], EV.CardReaderClient, fields=list(TRUTH)).collect()}
+    assert rows["c1"].success is False and ".docx" in rows["c1"].error and rows["c1"].score_error == "failed_call"
+    assert rows["c2"].success and rows["c2"].score_error == "missing_truth"
+    assert {r.correct_fields for r in rows.values()} == {r.format_compliance for r in rows.values()} == {None}

@@ -210,3 +210,16 @@ def test_parse_timestamp_forms(spark):
     df = spark.createDataFrame([("2026-03-08T21:05:26.544783",), ("2026-03-08T21:05:36",), ("2026-03-08 01:02:03",), ("bad",), (None,)], "t string")
     got = [r[0] for r in df.select(A.parse_timestamp(F.col("t")).cast("string")).collect()]
     assert got == ["2026-03-08 21:05:26.544783", "2026-03-08 21:05:36", "2026-03-08 01:02:03", None, None]
+
+
+def test_last_duplicate_key_wins_and_other_keys_count(spark):
+    rows = [(1, '{"a":"x"}', '{"a":"z","a":"x"}'), (2, '{"a":"x","b":"y"}', '{"a":"x","b":"y"}'), (3, None, '{"a":"x"}'),
+            (4, '{"a":"x"}', '{"a":"x"} and {"b":"y"}')]
+    df = spark.createDataFrame(rows, "id long, expected string, generated string")
+    for fields in (None, ["a"]):
+        got = {r.id: r for r in S.with_scores(df, fields=fields).collect()}
+        assert got[1].correct_fields == 1.0 and got[1].format_compliance == "correct"
+        assert got[2].correct_fields == 2.0 and got[2].correct_fields_reason == "a=correct, b=correct"
+        assert got[3].correct_fields is None and got[3].format_compliance is None and got[3].score_error == "missing_truth"
+    strict = {r.id: r for r in S.with_scores(df, strict=True).collect()}
+    assert strict[4].correct_fields == 0.0 and strict[4].format_compliance == "incorrect" and strict[1].correct_fields == 1.0
