@@ -87,8 +87,10 @@ class FilterSpec:
     score_col: str = "correct_fields"
     verdict_col: str = "format_compliance"
 
-    def predicates(self, columns: Sequence[str]) -> list[Column]:
-        cols = set(columns)
+    def predicates(self, columns: Sequence[str], types: dict[str, str] | None = None) -> list[Column]:
+        """One predicate per filter. With the column types (``dict(df.dtypes)``) typed columns are
+        compared as they are, so that the comparisons reach the scan."""
+        cols, types = set(columns), types or {}
         out: list[Column] = []
         if self.models:
             out.append(F.col("model").isin(list(self.models)))
@@ -97,9 +99,17 @@ class FilterSpec:
         if self.prompt_versions and "prompt_version" in cols:
             out.append(F.col("prompt_version").isin(list(self.prompt_versions)))
         if self.tags and "tags" in cols:
-            out.append(has_any_tag(F.col("tags"), self.tags, self.tag_mode))
+            # A table that stores the parsed tags needs no parse per row and query.
+            parsed = self.tag_mode == "json" and types.get("tag_list") == "array<string>"
+            wanted = F.array(*[F.lit(t) for t in self.tags])
+            out.append(
+                F.coalesce(F.arrays_overlap(F.col("tag_list"), wanted), F.lit(False))
+                if parsed
+                else has_any_tag(F.col("tags"), self.tags, self.tag_mode)
+            )
         if self.timestamp_col in cols and (self.start_date or self.end_date):
-            ts = parse_timestamp(F.col(self.timestamp_col))
+            typed = types.get(self.timestamp_col) == "timestamp_ntz"
+            ts = F.col(self.timestamp_col) if typed else parse_timestamp(F.col(self.timestamp_col))
             # Bounds are naive (TIMESTAMP_NTZ) literals: comparing with a Python datetime would
             # bring the session and driver time zones in.
             if self.start_date:
@@ -108,9 +118,15 @@ class FilterSpec:
                 # Inclusive of midnight of the next day: ts <= end + 1 day.
                 out.append(ts <= _ntz_literal(self.end_date) + F.make_dt_interval(F.lit(1)))
         if self.ncorrect_min is not None and self.score_col in cols:
-            out.append(_nan_to_null(F.col(self.score_col)) >= F.lit(float(self.ncorrect_min)))
+            # NaN is larger than any number here, so the lower bound excludes it by a second
+            # conjunct; the comparison itself stays on the bare column.
+            x = F.col(self.score_col)
+            x = x if types.get(self.score_col, "double") == "double" else x.cast("double")
+            out += [x >= F.lit(float(self.ncorrect_min)), ~F.isnan(x)]
         if self.ncorrect_max is not None and self.score_col in cols:
-            out.append(_nan_to_null(F.col(self.score_col)) <= F.lit(float(self.ncorrect_max)))
+            x = F.col(self.score_col)
+            x = x if types.get(self.score_col, "double") == "double" else x.cast("double")
+            out.append(x <= F.lit(float(self.ncorrect_max)))
         if self.format_compliance and self.verdict_col in cols:
             out.append(F.col(self.verdict_col).isin(list(self.format_compliance)))
         return out
@@ -121,7 +137,7 @@ class FilterSpec:
         return reduce(operator.and_, preds) if preds else F.lit(True)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        preds = self.predicates(df.columns)
+        preds = self.predicates(df.columns, dict(df.dtypes))
         return df.where(reduce(operator.and_, preds)) if preds else df
 
 
@@ -270,16 +286,17 @@ def reason_bullets(df: DataFrame, key_col: str = "id") -> DataFrame:
     The bullet list stays distributed (one row per line, ordered by ``metric, key``); a sink
     writes it as text. Nothing is gathered into one row, so the list can be any length.
     """
-    parts = [
-        df.select(
-            F.lit(metric).alias("metric"),
-            F.col(key_col),
-            F.concat(F.lit("- "), F.col(reason).cast("string")).alias("line"),
-        ).where(F.col(reason).isNotNull() & (py_strip(F.col(reason).cast("string")) != ""))
+    pairs = [
+        F.struct(F.lit(metric).alias("metric"), F.col(reason).cast("string").alias("reason"))
         for metric, reason in REASON_COLUMNS.items()
         if reason in df.columns
     ]
-    return reduce(DataFrame.unionByName, parts)
+    # One scan: the reasons of a row are unpivoted by a generator.
+    rows = df.select(F.col(key_col), F.explode(F.array(*pairs)).alias("r"))
+    said = F.col("r.reason")
+    return rows.where(said.isNotNull() & (py_strip(said) != "")).select(
+        F.col("r.metric").alias("metric"), F.col(key_col), F.concat(F.lit("- "), said).alias("line")
+    )
 
 
 def summary_prompt(metric_name: str) -> str:
@@ -299,8 +316,8 @@ NO_DATA = "No data to summarize."
 NO_REASONS = "No reasons available to summarize."
 
 
-def top_mistakes(verdicts: DataFrame, k: int = 3, by: str = "model") -> DataFrame:
-    """The most frequent non-correct (field, verdict) pairs per model.
+def top_mistakes(verdicts: DataFrame, k: int | None = 3, by: str = "model") -> DataFrame:
+    """The most frequent non-correct (field, verdict) pairs per model (``k=None``: all of them).
 
     Aggregate first (partial + final), then rank: the window only sees one row per
     (model, field, verdict), so its partitions stay tiny whatever the input size.
@@ -311,36 +328,44 @@ def top_mistakes(verdicts: DataFrame, k: int = 3, by: str = "model") -> DataFram
         .agg(F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy(by).orderBy(F.col("n").desc(), F.col("field"), F.col("verdict"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = counts.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def format_mistakes(scored: DataFrame, by: str = "model") -> DataFrame:
+    """A20 for the second metric: how often each format reason occurs per model, ranked.
+
+    In the shape of :func:`top_mistakes`: the reason stands in ``verdict``."""
+    reason = F.col("format_compliance_reason")
+    counts = (
+        scored.where(reason.isNotNull() & (py_strip(reason) != ""))
+        .groupBy(by, F.lit("format").alias("field"), reason.alias("verdict"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    w = Window.partitionBy(by).orderBy(F.col("n").desc(), F.col("verdict"))
+    return counts.withColumn("rank", F.row_number().over(w))
 
 
 def summary_status(df: DataFrame) -> DataFrame:
     """Per metric, how many non-blank reasons there are and the message to show instead of
     a summary when there are none (or when the table is empty). One aggregate, no collection."""
-    parts = []
-    for metric, reason in REASON_COLUMNS.items():
-        if reason not in df.columns:
-            continue
-        text = F.col(reason).cast("string")
-        nonblank = F.when(text.isNotNull() & (py_strip(text) != ""), 1).otherwise(0)
-        parts.append(
-            df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(nonblank).alias("n_reasons")).select(
-                F.lit(metric).alias("metric"),
-                F.coalesce(F.col("n_reasons"), F.lit(0)).cast("bigint").alias("n_reasons"),
-                F.when(F.col("n_rows") == 0, F.lit(NO_DATA))
-                .when(F.coalesce(F.col("n_reasons"), F.lit(0)) == 0, F.lit(NO_REASONS))
-                .alias("message"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    known = {m: r for m, r in REASON_COLUMNS.items() if r in df.columns}
+    said = {m: F.col(r).cast("string") for m, r in known.items()}
+    counts = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(t.isNotNull() & (py_strip(t) != "")).alias(m) for m, t in said.items()],
+    )
+    pairs = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in known]
+    rows = counts.select("n_rows", F.explode(F.array(*pairs)).alias("r"))
+    message = F.when(F.col("n_rows") == 0, F.lit(NO_DATA)).when(F.col("r.n") == 0, F.lit(NO_REASONS))
+    return rows.select("r.metric", F.col("r.n").cast("bigint").alias("n_reasons"), message.alias("message"))
 
 
 def mistake_prompts(top: DataFrame, metric_name: str = "correct_fields", by: str = "model") -> DataFrame:
-    """One summary prompt per model from its top-k mistakes (at most k lines per
-    group, so the collected list is bounded by k, not by the data)."""
+    """One summary prompt per model from its counted mistakes (as many lines as there are
+    different mistakes, not as there are rows)."""
     line = F.concat(F.lit("- "), F.col("field"), F.lit(": "), F.col("verdict"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
     grouped = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("items"))
     bullets = F.array_join(F.transform(F.col("items"), lambda x: x["line"]), "\n")
-    has = F.size(F.col("items")) > 0
-    prompt = F.when(has, F.concat(F.lit(summary_prompt(metric_name)), bullets, F.lit("\n\nSummary:")))
-    return grouped.select(by, prompt.alias("prompt"), F.when(~has, F.lit(NO_REASONS)).alias("message"))
+    prompt = F.concat(F.lit(summary_prompt(metric_name)), bullets, F.lit("\n\nSummary:"))
+    return grouped.select(by, prompt.alias("prompt"))

@@ -146,7 +146,7 @@ class OutlineBackend(BaseBackend):
 
     def _generate(self, prompt, settings):
         bullets = [ln[2:] for ln in str(prompt).splitlines() if ln.startswith("- ")]
-        return "# Summary\n" + "\n".join(f"## {b}" for b in bullets[:3])
+        return "# Summary\n" + "\n".join(f"## {b}" for b in bullets)
 
 
 class FailingBackend(BaseBackend):

@@ -6,6 +6,7 @@ aliased to the names the SQL oracles use; doubles are rounded and counts are ``b
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ QUERIES: dict[str, Query] = {}
 MODELS = ["m0", "m1", "m2"]
 VERSIONS = ["v1", "v2"]
 DATASET_DIR = "/data/cin"
+PAGE_AFTER = dt.datetime(1996, 1, 1)
 RUN_EPOCH = 1772928000  # 2026-03-08 00:00:00 UTC in epoch seconds
 
 
@@ -156,7 +158,7 @@ def filter_tags_any(spark, sf):
 
 @query
 def filter_dates(spark, sf):
-    spec = A.FilterSpec(start_date="1996-01-01", end_date="1997-12-31", timestamp_col="timestamp_text")
+    spec = A.FilterSpec(start_date="1996-01-01", end_date="1997-12-31", timestamp_col="ts_parsed")
     return spec.apply(td.scored_table(spark, sf)).select("id", "timestamp_text")
 
 
@@ -178,7 +180,7 @@ def filter_all(spark, sf):
         ncorrect_min=6,
         ncorrect_max=None,
         format_compliance=("correct",),
-        timestamp_col="timestamp_text",
+        timestamp_col="ts_parsed",
         score_col="judge_fields",
         verdict_col="judge_format",
     )
@@ -461,14 +463,14 @@ def first_text_block(spark, sf):
 
 def _envelopes(spark, sf) -> DataFrame:
     x = td.exchanges(spark, sf)
-    failed = (F.col("conv_id") + F.col("turn")) % 7 == 0
+    failed = ((F.col("conv_id") + F.col("turn")) % 7 == 0) | F.col("answer").isNull()
     env = I.result_envelope(
         F.when(failed, F.lit("")).otherwise(F.col("answer")),
         F.lit("text-model"),
-        F.round(F.length("answer") / 1000.0, 3),
+        F.round(F.coalesce(F.length("answer"), F.lit(0)) / 1000.0, 3),
         F.timestamp_seconds(F.lit(RUN_EPOCH) + F.col("conv_id")),  # an instant, as the envelope's time is
         F.lit("cpu"),
-        F.when(failed, F.lit("timeout")),
+        F.when(F.col("answer").isNull(), F.lit("no answer")).when(failed, F.lit("timeout")),
     )
     return x.select("conv_id", "turn", env.alias("env"))
 
@@ -526,19 +528,23 @@ def build_request(spark, sf):
     m = td.manifest(spark, sf)
     p = F.col("in")
     from ..functions.paths import media_type as mt
+    from ..functions.paths import suffix
 
     blk = F.when(mt(p).isNotNull(), TR.content_block(F.encode(F.col("in"), "UTF-8"), p))
     req = F.when(blk.isNotNull(), I.build_request(blk, F.lit("Extract the fields as JSON."), F.lit("m0")))
-    r = m.select("id", req.alias("req"))
+    # An unsupported file gives an error row, not a missing one.
+    error = F.when(mt(p).isNull(), F.concat(F.lit("Unsupported file type '"), F.lower(suffix(p)), F.lit("'")))
+    r = m.select("id", req.alias("req"), error.alias("error"))
     content = F.col("req.messages")[0]["content"]
     return r.select(
         "id",
-        F.size(content).cast("bigint").alias("n_blocks"),
+        F.when(F.col("req").isNotNull(), F.size(content).cast("bigint")).alias("n_blocks"),
         content[0]["type"].alias("file_block_type"),
         content[0]["source"]["media_type"].alias("media_type"),
         content[1]["type"].alias("prompt_block_type"),
         F.col("req.max_tokens").alias("max_tokens"),
-    ).where(F.col("req").isNotNull())
+        "error",
+    )
 
 
 @query
@@ -596,6 +602,7 @@ def _detail_of_page(s: DataFrame, keys: DataFrame) -> DataFrame:
                  F.lit("  |  model: "), F.coalesce("model", F.lit("—")), F.lit("  |  correct_fields: "),
                  F.coalesce(F.col("correct_fields").cast("string"), F.lit("—"))).alias("header"),
         F.coalesce("correct_fields_reason", F.lit("")).alias("correct_fields_reason"),
+        F.coalesce("format_compliance_reason", F.lit("")).alias("format_compliance_reason"),
         pj(F.col("expected")).alias("expected_pretty"),
         pj(F.col("generated")).alias("generated_pretty"),
     )
@@ -608,7 +615,7 @@ def infer_text(spark, sf):
     out = I.run_batch(r, I.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens", carry=["prompt"])
     return out.select(
         "req_id", "model_id", "success", "error", fn.strip_echo(F.col("text"), F.col("prompt")).alias("answer"),
-        "inference_time_seconds",
+        (F.col("inference_time_seconds") >= 0).alias("timed"),
     )
 
 
@@ -666,8 +673,26 @@ def judge_run(spark, sf):
 
 @query
 def mistake_summary(spark, sf):
-    """A20 with a model: top mistakes per model -> summary prompt -> backend -> headings demoted."""
-    top = A.top_mistakes(S.explode_verdicts(td.scored_table(spark, sf)), k=3)
-    p = A.mistake_prompts(top)
-    out = I.run_batch(p.where(F.col("prompt").isNotNull()), I.OutlineBackend, "prompt", ["model"])
-    return out.select("model", "success", fn.demote_headings(F.col("text")).alias("summary"))
+    """A20 with a model: all counted mistakes per model and metric -> prompt -> backend -> headings demoted."""
+    scored = td.scored_table(spark, sf)
+    found = {
+        "correct_fields": A.top_mistakes(S.explode_verdicts(scored), k=None),
+        "format_compliance": A.format_mistakes(scored),
+    }
+    prompts = [A.mistake_prompts(top, metric).withColumn("metric", F.lit(metric)) for metric, top in found.items()]
+    out = I.run_batch(prompts[0].unionByName(prompts[1]), I.OutlineBackend, "prompt", ["model", "metric"])
+    return out.select("model", "metric", "success", fn.demote_headings(F.col("text")).alias("summary"))
+
+
+@query
+def summary_status(spark, sf):
+    """Reasons per metric and the message that replaces a summary when there are none."""
+    return A.summary_status(td.scored_table(spark, sf))
+
+
+@query
+def table_page_after(spark, sf):
+    """A17 for deep pages: the page after a given last row (keyset), not an offset."""
+    s = td.scored_table(spark, sf)
+    page = A.table_page_after(s, (PAGE_AFTER, 0), page_size=25)
+    return _as_text_ts(page.select("id", "timestamp", "model"))

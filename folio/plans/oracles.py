@@ -158,8 +158,8 @@ rq AS (
 EXCHANGES = """
 x AS (
   SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS answer
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant'
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'
 )"""
 
 PAGES = f"""
@@ -413,20 +413,21 @@ SELECT conv_id, turn,
        WHEN 1 THEN '  ' || answer || ' ' ELSE answer END AS cleaned
 FROM x"""
 ORACLES["first_text_block"] = _w(EXCHANGES) + """
-SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN answer ELSE '' END AS first_text FROM x"""
+SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN coalesce(answer, '') ELSE '' END AS first_text FROM x"""
 ORACLES["result_envelope"] = _w(EXCHANGES) + """
 SELECT conv_id, turn, 'text-model' AS model_id,
-  CAST(CASE WHEN (conv_id + turn) % 7 = 0 THEN 0 ELSE length(answer) END AS BIGINT) AS n_chars,
-  (conv_id + turn) % 7 <> 0 AS success,
-  CASE WHEN (conv_id + turn) % 7 = 0 THEN 'timeout' END AS error
+  CAST(CASE WHEN (conv_id + turn) % 7 = 0 THEN 0 ELSE coalesce(length(answer), 0) END AS BIGINT) AS n_chars,
+  (conv_id + turn) % 7 <> 0 AND answer IS NOT NULL AS success,
+  CASE WHEN answer IS NULL THEN 'no answer' WHEN (conv_id + turn) % 7 = 0 THEN 'timeout' END AS error
 FROM x"""
 ORACLES["result_json"] = _w(EXCHANGES) + """
 SELECT conv_id, turn, md5(
-  '{"text":' || to_json(CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE answer END)::VARCHAR
-  || ',"model_id":"text-model","inference_time_seconds":' || CAST(round(length(answer) / 1000.0, 3)::DOUBLE AS VARCHAR)
+  '{"text":' || to_json(CASE WHEN (conv_id + turn) % 7 = 0 THEN '' ELSE coalesce(answer, '') END)::VARCHAR
+  || ',"model_id":"text-model","inference_time_seconds":' || CAST(round(coalesce(length(answer), 0) / 1000.0, 3)::DOUBLE AS VARCHAR)
   || ',"timestamp":"' || strftime(TIMESTAMP '2026-03-08 00:00:00' + to_seconds(conv_id), '%Y-%m-%dT%H:%M:%S') || '+00:00"'
-  || ',"device":"cpu","error":' || CASE WHEN (conv_id + turn) % 7 = 0 THEN '"timeout"' ELSE 'null' END
-  || ',"success":' || CASE WHEN (conv_id + turn) % 7 = 0 THEN 'false' ELSE 'true' END || '}') AS json_md5
+  || ',"device":"cpu","error":'
+  || CASE WHEN answer IS NULL THEN '"no answer"' WHEN (conv_id + turn) % 7 = 0 THEN '"timeout"' ELSE 'null' END
+  || ',"success":' || CASE WHEN (conv_id + turn) % 7 = 0 OR answer IS NULL THEN 'false' ELSE 'true' END || '}') AS json_md5
 FROM x"""
 
 ORACLES["prompt_catalog"] = """
@@ -446,12 +447,14 @@ SELECT 'v' || CAST(item_id AS VARCHAR) AS version,
 FROM benchmark"""
 ORACLES["settings_overlay"] = _w(REQUESTS) + "SELECT req_id, coalesce(max_tokens, 4096) AS max_new_tokens FROM rq"
 ORACLES["build_request"] = _w(MANIFEST) + """
-SELECT id, CAST(2 AS BIGINT) AS n_blocks, CASE WHEN sfx = '.pdf' THEN 'document' ELSE 'image' END AS file_block_type,
+SELECT id, CASE WHEN ok THEN CAST(2 AS BIGINT) END AS n_blocks,
+  CASE WHEN ok THEN CASE WHEN sfx = '.pdf' THEN 'document' ELSE 'image' END END AS file_block_type,
   CASE sfx WHEN '.pdf' THEN 'application/pdf' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg'
     WHEN '.png' THEN 'image/png' WHEN '.gif' THEN 'image/gif' WHEN '.webp' THEN 'image/webp' END AS media_type,
-  'text' AS prompt_block_type, 1024 AS max_tokens
-FROM (SELECT id, lower(regexp_extract("in", '[^/](\\.[^./]+)$', 1)) AS sfx FROM m)
-WHERE sfx IN ('.pdf', '.jpg', '.jpeg', '.png', '.gif', '.webp')"""
+  CASE WHEN ok THEN 'text' END AS prompt_block_type, CASE WHEN ok THEN 1024 END AS max_tokens,
+  CASE WHEN NOT ok THEN 'Unsupported file type ''' || sfx || '''' END AS error
+FROM (SELECT *, sfx IN ('.pdf', '.jpg', '.jpeg', '.png', '.gif', '.webp') AS ok
+  FROM (SELECT id, lower(regexp_extract("in", '[^/](\\.[^./]+)$', 1)) AS sfx FROM m))"""
 ORACLES["experiment_grid"] = _w(MANIFEST) + """
 SELECT m.id, g.model, g.prompt_version, 'cin_prompt_' || g.prompt_version || '_' || g.model || '_19700101_000000' AS run_name
 FROM m CROSS JOIN (VALUES ('m0', 'v1'), ('m0', 'v2'), ('m1', 'v1'), ('m1', 'v2'), ('m2', 'v1'), ('m2', 'v2'))
@@ -492,14 +495,25 @@ SELECT id, true AS success,
     AS judge_format,
   (k % 29 <> 0 AND k % 2 <> 0 AND k % 13 = 0) AS out_of_domain
 FROM s"""
+_OUTLINE = (
+    f"'## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} "
+    "ORDER BY n DESC, field, verdict)"
+)
 ORACLES["mistake_summary"] = _w(BASE, VERDICTS) + f"""
-SELECT model, true AS success,
-  '## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} ORDER BY rank)
-    AS summary
-FROM (
-  SELECT model, field, verdict, n, row_number() OVER (PARTITION BY model ORDER BY n DESC, field, verdict) AS rank
-  FROM (SELECT model, field, verdict, count(*) AS n FROM fv WHERE verdict <> 'correct' GROUP BY 1, 2, 3)
-) WHERE rank <= 3 GROUP BY model"""
+SELECT model, 'correct_fields' AS metric, true AS success, {_OUTLINE} AS summary
+FROM (SELECT model, field, verdict, count(*) AS n FROM fv WHERE verdict <> 'correct' GROUP BY 1, 2, 3) GROUP BY model
+UNION ALL
+SELECT model, 'format_compliance', true, {_OUTLINE}
+FROM (SELECT model, 'format' AS field, CASE WHEN k % 29 = 0 THEN 'not a JSON object' ELSE 'missing: nom; extra: ' END AS verdict,
+    count(*) AS n FROM s WHERE k % 29 = 0 OR k % 17 = 0 GROUP BY 1, 2, 3) GROUP BY model"""
+ORACLES["summary_status"] = _w(BASE) + """
+SELECT 'correct_fields' AS metric, count(*) AS n_reasons, CAST(NULL AS VARCHAR) AS message FROM s
+UNION ALL SELECT 'format_compliance', count(*) FILTER (k % 29 = 0 OR k % 17 = 0),
+  CASE WHEN count(*) FILTER (k % 29 = 0 OR k % 17 = 0) = 0 THEN 'No reasons available to summarize.' END FROM s"""
+ORACLES["table_page_after"] = _w(BASE) + """
+SELECT id, CAST(ts AS VARCHAR) AS "timestamp", model FROM s
+WHERE ts IS NULL OR ts < TIMESTAMP '1996-01-01' OR (ts = TIMESTAMP '1996-01-01' AND id > 0)
+ORDER BY ts DESC NULLS LAST, id LIMIT 25"""
 
 
 # Python stages whose output columns are deterministic (no wall-clock column): the test
@@ -521,6 +535,15 @@ SELECT req_id, 'echo-text' AS model_id,
                    || CAST(coalesce(max_tokens, 4096) AS VARCHAR) || ')  ') END AS BIGINT) AS n_chars
 FROM rq"""
 
+ORACLES["infer_text"] = _w(REQUESTS) + f"""
+SELECT req_id, 'echo-text' AS model_id, coalesce(prompt <> '', false) AS success,
+  CASE WHEN prompt IS NULL OR prompt = '' THEN 'ValueError: empty prompt' END AS error,
+  CASE WHEN prompt IS NULL OR prompt = '' THEN ''
+       ELSE 'answer: ' || CAST({WORDS} AS VARCHAR) || ' words (max ' || CAST(coalesce(max_tokens, 4096) AS VARCHAR) || ')' END
+    AS answer,
+  true AS timed
+FROM rq"""
+
 # The evaluation job with the card-reading test client: "reader-exact" copies every printed
 # field; "reader-sloppy" skips initiales and writes dates with '/'. Blank scans (k % 29 = 0)
 # get a refusal; prompt v1 answers are fenced.
@@ -592,6 +615,8 @@ SELECT id,
   'id: ' || CAST(id AS VARCHAR) || '  |  doc: ' || doc || '  |  model: ' || model || '  |  correct_fields: '
     || CAST(cf AS VARCHAR) AS header,
   """ + " || ', ' || ".join(f"'{f}=' || v_{f}" for f in FIELDS) + f""" AS correct_fields_reason,
+  CASE WHEN k % 29 = 0 THEN 'not a JSON object' WHEN k % 17 = 0 THEN 'missing: nom; extra: ' ELSE '' END
+    AS format_compliance_reason,
   {PRETTY_EXPECTED} AS expected_pretty,
   CASE WHEN k % 29 = 0 THEN 'I cannot read this image.' WHEN k % 2 = 0 THEN ({GENERATED_TEXT})
     ELSE {PRETTY_TEXT} END AS generated_pretty

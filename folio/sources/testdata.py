@@ -11,11 +11,14 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.layout import lines_to_layout
+from ..functions.tags import parse_tags
 from ..functions.text import iso_seconds
 from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
+from ..operators.analytics import parse_timestamp
 
 # The eight fields of the identity-card ground truth, in document order.
 CIN_FIELDS = [
@@ -180,6 +183,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored_for_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows with what filters compare parsed once, when the table is written."""
+    parsed = {"ts_parsed": parse_timestamp(F.col("timestamp_text")), "tag_list": parse_tags(F.col("tags"))}
+    return scored(spark, sf_dir).withColumns(parsed)
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -201,12 +210,15 @@ def stored(spark: SparkSession, name: str, sf_dir: str, build, partition_by: tup
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         _STORED[key] = path
-    return spark.read.parquet(path)
+    # Partition values are read as text, never as numbers that look like them.
+    found = spark.read.parquet(path).schema
+    typed = [T.StructField(f.name, T.StringType()) if f.name in partition_by else f for f in found]
+    return spark.read.schema(T.StructType(typed)).parquet(path)
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored results as written by the scoring job, partitioned by run identity."""
-    return stored(spark, "scored", sf_dir, scored, ("doc", "prompt_version", "model"))
+    return stored(spark, "scored", sf_dir, _scored_for_queries, ("doc", "prompt_version", "model"))
 
 
 # Input suffixes of the manifest (two are not accepted by the chat API) and asset formats.
@@ -309,7 +321,7 @@ def ocr_pages(spark: SparkSession, sf_dir: str, lines_per_page: int = 20) -> Dat
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user turn with the assistant turn that follows it.
+    """Each user turn with the assistant turn that follows it, if any.
 
     An equi-join on (conv_id, turn) rather than ``lead`` over a conversation window: the shuffle
     key is near-unique, so one very long conversation spreads over many tasks.
@@ -319,4 +331,5 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
     )
-    return u.join(a, ["conv_id", "turn"], "inner")
+    # A turn without a reply stays: its answer is NULL.
+    return u.join(a, ["conv_id", "turn"], "left")

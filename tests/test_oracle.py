@@ -54,7 +54,7 @@ def test_every_query_has_an_oracle_or_is_python(spark):
     from folio.plans.catalog import QUERIES
 
     rows_only = set(QUERIES) - set(E.oracle_sql())
-    assert rows_only == {"infer_text"}  # its latency column is measured
+    assert not rows_only
     assert {"judge_run", "mistake_summary", "asset_facts", "infer_ocr", "infer_stream", "pretty_json"} <= set(E.oracle_sql())
 
 
