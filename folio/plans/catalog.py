@@ -507,12 +507,13 @@ def prompt_catalog(spark, sf):
 
 @query
 def prompt_render(spark, sf):
+    """S10 with values that hold tokens themselves: they are not filled again."""
     cat = P.catalog_from_texts(td.table(spark, sf, "benchmark"))
     n = F.regexp_extract("version", r"(\d+)", 1)
     values = F.when(
         n.cast("int") % 5 == 0,
-        F.create_map(F.lit("case"), F.concat(F.lit("c"), n)),
-    ).otherwise(F.create_map(F.lit("case"), F.concat(F.lit("c"), n), F.lit("place"), F.lit("Rabat")))
+        F.create_map(F.lit("case"), F.concat(F.lit("{place}"), n)),
+    ).otherwise(F.create_map(F.lit("case"), F.concat(F.lit("{place}"), n), F.lit("place"), F.lit("{case}")))
     out = P.render(cat.withColumn("vars", values), "vars")
     return out.select("version", F.md5("rendered").alias("rendered_md5"), F.array_join("missing_vars", ",").alias("missing_vars"))
 

@@ -438,10 +438,9 @@ FROM benchmark WHERE item_id % 3 IN (0, 1)"""
 ORACLES["prompt_render"] = """
 SELECT 'v' || CAST(item_id AS VARCHAR) AS version,
   md5(CASE
-    WHEN item_id % 4 = 0 THEN replace(text || ' Case: {case}. Keep {braces} as they are.', '{case}', 'c' || CAST(item_id AS VARCHAR))
+    WHEN item_id % 4 = 0 THEN text || ' Case: {place}' || CAST(item_id AS VARCHAR) || '. Keep {braces} as they are.'
     WHEN item_id % 4 = 1 AND item_id % 5 = 0 THEN NULL
-    WHEN item_id % 4 = 1 THEN replace(replace('{place}: ' || text || ' Case: {case}.', '{case}', 'c' || CAST(item_id AS VARCHAR)),
-                                       '{place}', 'Rabat')
+    WHEN item_id % 4 = 1 THEN '{case}: ' || text || ' Case: {place}' || CAST(item_id AS VARCHAR) || '.'
     ELSE text || ' Output {"a": ""}.' END) AS rendered_md5,
   CASE WHEN item_id % 4 = 1 AND item_id % 5 = 0 THEN 'place' ELSE '' END AS missing_vars
 FROM benchmark"""

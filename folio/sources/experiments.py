@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.paths import scan_path
 from ..operators.experiment import prompt_version_from_name
 from ..schemas import DETAIL_COLS, DISPLAY_COLS, RESULT_ROW
+from .sinks import PARTITIONS, decode_identity
 
 NUMERIC = {"execution_time": "double", "correct_fields": "double"}
 # Fixed value: the read-side null marker for run-file sinks (never written by the sink).
@@ -33,10 +34,21 @@ def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("inferSchema", False)
         .csv(path)
     )
-    df = df.withColumns({c: F.col(c).cast(t) for c, t in NUMERIC.items() if c in df.columns})
+    # A cell that is no number becomes NULL (see ``rejected_numbers``); it must not stop the load.
+    df = df.withColumns({c: F.col(c).try_cast(t) for c, t in NUMERIC.items() if c in df.columns})
     return df.withColumn("prompt_version", prompt_version_from_name(scan_path(F.col("_metadata.file_name"))))
 
 
+def rejected_numbers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Per numeric column, how many non-blank cells of the run files are no numbers."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    frames = [raw.csv(p) for p in sorted(paths)]
+    cells = union_runs(frames)
+    known = [(c, t) for c, t in NUMERIC.items() if c in cells.columns]
+    bad = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in known]
+    return cells.agg(*bad)
+
+
 def union_runs(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by column name; a column missing from a run is NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -71,7 +83,7 @@ def read_run_files(spark: SparkSession, path: str, partition_by: Sequence[str] =
     """
     data = [f for f in RESULT_ROW.fields if f.name not in partition_by]
     schema = T.StructType(data + [T.StructField(c, T.StringType(), True) for c in partition_by])
-    return (
+    df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
@@ -81,8 +93,17 @@ def read_run_files(spark: SparkSession, path: str, partition_by: Sequence[str] =
         .option("nullValue", NULL_MARKER)
         .csv(path)
     )
+    return decode_identity(df, list(partition_by))
 
 
 def load_results_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Results written by :func:`folio.sources.sinks.write_results` (partition columns come back)."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """Results written by :func:`folio.sources.sinks.write_results`, run identity as it was written.
+
+    The run identity is read from the folder names as text (``007`` stays ``007``) and decoded
+    (an empty text is not NULL). One footer gives the other columns: every run is written with
+    the same ones.
+    """
+    found = spark.read.parquet(path).schema
+    text = [T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in found]
+    df = spark.read.schema(T.StructType(text)).parquet(path)
+    return decode_identity(df, [c for c in PARTITIONS if c in df.columns])

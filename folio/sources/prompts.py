@@ -6,7 +6,6 @@ filters and rendering are then DataFrame expressions that join to requests like
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Sequence
 
@@ -18,17 +17,22 @@ from ..schemas import PROMPT
 
 
 def read_prompt_files(spark: SparkSession, prompts_dir: str, doc: str) -> DataFrame:
-    """Every ``v*.yaml`` of a document kind, sorted; missing keys default to empty."""
-    import yaml  # prompt files are YAML; only the driver reads them
+    """Every ``v*.yaml`` of a document kind, sorted; missing keys default to empty.
 
+    The files are read by Spark, so the folder may be in any store; a missing folder is an error.
+    Prompt versions are a handful of small files: their texts come to the driver.
+    """
+    import yaml  # prompt files are YAML
+
+    files = spark.read.option("pathGlobFilter", "v*.yaml").text(prompts_dir, wholetext=True)
+    files = files.select(F.col("_metadata.file_name").alias("name"), "value").orderBy("name").collect()
     rows = []
-    for path in sorted(glob.glob(os.path.join(prompts_dir, "v*.yaml"))):
-        with open(path, encoding="utf-8") as fh:
-            data = yaml.safe_load(fh) or {}
+    for name, text in files:
+        data = yaml.safe_load(text) or {}
         rows.append(
             (
                 doc,
-                os.path.splitext(os.path.basename(path))[0],
+                os.path.splitext(name)[0],
                 data.get("description", ""),
                 list(data.get("template_vars", []) or []),
                 list(data.get("tags", []) or []),
@@ -75,23 +79,32 @@ def list_prompts(catalog: DataFrame, tags: Sequence[str] | None = None) -> DataF
 def render(catalog: DataFrame, vars_col: str) -> DataFrame:
     """Fill the named ``{var}`` tokens from a ``map<string,string>`` column.
 
-    Only the declared variables are replaced (other braces stay); when the template declares
+    Only the declared variables are replaced (other braces stay), all in one pass over the
+    template: a value that itself holds a token is not filled again. When the template declares
     none, the text is returned as is. ``missing_vars`` lists declared variables without a
     value; ``rendered`` is NULL then (a renderer that raises would stop the whole job).
     """
     tv = F.coalesce(F.col("template_vars"), F.array().cast("array<string>"))
     values = F.col(vars_col)
     missing = F.array_except(tv, F.coalesce(F.map_keys(values), F.array().cast("array<string>")))
-    declared = F.filter(F.map_entries(values), lambda e: F.array_contains(tv, e["key"]))
-    filled = F.aggregate(
-        declared,
-        F.col("prompt"),
-        lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))),
-    )
+
+    def fill(piece: Column, i: Column) -> Column:
+        """A piece of the template after an opening brace: a token and the rest, or plain text."""
+        name = F.substring_index(piece, "}", 1)
+        token = piece.contains("}") & F.array_contains(tv, name)
+        rest = F.substr(piece, F.char_length(name) + 2)
+        filled = F.concat(F.coalesce(F.try_element_at(values, name), F.lit("")), rest)
+        return F.when(i == 0, piece).when(token, filled).otherwise(F.concat(F.lit("{"), piece))
+
+    filled = F.array_join(F.transform(F.split(F.col("prompt"), r"\{", -1), fill), "")
     rendered = F.when(F.size(tv) == 0, F.col("prompt")).when(F.size(missing) == 0, filled)
     return catalog.withColumns({"rendered": rendered, "missing_vars": missing})
 
 
-def get_prompt(catalog: DataFrame, doc: str, version: str) -> Column:
-    """Predicate for one prompt version of a document kind."""
-    return (F.col("doc") == doc) & (F.col("version") == version)
+def get_prompt(catalog: DataFrame, doc: str, version: str) -> DataFrame:
+    """One prompt version of a document kind; an unknown one is an error that lists the versions."""
+    found = catalog.where((F.col("doc") == doc) & (F.col("version") == version))
+    if found.isEmpty():
+        known = [r["version"] for r in catalog.where(F.col("doc") == doc).select("version").orderBy("version").collect()]
+        raise LookupError(f"no prompt {version!r} for {doc!r}; available: {', '.join(known) or 'none'}")
+    return found

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RESULT_ROW
@@ -11,6 +14,32 @@ PARTITIONS = ("doc", "prompt_version", "model", "run_ts")
 RUN_PARTITIONS = ("doc", "prompt_version", "model")
 
 
+#: A folder cannot be named by an empty text: it is written as this mark, and texts that begin with
+#: the mark get another one.
+EMPTY_MARK = "~"
+
+
+def encode_identity(c: Column) -> Column:
+    """Run identity as a folder name: reversible, NULL and empty text stay apart."""
+    return F.when((c == "") | c.startswith(EMPTY_MARK), F.concat(F.lit(EMPTY_MARK), c)).otherwise(c)
+
+
+def decode_identity(df: DataFrame, cols) -> DataFrame:
+    """Marked folder names back to texts.
+
+    Only when there are any, so that filters usually stay on the bare partition columns; looking
+    for them prunes partitions, and without marked folders it reads no file.
+    """
+    marked = [F.col(c).startswith(EMPTY_MARK) for c in cols]
+    if not cols or df.select(*cols).where(reduce(or_, marked)).isEmpty():
+        return df
+    return df.withColumns({c: F.when(m, F.substr(F.col(c), F.lit(2))).otherwise(F.col(c)) for c, m in zip(cols, marked)})
+
+
+def _encoded(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: encode_identity(F.col(c).cast("string")) for c in cols})
+
+
 def _csv(writer):
     # Cells may hold newlines, commas and quotes: quote them and double inner quotes. Spark's
     # CSV writer trims leading / trailing spaces of values by default; answers keep theirs.
@@ -25,12 +54,12 @@ def _csv(writer):
 def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     """One directory per run identity (doc / prompt version / model / run time).
 
-    Readers prune partitions on these columns instead of parsing file names. No shuffle by
-    run identity: one run may hold most rows, and a hash shuffle on it would put them all in
-    one task. Each task sorts its rows by run and writes one file per run it holds.
+    Readers prune partitions on these columns instead of parsing file names. The rows are
+    rebalanced by run identity: a run that holds most rows is split over many tasks, and small
+    runs share one, so a run gets few files of good size instead of one per task.
     """
     cols = [c for c in PARTITIONS if c in df.columns]
-    df.write.mode(mode).partitionBy(*cols).parquet(path)
+    _encoded(df, cols).hint("rebalance", *[F.col(c) for c in cols]).write.mode(mode).partitionBy(*cols).parquet(path)
 
 
 def write_run_files(df: DataFrame, path: str, partition_by=RUN_PARTITIONS, mode: str = "overwrite") -> None:
@@ -47,7 +76,7 @@ def write_run_files(df: DataFrame, path: str, partition_by=RUN_PARTITIONS, mode:
         for f in RESULT_ROW.fields
         if f.name not in parts
     ]
-    _csv(df.select(*data, *parts).write.mode(mode).partitionBy(*parts)).csv(path)
+    _csv(_encoded(df.select(*data, *parts), parts).write.mode(mode).partitionBy(*parts)).csv(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -56,5 +85,15 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def write_text(df: DataFrame, text_col: str, path: str) -> None:
-    """One line per row (e.g. bullet lines, extracted texts)."""
-    df.select(F.col(text_col).cast("string").alias("value")).write.mode("overwrite").text(path)
+    """One line per row (bullet lines, extracted texts). Line ends inside a text are escaped
+    with a backslash, so a text of many lines is still one record; see :func:`read_text`."""
+    text = F.replace(F.col(text_col).cast("string"), F.lit("\\"), F.lit("\\\\"))
+    text = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    df.select(text.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """The texts of :func:`write_text` as ``value``."""
+    parts = F.split(F.col("value"), r"\\\\", -1)  # between two backslashes: a backslash
+    plain = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return spark.read.text(path).select(F.array_join(plain, "\\").alias("value"))

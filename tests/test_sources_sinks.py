@@ -154,3 +154,49 @@ def test_write_results_adds_no_shuffle(spark):
     df = spark.createDataFrame([("1", "cin", "v1", "m")], "id string, doc string, prompt_version string, model string")
     with mock.patch.object(type(df), "repartition", side_effect=AssertionError("shuffle by run identity")):
         sinks.write_results(df, os.path.join(tempfile.mkdtemp(prefix="sink-"), "r"))
+
+
+def test_run_identity_survives_both_sinks(spark):
+    out = tempfile.mkdtemp(prefix="identity-")
+    odd = ["", "007", "~", "~x", "1.0", None, "v 1/é"]
+    df = spark.createDataFrame([(str(i), "cin", v, "007", 1.0) for i, v in enumerate(odd)],
+                               "id string, doc string, prompt_version string, model string, correct_fields double")
+    sinks.write_results(df, os.path.join(out, "parquet"))
+    sinks.write_run_files(df, os.path.join(out, "csv"))
+    for back in (experiments.load_results_parquet(spark, os.path.join(out, "parquet")),
+                 experiments.read_run_files(spark, os.path.join(out, "csv"))):
+        assert {r.id: (r.prompt_version, r.model) for r in back.collect()} == {str(i): (v, "007") for i, v in enumerate(odd)}
+
+
+def test_texts_of_many_lines_are_one_record(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="texts-"), "t")
+    texts = ["one", "two\nlines", "back\\slash\\n", "\r\n", "\\\\n\n\\", "a\\\nb"]
+    sinks.write_text(spark.createDataFrame([(t,) for t in texts], "t string"), "t", out)
+    assert sorted(r.value for r in sinks.read_text(spark, out).collect()) == sorted(texts)
+
+
+def test_a_cell_that_is_no_number_does_not_stop_the_load(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="cells-"), "cin_prompt_v1_m_20260101_000000.csv")
+    with open(path, "w") as fh:
+        fh.write("id,execution_time,correct_fields\n1,n/a,3.0\n2,1.5,\n")
+    got = {r.id: (r.execution_time, r.correct_fields) for r in experiments.read_run_csv(spark, path).collect()}
+    assert got == {"1": (None, 3.0), "2": (1.5, None)}
+    assert experiments.rejected_numbers(spark, [path]).first().asDict() == {"execution_time": 1, "correct_fields": 0}
+
+
+def test_unknown_prompts_are_errors(spark):
+    folder = tempfile.mkdtemp(prefix="prompts-")
+    with open(os.path.join(folder, "v1.yaml"), "w") as fh:
+        fh.write("prompt: x\n")
+    cat = prompts.read_prompt_files(spark, folder, "cin")
+    assert prompts.get_prompt(cat, "cin", "v1").count() == 1
+    with pytest.raises(LookupError, match="v1"):
+        prompts.get_prompt(cat, "cin", "v9")
+    with pytest.raises(Exception):
+        prompts.read_prompt_files(spark, os.path.join(folder, "gone"), "cin")
+
+
+def test_values_that_hold_tokens_are_not_filled_again(spark):
+    df = spark.createDataFrame([("C={case} P={place} {x}{", ["case", "place"], {"case": "{place}", "place": "Rabat"})],
+                               "prompt string, template_vars array<string>, vars map<string,string>")
+    assert prompts.render(df, "vars").first().rendered == "C={place} P=Rabat {x}{"
