@@ -299,3 +299,8 @@ def parse_judge_verdict(text: Column, allowed=FORMAT_VALUES) -> Column:
     NULL when it is not an allowed value."""
     word = F.lower(F.regexp_extract(text, r"^\s*([A-Za-z_]+)", 1))
     return F.when(word.isin(*allowed), word)
+
+
+def parse_judge_number(text: Column) -> Column:
+    """A judge's answer to a number: the first number in it; NULL when there is none."""
+    return F.regexp_extract(text, r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")

@@ -672,6 +672,61 @@ def judge_run(spark, sf):
     return out.select("id", "success", v.alias("judge_format"), v.isNull().alias("out_of_domain"))
 
 
+# The answers of the test judge that counts fields.
+NUMBER_RULES = (("I cannot read", "0"), ("CASABLANCA", "seven"), ("```", "8 fields."))
+
+
+def _number_judge():
+    return I.KeywordJudgeBackend(NUMBER_RULES, default="9")
+
+
+@query
+def judge_fields_run(spark, sf):
+    """J8 with the numeric judge: how many fields are correct, held to the allowed range."""
+    r = td.scored_table(spark, sf)
+    prompts = r.select("id", S.judge_prompt(F.col("generated"), F.col("expected"), S.FIELDS_JUDGE_TEMPLATE).alias("prompt"))
+    out = I.run_batch(prompts, _number_judge, "prompt", ["id"])
+    answers = out.select("id", S.parse_judge_number(F.col("text")).alias("judge_fields"), F.lit("correct").alias("judge_format"))
+    return S.score_domain(answers).select("id", "fields_score", "fields_error")
+
+
+def _page_body(url, timeout):
+    """A deterministic fetcher: what it answers depends on the length of the URL."""
+    n = len(url)
+    if n % 7 == 0:
+        raise IOError("HTTP 404")
+    if n % 5 == 0:
+        return url.encode("utf-8")
+    return bytes.fromhex("89504E470D0A1A0A0000000D49484452") + n.to_bytes(4, "big") + bytes([0, 0, 0, 3, 8, 2, 0, 0, 0, 0, 0, 0, 0])
+
+
+class _SizeBackend(I.ImageSizeBackend):
+    """Fails on every width that 4 divides, as a model may."""
+
+    def _generate(self, content, settings):
+        if int.from_bytes(bytes(content)[16:20], "big") % 4 == 0:
+            raise RuntimeError("model failed")
+        return super()._generate(content, settings)
+
+
+@query
+def fetch_assets(spark, sf):
+    """Every page's URL fetched by an injected fetcher; failures are rows."""
+    from ..sources.assets import fetch_assets as fetch
+
+    out = fetch(td.table(spark, sf, "pages").select("page_id", "url"), _page_body, key="page_id")
+    return out.select("page_id", F.octet_length("content").cast("bigint").alias("n_bytes"), "error")
+
+
+@query
+def ocr_url(spark, sf):
+    """The URL route end to end: 422 / 400 / 500 / 200 per page."""
+    from ..streaming.inference_stream import ocr_urls
+
+    out = ocr_urls(td.table(spark, sf, "pages").select("page_id", "url"), _page_body, _SizeBackend, key="page_id")
+    return out.select("page_id", "status", "error_class", "text")
+
+
 @query
 def mistake_summary(spark, sf):
     """A20 with a model: all counted mistakes per model and metric -> prompt -> backend -> headings demoted."""

@@ -494,6 +494,20 @@ SELECT id, true AS success,
     AS judge_format,
   (k % 29 <> 0 AND k % 2 <> 0 AND k % 13 = 0) AS out_of_domain
 FROM s"""
+ORACLES["judge_fields_run"] = _w(BASE) + """
+SELECT id, CASE WHEN k % 29 = 0 THEN 0.0 WHEN k % 13 = 0 THEN NULL WHEN k % 2 = 0 THEN 8.0 END AS fields_score,
+  CASE WHEN k % 29 = 0 THEN NULL WHEN k % 13 = 0 THEN 'missing' WHEN k % 2 = 0 THEN NULL ELSE 'out_of_range' END AS fields_error
+FROM s"""
+ORACLES["fetch_assets"] = """
+SELECT page_id, CASE WHEN length(url) % 7 = 0 THEN NULL WHEN length(url) % 5 = 0 THEN strlen(url) ELSE 33 END AS n_bytes,
+  CASE WHEN length(url) % 7 = 0 THEN 'OSError: HTTP 404' END AS error
+FROM pages"""
+ORACLES["ocr_url"] = """
+SELECT page_id, CASE c WHEN 'download_failed' THEN 422 WHEN 'invalid_image' THEN 400 WHEN 'processing_failed' THEN 500
+    ELSE 200 END AS status,
+  c AS error_class, CASE WHEN c IS NULL THEN 'image ' || CAST(n AS VARCHAR) || 'x3' ELSE '' END AS text
+FROM (SELECT page_id, length(url) AS n, CASE WHEN length(url) % 7 = 0 THEN 'download_failed'
+    WHEN length(url) % 5 = 0 THEN 'invalid_image' WHEN length(url) % 4 = 0 THEN 'processing_failed' END AS c FROM pages)"""
 _OUTLINE = (
     f"'## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} "
     "ORDER BY n DESC, field, verdict)"

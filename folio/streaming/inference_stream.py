@@ -18,7 +18,7 @@ from ..operators import inference as I
 from ..operators import triage as TR
 from ..schemas import VALIDATION_FORMATS, Settings
 from ..session import shared_path
-from ..sources.assets import header_facts
+from ..sources.assets import fetch_assets, header_facts
 
 
 def start_inference_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
@@ -87,6 +87,34 @@ def ocr_files(files: DataFrame, make_backend: Callable[[], I.Backend], settings:
                        skip_col="error_class")
 
 
+def ocr_urls(urls: DataFrame, fetcher: Callable[[str, float], bytes], make_backend: Callable[[], I.Backend],
+             key: str = "id", url_col: str = "url", settings: Settings = Settings(), max_mb: float = 10,
+             accepted=VALIDATION_FORMATS) -> DataFrame:
+    """The URL route: fetch -> decode check -> triage -> OCR, one row per URL.
+
+    ``status``: 422 when the download fails, 400 for bytes that are no acceptable image, 500 when the
+    model fails, else 200. Only accepted bytes are sent on to the model stage.
+    """
+    facts = header_facts(fetch_assets(urls, fetcher, url_col, key))
+    f = F.col("facts")
+    status, error_class = TR.status_of(F.lit(False), f["format"], f["width"], f["height"], f["bands"], max_mb, accepted,
+                                       F.col("decodable"))
+    failed = F.col("error").isNotNull()
+    staged = facts.select(
+        key,
+        F.when(failed, F.lit(TR.STATUS["download"])).otherwise(status).alias("checked"),
+        F.when(failed, F.lit("download_failed")).otherwise(error_class).alias("error_class"),
+        "content",
+    ).withColumn("content", F.when(F.col("error_class").isNull(), F.col("content")))
+    out = I.run_batch(staged, make_backend, "content", [key], settings, carry=["checked", "error_class"],
+                      skip_col="error_class")
+    broken = F.col("error_class").isNull() & ~F.col("success")
+    return out.withColumns({
+        "status": F.when(broken, F.lit(TR.STATUS["processing"])).otherwise(F.col("checked")),
+        "error_class": F.when(broken, F.lit("processing_failed")).otherwise(F.col("error_class")),
+    }).drop("checked")
+
+
 def start_upload_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                         make_backend: Callable[[], I.Backend], glob: str | None = None, settings: Settings = Settings(),
                         max_mb: float = 10, accepted=VALIDATION_FORMATS, available_now: bool = True,
