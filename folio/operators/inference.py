@@ -13,6 +13,8 @@ import json
 import struct
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from typing import Any, Protocol
 
 import pandas as pd
@@ -78,7 +80,7 @@ class BaseBackend:
 
     def generate(self, input_data: Any, settings: Settings) -> str:
         if not self.is_loaded():
-            raise RuntimeError("Model not loaded. Call load() first.")
+            raise RuntimeError(f"backend {self.model_id!r} is used before load()")
         return self._generate(input_data, settings)
 
 
@@ -172,8 +174,50 @@ def _absent(v) -> bool:
     return v is None or (isinstance(v, float) and pd.isna(v))
 
 
+def _timed(backend: Backend, x, settings: Settings) -> tuple[str, float, dt.datetime, str | None]:
+    """One call: text, seconds, time, error (a failing row is an error row)."""
+    t0 = time.perf_counter()
+    try:
+        text, err = backend.generate(x, settings), None
+    except Exception as e:
+        text, err = "", f"{type(e).__name__}: {e}"
+    return text, round(time.perf_counter() - t0, 3), dt.datetime.now(dt.timezone.utc), err
+
+
+def _called(backend: Backend, rows: list, per_row: list[Settings], batch_size: int, concurrency: int) -> list[tuple]:
+    """The calls of one input batch, in order: batched where the backend can, else some in flight."""
+    if batch_size > 1 and hasattr(backend, "generate_batch"):
+        out: list[tuple] = []
+        for at in range(0, len(rows), batch_size):
+            part, own = rows[at : at + batch_size], per_row[at : at + batch_size]
+            if all(s == own[0] for s in own):
+                t0 = time.perf_counter()
+                try:
+                    texts = list(backend.generate_batch(part, own[0]))
+                    if len(texts) != len(part):
+                        raise ValueError("one text per input expected")
+                    each, now = round((time.perf_counter() - t0) / len(part), 3), dt.datetime.now(dt.timezone.utc)
+                    out += [(t, each, now, None) for t in texts]
+                    continue
+                except Exception:  # one bad row fails a batched call: find it row by row
+                    pass
+            out += [_timed(backend, x, s) for x, s in zip(part, own)]
+        return out
+    if concurrency > 1:
+        with ThreadPoolExecutor(concurrency) as pool:
+            return list(pool.map(lambda row: _timed(backend, *row), zip(rows, per_row)))
+    return [_timed(backend, x, s) for x, s in zip(rows, per_row)]
+
+
 def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str], settings: Settings,
-            settings_col: str | None, skip_col: str | None = None):
+            settings_col: str | None, skip_col: str | None = None, device_col: str | None = None,
+            batch_size: int = 1, concurrency: int = 1):
+    def overlaid(limit, device) -> Settings:
+        changed = {} if _absent(limit) else {"max_new_tokens": int(limit)}
+        if not _absent(device) and device != "":
+            changed["device"] = str(device)
+        return replace(settings, **changed) if changed else settings
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = None
         try:
@@ -181,42 +225,41 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                 if pdf.empty:
                     continue
                 out = {k: pdf[k].tolist() for k in keys}
-                texts, secs, stamps, errors, called = [], [], [], [], []
+                n = len(pdf)
                 inputs = pdf[input_col].tolist()
-                per_row = pdf[settings_col].tolist() if settings_col else [None] * len(inputs)
-                skips = pdf[skip_col].tolist() if skip_col else [None] * len(inputs)
-                for x, limit, skip in zip(inputs, per_row, skips):
-                    if not _absent(skip):  # rejected before the model: an error row, no call
-                        texts.append("")
-                        secs.append(0.0)
-                        stamps.append(dt.datetime.now(dt.timezone.utc))
-                        errors.append(str(skip))
-                        called.append(False)
-                        continue
-                    if backend is None:  # loaded on the first row that needs the model
-                        backend = make_backend()
-                        backend.load()
-                    s = settings
-                    if limit is not None and not (isinstance(limit, float) and pd.isna(limit)):
-                        s = Settings(**{**settings.__dict__, "max_new_tokens": int(limit)})
-                    t0 = time.perf_counter()
+                limits = pdf[settings_col].tolist() if settings_col else [None] * n
+                devices = pdf[device_col].tolist() if device_col else [None] * n
+                skips = pdf[skip_col].tolist() if skip_col else [None] * n
+                wanted = [i for i in range(n) if _absent(skips[i])]
+                if wanted and backend is None:  # loaded on the first row that needs the model
+                    backend = make_backend()
+                    backend.load()
+                # Rejected before the model: an error row, no call.
+                now = dt.datetime.now(dt.timezone.utc)
+                results = [("", 0.0, now, str(skip)) for skip in skips]
+                per_row: list[Settings] = [settings] * n
+                for i in wanted:
                     try:
-                        text, err = backend.generate(x, s), None
-                    except Exception as e:  # one bad row gives one error row
-                        text, err = "", f"{type(e).__name__}: {e}"
-                    secs.append(round(time.perf_counter() - t0, 3))
-                    stamps.append(dt.datetime.now(dt.timezone.utc))
-                    texts.append(text)
-                    errors.append(err)
-                    called.append(True)
-                model_id = backend.model_id if backend is not None else None
-                device = getattr(backend, "device", "cpu") if backend is not None else None
+                        per_row[i] = overlaid(limits[i], devices[i])
+                    except (TypeError, ValueError) as e:  # a limit that is no number
+                        results[i] = ("", 0.0, now, f"{type(e).__name__}: {e}")
+                        per_row[i] = None
+                sent = [i for i in wanted if per_row[i] is not None]
+                answers = _called(backend, [inputs[i] for i in sent], [per_row[i] for i in sent], batch_size, concurrency)
+                for i, answer in zip(sent, answers):
+                    results[i] = answer
+                called = set(sent)
+                own_device = getattr(backend, "device", "cpu")
+                texts, secs, stamps, errors = map(list, zip(*results))
                 out.update(
                     text=texts,
-                    model_id=[model_id if c else None for c in called],
+                    model_id=[backend.model_id if i in called else None for i in range(n)],
                     inference_time_seconds=secs,
                     timestamp=stamps,
-                    device=[device if c else None for c in called],
+                    device=[
+                        (own_device if _absent(devices[i]) or devices[i] == "" else str(devices[i])) if i in called else None
+                        for i in range(n)
+                    ],
                     error=errors,
                     success=[e is None for e in errors],
                 )
@@ -230,7 +273,8 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
 
 def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str],
               settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None,
-              carry: Sequence[str] = (), skip_col: str | None = None) -> DataFrame:
+              carry: Sequence[str] = (), skip_col: str | None = None, device_col: str | None = None,
+              batch_size: int = 1, concurrency: int = 1) -> DataFrame:
     """Run a backend over a table; result = keys + the result envelope.
 
     ``slots`` sets the number of tasks (one model load each) and spreads the rows over them by a
@@ -241,16 +285,21 @@ def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str
     output (a row's context travels with it instead of being joined back after inference).
     ``skip_col``: a row whose value there is set (a triage error) becomes an error row with that
     text and is not sent to the model; a task whose rows are all skipped loads no model.
+    ``device_col`` overrides the device per row (I7; empty or NULL: the default).
+    ``batch_size``: rows per call for a backend with ``generate_batch(inputs, settings)``; a batch that
+    fails is called row by row. ``concurrency``: calls in flight per task, for backends whose calls
+    wait for a server and may run in several threads.
     """
     out_cols = list(dict.fromkeys([*keys, *carry]))
-    extra = [c for c in (settings_col, skip_col) if c]
+    extra = [c for c in (settings_col, skip_col, device_col) if c]
     cols = list(dict.fromkeys([*out_cols, input_col, *extra]))
     projected = df.select(*cols)
     if slots:
         projected = projected.repartition(slots, *keys)
     key_fields = [projected.schema[k] for k in out_cols]
     return projected.mapInPandas(
-        _runner(make_backend, input_col, out_cols, settings, settings_col, skip_col), envelope_schema(key_fields)
+        _runner(make_backend, input_col, out_cols, settings, settings_col, skip_col, device_col, batch_size, concurrency),
+        envelope_schema(key_fields),
     )
 
 

@@ -147,3 +147,36 @@ def test_skipped_rows_load_no_model(spark):
     assert got[0].error == "rejected" and not got[0].success and got[5].text == "p5:4096"
     loads = [f for f in os.listdir(folder) if f.startswith("load-")]
     assert len(loads) == 1  # the partition holding only rejected rows never loaded a model
+
+
+class BatchBackend(I.BaseBackend):
+    """Upper-cases; one input fails; the batched call marks its texts."""
+
+    model_id = "batch"
+
+    def _generate(self, x, settings):
+        if x == "bad":
+            raise ValueError("cannot")
+        return f"{x.upper()}@{settings.device}"
+
+    def generate_batch(self, xs, settings):
+        return ["*" + self._generate(x, settings) for x in xs]
+
+
+def test_batched_and_concurrent_calls_and_device_override(spark):
+    rows = [(i, "bad" if i == 5 else f"t{i}", "cuda" if i % 4 == 0 else None, None) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, x string, device string, n string").coalesce(1)
+    plain = {r.id: r for r in I.run_batch(df, BatchBackend, "x", ["id"], device_col="device").collect()}
+    assert plain[4].text == "T4@cuda" and plain[4].device == "cuda" and plain[1].text == "T1@cpu" and plain[1].device == "cpu"
+    assert plain[5].success is False and plain[5].error == "ValueError: cannot"
+    flight = {r.id: (r.text, r.error) for r in I.run_batch(df, BatchBackend, "x", ["id"], device_col="device", concurrency=4).collect()}
+    assert flight == {i: (r.text, r.error) for i, r in plain.items()}
+    batched = {r.id: (r.text, r.error) for r in I.run_batch(df, BatchBackend, "x", ["id"], batch_size=4).collect()}
+    assert batched[0][0] == "*T0@cpu" and batched[11][0] == "*T11@cpu"
+    assert batched[5][1] == "ValueError: cannot" and batched[4][0] == "T4@cpu"  # its batch went row by row
+
+
+def test_a_limit_that_is_no_number_is_an_error_row(spark):
+    df = spark.createDataFrame([(1, "a", "12"), (2, "b", "many")], "id long, x string, n string")
+    got = {r.id: r for r in I.run_batch(df, I.EchoTextBackend, "x", ["id"], settings_col="n").collect()}
+    assert got[1].success and "max 12" in got[1].text and got[2].success is False and "ValueError" in got[2].error
