@@ -10,7 +10,8 @@ bound.
 :func:`next_documents` pairs every document with the next one in descending id order without a
 global window: ids are cut into blocks of fixed width, a window runs inside each block, and the
 first document of each block is copied into the block before it (the first of all into the last
-block). Texts are shuffled once.
+block). Texts are shuffled once, as long as the table of blocks (two numbers per 1,024 ids) is
+small enough to be broadcast under the session's threshold; beyond it they are shuffled twice.
 
 Defined results: a null or empty text has the digest of no bytes; equal texts have equal digests;
 texts of any length are read whole; a null id comes last; rows that share an id follow each other
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import mix64, narrow
+from ._common import mix64, narrow, stored
 
 BUCKETS = 128
 #: Offsets back from the newest byte of the window of the two other bytes of each triplet.
@@ -38,7 +39,7 @@ BOUND = 300
 #: Weight of one step of length (a tenth) and of one step of a quartile ratio, and their largest steps.
 LENGTH_WEIGHT, LENGTH_STEPS, RATIO_WEIGHT = 2, 40, 2
 #: Ids per block of :func:`next_documents`, and blocks per block of blocks.
-BLOCK, BLOCKS = 512, 4096
+BLOCK, BLOCKS = 1024, 4096
 _LAST = -(2**62)  # the block of null ids
 
 
@@ -150,7 +151,9 @@ def _copies(ids: DataFrame) -> DataFrame:
 
 def next_documents(rows: DataFrame, *carried: str) -> DataFrame:
     """``rows`` (doc_id, text, ...) with ``next_<column>`` of the next document for each carried column."""
-    copies = _copies(rows.select("doc_id"))
+    # Written, so that its size is known when the join is planned: below the session's broadcast
+    # threshold the texts stay where they are; an estimate would have shuffled them once more.
+    copies = stored(_copies(rows.select("doc_id")), "block-starts")
     own = F.struct(_block_of(F.col("doc_id")).alias("at"), F.lit(False).alias("copy"))
     other = F.struct(F.col("_home").alias("at"), F.lit(True).alias("copy"))
     placed = rows.join(copies, F.col("doc_id").eqNullSafe(F.col("_first")), "left").withColumn(
