@@ -3,7 +3,8 @@
 Messages form trees: each names its parent. :func:`reply_paths` enumerates root-to-leaf paths by
 iterative self-joins that double the distance: after k joins every message knows its ancestor
 2**k steps up and the score of the steps between, so a chain of n messages takes about log2(n)
-joins. Leaves are ranked per tree by the score of their whole path; only chosen paths are expanded
+joins. Trees whose paths are complete leave the table, so one deep tree does not keep the others
+in it. Leaves are ranked per tree by the score of their whole path; only chosen paths are expanded
 to their messages, by the same jump tables. Each step is written to the shared folder, which cuts
 the lineage. No step looks at a tree in one task: all joins are on (tree, message).
 
@@ -26,6 +27,8 @@ null turns come last; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,44 +97,48 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     jumps = [stored(up, "jump")]
     # After k joins the jumps are 2**k long; a path is no longer than its tree.
     largest = jumps[0].groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    settled = []  # messages of trees whose paths are all known; only deeper trees go on
     while (1 << (len(jumps) - 1)) < largest and not jumps[-1].where(F.col("up").isNotNull()).isEmpty():
         last = jumps[-1]
+        active = last.where(F.col("up").isNotNull())
+        deep = active.select(F.col("tree").alias("_t")).distinct()
+        settled.append(last.join(deep, _same("tree", "_t"), "left_anti"))
+        last = last.join(deep, _same("tree", "_t"), "left_semi")
         far = last.select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
             F.col("score").alias("_score"), F.col("steps").alias("_steps"),
         )
-        joined = last.join(far, _same("tree", "_t") & (F.col("up") == F.col("_n")), "left").select(
+        joined = active.join(far, _same("tree", "_t") & (F.col("up") == F.col("_n"))).select(
             "tree",
             "node",
             F.col("_up").alias("up"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            (F.col("score") + F.col("_score")).alias("score"),
+            (F.col("steps") + F.col("_steps")).alias("steps"),
         )
-        jumps.append(stored(joined, "jump"))
+        jumps.append(stored(joined.unionByName(last.where(F.col("up").isNull())), "jump"))
+    known = reduce(DataFrame.unionByName, [*settled, jumps[-1]])
     parents = links.select(F.col("tree").alias("_t"), F.col("parent").alias("_n"))
-    rooted = jumps[-1].where(F.col("up").isNull())  # messages on a cycle never get there
+    rooted = known.where(F.col("up").isNull())  # messages on a cycle never get there
     leaves = rooted.join(parents, _same("tree", "_t") & (F.col("node") == F.col("_n")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), F.col("node"))
     ranked = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    path = stored(
-        ranked.select(
-            "tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("path_score"), "node",
-            (F.col("steps") - 1).alias("depth"),
-        ),
-        "path",
+    leaf = ranked.select(
+        "tree", F.col("node").alias("leaf"), "rank", F.col("score").alias("path_score"), "node",
+        (F.col("steps") - 1).alias("depth"),
     )
+    paths = [stored(leaf, "path")]
     for k, jump in enumerate(jumps):  # messages within 2**k steps of the leaf, then within 2**(k+1)
         hop = jump.where(F.col("up").isNotNull()).select(
             F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up")
         )
-        more = path.join(hop, _same("tree", "_t") & (F.col("node") == F.col("_n"))).select(
+        deep_enough = reduce(DataFrame.unionByName, paths).where(F.col("depth") >= (1 << k))
+        more = deep_enough.join(hop, _same("tree", "_t") & (F.col("node") == F.col("_n"))).select(
             "tree", "leaf", "rank", "path_score", F.col("_up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")
         )
-        path = path.unionByName(more)
-        path = stored(path, "path") if k < len(jumps) - 1 else path
-    return path
+        paths.append(stored(more, "path"))
+    return reduce(DataFrame.unionByName, paths)
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
