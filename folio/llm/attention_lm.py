@@ -6,7 +6,7 @@ vocabulary (with its space), one end id per document.
 Model: one attention head over token vectors with a bias per distance. The distribution of the
 next id is a softmax over classes of ids, times the id's share of its class in the corpus. The
 class logits are a table of the present id (logarithms of smoothed corpus counts) plus a linear
-map of the attention's output. Ids above a fixed rank share hashed groups, so all tables are of
+map of the attention's output. Classes gather ids that follow the same ids in the corpus. Ids above a fixed rank share hashed groups, so all tables are of
 fixed size.
 
 What is gathered from the corpus, over all training documents:
@@ -54,7 +54,7 @@ VOCABULARY, END = 50_256, 50_256  # ids, and the end of a document after them (f
 #: Ids below it have a group of their own; the others share groups by hash and by word start.
 OWN_GROUPS, SHARED_GROUPS = 831, 96
 GROUPS = OWN_GROUPS + 2 * SHARED_GROUPS + 1  # the last: the end
-CLASSES, OWN_CLASSES = 64, 40
+CLASSES, OWN_CLASSES = 64, 16
 DIM, BLOCK, CONTEXT = 16, 24, 16
 WIDTH = BLOCK + CONTEXT
 SMOOTH_ID, SMOOTH_CLASS = 0.5, 5.0
@@ -101,14 +101,16 @@ class Subwords:
             self.table.clear()
         new = [w for w in words if w not in self.table]
         for at in range(0, len(new), 5_000):
-            part = [w.decode("utf-8", "replace") for w in new[at : at + 5_000]]
-            ids = np.array(self.encoding.encode_ordinary(" " + " ".join(part)), np.uint16)
+            part = new[at : at + 5_000]
+            ids = np.array(self.encoding.encode_ordinary((b" " + b" ".join(part)).decode("utf-8", "replace")), np.uint16)
             begins = np.flatnonzero(self.starts[ids])  # a space begins exactly one token: the first of a word
             if len(begins) == len(part):
-                pieces = np.split(ids, begins[1:])
+                data, ends = ids.tobytes(), (2 * begins).tolist()
+                self.table.update((w, data[a:b]) for w, a, b in zip(part, ends, [*ends[1:], len(data)]))
             else:
-                pieces = [np.array(self.encoding.encode_ordinary(" " + w), np.uint16) for w in part]
-            self.table.update(zip(new[at : at + 5_000], (p.tobytes() for p in pieces)))
+                for w in part:
+                    ids = self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))
+                    self.table[w] = np.array(ids, np.uint16).tobytes()
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of the words, with an end before (what the first id follows) and after."""
@@ -170,38 +172,45 @@ class Tables:
     table: np.ndarray  # log of the class's share after a group [group, class]
 
 
+def cluster(pairs: np.ndarray, own: int = OWN_CLASSES, classes: int = CLASSES, rounds: int = 15) -> np.ndarray:
+    """Class of each group: the ``own`` most frequent followers alone, the others by what they follow.
+
+    Spherical k-means over the square roots of the shares of predecessors, started from the most
+    frequent of the others; ``pairs`` [predecessor, follower] has fixed size.
+    """
+    size = pairs.sum(axis=0)
+    order = np.lexsort((np.arange(len(size)), -size))
+    out = np.zeros(len(size), np.int64)
+    out[order[:own]] = np.arange(own)
+    rest = order[own:]
+    x = np.sqrt(pairs[:, rest].T / np.maximum(size[rest], 1)[:, None])
+    centres = x[: classes - own].copy()
+    for _ in range(rounds):
+        nearest = np.argmax(x @ centres.T, axis=1)
+        for c in range(classes - own):
+            centre = (x[nearest == c] * size[rest][nearest == c, None]).sum(axis=0)
+            length = np.linalg.norm(centre)
+            centres[c] = centre / length if length else centres[c]
+    out[rest] = own + nearest
+    return out
+
+
 def tables(counts: DataFrame) -> Tables:
     subwords = Subwords()
-    ids = np.zeros(VOCABULARY + 1)
-    found = counts.where(F.col("kind") == IDS).select("cell", "n").toPandas()  # at most one row per id
-    ids[found["cell"]] = found["n"]
-    starts = np.zeros(GROUPS, bool)
-    starts[subwords.group] = subwords.starts
-    size = np.bincount(subwords.group, weights=ids, minlength=GROUPS)
-    order = np.lexsort((np.arange(GROUPS), -size))
-    class_of = np.zeros(GROUPS, np.int64)
-    class_of[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
-    # The other groups share classes by the logarithm of their rank, word starts apart.
-    rank = np.log(np.arange(OWN_CLASSES, GROUPS) / OWN_CLASSES) / np.log(GROUPS / OWN_CLASSES)
-    bands = (CLASSES - OWN_CLASSES) // 2
-    band = np.minimum((rank * bands).astype(int), bands - 1)
-    class_of[order[OWN_CLASSES:]] = OWN_CLASSES + 2 * band + starts[order[OWN_CLASSES:]]
+    ids, pairs = np.zeros(VOCABULARY + 1), np.zeros(GROUPS * GROUPS)
+    for kind, values in ((IDS, ids), (PAIRS, pairs)):  # at most one row per id, and per pair of groups
+        found = counts.where(F.col("kind") == kind).select("cell", "n").toPandas()
+        values[found["cell"]] = found["n"]
+    pairs = pairs.reshape(GROUPS, GROUPS)
+    class_of = cluster(pairs)
     of_id = class_of[subwords.group]
     smooth = ids + SMOOTH_ID
     id_share = np.log(smooth / np.bincount(of_id, weights=smooth, minlength=CLASSES)[of_id])
-
-    spark = counts.sparkSession
-    mapping = spark.createDataFrame([(i, int(c)) for i, c in enumerate(class_of)], "follower long, class int")
-    pairs = counts.where(F.col("kind") == PAIRS)
-    pairs = pairs.withColumn("follower", F.col("cell") % GROUPS).withColumn("group", F.floor(F.col("cell") / GROUPS))
-    cells = pairs.join(F.broadcast(mapping), "follower").groupBy("group", "class").agg(F.sum("n").alias("n"))
-    cells = cells.toPandas()  # at most one row per group and class
     after = np.zeros((GROUPS, CLASSES))
-    after[cells["group"], cells["class"]] = cells["n"]
+    np.add.at(after.T, class_of, pairs.T)
     whole = after.sum(axis=0) + 1.0
-    prior = whole / whole.sum()
-    table = np.log((after + SMOOTH_CLASS * prior) / (after.sum(axis=1, keepdims=True) + SMOOTH_CLASS))
-    return Tables(class_of, id_share.astype(np.float32), table.astype(np.float32))
+    table = (after + SMOOTH_CLASS * whole / whole.sum()) / (after.sum(axis=1, keepdims=True) + SMOOTH_CLASS)
+    return Tables(class_of, id_share.astype(np.float32), np.log(table).astype(np.float32))
 
 
 # ---------------------------------------------------------------- attention
@@ -338,15 +347,18 @@ class Scorer:
         for at in range(0, len(keys), step):
             key, follow = keys[at : at + step], follows[at : at + step]
             query = key[:, CONTEXT:]
-            a = self.pair[query[:, :, None] * (GROUPS + 1) + key[:, None, :]]
+            a = np.take(self.pair, query[:, :, None] * (GROUPS + 1) + key[:, None, :], mode="clip")
             a *= self.far
-            o = a @ self.v[key] / np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-30))
-            logits = self.table[query]
-            logits += o @ self.out
-            right = np.take_along_axis(logits, self.of_id[follow][:, :, None], axis=2)[:, :, 0]
+            o = a @ np.take(self.v, key, axis=0, mode="clip")
+            o /= np.maximum(a.sum(axis=2, keepdims=True), np.float32(1e-30))
+            logits = o.reshape(-1, DIM) @ self.out
+            logits += np.take(self.table, query.ravel(), axis=0, mode="clip")
+            follow = follow.ravel()
+            right = logits[np.arange(len(logits)), self.of_id[follow]]
             np.exp(logits, out=logits)
-            value = right - np.log(logits.sum(axis=2)) + self.t.id_share[follow]
-            total[at : at + step] = np.where(query != GROUPS, value, 0).sum(axis=1, dtype=float)
+            value = right - np.log(logits.sum(axis=1)) + self.t.id_share[follow]
+            value[query.ravel() == GROUPS] = 0
+            total[at : at + step] = value.reshape(query.shape).sum(axis=1, dtype=float)
         return np.bincount(owner, weights=total, minlength=len(texts))
 
 
