@@ -9,11 +9,13 @@ reports the shingles that more than a hundredth of it holds, and the reports are
 
 1. Each text gets ``bands * rows`` consistent samples (element and quantised weight, chosen with
    probability equal to the weighted Jaccard similarity of two texts) and one key per band.
-2. Exact copies collapse to one node, the text's hash. Nodes that share a band key are compared
-   with that bucket's leaders: one in the first round (another one in each band, since leaders are
-   drawn by a hash of band and node), four times as many in each further round, which only the
-   nodes take part in that resembled no leader. The rounds end when none is left. A bucket of n
-   similar texts costs n pairs, not n squared.
+2. Exact copies collapse to one node. Nodes that share a band key are compared with that bucket's
+   leader, the node with the smallest hash, so that the buckets of a group mostly share their
+   leader and the pair is verified once. Nodes that do not resemble it go on to finer buckets: the
+   same band and one of the next ones as well, with a leader each, over several levels. What is
+   left then (texts that agree on many samples, yet differ) is compared with four times as many
+   leaders in each further round, until none is left. Every level compares a node with one leader
+   per bucket, so a bucket of n texts costs n pairs, not n squared, alike or not.
 3. Pairs are verified by the exact weighted Jaccard similarity of their whole texts. A leader's
    text is dealt out by salt when many texts are compared with it.
 4. Verified links give classes by alternating large-star and small-star steps, each written to the
@@ -50,6 +52,8 @@ REPORT_SHARE = 1 / 100
 BLOCK_SHINGLES = 2_000_000
 #: Texts compared with one leader in one piece.
 SALT_ROWS = 500
+#: Finer buckets per bucket and level, and levels, for texts that resemble no leader of their bucket.
+REFINEMENTS, LEVELS = 3, 3
 VOCABULARY = 300_000
 _BITS = 12
 
@@ -239,7 +243,7 @@ def _similarity_udf(frequent: dict[int, float]):
     return run.asNondeterministic()
 
 
-def _node(text: Column) -> Column:
+def _hash_of(text: Column) -> Column:
     return F.md5(F.encode(text, "UTF-8"))
 
 
@@ -259,55 +263,70 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent: dict[int, float]) ->
     return both.select("leader", "node", sim.alias("sim"))
 
 
-def links(docs: DataFrame, sketches: DataFrame, frequent: dict[int, float], threshold: float = SIMILARITY) -> DataFrame:
-    """Verified pairs of nodes (different texts) that resemble each other, ``a < b``."""
-    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    keys = nodes.where(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(keys.join(crowded, ["band", "key"]), "members")
+def _leaders(members: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nodes of each bucket with the smallest draws (equal buckets draw equal leaders)."""
+    draw = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("node"))
+    if k == 1:
+        first = members.groupBy("key").agg(F.min(draw).alias("first"))
+        return first.select("key", F.col("first.node").alias("leader"))
+    order = Window.partitionBy("key").orderBy(draw)  # the limit applies before the shuffle, too
+    ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("key", F.col("node").alias("leader"))
+
+
+def _crowded(members: DataFrame, name: str) -> DataFrame:
+    """Members (node, key, ...) of the buckets that have two nodes or more."""
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(members.join(several, "key"), name)
+
+
+def _refined(rest: DataFrame, nodes: DataFrame, bands: int) -> DataFrame:
+    """Members of finer buckets: the same bands and one of the next ``REFINEMENTS`` bands as well."""
+    steps = F.explode(F.sequence(F.lit(1), F.lit(REFINEMENTS))).alias("step")
+    rows = rest.join(nodes.select("node", "bands"), "node").select("node", "key", "band", "bands", steps)
+    band = (F.col("band") + F.col("step")) % bands
+    finer = rows.withColumn("band", band)
+    return finer.select("node", F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"), "band")
+
+
+def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands: int, threshold: float = SIMILARITY) -> DataFrame:
+    """Verified pairs ``a < b`` of nodes (different texts) that resemble each other.
+
+    ``nodes(node, doc_id, md5, bands)``, one row per different text.
+    """
+    bucket = F.posexplode("bands").alias("band", "key")
+    keys = nodes.where(F.col("bands").isNotNull()).select("node", bucket)
+    members = _crowded(keys.select("node", F.xxhash64("band", "key").alias("key"), "band"), "members")
     # One text per node: the row with the node's smallest id (repeats of it are dropped).
-    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "md5", F.col("doc_id").alias("rep")), "node")
     texts = (
-        docs.withColumn("node", _node(F.col("text")))
-        .join(wanted.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        docs.withColumn("_md5", _hash_of(F.col("text")))
+        .join(wanted, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("rep")))
         .select("node", "text")
         .dropDuplicates(["node"])
-    )
+    )
     texts = stored(texts, "texts")
-    found, leaders, open_ = None, 1, members
+    found, level, leaders = None, 0, 1
     while True:
-        chosen = _leaders(open_, leaders)
-        candidate = open_.join(chosen, ["band", "key"]).where(F.col("leader") != F.col("node"))
-        candidate = candidate.select("band", "key", "node", "leader")
-        pairs = candidate.select(
-            F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")
-        ).distinct()
+        chosen = _leaders(members, leaders)
+        candidate = members.join(chosen, "key").where(F.col("leader") != F.col("node"))
+        pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
+        pairs = candidate.select(*pair).distinct()
         checked = stored(_verified(pairs, texts, frequent), "checked")
         good = checked.where(F.col("sim") >= threshold)
         found = good if found is None else found.unionByName(good)
         # Who resembled no leader of its bucket, and is not a leader, goes on.
         near = good.select(F.col("leader").alias("_a"), F.col("node").alias("_b"))
-        done = candidate.join(
-            near, (F.least("leader", "node") == F.col("_a")) & (F.greatest("leader", "node") == F.col("_b")), "left_semi"
-        ).select("band", "key", "node")
-        done = done.unionByName(chosen.select("band", "key", F.col("leader").alias("node")))
-        rest = stored(open_.join(done, ["band", "key", "node"], "left_anti"), "open")
-        again = rest.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        open_ = stored(rest.join(again, ["band", "key"]), "open")
-        if open_.isEmpty():
+        of_pair = (F.least("leader", "node") == F.col("_a")) & (F.greatest("leader", "node") == F.col("_b"))
+        done = candidate.join(near, of_pair, "left_semi").select("key", "node")
+        done = done.unionByName(chosen.select("key", F.col("leader").alias("node")))
+        rest = _crowded(members.join(done, ["key", "node"], "left_anti"), "rest")
+        if rest.isEmpty():
             return found.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        leaders *= 4
-
-
-def _leaders(members: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nodes of each bucket with the smallest draws (equal buckets draw equal leaders)."""
-    draw = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("node"))
-    if k == 1:
-        first = members.groupBy("band", "key").agg(F.min(draw).alias("first"))
-        return first.select("band", "key", F.col("first.node").alias("leader"))
-    order = Window.partitionBy("band", "key").orderBy(draw)  # the limit applies before the shuffle, too
-    ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("band", "key", F.col("node").alias("leader"))
+        if level < LEVELS:
+            level, members = level + 1, _crowded(_refined(rest, nodes, bands), "refined")
+        else:  # buckets of texts that agree on many samples: few, and small
+            leaders, members = leaders * 4, rest
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,19 +360,25 @@ def classes(
     """Per document: ``doc_id, node, class_id, n_links`` (links of its text) and ``class_size``."""
     docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     frequent = frequent_shingles(docs.select("text"))
-    sketches = stored(
-        docs.select("doc_id", _node(F.col("text")).alias("node"), _bands_udf(frequent, bands, rows)(F.col("text")).alias("bands")),
-        "sketches",
-    )
-    edges = stored(links(docs, sketches, frequent, threshold), "links")
+    made = _bands_udf(frequent, bands, rows)(F.col("text")).alias("bands")
+    # Written once, so the row numbers are fixed from here on.
+    number = F.monotonically_increasing_id().alias("row")
+    sketches = stored(docs.select("doc_id", number, _hash_of(F.col("text")).alias("md5"), made), "sketches")
+    nodes = sketches.groupBy("md5").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
+    )
+    nodes = stored(nodes, "nodes")
+    edges = stored(links(docs, nodes, frequent, bands, threshold), "links")
     roots = components(edges)
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    rows_ = sketches.select("doc_id", "node").join(roots, "node", "left").join(ends, "node", "left")
-    rows_ = rows_.withColumn("root", F.coalesce("root", "node"))
+    members = nodes.select("md5", "node").join(roots, "node", "left").join(ends, "node", "left")
+    members = members.select("md5", F.coalesce("root", "node").alias("root"), "n_links")
+    rows_ = sketches.select("doc_id", "md5").join(members, "md5")
     named = rows_.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows_.join(named, "root").select(
-        "doc_id", "node", "root", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+        "doc_id", F.col("md5").alias("node"), "root", "class_id", "class_size",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -368,7 +393,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
     lone = kept.select("first.*").where("times = 1").select(*key).toDF("lone_id", "lone")
     other = F.col("_id").eqNullSafe(F.col("lone_id")) & (F.col("_of") == F.col("lone"))
     gone = found.select(*key).distinct().join(lone, other, "left_anti")
-    rows = packed(docs, id=F.col(doc_id), node=_node(F.coalesce(F.col(text), F.lit(""))))
+    rows = packed(docs, id=F.col(doc_id), node=_hash_of(F.coalesce(F.col(text), F.lit(""))))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_of"))
     out = rows.join(gone, same, "left_anti")
     if not again.isEmpty():
