@@ -11,11 +11,14 @@ reports the shingles that more than a hundredth of it holds, and the reports are
    probability equal to the weighted Jaccard similarity of two texts) and one key per band.
 2. Exact copies collapse to one node. Nodes that share a band key are compared with that bucket's
    leader, the node with the smallest hash, so that the buckets of a group mostly share their
-   leader and the pair is verified once. Nodes that do not resemble it go on to finer buckets: the
-   same band and one of the next ones as well, with a leader each, over several levels. What is
-   left then (texts that agree on many samples, yet differ) is compared with four times as many
-   leaders in each further round, until none is left. Every level compares a node with one leader
-   per bucket, so a bucket of n texts costs n pairs, not n squared, alike or not.
+   leader and the pair is verified once. Buckets whose nodes are not all in one class by then are
+   open: each pair of two classes in them is still to be decided. That is done without loss by
+   prefixes: shingles are put in one order, rare ones first, and a node is a member of the buckets
+   of its first shingles, up to the one after which less than the threshold of its weight is left.
+   Two texts that resemble each other share such a shingle, whatever the order is. Members of
+   different classes are compared with some members of their bucket, those with the most links
+   first, whether these have resembled a leader or not; classes are merged and four times as many
+   are taken, until a bucket is one class or each of its pairs of two classes was compared.
 3. Pairs are verified by the exact weighted Jaccard similarity of their whole texts. A leader's
    text is dealt out by salt when many texts are compared with it.
 4. Verified links give classes by alternating large-star and small-star steps, each written to the
@@ -52,8 +55,10 @@ REPORT_SHARE = 1 / 100
 BLOCK_SHINGLES = 2_000_000
 #: Texts compared with one leader in one piece.
 SALT_ROWS = 500
-#: Finer buckets per bucket and level, and levels, for texts that resemble no leader of their bucket.
-REFINEMENTS, LEVELS = 3, 3
+#: Members of an open bucket that the others are compared with in the first round.
+FIRST_LEADERS = 16
+#: Cells of the table that orders shingles by how many texts hold them (collisions only cost time).
+CELLS = 1 << 18
 VOCABULARY = 300_000
 _BITS = 12
 
@@ -263,15 +268,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, frequent: dict[int, float]) ->
     return both.select("leader", "node", sim.alias("sim"))
 
 
-def _leaders(members: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nodes of each bucket with the smallest draws (equal buckets draw equal leaders)."""
+def _leaders(members: DataFrame) -> DataFrame:
+    """The node of each bucket with the smallest draw (equal buckets draw equal leaders)."""
     draw = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("node"))
-    if k == 1:
-        first = members.groupBy("key").agg(F.min(draw).alias("first"))
-        return first.select("key", F.col("first.node").alias("leader"))
-    order = Window.partitionBy("key").orderBy(draw)  # the limit applies before the shuffle, too
-    ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("key", F.col("node").alias("leader"))
+    return members.groupBy("key").agg(F.min(draw).alias("first")).select("key", F.col("first.node").alias("leader"))
 
 
 def _crowded(members: DataFrame, name: str) -> DataFrame:
@@ -280,13 +280,66 @@ def _crowded(members: DataFrame, name: str) -> DataFrame:
     return stored(members.join(several, "key"), name)
 
 
-def _refined(rest: DataFrame, nodes: DataFrame, bands: int) -> DataFrame:
-    """Members of finer buckets: the same bands and one of the next ``REFINEMENTS`` bands as well."""
-    steps = F.explode(F.sequence(F.lit(1), F.lit(REFINEMENTS))).alias("step")
-    rows = rest.join(nodes.select("node", "bands"), "node").select("node", "key", "band", "bands", steps)
-    band = (F.col("band") + F.col("step")) % bands
-    finer = rows.withColumn("band", band)
-    return finer.select("node", F.xxhash64("key", "band", F.get("bands", F.col("band"))).alias("key"), "band")
+def _open(members: DataFrame, roots: DataFrame, least: int = 0) -> DataFrame:
+    """Members, with ``root``, of the buckets of more than ``least`` nodes that hold two classes or more."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return rooted.join(several.where((F.col("n") > least) & (F.col("low") < F.col("high"))).select("key"), "key")
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _cell_counts(texts: DataFrame) -> np.ndarray:
+    """For each cell, how often texts hold a shingle of it: no shingle is in more texts than that."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, counts = Shingler(), np.zeros(CELLS, np.int64)
+        for batch in batches:
+            all_texts = batch["text"].tolist()
+            for part in slices(all_texts):
+                held = [_cell(shingler.of(t)[0]) for t in all_texts[part]]
+                counts += np.bincount(np.concatenate(held), minlength=CELLS)
+        cells = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": cells, "n": counts[cells]})
+
+    found = texts.select("text").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a text, in the order of ``counts`` and hash, that leave less than the threshold."""
+    order = np.lexsort((shingles, counts[_cell(shingles)]))
+    total = weights.sum()
+    left = total - np.cumsum(weights[order])
+    return shingles[order[: int((left >= threshold * total * (1 - 1e-9)).sum()) + 1]]
+
+
+def _prefixes(texts: DataFrame, frequent: dict[int, float], threshold: float) -> DataFrame:
+    """``node, key, weight``: the buckets of the first shingles of each text, and the text's whole weight."""
+    counts = _cell_counts(texts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, weigh = Shingler(), Weights(frequent)
+        for batch in batches:
+            nodes, keys, sizes, totals = [], [], [], []
+            for node, text in zip(batch["node"], batch["text"]):
+                shingles, times = shingler.of(text)
+                weights = weigh(shingles, times)
+                first = prefix(shingles, weights, counts, threshold)
+                first = first[counts[_cell(first)] > 1]  # the others are in no other text
+                nodes.append(node)
+                keys.append(first.astype(np.int64))
+                sizes.append(len(first))
+                totals.append(weights.sum())
+            if nodes:
+                columns = {"node": np.repeat(nodes, sizes), "key": np.concatenate(keys), "weight": np.repeat(totals, sizes)}
+                yield pd.DataFrame(columns)
+
+    return texts.select("node", "text").mapInPandas(run, "node long, key long, weight double")
 
 
 def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands: int, threshold: float = SIMILARITY) -> DataFrame:
@@ -296,7 +349,7 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands:
     """
     bucket = F.posexplode("bands").alias("band", "key")
     keys = nodes.where(F.col("bands").isNotNull()).select("node", bucket)
-    members = _crowded(keys.select("node", F.xxhash64("band", "key").alias("key"), "band"), "members")
+    members = _crowded(keys.select("node", F.xxhash64("band", "key").alias("key")), "members")
     # One text per node: the row with the node's smallest id (repeats of it are dropped).
     wanted = members.select("node").distinct().join(nodes.select("node", "md5", F.col("doc_id").alias("rep")), "node")
     texts = (
@@ -306,27 +359,35 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands:
         .dropDuplicates(["node"])
     )
     texts = stored(texts, "texts")
-    found, level, leaders = None, 0, 1
-    while True:
-        chosen = _leaders(members, leaders)
-        candidate = members.join(chosen, "key").where(F.col("leader") != F.col("node"))
-        pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
-        pairs = candidate.select(*pair).distinct()
-        checked = stored(_verified(pairs, texts, frequent), "checked")
-        good = checked.where(F.col("sim") >= threshold)
-        found = good if found is None else found.unionByName(good)
-        # Who resembled no leader of its bucket, and is not a leader, goes on.
-        near = good.select(F.col("leader").alias("_a"), F.col("node").alias("_b"))
-        of_pair = (F.least("leader", "node") == F.col("_a")) & (F.greatest("leader", "node") == F.col("_b"))
-        done = candidate.join(near, of_pair, "left_semi").select("key", "node")
-        done = done.unionByName(chosen.select("key", F.col("leader").alias("node")))
-        rest = _crowded(members.join(done, ["key", "node"], "left_anti"), "rest")
-        if rest.isEmpty():
-            return found.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        if level < LEVELS:
-            level, members = level + 1, _crowded(_refined(rest, nodes, bands), "refined")
-        else:  # buckets of texts that agree on many samples: few, and small
-            leaders, members = leaders * 4, rest
+    pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
+    candidate = members.join(_leaders(members), "key").where(F.col("leader") != F.col("node"))
+    checked = stored(_verified(candidate.select(*pair).distinct(), texts, frequent), "checked")
+
+    def linked() -> DataFrame:
+        return checked.where(F.col("sim") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+    roots = components(linked())
+    unresolved = stored(_open(members, roots).select("node").distinct(), "unresolved")
+    if unresolved.isEmpty():
+        return linked()
+    members = stored(_prefixes(texts.join(unresolved, "node"), frequent, threshold), "prefixes")
+    leaders = FIRST_LEADERS
+    members = stored(_open(members, roots), "open")
+    while not members.isEmpty():
+        ends = linked().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        order = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("node"), "node")
+        ranked = members.join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
+        chosen = chosen.select("key", F.col("node").alias("leader"), F.col("root").alias("_root"), F.col("weight").alias("_weight"))
+        light = F.least("weight", "_weight") >= F.greatest("weight", "_weight") * (threshold * (1 - 1e-9))
+        candidate = members.join(chosen, "key").where((F.col("root") != F.col("_root")) & light)
+        pairs = candidate.select(*pair).distinct().join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
+        checked = checked.unionByName(stored(_verified(pairs, texts, frequent), "checked"))
+        roots = components(linked())
+        # A bucket of no more nodes than were taken has had each pair of two classes compared.
+        members = stored(_open(members.drop("root"), roots, leaders), "open")
+        leaders *= 4
+    return linked()
 
 
 def components(edges: DataFrame) -> DataFrame:

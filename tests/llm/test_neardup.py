@@ -102,6 +102,38 @@ def test_large_group_of_near_copies(spark):
     assert got[0] == 300 and len(got) == 301
 
 
+def test_copies_that_resemble_only_their_original(spark):
+    """Copies with three other words each resemble the original, but not each other."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(100):
+        copy = base[:]
+        for at in rng.sample(range(10, 190, 9), 3):
+            copy[at] = f"other{i}.{at}"
+        texts.append(" ".join(copy))
+    texts.insert(50, " ".join(base))
+    texts += [" ".join(rng.choices([f"x{i}" for i in range(3000)], k=100)) for _ in range(100)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = brute_classes(texts)
+    assert Counter(want)[0] > 60
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_prefixes_of_alike_texts_meet():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(0, 50, nd.CELLS)
+    for _ in range(200):
+        shingles = np.sort(rng.integers(0, 2**63, 120).astype(np.uint64))
+        weights = rng.uniform(0.75, 3, 120)
+        n = int(rng.integers(1, 30))
+        a, b = (shingles[n:], weights[n:]), (shingles[:-3], weights[:-3] * rng.uniform(0.9, 1.0, 117))
+        threshold = nd.similarity(a, b)
+        first = [nd.prefix(*x, counts, threshold) for x in (a, b)]
+        assert len(np.intersect1d(*first)) > 0
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     got = sorted(((r["doc_id"], r["class_id"], r["class_size"]) for r in nd.classes(odd_docs).collect()), key=str)
     assert got == sorted([(1, 1, 2), (2, 1, 2), (None, 4, 4), (3, 3, 1), (4, 4, 4), (4, 4, 4), (5, 5, 1), (6, 6, 1), (7, 4, 4)], key=str)
