@@ -121,6 +121,24 @@ def test_copies_that_resemble_only_their_original(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_pairs_under_a_shared_passage(spark):
+    """Most of each text is one passage, so its buckets are led by texts that it does not resemble."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(words, k=165)
+    texts = []
+    for _ in range(60):
+        own = rng.choices(words, k=35)
+        texts.append(" ".join(passage + own))
+        own[rng.randrange(35)] = "other"
+        texts.append(" ".join(passage + own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, _ = brute_classes(texts)
+    assert len(set(want)) == 60
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_prefixes_of_alike_texts_meet():
     rng = np.random.default_rng(8)
     counts = rng.integers(0, 50, nd.CELLS)
