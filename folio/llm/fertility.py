@@ -4,11 +4,15 @@ A public vocabulary splits the words of a text into pieces. Three measures follo
 per token, the share of byte-fallback tokens, and the entropy (bits) of the text's token
 distribution. A text is rejected when a measure leaves the band of
 its language (or, for other languages, of the script most of its letters have). Each distinct
-word is split once per task (table of bounded size); nothing is shuffled.
+word is split once per task (table of bounded size); only the measures are shuffled.
 
-The bands are parameters with fixed defaults; they are wide, since a filter must keep clean
-text. Base rules: too few words, or more than half of the words inside repeated three-word
-windows.
+The bands come from the corpus: for each language (or script), quartiles of each measure over all
+documents that pass the base rules and the fixed limits, equal measurements counted once, found by one aggregation over
+small steps of the measures. A limit lies :data:`SPREADS` spreads from the median, a spread being
+the distance to the quartile on that side as that of a normal distribution, and never outside the
+fixed, wide limits of :data:`BANDS`, which hold alone where there are under
+:data:`LEAST_DOCUMENTS` such documents. Bands given as a parameter are used as they are. Base
+rules: too few words, or more than half of the words inside repeated three-word windows.
 
 Defined results: a null or empty text has no words and fails the base; a null id or language is
 kept (the script decides); repeated rows are judged alike; whole texts are read, in slices of
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import WORD, packed, slices, unpacked
+from ._common import WORD, packed, slices, stored, unpacked
 from .token_counts import model_path
 
 _WORD = re.compile(WORD)
@@ -60,6 +64,11 @@ BANDS: Mapping[str, Band] = {
     "cyrillic": Band(1.0, 9.0, 0.20, 3.0),
     "other": Band(0.25, 9.0, 0.95, 3.0),
 }
+#: Spreads between the median and a limit, and documents of a band from which its limits are found.
+SPREADS, LEAST_DOCUMENTS = 4, 100
+#: Steps that measures are counted in, and the least distance of a limit from the median.
+STEPS = {"chars_per_token": 0.001, "byte_share": 0.001, "entropy": 0.01}
+LEAST_DISTANCE = {"chars_per_token": 0.05, "byte_share": 0.10, "entropy": 0.5}
 _SCRIPTS = {"latin": re.compile("[A-Za-zÀ-ɏ]"), "cyrillic": re.compile("[Ѐ-ӿ]")}
 
 
@@ -183,21 +192,64 @@ def base_failed(n_words: Column, n_repeat_words: Column, min_words: int, max_rep
     return (n_words < min_words) | (n_repeat_words * 100 > n_words * max_repeat_percent)
 
 
+def found_bands(found: DataFrame, bands: Mapping[str, Band] = BANDS) -> dict[str, Band]:
+    """Limits from the measures of documents that pass the base rules and ``bands``, inside ``bands``."""
+    once = found.select("band", "n_words", "word_chars", "n_tokens", "chars_per_token", "byte_share", "entropy").distinct()
+    steps = [
+        F.struct(F.lit(m).alias("measure"), F.least(F.round(F.col(m) / s), F.lit(100_000)).cast("int").alias("step"))
+        for m, s in STEPS.items()
+    ]
+    cells = once.select("band", F.explode(F.array(*steps)).alias("cell")).select("band", "cell.*")
+    # One row per band, measure and step: a bounded number.
+    counts = cells.groupBy("band", "measure", "step").agg(F.count("*").alias("n")).toPandas()
+    out = dict(bands)
+    for name, rows in counts.groupby("band"):
+        limits = {}
+        for measure, cell in rows.groupby("measure"):
+            cell = cell.sort_values("step")
+            below, size = np.cumsum(cell["n"].to_numpy()), STEPS[measure]
+            low, mid, high = (cell["step"].to_numpy()[np.searchsorted(below, q * below[-1])] * size for q in (0.25, 0.5, 0.75))
+            reach = [max(LEAST_DISTANCE[measure], SPREADS * 1.4826 * d) for d in (mid - low, high - mid)]
+            limits[measure] = mid - reach[0], mid + reach[1], int(below[-1])
+        wide = bands[name]
+        if limits["entropy"][2] >= LEAST_DOCUMENTS:
+            out[name] = Band(
+                max(wide.min_chars_per_token, limits["chars_per_token"][0]),
+                min(wide.max_chars_per_token, limits["chars_per_token"][1]),
+                min(wide.max_byte_share, limits["byte_share"][1]),
+                max(wide.min_entropy, limits["entropy"][0]),
+            )
+    return out
+
+
+def within(bands: Mapping[str, Band]) -> Column:
+    """Whether the measures of a row lie in its band."""
+    out = F.lit(False)
+    for name, b in bands.items():
+        inside = F.col("chars_per_token").between(b.min_chars_per_token, b.max_chars_per_token)
+        inside = inside & (F.col("byte_share") <= b.max_byte_share) & (F.col("entropy") >= b.min_entropy)
+        out = F.when(F.col("band") == name, inside).otherwise(out)
+    return out & (F.col("n_tokens") > 0)
+
+
 def measures(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    bands: Mapping[str, Band] = BANDS,
+    bands: Mapping[str, Band] | None = None,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     model: str | None = None,
 ) -> DataFrame:
     """Per document: the base counts, the fertility measures, ``base_failed`` and ``kept``."""
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")))
-    found = measures_udf(bands, model)(F.coalesce("_text", F.lit("")), F.col("_lang"))
+    found = measures_udf(bands or BANDS, model)(F.coalesce("_text", F.lit("")), F.col("_lang"))
     rows = rows.select("doc_id", found.alias("_found")).select("doc_id", "_found.*")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent)
+    if bands is None:
+        rows = stored(rows, "measures")
+        rows = rows.withColumn("fertility_ok", within(found_bands(rows.where(F.col("fertility_ok") & ~failed))))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("fertility_ok"))
 
 
@@ -205,13 +257,19 @@ def keep_clean(
     docs: DataFrame,
     text: str = "text",
     lang: str = "lang",
-    bands: Mapping[str, Band] = BANDS,
+    bands: Mapping[str, Band] | None = None,
     min_words: int = MIN_WORDS,
     max_repeat_percent: int = MAX_REPEAT_PERCENT,
     model: str | None = None,
 ) -> DataFrame:
     """The documents that pass, with their own columns."""
     rows = spread(packed(docs, text=F.coalesce(F.col(text), F.lit("")), lang=F.col(lang)))
-    rows = rows.select("row", measures_udf(bands, model)(F.col("text"), F.col("lang")).alias("found"))
-    failed = base_failed(F.col("found.n_words"), F.col("found.n_repeat_words"), min_words, max_repeat_percent)
-    return unpacked(rows.where(F.col("found.fertility_ok") & ~failed), docs)
+    rows = rows.select("row", measures_udf(bands or BANDS, model)(F.col("text"), F.col("lang")).alias("found"))
+    rows = rows.select("row", "found.*")
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words, max_repeat_percent)
+    rows = rows.where(F.col("fertility_ok") & ~failed)
+    if bands is None:
+        # Written once, so texts are split once.
+        rows = stored(rows, "measured")
+        rows = rows.where(within(found_bands(rows)))
+    return unpacked(rows, docs)

@@ -78,3 +78,18 @@ def test_keep_clean_keeps_columns(odd_docs):
     ids = {r["doc_id"] for r in fe.measures(odd_docs).where("kept").collect()}
     assert {r["doc_id"] for r in kept.collect()} == ids >= {None, 4, 7}
     assert [r["score"] for r in kept.collect()] == [0.5] * kept.count()
+
+
+def test_bands_follow_the_corpus(spark):
+    """Shouted texts split into more tokens than the others of their language."""
+    words = "the house of people went to see another film about history and music every morning".split()
+    rng = random.Random(3)
+    clean = [(i, " ".join(rng.choices(words, k=120)), "en") for i in range(300)]
+    shouted = [(1000 + i, " ".join(rng.choices(words, k=120)).upper(), "en") for i in range(30)]
+    frame = spark.createDataFrame(clean + shouted, "doc_id long, text string, lang string")
+    rows = fe.measures(frame).collect()
+    assert not any(r["base_failed"] for r in rows)
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert not kept & {i for i, _, _ in shouted} and len(kept) >= 295
+    assert {r["doc_id"] for r in fe.keep_clean(frame).collect()} == kept
+    assert fe.measures(frame, bands=fe.BANDS).where("kept").count() == 330
