@@ -13,9 +13,9 @@ What is gathered from the corpus, over all training documents:
 
 1. word counts, id counts and counts of successive id groups: one pass, partial sums per task, one
    aggregation, written to the shared folder;
-2. attention weights: every task trains a copy, from the same start, on the training documents
-   whose id hash falls into one of ``TRAIN_SHARE`` parts; copies are averaged by their number of
-   tokens in one aggregation over parameter numbers. The driver gets sums of fixed size.
+2. attention weights: every task trains a copy, from the same start, on all its training documents;
+   copies are averaged by their number of tokens in one aggregation over parameter numbers. The
+   driver gets sums of fixed size. Without training documents the output map is 0.
 
 Scoring cuts a document into blocks of new tokens, each with the tokens before it as context, and
 scores every token once. Attention runs over many blocks at a time; scores that depend only on two
@@ -49,7 +49,6 @@ from ..session import spread
 from ._common import mix64, slices, stored
 
 FOLDS, HELD_OUT = 5, 1
-TRAIN_SHARE = 16
 VOCABULARY, END = 50_256, 50_256  # ids, and the end of a document after them (fixed values)
 #: Ids below it have a group of their own; the others share groups by hash and by word start.
 OWN_GROUPS, SHARED_GROUPS = 831, 96
@@ -260,6 +259,18 @@ def blocks(texts: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, follows, owner
 
 
+def _summed(groups: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group (padding: 0)."""
+    groups = groups.ravel()
+    order = np.argsort(groups, kind="stable")
+    ordered = groups[order]
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out = np.zeros((GROUPS + 1, rows.shape[-1]), np.float32)
+    out[ordered[begins]] = np.add.reduceat(rows.reshape(len(groups), -1)[order], begins, axis=0)
+    out[GROUPS] = 0
+    return out
+
+
 def train_step(w: dict[str, np.ndarray], grown: dict[str, np.ndarray], t: Tables, keys: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on the blocks; ``target`` has the class that follows each query (-1: none)."""
     query = keys[:, CONTEXT:]
@@ -282,14 +293,9 @@ def train_step(w: dict[str, np.ndarray], grown: dict[str, np.ndarray], t: Tables
     da = do @ v.transpose(0, 2, 1)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     grad["far"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=ds.sum(axis=0).ravel(), minlength=WIDTH)
-    for name, rows, of in (
-        ("q", ds @ k * scale, query),
-        ("k", ds.transpose(0, 2, 1) @ q * scale, keys),
-        ("v", a.transpose(0, 2, 1) @ do, keys),
-    ):
-        grad[name] = np.zeros(_SHAPES[name], np.float32)
-        np.add.at(grad[name], of.ravel(), rows.reshape(-1, DIM))
-        grad[name][GROUPS] = 0
+    grad["q"] = _summed(query, ds @ k * scale)
+    of_keys = np.concatenate([ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ do], axis=2)
+    grad["k"], grad["v"] = np.split(_summed(keys, of_keys), 2, axis=1)
     for name, g in grad.items():
         grown[name] += g * g
         w[name] -= (LEARNING_RATE * g / np.sqrt(grown[name] + 1e-8)).astype(np.float32)
@@ -322,7 +328,9 @@ def train(texts: DataFrame, t: Tables) -> dict[str, np.ndarray]:
     sums = texts.mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
     sums = sums.toPandas().sort_values("i")  # one row per parameter
     if not len(sums):
-        return start_weights()
+        start = start_weights()
+        start["out"][:] = 0  # nothing was learned: no part in the scores
+        return start
     values = sums["x"].to_numpy()
     return _unpacked(values[1:] / values[0])
 
@@ -395,8 +403,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     learned = rows.where(~F.col("held_out"))
     counts = gather(learned.select("text"))
     t = tables(counts)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_SHARE)) == 0
-    weights = train(learned.where(part).select("text"), t)
+    weights = train(learned.select("text"), t)
 
     totals = {r["kind"]: (r["n"], r["size"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("size")).collect()}
     ends = totals.get(DOCUMENTS, (0, 0))[0]

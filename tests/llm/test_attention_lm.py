@@ -131,3 +131,12 @@ def test_training_helps(documents):
     ids = [subwords.ids(x) for x in texts]
     plain = {**lm.start_weights(), "out": np.zeros((lm.DIM, lm.CLASSES), np.float32)}
     assert lm.Scorer(w, t, subwords)(ids).sum() > lm.Scorer(plain, t, subwords)(ids).sum()
+
+
+def test_attention_learns_from_every_training_document(documents, no_docs, monkeypatch):
+    seen, real = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda texts, t: (seen.append(texts.count()), real(texts, t))[1])
+    rows = lm.lm_scores(documents.limit(40)).collect()
+    assert seen == [sum(not r["held_out"] for r in rows)]
+    t = lm.Tables(np.zeros(lm.GROUPS, np.int64), np.zeros(lm.VOCABULARY + 1), np.zeros((lm.GROUPS, lm.CLASSES)))
+    assert not real(no_docs.select("text"), t)["out"].any()  # nothing learned enters no score
