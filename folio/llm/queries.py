@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat, fertility, fingerprint, licenses, mixing, neardup, packing, token_counts, toxicity
+from . import (
+    attention_lm,
+    chat,
+    collocations,
+    dual_tree,
+    fertility,
+    fingerprint,
+    licenses,
+    mixing,
+    neardup,
+    packing,
+    site_templates,
+    token_counts,
+    toxicity,
+)
 from ._common import load, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +118,25 @@ def op10_token_counts(spark, sf):
     return token_counts.token_counts(load(spark, sf, "documents"))
 
 
+@query
+def op11_collocations(spark, sf):
+    """The strongest phrases of two and three words of every language."""
+    return collocations.phrases(load(spark, sf, "documents"))
+
+
+@query
+def op12_ranked_search(spark, sf):
+    """The 50 best documents of every benchmark item."""
+    return dual_tree.search(load(spark, sf, "benchmark"), load(spark, sf, "documents"))
+
+
+@query
+def op13_html_extraction(spark, sf):
+    """The main text of every page."""
+    pages = site_templates.main_text(load(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 # ---------------------------------------------------------------- SQL
 
 ORACLES["op1_chat_format"] = r"""
@@ -176,3 +209,80 @@ FROM docs LEFT JOIN found USING (r)
 
 
 ORACLES["op8_license_scan"] = _license_sql()
+
+
+def _lowered(column: str) -> str:
+    """ASCII letters in lower case, the others as they are."""
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+ORACLES["op11_collocations"] = (
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, words FROM (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array("""
+    + _lowered("text")
+    + r""", '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM documents)
+), spots AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(words[pos:pos + k - 1], ' ') AS phrase, words[pos] AS head, words[pos + k - 1] AS tail,
+    array_to_string(words[pos:pos + k - 2], ' ') AS most, array_to_string(words[pos + 1:pos + k - 1], ' ') AS rest
+  FROM spots, (VALUES (1), (2), (3)) t(k) WHERE pos + k - 1 <= len(words)
+), f AS (
+  SELECT lang, k, phrase, any_value(head) AS head, any_value(tail) AS tail, any_value(most) AS most, any_value(rest) AS rest,
+    count(*) AS f
+  FROM grams GROUP BY lang, k, phrase
+), sizes AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.most, c.rest, c.f AS a, 1 AS cut, x.f AS l, y.f AS r FROM f c
+  JOIN f x ON x.lang = c.lang AND x.k = 1 AND x.phrase = c.head
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - 1 AND y.phrase = c.rest
+  WHERE c.k > 1 AND c.f >= 10
+  UNION ALL
+  SELECT c.lang, c.phrase, c.k, c.most, c.rest, c.f, 2, x.f, y.f FROM f c
+  JOIN f x ON x.lang = c.lang AND x.k = 2 AND x.phrase = c.most
+  JOIN f y ON y.lang = c.lang AND y.k = 1 AND y.phrase = c.tail
+  WHERE c.k = 3 AND c.f >= 10
+), scored AS (
+  SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts
+), candidates AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1
+), longer AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, most AS part, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, rest, a FROM candidates WHERE k = 3)
+  GROUP BY lang, part
+)
+SELECT c.lang, row_number() OVER w AS rank, c.phrase, c.a, c.l, c.r, CAST(n AS BIGINT) AS n, c.score
+FROM candidates c JOIN sizes USING (lang) LEFT JOIN longer o ON o.lang = c.lang AND o.part = c.phrase AND c.k = 2
+WHERE o.a IS NULL OR 100 * o.a < 50 * c.a
+WINDOW w AS (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase)
+QUALIFY row_number() OVER w <= 2000
+"""
+)
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+ORACLES["op12_ranked_search"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_lowered("text")}, {_TERM}) AS ts FROM documents
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS length FROM docs WHERE len(ts) > 0
+), tf AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(ts) AS term FROM docs) GROUP BY d, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY term, n_docs
+), items AS (
+  SELECT DISTINCT i, item_id, unnest(ts) AS term FROM (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_lowered("text")}, {_TERM}) AS ts FROM benchmark)
+), scores AS (
+  SELECT i, item_id, d, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * CAST(len(ts) AS BIGINT) * n_docs) // length)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN weights USING (term) JOIN docs USING (d), totals
+  GROUP BY i, item_id, d, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY i ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER w <= 50
+"""
