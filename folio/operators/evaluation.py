@@ -1,10 +1,13 @@
 """The evaluation job: cases x (model, prompt) -> model call -> scores -> result rows, in one plan.
 
 Per case and run: the chat request is built from the case's file and the prompt (I8), the
-model client answers it (I2 / I3 via ``run_batch``: one client per task, failures as error
-rows, latency measured around the call only), and the answer is scored against the case's
-ground truth (J1 / J2 / J4). The rows have the result-row columns (M8) plus the prompt
-version; write them with :func:`folio.sources.sinks.write_run_files` or ``write_results``.
+model client answers it (I2 / I3 via ``run_variants``: a case's bytes are encoded and shipped once, one
+client per task, failures as error rows, latency measured around the call only), and the answer is
+scored against the case's ground truth (J1 / J2 / J4). The rows have the result-row columns (M8) plus the
+prompt version; write them with :func:`folio.sources.sinks.write_run_files` or ``write_results``.
+
+:func:`resume_evaluation` writes the rows wave by wave and calls, when it is started again, only what has
+no good answer yet.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import base64
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import media_type, suffix
@@ -38,10 +41,23 @@ def run_grid(cases: DataFrame, runs: Sequence[tuple[str, str, str]]) -> DataFram
     ).drop("_run")
 
 
+def request_builder(max_tokens: int) -> Callable[[str, dict[str, str]], str]:
+    """``(file block as JSON, run) -> chat request as JSON``: :func:`folio.operators.inference.build_request` as text,
+    with the block's text in its place, so its bytes are encoded once for all runs."""
+
+    def build(block: str, run: dict[str, str]) -> str:
+        model, prompt = json.dumps(run["model"], ensure_ascii=False), json.dumps(run["prompt"], ensure_ascii=False)
+        return (f'{{"model":{model},"max_tokens":{max_tokens},"messages":[{{"role":"user","content":'
+                f'[{block},{{"type":"text","text":{prompt}}}]}}]}}')
+
+    return build
+
+
 def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_client: Callable[[], I.Backend],
                    key: str = "id", path_col: str = "in", content_col: str = "content", expected_col: str = "expected",
                    doc: str = "cin", fields: Sequence[str] | None = None, settings: Settings = Settings(),
-                   slots: int | None = None) -> DataFrame:
+                   slots: int | None = None, wanted_col: str | None = None, concurrency: int = 1,
+                   warm: bool = False) -> DataFrame:
     """Run every case through every (model, prompt) and score the answers.
 
     ``cases``: ``key``, the input path (its suffix gives the media type), the input bytes, the
@@ -50,21 +66,23 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     ``timestamp`` is the answer's time as naive ISO text in the session time zone (result rows
     record local time without a zone); ``execution_time`` is the model call alone, in seconds.
     A failed call, an unsupported file type and a missing truth give rows without scores, with
-    ``score_error`` set, so that outages do not count as wrong answers.
+    ``score_error`` set, so that outages do not count as wrong answers. ``wanted_col``: numbers of the
+    runs that a case still needs (default: all).
     """
     context = [c for c in ("tags", "notes") if c in cases.columns]
-    grid = run_grid(cases, runs)
     block = content_block(F.col(content_col), F.col(path_col))
-    request = I.build_request(block, F.col("prompt"), F.col("model"), settings.api_max_tokens)
     # A file type the API does not take never reaches the model.
     unsupported = F.when(
         media_type(F.col(path_col)).isNull(),
         F.concat(F.lit("Unsupported file type '"), F.lower(suffix(F.col(path_col))), F.lit("'")),
     )
-    staged = grid.select(key, "model", "prompt_version", expected_col, *context,
-                         F.when(unsupported.isNull(), F.to_json(request)).alias("request"), unsupported.alias("unsupported"))
-    answered = I.run_batch(staged, make_client, "request", [key, "model", "prompt_version"], settings, slots=slots,
-                           carry=[expected_col, *context], skip_col="unsupported")
+    wanted = [wanted_col] if wanted_col else []
+    staged = cases.select(key, expected_col, *context, *wanted, F.when(unsupported.isNull(), F.to_json(block)).alias("block"),
+                          unsupported.alias("unsupported"))
+    variants = [{"model": m, "prompt_version": v, "prompt": p} for m, v, p in runs]
+    answered = I.run_variants(staged, make_client, variants, request_builder(settings.api_max_tokens), "block", [key],
+                              ["model", "prompt_version"], settings, [expected_col, *context], "unsupported", wanted_col, slots,
+                              concurrency=concurrency, warm=warm)
     scored = with_scores(answered.withColumnRenamed("text", "generated"), expected_col, "generated", fields,
                          failed=~F.col("success"))
     return scored.select(
@@ -87,6 +105,80 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     )
 
 
+# ---------------------------------------------------------------- resumable runs
+
+#: Result rows that are committed at a time, about.
+WAVE_CALLS = 100_000
+
+
+def _committed(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The folders of committed waves, and the number of the next attempt."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    begun = store.globStatus(hadoop.Path(f"{path}/attempt=*")) or []
+    done = store.globStatus(hadoop.Path(f"{path}/attempt=*/wave=*/_SUCCESS")) or []
+    attempts = [int(s.getPath().getName().split("=")[1]) for s in begun]
+    return sorted(s.getPath().getParent().toString() for s in done), max(attempts, default=0) + 1
+
+
+def _rows_of(spark: SparkSession, path: str, folders: Sequence[str]) -> DataFrame | None:
+    return spark.read.option("basePath", path).parquet(*folders) if folders else None
+
+
+def missing_runs(cases: DataFrame, done: DataFrame | None, runs: Sequence[tuple[str, str, str]], key: str = "id",
+                 retry_failed: bool = True) -> DataFrame:
+    """Cases with ``wanted``: the numbers of the runs that have no answer yet; complete cases are left out.
+
+    ``done``: the rows of earlier attempts; of these only keys and ``success`` are read.
+    """
+    every = F.array(*[F.lit(i) for i in range(len(runs))])
+    if done is None:
+        return cases.withColumn("wanted", every)
+    number = F.coalesce(*[F.when((F.col("model") == m) & (F.col("prompt_version") == v), F.lit(i)) for i, (m, v, _) in enumerate(runs)])
+    good = done.where("success") if retry_failed else done
+    # At most one entry per run, whatever the number of attempts.
+    have = good.select(F.col(key).alias("_key"), number.alias("_run")).groupBy("_key").agg(F.collect_set("_run").alias("_have"))
+    left = F.array_except(every, F.coalesce("_have", F.array().cast("array<int>")))
+    todo = cases.join(have, F.col(key) == F.col("_key"), "left").withColumn("wanted", left)
+    return todo.where(F.size("wanted") > 0).drop("_key", "_have")
+
+
+def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_client: Callable[[], I.Backend], path: str,
+                      key: str = "id", waves: int | None = None, max_waves: int | None = None, retry_failed: bool = True,
+                      **options) -> int:
+    """Run what is missing under ``path`` and commit it wave by wave; returns the number of rows written.
+
+    The rows are the progress table: a wave's rows and the fact that they are finished are one commit (a
+    Parquet folder ``attempt=…/wave=…``; only folders with ``_SUCCESS`` are read). Started again
+    after a crash, or after calls have failed, the job anti-joins the committed keys before any call.
+    ``waves``: how many commits (default: by the number of calls); a wave is a hash part of the cases, so it is
+    spread over all tasks. ``max_waves`` stops after so many (what is left is run by the next start).
+    """
+    spark = cases.sparkSession
+    folders, attempt = _committed(spark, path)
+    todo = missing_runs(cases, _rows_of(spark, path, folders), runs, key, retry_failed)
+    if waves is None:
+        waves = max(1, -(-todo.select(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] // WAVE_CALLS))
+    rows = 0
+    for wave in range(min(waves, max_waves or waves)):
+        part = todo.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(waves)) == wave) if waves > 1 else todo
+        out = evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
+        target = f"{path}/attempt={attempt}/wave={wave}"
+        out.write.mode("overwrite").parquet(target)
+        rows += spark.read.parquet(target).count()
+    return rows
+
+
+def evaluation_results(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """One row per (case, model, prompt): the good answer, else the last failure; ``attempt`` tells from which start."""
+    best = Window.partitionBy(key, "model", "prompt_version").orderBy(F.col("success").desc(), F.col("attempt").desc())
+    found = _rows_of(spark, path, _committed(spark, path)[0])
+    if found is None:
+        raise FileNotFoundError(f"no finished wave under {path}")
+    rows = found.withColumn("_best", F.row_number().over(best))
+    return rows.where(F.col("_best") == 1).drop("_best", "wave")
+
+
 def card_text(values: dict[str, Column]) -> Column:
     """A document's printed text as ``label: value`` lines (the stand-in input for test clients)."""
     return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in values.items()])

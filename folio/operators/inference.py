@@ -4,14 +4,24 @@ A backend is any object with ``load / unload / is_loaded / generate``. ``run_bat
 inside ``mapInPandas``: one load per task, on the first non-empty batch (empty partitions never
 load a model), one call per row, and ``unload`` in ``finally``. A failing row becomes an error
 row; a failing ``load`` fails the task so Spark retries it elsewhere.
+
+A model that is slow to load can stay in the worker process (``warm``): Spark hands a process one task after
+the other, and the next one finds the model loaded. :func:`sized_tasks` cuts a table into tasks of
+about equal input bytes. :func:`run_variants` takes one row in and gives one out per variant, so what the
+variants share (a file's bytes) travels once.
 """
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
+import hashlib
 import json
 import struct
+import sys
 import time
+import types
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -209,9 +219,118 @@ def _called(backend: Backend, rows: list, per_row: list[Settings], batch_size: i
     return [_timed(backend, x, s) for x, s in zip(rows, per_row)]
 
 
+# ---------------------------------------------------------------- warm backends
+
+#: Loaded models that a worker process keeps.
+WARM_MODELS = 1
+#: Functions reach the workers by value, each task with its own globals: what is to outlive a task hangs on this module.
+_HOLDER = "_folio_warm_backends"
+
+
+def _unload_all(loaded: "OrderedDict[str, Backend]") -> None:
+    while loaded:
+        loaded.popitem()[1].unload()
+
+
+def warm_key(make_backend: Callable[[], Backend]) -> str:
+    """The same for the same factory (its code and what it holds)."""
+    from pyspark import cloudpickle
+
+    return hashlib.sha256(cloudpickle.dumps(make_backend)).hexdigest()
+
+
+def _warm(key: str, make_backend: Callable[[], Backend]) -> Backend:
+    """This process's loaded backend of ``key``; the one used longest ago goes when there are too many."""
+    holder = sys.modules.get(_HOLDER)
+    if holder is None:
+        holder = sys.modules[_HOLDER] = types.ModuleType(_HOLDER)
+        holder.loaded = OrderedDict()
+        atexit.register(_unload_all, holder.loaded)
+    loaded = holder.loaded
+    if key in loaded and loaded[key].is_loaded():
+        loaded.move_to_end(key)
+        return loaded[key]
+    loaded.pop(key, None)
+    while len(loaded) >= WARM_MODELS:
+        loaded.popitem(last=False)[1].unload()
+    backend = make_backend()
+    backend.load()
+    loaded[key] = backend
+    return backend
+
+
+class _Lease:
+    """A task's backend: loaded when it is first needed, and unloaded or left warm at the end."""
+
+    def __init__(self, make_backend: Callable[[], Backend], key: str | None):
+        self.make_backend, self.key = make_backend, key
+        self.backend: Backend | None = None
+
+    def get(self) -> Backend:
+        if self.backend is None:
+            if self.key:
+                self.backend = _warm(self.key, self.make_backend)
+            else:
+                self.backend = self.make_backend()
+                self.backend.load()
+        return self.backend
+
+    def __enter__(self) -> _Lease:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if self.backend is None or (self.key and kind in (None, GeneratorExit)):
+            return
+        if self.key:  # what broke the task may have broken the model
+            sys.modules[_HOLDER].loaded.pop(self.key, None)
+        self.backend.unload()
+
+
+# ---------------------------------------------------------------- tasks of equal bytes
+
+#: Buckets that the bytes are summed in, whatever the size of the table.
+SIZE_BUCKETS = 8192
+TASK_BYTES = 16 * 1024 * 1024
+
+
+def task_ranges(sizes: Sequence[int], task_bytes: int) -> tuple[list[tuple[int, int]], int]:
+    """For each bucket's bytes the first task and the number of tasks it is dealt to, from the running sum;
+    and the number of all tasks. Small buckets share a task, one larger than a task has several."""
+    ranges, end, before = [], 0, 0
+    for size in sizes:
+        first = before // task_bytes
+        width = max(1, -(-size // task_bytes)) if size > task_bytes else 1
+        ranges.append((first, width))
+        end = max(end, first + width)
+        before += size
+    return ranges, max(end, 1)
+
+
+def sized_tasks(df: DataFrame, keys: Sequence[str], size: Column, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``df`` dealt to tasks of about ``task_bytes`` of input each, by the running sum of ``size`` over hash buckets.
+
+    One narrow aggregation finds the bytes per bucket (a fixed number of sums reach the driver); the rows
+    then move once, to the task their bucket was given. The number of tasks grows with the input, and neither the
+    layout of the input nor the number of cores changes it.
+    """
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(SIZE_BUCKETS)).cast("int")
+    weight = F.coalesce(size.cast("long"), F.lit(0))
+    sums = df.select(bucket.alias("_bucket"), weight.alias("_size")).groupBy("_bucket").agg(F.sum("_size").alias("_size"))
+    found = sorted((r["_bucket"], r["_size"]) for r in sums.collect())
+    ranges, n = task_ranges([s for _, s in found], task_bytes)
+    rows = [(b, first, width) for (b, _), (first, width) in zip(found, ranges)]
+    table = spark.createDataFrame(rows, "_bucket int, _first int, _width int")
+    # At most SIZE_BUCKETS rows of three numbers. A row that came after the count goes to the first task.
+    dealt = df.withColumn("_bucket", bucket).join(F.broadcast(table), "_bucket", "left")
+    task = F.col("_first") + F.pmod(F.xxhash64(F.lit(1), *keys), F.col("_width")).cast("int")
+    dealt = dealt.withColumn("_task", F.coalesce(task, F.lit(0)))
+    return dealt.repartitionById(n, F.col("_task")).select(*df.columns)
+
+
 def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str], settings: Settings,
             settings_col: str | None, skip_col: str | None = None, device_col: str | None = None,
-            batch_size: int = 1, concurrency: int = 1):
+            batch_size: int = 1, concurrency: int = 1, key: str | None = None):
     def overlaid(limit, device) -> Settings:
         changed = {} if _absent(limit) else {"max_new_tokens": int(limit)}
         if not _absent(device) and device != "":
@@ -219,8 +338,7 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
         return replace(settings, **changed) if changed else settings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = None
-        try:
+        with _Lease(make_backend, key) as lease:
             for pdf in batches:
                 if pdf.empty:
                     continue
@@ -231,9 +349,7 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                 devices = pdf[device_col].tolist() if device_col else [None] * n
                 skips = pdf[skip_col].tolist() if skip_col else [None] * n
                 wanted = [i for i in range(n) if _absent(skips[i])]
-                if wanted and backend is None:  # loaded on the first row that needs the model
-                    backend = make_backend()
-                    backend.load()
+                backend = lease.get() if wanted else lease.backend  # loaded on the first row that needs the model
                 # Rejected before the model: an error row, no call.
                 now = dt.datetime.now(dt.timezone.utc)
                 results = [("", 0.0, now, str(skip)) for skip in skips]
@@ -264,9 +380,6 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
                     success=[e is None for e in errors],
                 )
                 yield pd.DataFrame(out)
-        finally:
-            if backend is not None:
-                backend.unload()
 
     return run
 
@@ -274,7 +387,8 @@ def _runner(make_backend: Callable[[], Backend], input_col: str, keys: Sequence[
 def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str, keys: Sequence[str],
               settings: Settings = Settings(), slots: int | None = None, settings_col: str | None = None,
               carry: Sequence[str] = (), skip_col: str | None = None, device_col: str | None = None,
-              batch_size: int = 1, concurrency: int = 1) -> DataFrame:
+              batch_size: int = 1, concurrency: int = 1, warm: bool = False, size: Column | None = None,
+              task_bytes: int = TASK_BYTES) -> DataFrame:
     """Run a backend over a table; result = keys + the result envelope.
 
     ``slots`` sets the number of tasks (one model load each) and spreads the rows over them by a
@@ -289,20 +403,90 @@ def run_batch(df: DataFrame, make_backend: Callable[[], Backend], input_col: str
     ``batch_size``: rows per call for a backend with ``generate_batch(inputs, settings)``; a batch that
     fails is called row by row. ``concurrency``: calls in flight per task, for backends whose calls
     wait for a server and may run in several threads.
+    ``warm``: the model stays loaded in the worker process for its next tasks. ``size``: the input bytes
+    of a row; the rows are dealt to tasks of about ``task_bytes`` (instead of ``slots``).
     """
     out_cols = list(dict.fromkeys([*keys, *carry]))
     extra = [c for c in (settings_col, skip_col, device_col) if c]
     cols = list(dict.fromkeys([*out_cols, input_col, *extra]))
     projected = df.select(*cols)
-    if slots:
+    if size is not None:
+        projected = sized_tasks(projected, keys, size, task_bytes)
+    elif slots:
         projected = projected.repartition(slots, *keys)
     key_fields = [projected.schema[k] for k in out_cols]
     return projected.mapInPandas(
-        _runner(make_backend, input_col, out_cols, settings, settings_col, skip_col, device_col, batch_size, concurrency),
+        _runner(make_backend, input_col, out_cols, settings, settings_col, skip_col, device_col, batch_size, concurrency,
+                warm_key(make_backend) if warm else None),
         envelope_schema(key_fields),
     )
 
 
+#: Characters of inputs and rows that a task builds before it calls the model.
+VARIANT_CHARS = 16_000_000
+VARIANT_ROWS = 256
+
+
+def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: Sequence[dict[str, str]],
+                 build: Callable[[Any, dict[str, str]], Any], input_col: str, keys: Sequence[str], named: Sequence[str],
+                 settings: Settings = Settings(), carry: Sequence[str] = (), skip_col: str | None = None,
+                 wanted_col: str | None = None, slots: int | None = None, batch_size: int = 1, concurrency: int = 1,
+                 warm: bool = False) -> DataFrame:
+    """One row in, one row out per variant: keys, ``carry``, the variant's ``named`` fields, the envelope.
+
+    ``build(input, variant)`` makes a call's input inside the task, so a row's input reaches the task once however
+    many variants there are. ``wanted_col`` (array of variant numbers) limits a row to these variants; ``skip_col``
+    as in :func:`run_batch`.
+    """
+    out_cols = list(dict.fromkeys([*keys, *carry]))
+    cols = list(dict.fromkeys([*out_cols, input_col, *[c for c in (skip_col, wanted_col) if c]]))
+    projected = df.select(*cols)
+    if slots:
+        projected = projected.repartition(slots, *keys)
+    key = warm_key(make_backend) if warm else None
+
+    def parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        begin = held = 0
+        for i, text in enumerate(pdf[input_col]):
+            held += len(variants) * (0 if _absent(text) else len(text))
+            if held >= VARIANT_CHARS or i + 1 - begin >= VARIANT_ROWS or i + 1 == len(pdf):
+                yield pdf.iloc[begin : i + 1]
+                begin, held = i + 1, 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with _Lease(make_backend, key) as lease:
+            for pdf in (part for batch in batches for part in parts(batch)):
+                n = len(pdf)
+                wanted = pdf[wanted_col].tolist() if wanted_col else [range(len(variants))] * n
+                pairs = [(i, int(v)) for i in range(n) if wanted[i] is not None for v in wanted[i]]
+                if not pairs:
+                    continue
+                inputs = pdf[input_col].tolist()
+                skips = pdf[skip_col].tolist() if skip_col else [None] * n
+                now = dt.datetime.now(dt.timezone.utc)
+                results = [("", 0.0, now, None if _absent(skips[i]) else str(skips[i])) for i, _ in pairs]
+                sent = [k for k, (i, _) in enumerate(pairs) if _absent(skips[i])]
+                if sent:
+                    built = [build(inputs[pairs[k][0]], variants[pairs[k][1]]) for k in sent]
+                    answers = _called(lease.get(), built, [settings] * len(sent), batch_size, concurrency)
+                    for k, answer in zip(sent, answers):
+                        results[k] = answer
+                called = set(sent)
+                texts, secs, stamps, errors = map(list, zip(*results))
+                at = [i for i, _ in pairs]
+                out = {c: [column[i] for i in at] for c in out_cols for column in [pdf[c].tolist()]}
+                out |= {c: [variants[v][c] for _, v in pairs] for c in named}
+                model_id, device = (getattr(lease.backend, a, None) for a in ("model_id", "device"))
+                out |= {"text": texts, "model_id": [model_id if k in called else None for k in range(len(pairs))],
+                        "inference_time_seconds": secs, "timestamp": stamps,
+                        "device": [device if k in called else None for k in range(len(pairs))], "error": errors,
+                        "success": [e is None for e in errors]}
+                yield pd.DataFrame(out)
+
+    fields = [projected.schema[c] for c in out_cols] + [T.StructField(c, T.StringType()) for c in named]
+    return projected.mapInPandas(run, envelope_schema(fields))
+
+
 def settings_overlay(max_tokens: Column, settings: Settings = Settings()) -> Column:
     """Per-request token limit over the default."""
     return F.coalesce(max_tokens.cast("int"), F.lit(settings.max_new_tokens))

@@ -6,7 +6,9 @@ aliased to the names the SQL oracles use; doubles are rounded and counts are ``b
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from .. import functions as fn
 from ..functions._util import posexplode_rows
 from ..functions.paths import resolve
 from ..operators import analytics as A
+from ..operators import evaluation as EV
 from ..operators import experiment as X
 from ..operators import inference as I
 from ..operators import layout as L
@@ -32,6 +35,7 @@ MODELS = ["m0", "m1", "m2"]
 VERSIONS = ["v1", "v2"]
 DATASET_DIR = "/data/cin"
 PAGE_AFTER = dt.datetime(1996, 1, 1)
+OCR_TASK_BYTES = 4 * 1024 * 1024  # layout JSON a task
 RUN_EPOCH = 1772928000  # 2026-03-08 00:00:00 UTC in epoch seconds
 
 
@@ -560,8 +564,6 @@ def evaluation_run(spark, sf):
 
     The test client reads each case's printed card; its answers differ by model (fields skipped,
     date separator) and by prompt (fenced or not), so the scores are known in advance."""
-    from ..operators import evaluation as EV
-
     runs = [(m, v, td.CARD_PROMPTS[v]) for m in EV.CARD_READERS for v in td.CARD_PROMPTS]
     out = EV.evaluation_run(td.cases(spark, sf), runs, EV.CardReaderClient, fields=td.CIN_FIELDS)
     return out.select(
@@ -570,6 +572,33 @@ def evaluation_run(spark, sf):
     )
 
 
+class _OutageClient(EV.CardReaderClient):
+    """The card client during an outage: no answer for cards without initials."""
+
+    def _generate(self, request_json, settings):
+        block = json.loads(request_json)["messages"][0]["content"][0]
+        if b"initiales: \n" in base64.b64decode(block["source"]["data"]):
+            raise TimeoutError("no answer")
+        return super()._generate(request_json, settings)
+
+
+@query
+def evaluation_resume(spark, sf):
+    """An evaluation whose first start met an outage, started again: only the failed calls are made again."""
+    import uuid
+
+    from ..session import shared_path
+
+    runs = [(m, v, td.CARD_PROMPTS[v]) for m in EV.CARD_READERS for v in td.CARD_PROMPTS]
+    path = shared_path(spark, "evaluations", uuid.uuid4().hex)
+    cases = td.cases(spark, sf)
+    EV.resume_evaluation(cases, runs, _OutageClient, path, fields=td.CIN_FIELDS, waves=2)
+    EV.resume_evaluation(cases, runs, EV.CardReaderClient, path, fields=td.CIN_FIELDS)
+    made = spark.read.parquet(path).groupBy("id", "model", "prompt_version").agg(F.count(F.lit(1)).alias("n_calls"))
+    out = EV.evaluation_results(spark, path).select("id", "model", "prompt_version", "attempt", "correct_fields", "success")
+    return out.join(made, ["id", "model", "prompt_version"])
+
+
 @query
 def model_pivot(spark, sf):
     return X.model_pivot(td.scored_table(spark, sf), MODELS)
@@ -624,9 +653,9 @@ def infer_text(spark, sf):
 def infer_ocr(spark, sf):
     raw = posexplode_rows(td.ocr_pages(spark, sf), ["doc_id"], "pages", value="page")
     inp = raw.select("doc_id", (F.col("pos") + 1).alias("page_no"), F.to_json("page").alias("page_json"))
-    # Pages, not documents, are spread over the tasks: a long document does not hold one task.
-    slots = spark.sparkContext.defaultParallelism
-    out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"], slots=slots)
+    # Pages, not documents, are dealt to tasks of equal bytes: a long document does not hold one task.
+    out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"], size=F.octet_length("page_json"),
+                      task_bytes=OCR_TASK_BYTES, warm=True)
     return out.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), "model_id", "success",
                       F.md5("text").alias("text_md5"))
 
@@ -662,6 +691,19 @@ def upload_triage(spark, sf):
     return accepted.withColumn("kept", F.lit(True)).unionByName(rejected.withColumn("kept", F.lit(False)))
 
 
+@query
+def asset_scan(spark, sf):
+    """Image files scanned by header bytes, matched to their requests and triaged; no content is read."""
+    from ..sources.asset_source import match_headers, scan_headers
+
+    folder, files = td.upload_files(spark, sf)
+    f = match_headers(files, scan_headers(spark, folder, glob="*.img"), "path")
+    size = [F.col(c) for c in ("width", "height", "bands")]
+    status, error_class = TR.status_of(F.col("missing"), F.col("format"), *size, decodable=F.col("decodable"))
+    little = (F.col("bytes_read") <= 256).alias("read_little")
+    return f.select("id", status.alias("status"), error_class.alias("error_class"), "format", "width", "height", "length", little)
+
+
 @query
 def judge_run(spark, sf):
     """J8 run: judge prompts through a (test) judge backend; answers checked against the allowed values."""
@@ -727,6 +769,42 @@ def ocr_url(spark, sf):
     return out.select("page_id", "status", "error_class", "text")
 
 
+@query
+def ocr_url_stream(spark, sf):
+    """The URL route as a stream: arriving request files, micro-batches, a sink for results and one for rejects."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.inference_stream import read_url_sinks, start_url_stream
+
+    base = shared_path(spark, "stream", uuid.uuid4().hex)
+    urls = td.table(spark, sf, "pages").select("page_id", "url")
+    urls.repartition(4, "page_id").write.parquet(f"{base}/in")
+    start_url_stream(spark, f"{base}/in", urls.schema, f"{base}/out", f"{base}/checkpoint", _page_body, _SizeBackend,
+                     key="page_id", max_files_per_trigger=2).awaitTermination()
+    results, rejects = read_url_sinks(spark, f"{base}/out", urls.schema["page_id"])
+    columns = ["page_id", "status", "error_class", "text"]
+    fine = results.withColumn("error_class", F.lit(None).cast("string")).select(columns)
+    return fine.unionByName(rejects.withColumn("text", F.lit("")).select(columns))
+
+
+@query
+def ocr_upload_stream(spark, sf):
+    """The upload route as a stream: image files as they lie in the watched folder, triaged by header, then read."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.inference_stream import start_upload_stream
+
+    folder, _ = td.upload_files(spark, sf)
+    base = shared_path(spark, "stream", uuid.uuid4().hex)
+    start_upload_stream(spark, folder, f"{base}/out", f"{base}/checkpoint", I.ImageSizeBackend, glob="*.img",
+                        recursive=True).awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    key = F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long")
+    return out.select(key.alias("id"), "status", "format", "success", "error", "text")
+
+
 @query
 def mistake_summary(spark, sf):
     """A20 with a model: all counted mistakes per model and metric -> prompt -> backend -> headings demoted."""

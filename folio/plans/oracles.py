@@ -488,6 +488,28 @@ SELECT id, status, error_class, status = 200 AS kept FROM (
       WHEN o_orderkey % 8 IN (3, 6) THEN 'too_large' WHEN o_orderkey % 8 = 5 THEN 'unsupported_format'
       ELSE 'not_found' END AS c FROM orders))"""
 
+# The literal files of the uploads: kind, header facts and length by the rule on the key. Facts are NULL where the
+# header is cut.
+ORACLES["asset_scan"] = """
+WITH f AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 7 THEN 10 WHEN o_orderkey % 64 = 15 THEN 11 ELSE o_orderkey % 8 END AS c
+  FROM orders
+)
+SELECT id,
+  CASE WHEN c IN (0, 4) THEN 200 WHEN c = 7 THEN 404 ELSE 400 END AS status,
+  CASE WHEN c IN (10, 11, 3, 6) THEN 'too_large' WHEN c IN (1, 2) THEN 'invalid_image' WHEN c = 5 THEN 'unsupported_format'
+    WHEN c = 7 THEN 'not_found' END AS error_class,
+  CASE WHEN c IN (0, 3) THEN 'PNG' WHEN c IN (4, 10) THEN 'JPEG' WHEN c = 11 THEN 'TIFF' WHEN c = 5 THEN 'GIF'
+    WHEN c = 6 THEN 'BMP' END AS format,
+  CAST(CASE c WHEN 0 THEN 3 WHEN 3 THEN 4294967295 WHEN 4 THEN 10 WHEN 10 THEN 9000 WHEN 11 THEN 9000 WHEN 5 THEN 10
+    WHEN 6 THEN 2000 END AS BIGINT) AS width,
+  CAST(CASE c WHEN 0 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 10 WHEN 10 THEN 9000 WHEN 11 THEN 9000 WHEN 5 THEN 10
+    WHEN 6 THEN 2000 END AS BIGINT) AS height,
+  CAST(CASE c WHEN 0 THEN 33 WHEN 1 THEN 27 WHEN 2 THEN 18 WHEN 3 THEN 33 WHEN 4 THEN 44 WHEN 5 THEN 18 WHEN 6 THEN 54
+    WHEN 10 THEN 70563 WHEN 11 THEN 70050 END AS BIGINT) AS length,
+  CASE WHEN c <> 7 THEN true END AS read_little
+FROM f"""
+
 ORACLES["judge_run"] = _w(BASE) + """
 SELECT id, true AS success,
   CASE WHEN k % 29 = 0 THEN 'incorrect' WHEN k % 2 = 0 THEN 'correct' WHEN k % 13 = 0 THEN NULL ELSE 'correct' END
@@ -508,6 +530,19 @@ SELECT page_id, CASE c WHEN 'download_failed' THEN 422 WHEN 'invalid_image' THEN
   c AS error_class, CASE WHEN c IS NULL THEN 'image ' || CAST(n AS VARCHAR) || 'x3' ELSE '' END AS text
 FROM (SELECT page_id, length(url) AS n, CASE WHEN length(url) % 7 = 0 THEN 'download_failed'
     WHEN length(url) % 5 = 0 THEN 'invalid_image' WHEN length(url) % 4 = 0 THEN 'processing_failed' END AS c FROM pages)"""
+ORACLES["ocr_url_stream"] = ORACLES["ocr_url"]
+# The files that exist, by the rule on the key; the test backend reads PNG files only.
+ORACLES["ocr_upload_stream"] = """
+SELECT id, CASE WHEN c IN (0, 4) THEN 200 ELSE 400 END AS status,
+  CASE WHEN c IN (0, 2, 3) THEN 'PNG' WHEN c IN (4, 10) THEN 'JPEG' WHEN c = 11 THEN 'TIFF' WHEN c = 5 THEN 'GIF'
+    WHEN c = 6 THEN 'BMP' END AS format,
+  c = 0 AS success,
+  CASE WHEN c = 4 THEN 'ValueError: not a PNG image' WHEN c IN (1, 2) THEN 'invalid_image' WHEN c = 5 THEN 'unsupported_format'
+    WHEN c <> 0 THEN 'too_large' END AS error,
+  CASE WHEN c = 0 THEN 'image 3x2' ELSE '' END AS text
+FROM (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 7 THEN 10 WHEN o_orderkey % 64 = 15 THEN 11 ELSE o_orderkey % 8 END AS c
+  FROM orders) WHERE c <> 7"""
 _OUTLINE = (
     f"'## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} "
     "ORDER BY n DESC, field, verdict)"
@@ -583,6 +618,16 @@ SELECT k AS id, r.model, r.prompt_version, tags,
 FROM s CROSS JOIN (VALUES ('reader-exact', 'v1'), ('reader-exact', 'v2'), ('reader-sloppy', 'v1'),
                           ('reader-sloppy', 'v2')) AS r(model, prompt_version)"""
 
+ORACLES["evaluation_resume"] = _w(BASE) + f"""
+SELECT k AS id, r.model, r.prompt_version,
+  CASE WHEN k % 29 <> 0 AND t_ini = '' THEN 2 ELSE 1 END AS attempt,
+  CASE WHEN k % 29 = 0 THEN 0.0 WHEN r.model = 'reader-exact' THEN 8.0
+       ELSE 6.0 - CASE WHEN t_de = '' THEN 0 ELSE 1 END END::DOUBLE AS correct_fields,
+  true AS success,
+  CAST(CASE WHEN k % 29 <> 0 AND t_ini = '' THEN 2 ELSE 1 END AS BIGINT) AS n_calls
+FROM s CROSS JOIN (VALUES ('reader-exact', 'v1'), ('reader-exact', 'v2'), ('reader-sloppy', 'v1'),
+                          ('reader-sloppy', 'v2')) AS r(model, prompt_version)"""
+
 # Python's json.dumps(indent=2, ensure_ascii=False) of an unfenced answer, written out: "{",
 # one '  "key": "value"' line per key in document order, "}". Fenced answers do not parse and
 # come back as they are, and so does the refusal text.

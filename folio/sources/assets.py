@@ -6,14 +6,16 @@ that have a file take part in the join that brings its content.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .image_headers import PNG_BANDS, read_facts
+
 FACTS = T.StructType(
     [
         T.StructField("format", T.StringType(), True),
@@ -26,6 +28,8 @@ FACTS = T.StructType(
 FIRST_LOOK = 65536
 #: Bytes of fetched bodies that a task hands on at once.
 FETCH_BYTES = 32 * 1024 * 1024
+#: Downloads that wait at the same time in one task.
+FETCHES_IN_FLIGHT = 8
 
 
 def scan_assets(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -67,10 +71,6 @@ def _le(c: Column, pos: int, n: int) -> Column:
     return out
 
 
-# PNG colour type -> number of bands.
-PNG_BANDS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-
-
 def header_facts_jvm(content: Column) -> Column:
     """Format, width, height and bands for PNG, BMP and GIF from their fixed headers (JVM only)."""
     magic = F.hex(F.substring(content, 1, 8))
@@ -98,68 +98,13 @@ def header_facts_jvm(content: Column) -> Column:
     return F.struct(fmt.alias("format"), width.alias("width"), height.alias("height"), bands.alias("bands"))
 
 
-def _jpeg(b: bytes):
-    i = 2
-    while i + 9 < len(b):
-        if b[i] != 0xFF:
-            return None
-        marker = b[i + 1]
-        if marker == 0xFF:  # fill bytes may stand before a marker
-            i += 1
-            continue
-        if marker in (0xD8, 0x01) or 0xD0 <= marker <= 0xD7:
-            i += 2
-            continue
-        seg = struct.unpack(">H", b[i + 2 : i + 4])[0]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack(">HH", b[i + 5 : i + 9])
-            return ("JPEG", w, h, b[i + 9])
-        i += 2 + seg
-    return None
-
-
-def _tiff(b: bytes):
-    order = "<" if b[:2] == b"II" else ">"
-    (ifd,) = struct.unpack(order + "I", b[4:8])
-    (n,) = struct.unpack(order + "H", b[ifd : ifd + 2])
-    tags = {}
-    for k in range(n):
-        e = b[ifd + 2 + 12 * k : ifd + 14 + 12 * k]
-        tag, typ, _count = struct.unpack(order + "HHI", e[:8])
-        value = struct.unpack(order + ("H" if typ == 3 else "I"), e[8:10] if typ == 3 else e[8:12])[0]
-        tags[tag] = value
-    return ("TIFF", tags.get(256), tags.get(257), tags.get(277, 1))
-
-
-def _webp(b: bytes):
-    kind = b[12:16]
-    if kind == b"VP8X":
-        w = int.from_bytes(b[24:27], "little") + 1
-        h = int.from_bytes(b[27:30], "little") + 1
-        return ("WEBP", w, h, 4 if b[20] & 0x10 else 3)
-    if kind == b"VP8 ":
-        w, h = struct.unpack("<HH", b[26:30])
-        return ("WEBP", w & 0x3FFF, h & 0x3FFF, 3)
-    if kind == b"VP8L":
-        bits = int.from_bytes(b[21:25], "little")
-        return ("WEBP", (bits & 0x3FFF) + 1, ((bits >> 14) & 0x3FFF) + 1, 4 if (bits >> 28) & 1 else 3)
-    return None
-
-
 def _facts_one(b):
+    """Facts of the formats that the JVM expressions do not read."""
     if b is None or len(b) < 12:
         return None
     b = bytes(b)
-    try:
-        if b[:3] == b"\xff\xd8\xff":
-            return _jpeg(b)
-        if b[:4] in (b"II*\x00", b"MM\x00*"):
-            return _tiff(b)
-        if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
-            return _webp(b)
-    except (struct.error, IndexError, ValueError):
-        return None
-    return None
+    facts = read_facts(lambda place, n: b[place : place + n])
+    return facts if facts and facts[0] in ("JPEG", "TIFF", "WEBP") else None
 
 
 @F.pandas_udf(FACTS)
@@ -195,7 +140,8 @@ def header_facts(df: DataFrame, content_col: str = "content", head_bytes: int =
 
 
 def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col: str = "url", key: str = "id",
-                 host_slots: int | None = None, timeout_s: float = 30.0, tasks: int | None = None) -> DataFrame:
+                 host_slots: int | None = None, timeout_s: float = 30.0, tasks: int | None = None,
+                 in_flight: int = FETCHES_IN_FLIGHT) -> DataFrame:
     """Download every URL with an injected ``fetcher(url, timeout_s) -> bytes`` that raises on
     HTTP errors. A failing URL gives an ``error`` row, not a failed task.
 
@@ -206,7 +152,8 @@ def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col:
 
     A fetch costs time per URL, not per byte, so the number of tasks is explicit (``tasks``,
     else the larger of the shuffle partitions and the cores) and AQE does not merge the small
-    partitions of a URL list into one task.
+    partitions of a URL list into one task. ``in_flight`` downloads of a task wait at the same time (one
+    with ``host_slots``, whose bound counts connections).
     """
     spark = df.sparkSession
     n = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -216,29 +163,32 @@ def fetch_assets(df: DataFrame, fetcher: Callable[[str, float], bytes], url_col:
         src = src.repartition(n, host, F.pmod(F.xxhash64(F.col(url_col)), F.lit(host_slots)))
     else:
         src = src.repartition(n, F.xxhash64(F.col(url_col)))
+    in_flight = 1 if host_slots else in_flight
     schema = T.StructType(
         [src.schema[key], T.StructField(url_col, T.StringType()), T.StructField("content", T.BinaryType()),
          T.StructField("error", T.StringType())]
     )
 
+    def fetched(url):
+        try:
+            return fetcher(url, timeout_s), None
+        except Exception as e:  # one bad URL gives one error row
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches):
-        for pdf in batches:
-            keys, urls = pdf[key].tolist(), pdf[url_col].tolist()
-            begin, held, contents, errors = 0, 0, [], []
-            for k, u in enumerate(urls):
-                try:
-                    body = fetcher(u, timeout_s)
-                    contents.append(body)
-                    errors.append(None)
-                    held += len(body)
-                except Exception as e:  # one bad URL gives one error row
-                    contents.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-                # Bodies are handed on in small pieces, not held for a whole input batch.
-                if held >= FETCH_BYTES or k + 1 == len(urls):
-                    part = {key: keys[begin : k + 1], url_col: urls[begin : k + 1], "content": contents, "error": errors}
-                    yield pd.DataFrame(part)
-                    begin, held, contents, errors = k + 1, 0, [], []
+        with ThreadPoolExecutor(in_flight) as pool:
+            for pdf in batches:
+                # As many URLs at a time as are in flight; bodies are handed on in small pieces, not held
+                # for a whole input batch.
+                begin, held, found = 0, 0, []
+                for at in range(0, len(pdf), in_flight):
+                    found += pool.map(fetched, pdf[url_col].iloc[at : at + in_flight])
+                    held += sum(len(body) for body, _ in found[at - begin :] if body is not None)
+                    end = min(at + in_flight, len(pdf))
+                    if held >= FETCH_BYTES or end == len(pdf):
+                        part = pdf.iloc[begin:end][[key, url_col]]
+                        yield part.assign(content=[body for body, _ in found], error=[error for _, error in found])
+                        begin, held, found = end, 0, []
 
     return src.mapInPandas(run, schema)
 

@@ -18,6 +18,7 @@ from ..functions.tags import parse_tags
 from ..functions.text import iso_seconds
 from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
+from . import stores
 from ..operators.analytics import parse_timestamp
 
 # The eight fields of the identity-card ground truth, in document order.
@@ -291,6 +292,29 @@ def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def upload_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """The uploads as files under the shared folder (a hundred folders): the folder, and ``id``, ``path``.
+
+    Orders without content have a path where no file is.
+    """
+    folder = stores.plain(shared_path(spark, "upload-files", hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10],
+                                      spark.sparkContext.applicationId))
+
+    def write(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                if content is not None:
+                    stores.write_bytes(path, bytes(content))
+            yield pdf[["id", "path"]]
+
+    def build(spark, sf_dir):
+        k = F.col("id")
+        path = F.concat(F.lit(folder + "/"), (k % 100).cast("string"), F.lit("/"), k.cast("string"), F.lit(".img"))
+        return uploads(spark, sf_dir).select("id", path.alias("path"), "content").mapInPandas(write, "id long, path string")
+
+    return folder, stored(spark, "upload-files", sf_dir, build)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-generation requests: user turns of the conversations, with blank prompts and mixed sources."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")

@@ -1,8 +1,9 @@
-"""Inference on arriving requests (I10): file stream -> the batch operator unchanged -> append sink.
+"""Inference on arriving requests (I10): file stream -> the batch operator unchanged -> sink.
 
-Two routes: text requests arriving as Parquet files, and uploaded images arriving as files
-(``binaryFile``), which are triaged by their headers before OCR. Stateless: no watermark, no
-state store. The checkpoint makes a restart add no duplicate rows.
+Three routes: text requests arriving as Parquet files; uploaded images arriving as files
+(``binaryFile``), which are triaged by their headers before OCR; and URL requests, which are fetched,
+triaged and read, with a sink for results and one for rejects. Stateless: no watermark, no state
+store. The checkpoint makes a restart add no duplicate rows.
 """
 
 from __future__ import annotations
@@ -118,9 +119,11 @@ def ocr_urls(urls: DataFrame, fetcher: Callable[[str, float], bytes], make_backe
 def start_upload_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
                         make_backend: Callable[[], I.Backend], glob: str | None = None, settings: Settings = Settings(),
                         max_mb: float = 10, accepted=VALIDATION_FORMATS, available_now: bool = True,
-                        max_files_per_trigger: int | None = None):
+                        max_files_per_trigger: int | None = None, recursive: bool = False):
     """OCR of images as they arrive in ``source_dir`` (the upload route as a stream)."""
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
@@ -131,3 +134,72 @@ def start_upload_stream(spark: SparkSession, source_dir: str, sink_dir: str, che
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+# ---------------------------------------------------------------- the URL route
+
+RESULTS, REJECTS = "results", "rejects"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def url_batch_writer(sink_dir: str, fetcher: Callable[[str, float], bytes], make_backend: Callable[[], I.Backend], key: str = "id",
+                     url_col: str = "url", settings: Settings = Settings(), max_mb: float = 10, accepted=VALIDATION_FORMATS):
+    """A ``foreachBatch`` function: one pass over the batch's URLs, then both sinks.
+
+    The outcome is written once before the sinks read it, so a URL is fetched and a model called once
+    for two sinks. Every folder carries the batch id: a batch that is run again after a crash replaces its
+    own folders, and takes a complete outcome as it is instead of fetching again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        staged = f"{sink_dir}/outcome/batch={batch_id}"
+        if not _exists(spark, f"{staged}/_SUCCESS"):
+            outcome = ocr_urls(batch, fetcher, make_backend, key, url_col, settings, max_mb, accepted)
+            outcome.write.mode("overwrite").parquet(staged)
+        outcome = spark.read.parquet(staged)
+        fine = F.col("status") == TR.STATUS["ok"]
+        outcome.where(fine).drop("error", "error_class").write.mode("overwrite").parquet(f"{sink_dir}/{RESULTS}/batch={batch_id}")
+        rejected = outcome.where(~fine).select(key, "status", "error_class", "error", "timestamp")
+        rejected.write.mode("overwrite").parquet(f"{sink_dir}/{REJECTS}/batch={batch_id}")
+        _remove(spark, staged)
+
+    return write
+
+
+def start_url_stream(spark: SparkSession, source_dir: str, schema, sink_dir: str, checkpoint_dir: str,
+                     fetcher: Callable[[str, float], bytes], make_backend: Callable[[], I.Backend], key: str = "id",
+                     url_col: str = "url", settings: Settings = Settings(), available_now: bool = True,
+                     max_files_per_trigger: int | None = None, **checks):
+    """OCR of the images behind URLs as requests arrive: fetch, triage, model, results and rejects."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    write = url_batch_writer(sink_dir, fetcher, make_backend, key, url_col, settings, **checks)
+    writer = reader.parquet(source_dir).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_dir)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_url_sinks(spark: SparkSession, sink_dir: str, key_field: T.StructField) -> tuple[DataFrame, DataFrame]:
+    """Results and rejects of all batches; empty tables where no batch has been written."""
+    results = T.StructType([key_field, *[f for f in I.ENVELOPE_FIELDS if f.name != "error"], T.StructField("status", T.IntegerType()),
+                            T.StructField("batch", T.LongType())])
+    rejects = T.StructType([key_field, T.StructField("status", T.IntegerType()), T.StructField("error_class", T.StringType()),
+                            T.StructField("error", T.StringType()), T.StructField("timestamp", T.TimestampType()),
+                            T.StructField("batch", T.LongType())])
+    return tuple(
+        spark.read.schema(schema).parquet(f"{sink_dir}/{name}") if _exists(spark, f"{sink_dir}/{name}")
+        else spark.createDataFrame([], schema)
+        for name, schema in ((RESULTS, results), (REJECTS, rejects))
+    )
