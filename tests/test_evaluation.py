@@ -78,3 +78,69 @@ def test_unsupported_types_and_missing_truths_have_no_scores(spark):
     assert rows["c1"].success is False and ".docx" in rows["c1"].error and rows["c1"].score_error == "failed_call"
     assert rows["c2"].success and rows["c2"].score_error == "missing_truth"
     assert {r.correct_fields for r in rows.values()} == {r.format_compliance for r in rows.values()} == {None}
+
+
+def test_the_request_text_is_the_request(spark):
+    from folio.operators import inference as I
+    from folio.operators.triage import content_block
+
+    prompt = 'Say "é" \\ and\nstop'
+    row = _cases(spark).select(
+        F.to_json(content_block(F.col("content"), F.col("in"))).alias("block"),
+        F.to_json(I.build_request(content_block(F.col("content"), F.col("in")), F.lit(prompt), F.lit("m"), 77)).alias("request"),
+    ).first()
+    built = EV.request_builder(77)(row.block, {"model": "m", "prompt": prompt})
+    assert json.loads(built) == json.loads(row.request)
+
+
+def test_content_is_not_copied_per_run(spark):
+    plan = EV.evaluation_run(_cases(spark), RUNS, EV.CardReaderClient, fields=list(TRUTH))._jdf.queryExecution().optimizedPlan().toString()
+    before_python = plan[plan.index("MapInPandas"):]
+    assert before_python.count("Generate") == 0 and "Join" not in before_python and "base64" in before_python
+
+
+class CountingClient(EV.CardReaderClient):
+    """Marks every call in a folder; fails on the cases it is told to."""
+
+    def __init__(self, folder, failing=()):
+        super().__init__()
+        self.folder, self.failing = folder, failing
+
+    def _generate(self, request_json, settings):
+        import uuid
+
+        model = json.loads(request_json)["model"]
+        open(os.path.join(self.folder, f"{model}-{uuid.uuid4().hex}"), "w").close()
+        if model in self.failing:
+            raise TimeoutError("no answer")
+        return super()._generate(request_json, settings)
+
+
+def test_a_second_start_calls_only_what_is_missing(spark):
+    calls, path = tempfile.mkdtemp(prefix="calls-"), os.path.join(tempfile.mkdtemp(prefix="resume-"), "run")
+    many = spark.range(20).crossJoin(_cases(spark).where("id = 'c1'").drop("id")).withColumn("id", F.col("id").cast("string"))
+    run = lambda client, runs=RUNS, **more: EV.resume_evaluation(many, runs, client, path, fields=list(TRUTH), **more)
+    made = lambda: len(os.listdir(calls))
+    # Interrupted after one of four waves, with one model failing.
+    written = run(lambda: CountingClient(calls, ["reader-sloppy"]), waves=4, max_waves=1)
+    assert 0 < written < 40 and made() == written
+    # What a crash left without a commit is not read.
+    left = os.path.join(path, "attempt=2", "wave=0", "_temporary")
+    os.makedirs(left)
+    answered = EV.evaluation_results(spark, path).where("success").count()
+    assert answered == written // 2
+    rest = run(lambda: CountingClient(calls), waves=3)
+    assert rest == 40 - answered and made() == written + rest
+    assert run(lambda: CountingClient(calls)) == 0 and made() == written + rest
+    got = EV.evaluation_results(spark, path).collect()
+    assert len(got) == 40 and all(r.success for r in got) and {r.attempt for r in got} == {1, 3}
+    # A further run of the same cases is all that is called.
+    more = [*RUNS, ("reader-exact", "v9", "Extract again.")]
+    assert run(lambda: CountingClient(calls), more) == 20
+
+
+def test_failed_calls_may_be_left_alone(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="resume-"), "run")
+    first = EV.resume_evaluation(_cases(spark), RUNS, BrokenClient, path, fields=list(TRUTH))
+    assert first == 4 and EV.resume_evaluation(_cases(spark), RUNS, BrokenClient, path, fields=list(TRUTH), retry_failed=False) == 0
+    assert EV.evaluation_results(spark, path).where("NOT success").count() == 2
