@@ -39,18 +39,27 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
 
     The files cut the lineage (a lost executor does not recompute it) and fix what depends on
-    the order of rows or on partition numbers.
+    the order of rows or on partition numbers. ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = shared_path(spark, "llm", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by :func:`stored` that nothing reads any more (a later one replaced them)."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in table.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[slice]:
     """Slices of a batch with about ``limit`` characters each (one longer text is a slice of its own)."""
     begin = held = 0

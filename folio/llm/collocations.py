@@ -8,9 +8,9 @@ One level turns a sequence of symbols into counts of adjacent symbols:
 2. The others are numbered by rank of frequency (range partitions with running counts: no task
    holds a whole vocabulary), and each chunk's sequence is rewritten in ranks.
 3. Adjacent ranks ``(i, j)`` are a cell of tile ``(i // SIDE, j // SIDE)``. Frequent words crowd into the
-   tiles of low ranks: a tile that holds at least ``DENSE`` of its cells' number is counted by direct address
-   (numpy ``bincount``), pairs of all other tiles as sorted coordinates with counts. Tiles are spread over
-   buckets by hash, dense ones first summed per salt, and added up there in the same two forms.
+   tiles of low ranks: these are counted by direct address (numpy ``bincount``), pairs of all other tiles
+   as sorted coordinates with counts. Tiles are spread over buckets by hash, dense ones first summed per
+   salt, and added up there in the same two forms.
 
 Words are level one. The frequent pairs are ranked again and are the symbols of level two: a pair of
 adjacent pairs is a phrase of three words. Which places hold a frequent pair is looked up in a filter of
@@ -35,21 +35,22 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from ..session import spread
-from ._common import mix64, stored
+from ._common import discard, mix64, stored
 
 MIN_COUNT = 10
 COVER_PERCENT = 50
 TOP = 2000
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 #: All open chunks of a task together.
-HELD_BYTES = 24_000_000
+HELD_BYTES = 12_000_000
 #: Pairs that a task holds before it counts them.
-HELD_PAIRS = 4_000_000
+HELD_PAIRS = 1_500_000
 SIDE = 512
-DENSE = 1 / 16
+#: Tile (x, y) is dense where (x + 1) * (y + 1) is at most this.
+DENSE_TILES = 8
 FILTER_BITS = 1 << 27
 #: Words for which there is a bucket of pairs, and rows a salt keeps of a language.
-BUCKET_PAIRS = 4_000_000
+BUCKET_PAIRS = 2_000_000
 SALTS = 32
 
 _BREAK = 0xFF  # a byte that no UTF-8 text holds
@@ -64,6 +65,17 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_MAP).replace(b"\xff", b" \xff ").split(b" ")
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: sequences and blocks are most of what is written and shuffled."""
+    raw = numbers.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, kind)
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -87,7 +99,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids = np.where(ids == at, -1, ids - (ids > at)).astype(np.int32)
             counts = np.delete(counts, at)
             del symbols[at]
-        row = {"chunk": number, "lang": lang, "ids": ids.tobytes(), "counts": counts, "symbols": symbols}
+        row = {"chunk": number, "lang": lang, "ids": _pack(ids), "counts": counts, "symbols": symbols}
         return pd.DataFrame({k: [v] for k, v in row.items()})
 
     for batch in batches:
@@ -116,21 +128,32 @@ def _ranks(symbols: DataFrame, *key: str) -> DataFrame:
 
 def _in_ranks(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """``chunk``, ``lang`` and ``ids`` as ranks; ``entries(chunk, id, rank)`` lists the symbols that have one."""
-    of_chunk = entries.groupBy("chunk").agg(F.collect_list(F.struct("id", "rank")).alias("known"))  # a chunk is bounded
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: list[np.ndarray] = []
+        rank: list[np.ndarray] = []
         for batch in batches:
-            for at in range(len(batch)):
-                row = batch.iloc[at]
-                ids = np.frombuffer(row["ids"], np.int32)
+            # A chunk's symbols, then the chunk itself: the row that has no symbol.
+            last = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            begin = 0
+            for row in [*last, len(batch)]:
+                at.append(batch.column(1).slice(begin, row - begin).to_numpy(zero_copy_only=False).astype(np.int64))
+                rank.append(batch.column(2).slice(begin, row - begin).to_numpy(zero_copy_only=False).astype(np.int32))
+                begin = row + 1
+                if row == len(batch):
+                    continue
+                ids = _unpack(batch.column(4)[row].as_py(), np.int32)
                 to = np.full(int(ids.max(initial=-1)) + 2, -1, np.int32)  # the last place is for the break, -1
-                if row["at"] is not None:
-                    to[np.asarray(row["at"], np.int64)] = np.asarray(row["rank"], np.int32)
-                yield pd.DataFrame({"chunk": [row["chunk"]], "lang": [row["lang"]], "ids": [to[ids].tobytes()]})
+                to[np.concatenate(at)] = np.concatenate(rank)
+                at, rank = [], []
+                columns = [batch.column(0).slice(row, 1), batch.column(3).slice(row, 1), pa.array([_pack(to[ids])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "ids"])
 
-    both = chunks.select("chunk", "lang", "ids").join(of_chunk, "chunk", "left")
-    both = both.select("chunk", "lang", "ids", F.col("known.id").alias("at"), F.col("known.rank").alias("rank"))
-    return both.mapInPandas(rewrite, "chunk long, lang string, ids binary")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    symbols = entries.select("chunk", F.col("id").cast("int"), F.col("rank").cast("int"), none("string", "lang"), none("binary", "ids"))
+    whole = chunks.select("chunk", none("int", "id"), none("int", "rank"), "lang", "ids")
+    both = symbols.unionByName(whole).repartition("chunk").sortWithinPartitions("chunk", F.col("id").asc_nulls_last())
+    return both.mapInArrow(rewrite, "chunk long, lang string, ids binary")
 
 
 # ---------------------------------------------------------------- tiles
@@ -146,8 +169,18 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _block(lang: str, bucket: int, salt: int, tile: int, keys: np.ndarray, counts: np.ndarray) -> dict:
-    # tile -1: sparse, keys are rank pairs; otherwise keys are cells of that tile
-    return {"lang": lang, "bucket": bucket, "salt": salt, "tile": tile, "keys": keys.tobytes(), "counts": counts.astype(np.int64).tobytes()}
+    """Sorted ``keys`` with counts: cells of a tile, or (tile -1) pairs ``i << 32 | j``."""
+    steps = np.diff(keys.astype(np.int64), prepend=0)
+    return {"lang": lang, "bucket": bucket, "salt": salt, "tile": tile, "keys": _pack(steps), "counts": _pack(counts.astype(np.int64))}
+
+
+def _tile_of(key: np.ndarray) -> np.ndarray:
+    return ((key >> 32) // SIDE << 32) | ((key & 0xFFFFFFFF) // SIDE)
+
+
+def _is_dense(tile: np.ndarray) -> np.ndarray:
+    """Tiles of low ranks, by a rule on their place alone, so that all tasks agree."""
+    return ((tile >> 32) + 1) * ((tile & 0xFFFFFFFF) + 1) <= DENSE_TILES
 
 
 def _count_tiles(buckets: int, salts: int):
@@ -155,22 +188,17 @@ def _count_tiles(buckets: int, salts: int):
 
     def blocks(lang: str, pairs: list[np.ndarray], salt: int) -> list[dict]:
         key = np.concatenate(pairs)
-        tile = ((key >> 32) // SIDE << 32) | ((key & 0xFFFFFFFF) // SIDE)
-        order = np.argsort(tile, kind="stable")
-        tile, key = tile[order], key[order]
-        first = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
-        size = np.diff(np.r_[first, len(tile)])
-        made, sparse = [], np.ones(len(key), bool)
-        for at, n in zip(first[size >= DENSE * SIDE * SIDE], size[size >= DENSE * SIDE * SIDE]):
-            cells = ((key[at : at + n] >> 32) % SIDE) * SIDE + (key[at : at + n] & 0xFFFFFFFF) % SIDE
-            counted = np.bincount(cells, minlength=SIDE * SIDE)
+        tile = _tile_of(key)
+        dense = _is_dense(tile)
+        made = []
+        for t in np.unique(tile[dense]):
+            inside = key[tile == t]
+            counted = np.bincount(((inside >> 32) % SIDE) * SIDE + (inside & 0xFFFFFFFF) % SIDE, minlength=SIDE * SIDE)
             used = np.flatnonzero(counted)
-            bucket = int(mix64(tile[at : at + 1].view(np.uint64))[0] % np.uint64(buckets))
-            made.append(_block(lang, bucket, salt, int(tile[at]), used, counted[used]))
-            sparse[at : at + n] = False
-        key, count = np.unique(key[sparse], return_counts=True)
-        of = ((key >> 32) // SIDE << 32) | ((key & 0xFFFFFFFF) // SIDE)
-        bucket = (mix64(of.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            bucket = int(mix64(np.array([t], np.uint64))[0] % np.uint64(buckets))
+            made.append(_block(lang, bucket, salt, int(t), used, counted[used]))
+        key, count = np.unique(key[~dense], return_counts=True)
+        bucket = (mix64(_tile_of(key).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         ends = np.cumsum(np.bincount(bucket, minlength=buckets))
         for b in np.unique(bucket):
@@ -191,7 +219,7 @@ def _count_tiles(buckets: int, salts: int):
 
         for batch in batches:
             for lang, ids in zip(batch["lang"], batch["ids"]):
-                ids = np.frombuffer(ids, np.int32).astype(np.int64)
+                ids = _unpack(ids, np.int32).astype(np.int64)
                 both = (ids[:-1] >= 0) & (ids[1:] >= 0)
                 pairs = (ids[:-1] << 32 | ids[1:])[both]
                 if len(pairs):
@@ -203,10 +231,11 @@ def _count_tiles(buckets: int, salts: int):
     return run
 
 
-def _add_tiles(min_count: int | None):
+def _add_tiles(min_count: int, last: bool):
     """Blocks of one bucket (and salt) added up: dense tiles in arrays, coordinates by sorted merges.
 
-    With ``min_count`` the rows are pairs found at least so often; without, blocks again.
+    Coordinates are complete here: pairs found less than ``min_count`` times go. Dense tiles are complete
+    in the last round only, when their salts are added up.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,47 +243,48 @@ def _add_tiles(min_count: int | None):
         sparse: dict[str, list] = {}
         waiting: dict[str, int] = {}
         for batch in batches:
-            for lang, bucket, salt, tile, keys, counts in zip(*[batch[c] for c in ("lang", "bucket", "salt", "tile", "keys", "counts")]):
-                keys, counts = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64)
+            for lang, bucket, tile, keys, counts in zip(*[batch[c] for c in ("lang", "bucket", "tile", "keys", "counts")]):
+                keys, counts = np.cumsum(_unpack(keys, np.int64)), _unpack(counts, np.int64)
                 if tile >= 0:
-                    cells = tiles.setdefault((lang, bucket, salt, tile), np.zeros(SIDE * SIDE, np.int64))
-                    cells[keys] += counts
+                    tiles.setdefault((lang, bucket, tile), np.zeros(SIDE * SIDE, np.int64))[keys] += counts
                     continue
                 parts = sparse.setdefault(lang, [])
                 parts.append((keys, counts))
                 waiting[lang] = waiting.get(lang, 0) + len(keys)
                 if waiting[lang] > max(HELD_PAIRS, 2 * len(parts[0][0])):
                     sparse[lang], waiting[lang] = [_merged(*zip(*parts))], 0
-        if min_count is None:
-            for (lang, bucket, salt, tile), cells in tiles.items():
-                used = np.flatnonzero(cells)
-                yield pd.DataFrame([_block(lang, bucket, 0, tile, used, cells[used])])
-            return
-        for (lang, _, _, tile), cells in tiles.items():  # a tile may be dense in one task and sparse in another
-            used = np.flatnonzero(cells)
-            key = ((tile >> 32) * SIDE + used // SIDE) << 32 | ((tile & 0xFFFFFFFF) * SIDE + used % SIDE)
-            sparse.setdefault(lang, []).append((key, cells[used]))
-        tiles.clear()
+        for (lang, bucket, tile), cells in tiles.items():
+            used = np.flatnonzero(cells >= min_count if last else cells)
+            yield pd.DataFrame([_block(lang, bucket, 0, tile, used, cells[used])])
         for lang in list(sparse):
             key, count = _merged(*zip(*sparse.pop(lang)))
             key, count = key[count >= min_count], count[count >= min_count]
-            for at in range(0, len(key), 200_000):
-                part = slice(at, at + 200_000)
-                yield pd.DataFrame({"lang": lang, "i": key[part] >> 32, "j": key[part] & 0xFFFFFFFF, "f": count[part]})
+            yield pd.DataFrame([_block(lang, 0, 0, -1, key, count)])
 
     return run
 
 
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks -> a row per pair."""
+    for batch in batches:
+        for lang, tile, keys, counts in zip(*[batch[c] for c in ("lang", "tile", "keys", "counts")]):
+            key, count = np.cumsum(_unpack(keys, np.int64)), _unpack(counts, np.int64)
+            if tile >= 0:
+                key = ((tile >> 32) * SIDE + key // SIDE) << 32 | ((tile & 0xFFFFFFFF) * SIDE + key % SIDE)
+            yield pd.DataFrame({"lang": lang, "i": key >> 32, "j": key & 0xFFFFFFFF, "f": count})
+
+
 def _pairs(sequences: DataFrame, total: int, min_count: int) -> DataFrame:
     """``lang``, ``i``, ``j``, ``f``: adjacent ranks found at least ``min_count`` times; ``total`` bounds their number."""
     spark = sequences.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_PAIRS))
     salts = max(1, round(sequences.rdd.getNumPartitions() ** 0.5))
     schema = "lang string, bucket int, salt int, tile long, keys binary, counts binary"
-    blocks = stored(sequences.select("lang", "ids").mapInPandas(_count_tiles(buckets, salts), schema), "blocks")
-    dense = blocks.where("tile >= 0").repartition(buckets, "bucket", "salt").mapInPandas(_add_tiles(None), schema)
-    both = blocks.where("tile < 0").unionByName(dense).repartition(buckets, "bucket")
-    return both.mapInPandas(_add_tiles(min_count), "lang string, i long, j long, f long")
+    counted = sequences.select("lang", "ids").mapInPandas(_count_tiles(buckets, salts), schema)
+    added = counted.repartition(buckets, "bucket", "salt").mapInPandas(_add_tiles(min_count, False), schema)
+    added = stored(added, "tiles")  # small: complete coordinates, and one part of each dense tile per salt
+    dense = added.where("tile >= 0").repartition(buckets, "bucket").mapInPandas(_add_tiles(min_count, True), schema)
+    return added.where("tile < 0").unionByName(dense).mapInPandas(_rows, "lang string, i long, j long, f long")
 
 
 # ---------------------------------------------------------------- pairs as symbols
@@ -285,14 +315,14 @@ def _pair_chunks(sequences: DataFrame, flags: np.ndarray) -> DataFrame:
         flags = shared.value
         for batch in batches:
             for chunk, lang, ids in zip(batch["chunk"], batch["lang"], batch["ids"]):
-                ids = np.frombuffer(ids, np.int32).astype(np.int64)
+                ids = _unpack(ids, np.int32).astype(np.int64)
                 key = ids[:-1] << 32 | ids[1:]
                 bit = (mix64(key.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
                 kept = (ids[:-1] >= 0) & (ids[1:] >= 0) & (flags[bit >> 3] >> (bit & 7) & 1 == 1)
                 symbols, at = np.unique(key[kept], return_inverse=True)
                 out = np.full(len(key), -1, np.int32)
                 out[kept] = at
-                yield pd.DataFrame({"chunk": [chunk], "lang": [lang], "ids": [out.tobytes()], "symbols": [symbols]})
+                yield pd.DataFrame({"chunk": [chunk], "lang": [lang], "ids": [_pack(out)], "symbols": [symbols]})
 
     return sequences.mapInPandas(run, "chunk long, lang string, ids binary, symbols array<long>")
 
@@ -328,7 +358,7 @@ def phrases(
         F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
     )
     schema = "chunk long, lang string, ids binary, counts array<long>, symbols array<binary>"
-    chunks = stored(spread(texts).mapInPandas(_chunks, schema), "chunks")
+    chunks = stored(spread(texts).mapInPandas(_chunks, schema), "chunks", compression="zstd")
     entries = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("symbols", "counts")).alias("id", "of"))
     entries = entries.select("chunk", "lang", "id", F.col("of.symbols").alias("word"), F.col("of.counts").alias("n"))
     size = stored(entries.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
@@ -338,14 +368,19 @@ def phrases(
     vocabulary = stored(_ranks(counts, "word"), "vocabulary")
     known = entries.join(vocabulary, ["lang", "word"]).select("chunk", "id", "rank")
     sequences = stored(_in_ranks(chunks, known), "sequences")
+    discard(chunks)
     pairs = stored(_ranks(_pairs(sequences, total, min_count), "i", "j"), "pairs")
 
     pair_chunks = stored(_pair_chunks(sequences, _pair_filter(pairs)), "pair-chunks")
+    discard(sequences)
     pair_entries = pair_chunks.select("chunk", "lang", F.posexplode("symbols").alias("id", "key"))
     split = [F.shiftright("key", 32).alias("i"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("j")]
     pair_entries = pair_entries.select("chunk", "lang", "id", *split)
     known = pair_entries.join(pairs, ["lang", "i", "j"]).select("chunk", "id", "rank")
-    triples = stored(_pairs(stored(_in_ranks(pair_chunks, known), "pair-sequences"), total, min_count), "triples")
+    pair_sequences = stored(_in_ranks(pair_chunks, known), "pair-sequences")
+    discard(pair_chunks)
+    triples = stored(_pairs(pair_sequences, total, min_count), "triples")
+    discard(pair_sequences)
 
     word = lambda at, name, f: vocabulary.select(
         "lang", F.col("rank").alias(at), F.decode("word", "UTF-8").alias(name), F.col("f").alias(f)

@@ -281,7 +281,7 @@ def _main_text(source: pd.Series, template: pd.Series) -> pd.Series:
 
 def page_templates(keyed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """``keyed(uid, host, html)`` -> ``uid`` and ``template``, the hashes of its subtrees that recur on its host."""
-    schema = "uid string, host long, shape long, hashes array<long>"
+    schema = "uid binary, host long, shape long, hashes array<long>"
     parsed = stored(keyed.where("host IS NOT NULL").mapInPandas(_subtrees, schema), "subtrees")
     seen = parsed.select("host", "shape", F.explode("hashes").alias("hash"))
     on_pages = seen.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages"))
@@ -299,7 +299,7 @@ def main_text(
     if out in pages.columns:
         raise ValueError(f"column {out!r} is there already: name another")
     site, source = host(F.col(url)), F.coalesce(F.col(html), F.lit(""))
-    uid = F.md5(F.concat_ws("\x00", F.coalesce(F.col(url), F.lit("")), source).cast("binary"))
+    uid = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(url), F.lit("")), source).cast("binary")))
     rows = spread(packed(pages, uid=uid, host=F.when(site.isNotNull(), F.xxhash64(site))))
     source = F.coalesce(F.col("row").getField(html), F.lit(""))
     templates = page_templates(rows.select("uid", "host", source.alias("html")), min_pages)
