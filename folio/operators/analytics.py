@@ -227,8 +227,17 @@ def table_filter(df: DataFrame, predicates: Sequence[tuple[str, str, object]]) -
     return df.where(reduce(operator.and_, preds)) if preds else df
 
 
+#: Rows that an offset may skip: every task sorts and keeps as many.
+MAX_OFFSET = 10_000
+
+
 def table_page(df: DataFrame, page: int, page_size: int = 25, order=(("timestamp", False),), tiebreak: str = "id") -> DataFrame:
-    """One page of the sorted table (a top-k: each task keeps only offset + limit rows)."""
+    """One page of the sorted table (a top-k: each task keeps only offset + limit rows).
+
+    For the first pages of any order. Deep pages are refused: take :func:`table_page_after`, or the clustered store's
+    ``page``, which finds any page of the time order by its number."""
+    if page * page_size > MAX_OFFSET:
+        raise ValueError(f"page {page} skips more than {MAX_OFFSET} rows: use table_page_after or ResultStore.page")
     return table_sort(df, order, tiebreak).offset(page * page_size).limit(page_size)
 
 
@@ -250,10 +259,13 @@ def table_page_after(df: DataFrame, after: tuple | None, page_size: int = 25, ts
     return table_sort(ordered, ((ts_col, False),), key_col).limit(page_size)
 
 
-def row_detail(df: DataFrame, key, key_col: str = "id") -> DataFrame:
-    """One row's detail with blanks shown as ``—`` / ``""``, reasons as text and pretty JSON."""
+def row_detail(df: DataFrame, keys, key_col: str = "id") -> DataFrame:
+    """Detail of the rows of one key or several, with blanks shown as ``—`` / ``""``, reasons as text and
+    pretty JSON. Over a :class:`folio.sources.store.ResultStore` pass ``store.lookup(keys)``: the key filter is then
+    answered by bloom filters."""
     from ..functions.jsontext import pretty_json
 
+    keys = list(keys) if isinstance(keys, (list, tuple, set)) else [keys]
     dash = F.lit("—")
     cols = set(df.columns)
 
@@ -267,7 +279,7 @@ def row_detail(df: DataFrame, key, key_col: str = "id") -> DataFrame:
         F.lit("  |  correct_fields: "),
         F.coalesce(F.col("correct_fields").cast("string"), dash) if "correct_fields" in cols else dash,
     )
-    return df.where(F.col(key_col) == F.lit(key)).select(
+    return df.where(F.col(key_col).isin(keys)).select(
         F.col(key_col),
         header.alias("header"),
         text("correct_fields_reason").alias("correct_fields_reason"),

@@ -10,6 +10,7 @@ import base64
 import datetime as dt
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from ..operators import inference as I
 from ..operators import layout as L
 from ..operators import scoring as S
 from ..operators import triage as TR
-from ..schemas import DISPLAY_COLS
+from ..schemas import DETAIL_COLS, DISPLAY_COLS
 from ..sources import prompts as P
 from ..sources import testdata as td
 
@@ -157,13 +158,13 @@ def filter_isin(spark, sf):
 
 @query
 def filter_tags_any(spark, sf):
-    return A.FilterSpec(tags=("tilt",)).apply(td.scored_table(spark, sf)).select("id", "tags")
+    return td.result_store(spark, sf).filter(A.FilterSpec(tags=("tilt",))).select("id", "tags")
 
 
 @query
 def filter_dates(spark, sf):
     spec = A.FilterSpec(start_date="1996-01-01", end_date="1997-12-31", timestamp_col="ts_parsed")
-    return spec.apply(td.scored_table(spark, sf)).select("id", "timestamp_text")
+    return td.result_store(spark, sf).filter(spec).select("id", "timestamp_text")
 
 
 @query
@@ -198,7 +199,7 @@ def facet_values(spark, sf):
 
 @query
 def facet_tags(spark, sf):
-    return A.facet_tags(td.scored_table(spark, sf))
+    return td.result_store(spark, sf).facet_tags()
 
 
 @query
@@ -216,7 +217,7 @@ def filter_tags_split(spark, sf):
 
 @query
 def score_bounds(spark, sf):
-    return A.score_bounds(td.scored_table(spark, sf), "judge_fields")
+    return td.result_store(spark, sf).score_bounds("judge_fields")
 
 
 @query
@@ -250,13 +251,23 @@ def top_mistakes(spark, sf):
 
 @query
 def results_union(spark, sf):
-    """S2 + A14: run files with different column sets unioned by name, known columns kept."""
-    from ..sources.experiments import project_known, union_runs
+    """S2 + A14: run files of two layouts, written under their run names, read back and unioned by name."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.experiments import project_known, read_runs
+    from ..sources.sinks import write_run_csv
 
     s = _as_text_ts(td.scored_table(spark, sf))
-    runs = [s.where(F.col("prompt_version") == "v1"), s.where(F.col("prompt_version") == "v2").drop("notes")]
-    out = project_known(union_runs(runs))
-    return out.drop("expected", "generated")
+    name = X.run_name(F.col("doc"), F.col("prompt_version"), F.col("model"), F.lit("20260308_000000"))
+    s = s.select(name.alias("run_name"), *[c for c in s.columns if c in (*DISPLAY_COLS, *DETAIL_COLS) and c != "prompt_version"])
+    path = shared_path(spark, "runs", uuid.uuid4().hex)
+    old = s.where(F.col("run_name").contains("_prompt_v1_"))
+    new = s.where(~F.col("run_name").contains("_prompt_v1_")).drop("notes")
+    back = project_known(read_runs(spark, [*write_run_csv(old, path), *write_run_csv(new, path)]))
+    said = F.coalesce("format_compliance_reason", F.lit("")).alias("format_compliance_reason")  # a blank cell is NULL
+    kept = [c for c in back.columns if c not in ("id", "expected", "generated", "format_compliance_reason")]
+    return back.select(F.col("id").cast("long").alias("id"), *kept, said)
 
 
 @query
@@ -616,26 +627,19 @@ def pretty_json(spark, sf):
 
 @query
 def row_detail(spark, sf):
-    """Detail rows for the keys on the first table page (lookup by key, then pretty JSON)."""
-    s = td.scored_table(spark, sf)
-    first = A.table_page(s, page=0, page_size=25).select("id")
-    return _detail_of_page(s, first)
+    """Detail of the rows on the first table page, each found by its key."""
+    store = td.result_store(spark, sf)
+    keys = [r["id"] for r in store.page(0).select("id").collect()]  # one page
+    return A.row_detail(store.lookup(keys), keys)
 
 
-def _detail_of_page(s: DataFrame, keys: DataFrame) -> DataFrame:
-    from ..functions.jsontext import pretty_json as pj
-
-    d = s.join(keys, "id", "left_semi")
-    return d.select(
-        "id",
-        F.concat(F.lit("id: "), F.col("id").cast("string"), F.lit("  |  doc: "), F.coalesce("doc", F.lit("—")),
-                 F.lit("  |  model: "), F.coalesce("model", F.lit("—")), F.lit("  |  correct_fields: "),
-                 F.coalesce(F.col("correct_fields").cast("string"), F.lit("—"))).alias("header"),
-        F.coalesce("correct_fields_reason", F.lit("")).alias("correct_fields_reason"),
-        F.coalesce("format_compliance_reason", F.lit("")).alias("format_compliance_reason"),
-        pj(F.col("expected")).alias("expected_pretty"),
-        pj(F.col("generated")).alias("generated_pretty"),
-    )
+@query
+def table_page_at(spark, sf):
+    """The first, a middle and the last page, each by its number."""
+    store = td.result_store(spark, sf)
+    last = max(0, -(-store.count() // 25) - 1)
+    pages = [store.page(n).select(F.lit(n).cast("long").alias("page"), "id", "timestamp", "model") for n in sorted({0, last // 2, last})]
+    return _as_text_ts(reduce(DataFrame.unionByName, pages))
 
 
 @query

@@ -558,6 +558,10 @@ ORACLES["summary_status"] = _w(BASE) + """
 SELECT 'correct_fields' AS metric, count(*) AS n_reasons, CAST(NULL AS VARCHAR) AS message FROM s
 UNION ALL SELECT 'format_compliance', count(*) FILTER (k % 29 = 0 OR k % 17 = 0),
   CASE WHEN count(*) FILTER (k % 29 = 0 OR k % 17 = 0) = 0 THEN 'No reasons available to summarize.' END FROM s"""
+ORACLES["table_page_at"] = _w(BASE) + """
+SELECT page, id, CAST(ts AS VARCHAR) AS "timestamp", model FROM (
+  SELECT (row_number() OVER (ORDER BY ts DESC NULLS LAST, id) - 1) // 25 AS page, (count(*) OVER () + 24) // 25 - 1 AS last, id, ts, model
+  FROM s) WHERE page IN (0, last // 2, last)"""
 ORACLES["table_page_after"] = _w(BASE) + """
 SELECT id, CAST(ts AS VARCHAR) AS "timestamp", model FROM s
 WHERE ts IS NULL OR ts < TIMESTAMP '1996-01-01' OR (ts = TIMESTAMP '1996-01-01' AND id > 0)

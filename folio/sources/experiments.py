@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,25 +25,61 @@ def empty_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType(), True) for c in DISPLAY_COLS + DETAIL_COLS]))
 
 
-def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One run file. Cells hold newlines and doubled quotes; ``multiLine`` makes a file one task, so
-    convert runs to Parquet once (see ``sinks.write_results``) for anything larger than a few runs."""
-    df = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(path)
+def _names(header: str) -> list[str]:
+    """Column names of a header line; a name that comes again gets a number, as data frames need."""
+    names, seen = [], set()
+    for name in next(csv.reader([header.lstrip("\ufeff").rstrip("\r")]), []):
+        unique, n = name, 0
+        while unique in seen:
+            n += 1
+            unique = f"{name}.{n}"
+        seen.add(unique)
+        names.append(unique)
+    return names
+
+
+def run_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The different header lines of run files, each with its files: one pass over all files, whatever their number."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("begin"), "value",
+        F.monotonically_increasing_id().alias("at"),
     )
-    # A cell that is no number becomes NULL (see ``rejected_numbers``); it must not stop the load.
-    df = df.withColumns({c: F.col(c).try_cast(t) for c, t in NUMERIC.items() if c in df.columns})
-    return df.withColumn("prompt_version", prompt_version_from_name(scan_path(F.col("_metadata.file_name"))))
+    first = lines.where(F.col("begin") == 0).groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for path, header in sorted(first.select(scan_path(F.col("path")), "header").collect()):  # one row per file
+        by_header.setdefault(header, []).append(path)
+    return by_header
+
+
+def _cells(spark: SparkSession, header: str, paths: Sequence[str]) -> DataFrame:
+    """All cells, as text, of files with the same header: one scan. Cells hold newlines and doubled quotes; ``multiLine``
+    makes a file one task, so a run of many rows should be several files (see ``sinks.write_run_csv``) or Parquet."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in _names(header)])
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(list(paths))
+
+
+def read_runs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All run files, unioned by column name; one scan per different header, not per file.
+
+    Blank cells are NULL, and so are cells of numeric columns that hold no number (see :func:`rejected_numbers`).
+    ``prompt_version`` comes from each file's name. A file without any line has no rows.
+    """
+    frames = []
+    for header, files in run_headers(spark, paths).items():
+        df = _cells(spark, header, files)
+        df = df.withColumns({c: F.col(c).try_cast(t) for c, t in NUMERIC.items() if c in df.columns})
+        frames.append(df.withColumn("prompt_version", prompt_version_from_name(scan_path(F.col("_metadata.file_name")))))
+    return union_runs(frames) if frames else empty_results(spark)
+
+
+def read_run_csv(spark: SparkSession, path: str) -> DataFrame:
+    """One run file."""
+    return read_runs(spark, [path])
 
 
 def rejected_numbers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per numeric column, how many non-blank cells of the run files are no numbers."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    frames = [raw.csv(p) for p in sorted(paths)]
+    frames = [_cells(spark, header, files) for header, files in run_headers(spark, paths).items()]
     cells = union_runs(frames)
     known = [(c, t) for c, t in NUMERIC.items() if c in cells.columns]
     bad = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(c) for c, t in known]
@@ -69,8 +106,7 @@ def load_experiments(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Every run file in ``paths`` (sorted), unioned, projected and sorted newest first."""
     if not paths:
         return empty_results(spark)
-    frames = [read_run_csv(spark, p) for p in sorted(paths)]
-    return newest_first(project_known(union_runs(frames)))
+    return newest_first(project_known(read_runs(spark, paths)))
 
 
 def read_run_files(spark: SparkSession, path: str, partition_by: Sequence[str] = ("doc", "prompt_version", "model")) -> DataFrame:

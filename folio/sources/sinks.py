@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.parse
+import uuid
 from functools import reduce
 from operator import or_
 
@@ -68,6 +70,7 @@ def write_run_files(df: DataFrame, path: str, partition_by=RUN_PARTITIONS, mode:
     Every run folder holds the same columns in the same order, missing ones empty.
     The run identity is in the folder names (``doc=…/prompt_version=…/model=…``) rather than in
     a file name; :func:`folio.sources.experiments.read_run_files` reads every run in one scan.
+    Rows are rebalanced by run, as in :func:`write_results`: few files per run, a large run over many tasks.
     """
     parts = [c for c in partition_by if c in df.columns]
     # Every M8 column is written (NULL where the input lacks it), so the file layout is fixed.
@@ -76,7 +79,36 @@ def write_run_files(df: DataFrame, path: str, partition_by=RUN_PARTITIONS, mode:
         for f in RESULT_ROW.fields
         if f.name not in parts
     ]
-    _csv(_encoded(df.select(*data, *parts), parts).write.mode(mode).partitionBy(*parts)).csv(path)
+    rows = _encoded(df.select(*data, *parts), parts).hint("rebalance", *[F.col(c) for c in parts])
+    _csv(rows.write.mode(mode).partitionBy(*parts)).csv(path)
+
+
+def write_run_csv(df: DataFrame, path: str, name_col: str = "run_name") -> list[str]:
+    """Run files named as runs are: ``<run>.csv``, or ``<run>_1.csv``, ``<run>_2.csv`` ... where a run fills several.
+
+    ``name_col`` (not written) is the run's name, e.g. from :func:`folio.operators.experiment.run_name`. The rows are
+    written below a folder that readers skip and the finished files are renamed, so a run is never read half
+    written. Returns the files.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    named = df.withColumnRenamed(name_col, "_run").hint("rebalance", F.col("_run"))
+    _csv(named.write.partitionBy("_run")).csv(staged)
+    made = []
+    for folder in sorted(str(s.getPath()) for s in store.globStatus(hadoop.Path(f"{staged}/_run=*")) or []):
+        parts = sorted(str(s.getPath()) for s in store.globStatus(hadoop.Path(f"{folder}/part-*")))
+        name = urllib.parse.unquote(folder.rsplit("_run=", 1)[1])
+        for k, part in enumerate(parts):
+            target = f"{path}/{name}.csv" if len(parts) == 1 else f"{path}/{name}_{k + 1}.csv"
+            store.delete(hadoop.Path(target), False)  # the run's earlier file, if any
+            if not store.rename(hadoop.Path(part), hadoop.Path(target)):
+                raise OSError(f"cannot rename {part} to {target}")
+            made.append(target)
+    store.delete(hadoop.Path(staged), True)
+    return made
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -19,6 +19,7 @@ from ..functions.text import iso_seconds
 from ..session import fits_broadcast, shared_path, spread
 from ..operators import scoring
 from . import stores
+from .store import ResultStore, open_result_store, write_store
 from ..operators.analytics import parse_timestamp
 
 # The eight fields of the identity-card ground truth, in document order.
@@ -222,6 +223,22 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "scored", sf_dir, _scored_for_queries, ("doc", "prompt_version", "model"))
 
 
+#: Rows of a folder in the clustered store of the test tables (small, so that small tables have several).
+STORE_ROWS_PER_PART = 20_000
+
+
+def result_store(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """The scored results as a clustered store, written once per application from the scored table."""
+    like = scored_table(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, "store", os.path.abspath(sf_dir))
+    if key not in _STORED:
+        path = shared_path(spark, "stores", key[0], hashlib.sha1(key[2].encode()).hexdigest()[:10])
+        bounded = ["ts_parsed", "correct_fields", "judge_fields", "execution_time"]
+        write_store(like, path, bounded=bounded, rows_per_part=STORE_ROWS_PER_PART)
+        _STORED[key] = path
+    return open_result_store(spark, _STORED[key], like)
+
+
 # Input suffixes of the manifest (two are not accepted by the chat API) and asset formats.
 MANIFEST_SUFFIXES = ["png", "jpg", "jpeg", "pdf", "gif", "webp", "bmp", "TIFF"]
 ASSET_FORMATS = ["JPEG", "PNG", "BMP", "TIFF", "GIF", "WEBP", "jpg"]

@@ -200,3 +200,50 @@ def test_values_that_hold_tokens_are_not_filled_again(spark):
     df = spark.createDataFrame([("C={case} P={place} {x}{", ["case", "place"], {"case": "{place}", "place": "Rabat"})],
                                "prompt string, template_vars array<string>, vars map<string,string>")
     assert prompts.render(df, "vars").first().rendered == "C={place} P=Rabat {x}{"
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_runs_are_scanned_by_header_not_by_file(spark):
+    folder = tempfile.mkdtemp(prefix="headers-")
+    other = "timestamp,id,model,id,generated\n"
+    for k in range(30):
+        with open(os.path.join(folder, f"cin_prompt_v{k % 3}_m{k}_2026.csv"), "w", encoding="utf-8") as fh:
+            if k % 2:
+                fh.write(other + f'2026-01-01T00:00:{k:02d},{k},m,twice,"two\nlines ""{k}"""\n')
+            else:
+                fh.write("\ufeff" * (k == 0) + RUN_HEADER + f"{k},cin,m,,,2026-01-01T00:00:{k:02d},n/a,2.0,,,,,x\n")
+    open(os.path.join(folder, "cin_prompt_v1_empty_2026.csv"), "w").close()
+    paths = [os.path.join(folder, f) for f in os.listdir(folder)]
+    df = experiments.load_experiments(spark, paths)
+    rows = df.collect()
+    assert [r.id for r in rows] == [str(k) for k in range(29, -1, -1)]
+    assert _scans(df) == 2  # two layouts; a byte order mark makes no third
+    assert _scans(experiments.load_experiments(spark, paths[:15])) <= 2
+    assert {r.id: r.prompt_version for r in rows} == {str(k): f"v{k % 3}" for k in range(30)}
+    assert rows[0].generated == 'two\nlines "29"' and rows[0].correct_fields is None and rows[1].correct_fields == 2.0
+    assert experiments.rejected_numbers(spark, paths).first().execution_time == 15
+
+
+def test_run_csv_files_carry_the_run_name(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="named-"), "runs")
+    rows = [(f"cin_prompt_v{k % 2}_a b é_x", str(k), "m", 'q "x",\n2', 1.5) for k in range(40)]
+    df = spark.createDataFrame(rows, "run_name string, id string, model string, generated string, execution_time double")
+    made = sinks.write_run_csv(df.repartition(7), folder)
+    assert sorted(os.listdir(folder)) == sorted(os.path.basename(p) for p in made)
+    assert {os.path.basename(p) for p in made} == {"cin_prompt_v0_a b é_x.csv", "cin_prompt_v1_a b é_x.csv"}
+    back = experiments.read_runs(spark, made)
+    assert {(r.id, r.prompt_version, r.generated) for r in back.collect()} == {(str(k), f"v{k % 2}", 'q "x",\n2') for k in range(40)}
+    sinks.write_run_csv(df.limit(4), folder)  # a run written again replaces its file
+    assert experiments.read_runs(spark, made).count() == 4
+
+
+def test_run_folders_hold_few_files(spark):
+    folder = os.path.join(tempfile.mkdtemp(prefix="few-"), "runs")
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), F.lit("cin").alias("doc"),
+                                  F.concat(F.lit("v"), F.col("id") % 5).alias("prompt_version"), F.lit("m").alias("model"))
+    sinks.write_run_files(df.repartition(16), folder)
+    files = [f for _, _, names in os.walk(folder) for f in names if f.startswith("part-")]
+    assert len(files) == 5
