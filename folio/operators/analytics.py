@@ -344,20 +344,6 @@ def top_mistakes(verdicts: DataFrame, k: int | None = 3, by: str = "model") -> D
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def format_mistakes(scored: DataFrame, by: str = "model") -> DataFrame:
-    """A20 for the second metric: how often each format reason occurs per model, ranked.
-
-    In the shape of :func:`top_mistakes`: the reason stands in ``verdict``."""
-    reason = F.col("format_compliance_reason")
-    counts = (
-        scored.where(reason.isNotNull() & (py_strip(reason) != ""))
-        .groupBy(by, F.lit("format").alias("field"), reason.alias("verdict"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    w = Window.partitionBy(by).orderBy(F.col("n").desc(), F.col("verdict"))
-    return counts.withColumn("rank", F.row_number().over(w))
-
-
 def summary_status(df: DataFrame) -> DataFrame:
     """Per metric, how many non-blank reasons there are and the message to show instead of
     a summary when there are none (or when the table is empty). One aggregate, no collection."""
@@ -371,13 +357,3 @@ def summary_status(df: DataFrame) -> DataFrame:
     rows = counts.select("n_rows", F.explode(F.array(*pairs)).alias("r"))
     message = F.when(F.col("n_rows") == 0, F.lit(NO_DATA)).when(F.col("r.n") == 0, F.lit(NO_REASONS))
     return rows.select("r.metric", F.col("r.n").cast("bigint").alias("n_reasons"), message.alias("message"))
-
-
-def mistake_prompts(top: DataFrame, metric_name: str = "correct_fields", by: str = "model") -> DataFrame:
-    """One summary prompt per model from its counted mistakes (as many lines as there are
-    different mistakes, not as there are rows)."""
-    line = F.concat(F.lit("- "), F.col("field"), F.lit(": "), F.col("verdict"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
-    grouped = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), line.alias("line")))).alias("items"))
-    bullets = F.array_join(F.transform(F.col("items"), lambda x: x["line"]), "\n")
-    prompt = F.concat(F.lit(summary_prompt(metric_name)), bullets, F.lit("\n\nSummary:"))
-    return grouped.select(by, prompt.alias("prompt"))

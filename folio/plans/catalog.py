@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,6 +25,7 @@ from ..operators import experiment as X
 from ..operators import inference as I
 from ..operators import layout as L
 from ..operators import scoring as S
+from ..operators import summary as SM
 from ..operators import triage as TR
 from ..schemas import DETAIL_COLS, DISPLAY_COLS
 from ..sources import prompts as P
@@ -809,17 +811,39 @@ def ocr_upload_stream(spark, sf):
     return out.select(key.alias("id"), "status", "format", "success", "error", "text")
 
 
+def _all_mistakes(scored: DataFrame) -> DataFrame:
+    fields = SM.mistake_lines(A.top_mistakes(S.explode_verdicts(scored), k=None), "correct_fields")
+    return fields.unionByName(SM.mistake_lines(SM.format_mistakes(scored), "format_compliance"))
+
+
 @query
 def mistake_summary(spark, sf):
-    """A20 with a model: all counted mistakes per model and metric -> prompt -> backend -> headings demoted."""
-    scored = td.scored_table(spark, sf)
-    found = {
-        "correct_fields": A.top_mistakes(S.explode_verdicts(scored), k=None),
-        "format_compliance": A.format_mistakes(scored),
-    }
-    prompts = [A.mistake_prompts(top, metric).withColumn("metric", F.lit(metric)) for metric, top in found.items()]
-    out = I.run_batch(prompts[0].unionByName(prompts[1]), I.OutlineBackend, "prompt", ["model", "metric"])
-    return out.select("model", "metric", "success", fn.demote_headings(F.col("text")).alias("summary"))
+    """A20 with a model: all counted mistakes per model and metric -> prompts in levels -> headings demoted."""
+    out = SM.summarize(_all_mistakes(td.scored_table(spark, sf)), I.OutlineBackend)
+    return out.select("model", "metric", "success", fn.demote_headings(F.col("summary")).alias("summary"))
+
+
+class _TallyBackend(I.BaseBackend):
+    """Adds up the counts of the lines it is shown, and refuses more lines than a prompt may have."""
+
+    model_id = "tally"
+
+    def _generate(self, prompt, settings):
+        counts = [int(n) for n in re.findall(r"(?m)^- .*\((\d+)\)$", prompt)]
+        if len(counts) > SM.PART_LINES:
+            raise ValueError("prompt too long")
+        return f"- all: counted ({sum(counts)})"
+
+
+@query
+def mistake_summary_levels(spark, sf):
+    """A20 over thousands of different format reasons: every one is counted once, in prompts of bounded length."""
+    k = F.col("id")
+    reason = F.when(k % 29 == 0, F.lit("not a JSON object")).otherwise(
+        F.concat(F.lit("missing: nom; extra: k"), (k % 3001).cast("string"), F.lit(",z")))
+    scored = td.scored_table(spark, sf).select("model", reason.alias("format_compliance_reason"))
+    out = SM.summarize(SM.mistake_lines(SM.format_mistakes(scored), "format_compliance"), _TallyBackend)
+    return out.select("model", "metric", "success", "summary", (F.col("calls") > 1).alias("in_parts"))
 
 
 @query

@@ -552,8 +552,15 @@ SELECT model, 'correct_fields' AS metric, true AS success, {_OUTLINE} AS summary
 FROM (SELECT model, field, verdict, count(*) AS n FROM fv WHERE verdict <> 'correct' GROUP BY 1, 2, 3) GROUP BY model
 UNION ALL
 SELECT model, 'format_compliance', true, {_OUTLINE}
-FROM (SELECT model, 'format' AS field, CASE WHEN k % 29 = 0 THEN 'not a JSON object' ELSE 'missing: nom; extra: ' END AS verdict,
-    count(*) AS n FROM s WHERE k % 29 = 0 OR k % 17 = 0 GROUP BY 1, 2, 3) GROUP BY model"""
+FROM (SELECT model, CASE WHEN k % 29 = 0 THEN 'format' ELSE 'nom' END AS field,
+    CASE WHEN k % 29 = 0 THEN 'not a JSON object' ELSE 'missing' END AS verdict, count(*) AS n
+  FROM s WHERE k % 29 = 0 OR k % 17 = 0 GROUP BY 1, 2, 3) GROUP BY model"""
+# Per row one mistake, or three: nom is missing, two keys are extra. Above a hundred different lines there are parts.
+ORACLES["mistake_summary_levels"] = _w(BASE) + """
+SELECT model, 'format_compliance' AS metric, true AS success,
+  '- all: counted (' || CAST(sum(CASE WHEN k % 29 = 0 THEN 1 ELSE 3 END) AS VARCHAR) || ')' AS summary,
+  count(DISTINCT CASE WHEN k % 29 <> 0 THEN k % 3001 END) + 3 > 100 AS in_parts
+FROM s GROUP BY model"""
 ORACLES["summary_status"] = _w(BASE) + """
 SELECT 'correct_fields' AS metric, count(*) AS n_reasons, CAST(NULL AS VARCHAR) AS message FROM s
 UNION ALL SELECT 'format_compliance', count(*) FILTER (k % 29 = 0 OR k % 17 = 0),

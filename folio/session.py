@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -59,6 +60,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, "folio", *parts) if "://" not in base else "/".join([base.rstrip("/"), "folio", *parts])
 
 
+def written(df, name: str):
+    """``df`` written once under the shared folder and read back: the files cut its lineage and fix what depends on the
+    order of rows, on partition numbers or on calls that must not be made twice."""
+    spark = df.sparkSession
+    path = shared_path(spark, "written", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df, *keys: str):
     """Hash-spread a scan that has fewer splits than the cluster has cores.
 
