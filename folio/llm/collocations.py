@@ -44,7 +44,7 @@ CHUNK_BYTES = 4_000_000
 #: All open chunks of a task together.
 HELD_BYTES = 12_000_000
 #: Pairs that a task holds before it counts them.
-HELD_PAIRS = 1_500_000
+HELD_PAIRS = 1_000_000
 SIDE = 512
 #: Tile (x, y) is dense where (x + 1) * (y + 1) is at most this.
 DENSE_TILES = 8
@@ -130,30 +130,28 @@ def _in_ranks(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """``chunk``, ``lang`` and ``ids`` as ranks; ``entries(chunk, id, rank)`` lists the symbols that have one."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: list[np.ndarray] = []
-        rank: list[np.ndarray] = []
+        codes: list[np.ndarray] = []
         for batch in batches:
-            # A chunk's symbols, then the chunk itself: the row that has no symbol.
+            # A chunk's symbols, then the chunk itself: the row that has no code.
             last = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
             begin = 0
             for row in [*last, len(batch)]:
-                at.append(batch.column(1).slice(begin, row - begin).to_numpy(zero_copy_only=False).astype(np.int64))
-                rank.append(batch.column(2).slice(begin, row - begin).to_numpy(zero_copy_only=False).astype(np.int32))
+                codes.append(batch.column(1).slice(begin, row - begin).to_numpy(zero_copy_only=False).astype(np.int64))
                 begin = row + 1
                 if row == len(batch):
                     continue
-                ids = _unpack(batch.column(4)[row].as_py(), np.int32)
+                ids, code = _unpack(batch.column(2)[row].as_py(), np.int32), np.concatenate(codes)
                 to = np.full(int(ids.max(initial=-1)) + 2, -1, np.int32)  # the last place is for the break, -1
-                to[np.concatenate(at)] = np.concatenate(rank)
-                at, rank = [], []
-                columns = [batch.column(0).slice(row, 1), batch.column(3).slice(row, 1), pa.array([_pack(to[ids])], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "lang", "ids"])
+                to[code >> 32] = code & 0xFFFFFFFF
+                codes = []
+                columns = [batch.column(0).slice(row, 1), pa.array([_pack(to[ids])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids"])
 
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    symbols = entries.select("chunk", F.col("id").cast("int"), F.col("rank").cast("int"), none("string", "lang"), none("binary", "ids"))
-    whole = chunks.select("chunk", none("int", "id"), none("int", "rank"), "lang", "ids")
-    both = symbols.unionByName(whole).repartition("chunk").sortWithinPartitions("chunk", F.col("id").asc_nulls_last())
-    return both.mapInArrow(rewrite, "chunk long, lang string, ids binary")
+    code = F.shiftleft(F.col("id").cast("long"), 32) + F.col("rank")  # one number per entry keeps the shuffle narrow
+    symbols = entries.select("chunk", code.alias("code"), F.lit(None).cast("binary").alias("ids"))
+    whole = chunks.select("chunk", F.lit(None).cast("long").alias("code"), "ids")
+    both = symbols.unionByName(whole).repartition("chunk").sortWithinPartitions("chunk", F.col("code").asc_nulls_last())
+    return both.mapInArrow(rewrite, "chunk long, ids binary").join(chunks.select("chunk", "lang"), "chunk")
 
 
 # ---------------------------------------------------------------- tiles
@@ -294,15 +292,15 @@ def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         key = (batch["i"].to_numpy(np.int64) << 32 | batch["j"].to_numpy(np.int64)).view(np.uint64)
         bit = np.unique((mix64(key) % np.uint64(FILTER_BITS)).astype(np.int64))
-        yield pd.DataFrame({"byte": bit >> 3, "bits": 1 << (bit & 7)})
+        yield pd.DataFrame({"word": bit >> 6, "bits": np.left_shift(1, bit & 63)})
 
 
 def _pair_filter(pairs: DataFrame) -> np.ndarray:
-    """One bit per hash of a frequent pair: ``FILTER_BITS`` / 8 bytes, whatever the number of pairs."""
-    held = pairs.select("i", "j").mapInPandas(_bits, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
+    """One bit per hash of a frequent pair: at most ``FILTER_BITS`` / 64 rows come to the driver, whatever the pairs."""
+    held = pairs.select("i", "j").mapInPandas(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     rows = held.toPandas()
-    flags = np.zeros(FILTER_BITS // 8, np.uint8)
-    flags[rows["byte"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint8)
+    flags = np.zeros(FILTER_BITS // 64, np.int64)
+    flags[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return flags
 
 
@@ -318,7 +316,7 @@ def _pair_chunks(sequences: DataFrame, flags: np.ndarray) -> DataFrame:
                 ids = _unpack(ids, np.int32).astype(np.int64)
                 key = ids[:-1] << 32 | ids[1:]
                 bit = (mix64(key.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-                kept = (ids[:-1] >= 0) & (ids[1:] >= 0) & (flags[bit >> 3] >> (bit & 7) & 1 == 1)
+                kept = (ids[:-1] >= 0) & (ids[1:] >= 0) & (flags[bit >> 6] >> (bit & 63) & 1 == 1)
                 symbols, at = np.unique(key[kept], return_inverse=True)
                 out = np.full(len(key), -1, np.int32)
                 out[kept] = at
@@ -374,9 +372,8 @@ def phrases(
     pair_chunks = stored(_pair_chunks(sequences, _pair_filter(pairs)), "pair-chunks")
     discard(sequences)
     pair_entries = pair_chunks.select("chunk", "lang", F.posexplode("symbols").alias("id", "key"))
-    split = [F.shiftright("key", 32).alias("i"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("j")]
-    pair_entries = pair_entries.select("chunk", "lang", "id", *split)
-    known = pair_entries.join(pairs, ["lang", "i", "j"]).select("chunk", "id", "rank")
+    keyed = pairs.select("lang", (F.shiftleft("i", 32) + F.col("j")).alias("key"), "rank")
+    known = pair_entries.join(keyed, ["lang", "key"]).select("chunk", "id", "rank")
     pair_sequences = stored(_in_ranks(pair_chunks, known), "pair-sequences")
     discard(pair_chunks)
     triples = stored(_pairs(pair_sequences, total, min_count), "triples")
