@@ -12,11 +12,10 @@ no good answer yet.
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import media_type, suffix
@@ -177,44 +176,3 @@ def evaluation_results(spark: SparkSession, path: str, key: str = "id") -> DataF
         raise FileNotFoundError(f"no finished wave under {path}")
     rows = found.withColumn("_best", F.row_number().over(best))
     return rows.where(F.col("_best") == 1).drop("_best", "wave")
-
-
-def card_text(values: dict[str, Column]) -> Column:
-    """A document's printed text as ``label: value`` lines (the stand-in input for test clients)."""
-    return F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in values.items()])
-
-
-# Reading behaviour of the test client per model name (fields it skips, date separator).
-CARD_READERS = {
-    "reader-exact": {"skip": (), "date_sep": "."},
-    "reader-sloppy": {"skip": ("initiales",), "date_sep": "/"},
-}
-UNREADABLE = "I cannot read this image."
-
-
-class CardReaderClient(I.BaseBackend):
-    """Deterministic chat client for tests: reads the ``label: value`` lines of the file block and
-    answers with a JSON object, shaped by the requested model's reading behaviour. The answer is
-    fenced as a markdown code block unless the prompt asks for no markdown. Blank input gives a
-    refusal text."""
-
-    model_id = "card-reader"
-
-    def _generate(self, request_json, settings):
-        req = json.loads(request_json)
-        behaviour = CARD_READERS[req["model"]]
-        blocks = req["messages"][0]["content"]
-        data = base64.b64decode(blocks[0]["source"]["data"] or "").decode("utf-8")
-        prompt = blocks[1]["text"] or ""
-        if not data.strip():
-            return UNREADABLE
-        out = {}
-        for line in data.split("\n"):
-            label, _, value = line.partition(": ")
-            if label in behaviour["skip"]:
-                continue
-            if label.startswith("date_"):
-                value = value.replace(".", behaviour["date_sep"])
-            out[label] = value
-        text = json.dumps(out, ensure_ascii=False)
-        return text if "no markdown" in prompt else f"```json\n{text}\n```"

@@ -16,8 +16,6 @@ from __future__ import annotations
 import atexit
 import datetime as dt
 import hashlib
-import json
-import struct
 import sys
 import time
 import types
@@ -94,88 +92,6 @@ class BaseBackend:
         return self._generate(input_data, settings)
 
 
-class EchoTextBackend(BaseBackend):
-    """Deterministic text backend for tests: echoes the prompt, then answers with its word count."""
-
-    model_id = "echo-text"
-
-    def _generate(self, prompt, settings):
-        if prompt is None or prompt == "":
-            raise ValueError("empty prompt")
-        n = len(str(prompt).split())
-        return f"{prompt}\n  answer: {n} words (max {settings.max_new_tokens})  "
-
-
-class LayoutReaderBackend(BaseBackend):
-    """Deterministic OCR backend for tests: reads a page given as layout JSON and returns its text."""
-
-    model_id = "layout-reader"
-
-    def _generate(self, page_json, settings):
-        page = json.loads(page_json)
-        lines = []
-        for block in page.get("blocks") or []:
-            for line in block.get("lines") or []:
-                lines.append(" ".join(w.get("value") or "" for w in line.get("words") or []))
-        return "\n".join(lines)
-
-
-class ImageSizeBackend(BaseBackend):
-    """Deterministic OCR backend for tests: "reads" a PNG by reporting its size from the header."""
-
-    model_id = "image-size"
-
-    def _generate(self, content, settings):
-        b = bytes(content)
-        if b[:8] != b"\x89PNG\r\n\x1a\n":
-            raise ValueError("not a PNG image")
-        w, h = struct.unpack(">II", b[16:24])
-        return f"image {w}x{h}"
-
-
-class KeywordJudgeBackend(BaseBackend):
-    """Deterministic judge for tests: the label of the first keyword found in the prompt."""
-
-    model_id = "keyword-judge"
-
-    def __init__(self, rules=(("I cannot read", "incorrect"), ("```", "Correct."), ("CASABLANCA", "maybe")),
-                 default="correct"):
-        super().__init__()
-        self.rules = rules
-        self.default = default
-
-    def _generate(self, prompt, settings):
-        for keyword, label in self.rules:
-            if keyword in prompt:
-                return label
-        return self.default
-
-
-class OutlineBackend(BaseBackend):
-    """Deterministic summariser for tests: a markdown outline of the bullet lines it is given."""
-
-    model_id = "outline"
-
-    def _generate(self, prompt, settings):
-        bullets = [ln[2:] for ln in str(prompt).splitlines() if ln.startswith("- ")]
-        return "# Summary\n" + "\n".join(f"## {b}" for b in bullets)
-
-
-class FailingBackend(BaseBackend):
-    """Raises for inputs that match ``predicate``; otherwise echoes."""
-
-    model_id = "failing"
-
-    def __init__(self, predicate: Callable[[Any], bool]) -> None:
-        super().__init__()
-        self.predicate = predicate
-
-    def _generate(self, x, settings):
-        if self.predicate(x):
-            raise RuntimeError(f"cannot process input of length {len(str(x))}")
-        return str(x)
-
-
 def envelope_schema(key_fields: Sequence[T.StructField]) -> T.StructType:
     return T.StructType(list(key_fields) + ENVELOPE_FIELDS)
 

@@ -1,4 +1,4 @@
-"""Frame-level layout operators (L1-L3): text from layout trees, one row per page."""
+"""Frame-level layout operators (L3): one row per page of a layout tree."""
 
 from __future__ import annotations
 
@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._util import posexplode_rows
-from ..functions.layout import layout_to_text, page_text
-
-
-def flatten_layout(df: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:
-    """L1: one text per document; a per-row expression, so no shuffle and no explode."""
-    return df.select(key, layout_to_text(F.col(pages)).alias("text"))
+from ..functions.layout import page_text
 
 
 def page_explode(df: DataFrame, key: str = "doc_id", pages: str = "pages") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
+from .. import testing as SI
 from ..functions._util import posexplode_rows
 from ..functions.paths import resolve
 from ..operators import analytics as A
@@ -194,6 +195,12 @@ def filter_all(spark, sf):
     return spec.apply(td.scored_table(spark, sf)).select("id")
 
 
+@query
+def filter_reset(spark, sf):
+    """A10: with every filter empty, all rows."""
+    return td.result_store(spark, sf).filter(A.reset_filters()).select("id")
+
+
 @query
 def facet_values(spark, sf):
     return A.facet_values(td.scored_table(spark, sf), ("model", "doc", "prompt_version", "judge_format"))
@@ -577,15 +584,15 @@ def evaluation_run(spark, sf):
 
     The test client reads each case's printed card; its answers differ by model (fields skipped,
     date separator) and by prompt (fenced or not), so the scores are known in advance."""
-    runs = [(m, v, td.CARD_PROMPTS[v]) for m in EV.CARD_READERS for v in td.CARD_PROMPTS]
-    out = EV.evaluation_run(td.cases(spark, sf), runs, EV.CardReaderClient, fields=td.CIN_FIELDS)
+    runs = [(m, v, td.CARD_PROMPTS[v]) for m in SI.CARD_READERS for v in td.CARD_PROMPTS]
+    out = EV.evaluation_run(td.cases(spark, sf), runs, SI.CardReaderClient, fields=td.CIN_FIELDS)
     return out.select(
         "id", "model", "prompt_version", "tags", "correct_fields", "format_compliance", "correct_fields_reason",
         "format_compliance_reason", "success", fn.is_fenced(F.col("generated")).alias("fenced"),
     )
 
 
-class _OutageClient(EV.CardReaderClient):
+class _OutageClient(SI.CardReaderClient):
     """The card client during an outage: no answer for cards without initials."""
 
     def _generate(self, request_json, settings):
@@ -602,11 +609,11 @@ def evaluation_resume(spark, sf):
 
     from ..session import shared_path
 
-    runs = [(m, v, td.CARD_PROMPTS[v]) for m in EV.CARD_READERS for v in td.CARD_PROMPTS]
+    runs = [(m, v, td.CARD_PROMPTS[v]) for m in SI.CARD_READERS for v in td.CARD_PROMPTS]
     path = shared_path(spark, "evaluations", uuid.uuid4().hex)
     cases = td.cases(spark, sf)
     EV.resume_evaluation(cases, runs, _OutageClient, path, fields=td.CIN_FIELDS, waves=2)
-    EV.resume_evaluation(cases, runs, EV.CardReaderClient, path, fields=td.CIN_FIELDS)
+    EV.resume_evaluation(cases, runs, SI.CardReaderClient, path, fields=td.CIN_FIELDS)
     made = spark.read.parquet(path).groupBy("id", "model", "prompt_version").agg(F.count(F.lit(1)).alias("n_calls"))
     out = EV.evaluation_results(spark, path).select("id", "model", "prompt_version", "attempt", "correct_fields", "success")
     return out.join(made, ["id", "model", "prompt_version"])
@@ -648,19 +655,46 @@ def table_page_at(spark, sf):
 def infer_text(spark, sf):
     r = td.requests(spark, sf)
     # The prompt travels with its row (needed to remove the echo): no join back after the model.
-    out = I.run_batch(r, I.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens", carry=["prompt"])
+    out = I.run_batch(r, SI.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens", carry=["prompt"])
     return out.select(
         "req_id", "model_id", "success", "error", fn.strip_echo(F.col("text"), F.col("prompt")).alias("answer"),
         (F.col("inference_time_seconds") >= 0).alias("timed"),
     )
 
 
+@query
+def infer_device(spark, sf):
+    """The device that a request names over the backend's own; limits that requests name over the default."""
+    turn = F.col("req_id") % 1000
+    device = F.when(turn % 3 == 0, F.concat(F.lit("cuda:"), (turn % 2).cast("string"))).when(turn % 3 == 1, F.lit(""))
+    r = td.requests(spark, sf).withColumn("device", device)
+    out = I.run_batch(r, SI.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens", device_col="device",
+                      size=F.octet_length("prompt"), warm=True)
+    return out.select("req_id", "device", "success")
+
+
+@query
+def text_sink(spark, sf):
+    """Extracted texts written one per line (line ends escaped) and read back."""
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.sinks import read_text, write_text
+
+    path = shared_path(spark, "texts", uuid.uuid4().hex)
+    docs = td.table(spark, sf, "documents")
+    write_text(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text")), "text", path)
+    back = F.split("value", "\n", 2)
+    rows = read_text(spark, path).select(back[0].cast("long").alias("doc_id"), back[1].alias("text"))
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def infer_ocr(spark, sf):
     raw = posexplode_rows(td.ocr_pages(spark, sf), ["doc_id"], "pages", value="page")
     inp = raw.select("doc_id", (F.col("pos") + 1).alias("page_no"), F.to_json("page").alias("page_json"))
     # Pages, not documents, are dealt to tasks of equal bytes: a long document does not hold one task.
-    out = I.run_batch(inp, I.LayoutReaderBackend, "page_json", ["doc_id", "page_no"], size=F.octet_length("page_json"),
+    out = I.run_batch(inp, SI.LayoutReaderBackend, "page_json", ["doc_id", "page_no"], size=F.octet_length("page_json"),
                       task_bytes=OCR_TASK_BYTES, warm=True)
     return out.select("doc_id", F.col("page_no").cast("bigint").alias("page_no"), "model_id", "success",
                       F.md5("text").alias("text_md5"))
@@ -710,12 +744,22 @@ def asset_scan(spark, sf):
     return f.select("id", status.alias("status"), error_class.alias("error_class"), "format", "width", "height", "length", little)
 
 
+@query
+def missing_inputs(spark, sf):
+    """S1 + S6: inputs that a listing of the files does not hold."""
+    from ..sources.asset_source import scan_headers
+    from ..sources.manifest import missing_inputs as missing
+
+    folder, files = td.upload_files(spark, sf)
+    return missing(files, scan_headers(spark, folder).select("path"), in_col="path").select("id")
+
+
 @query
 def judge_run(spark, sf):
     """J8 run: judge prompts through a (test) judge backend; answers checked against the allowed values."""
     r = td.scored_table(spark, sf)
     prompts = r.select("id", S.judge_prompt(F.col("generated"), F.col("expected")).alias("prompt"))
-    out = I.run_batch(prompts, I.KeywordJudgeBackend, "prompt", ["id"])
+    out = I.run_batch(prompts, SI.KeywordJudgeBackend, "prompt", ["id"])
     v = S.parse_judge_verdict(F.col("text"))
     return out.select("id", "success", v.alias("judge_format"), v.isNull().alias("out_of_domain"))
 
@@ -725,7 +769,7 @@ NUMBER_RULES = (("I cannot read", "0"), ("CASABLANCA", "seven"), ("```", "8 fiel
 
 
 def _number_judge():
-    return I.KeywordJudgeBackend(NUMBER_RULES, default="9")
+    return SI.KeywordJudgeBackend(NUMBER_RULES, default="9")
 
 
 @query
@@ -748,7 +792,7 @@ def _page_body(url, timeout):
     return bytes.fromhex("89504E470D0A1A0A0000000D49484452") + n.to_bytes(4, "big") + bytes([0, 0, 0, 3, 8, 2, 0, 0, 0, 0, 0, 0, 0])
 
 
-class _SizeBackend(I.ImageSizeBackend):
+class _SizeBackend(SI.ImageSizeBackend):
     """Fails on every width that 4 divides, as a model may."""
 
     def _generate(self, content, settings):
@@ -804,7 +848,7 @@ def ocr_upload_stream(spark, sf):
 
     folder, _ = td.upload_files(spark, sf)
     base = shared_path(spark, "stream", uuid.uuid4().hex)
-    start_upload_stream(spark, folder, f"{base}/out", f"{base}/checkpoint", I.ImageSizeBackend, glob="*.img",
+    start_upload_stream(spark, folder, f"{base}/out", f"{base}/checkpoint", SI.ImageSizeBackend, glob="*.img",
                         recursive=True).awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     key = F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long")
@@ -819,10 +863,19 @@ def _all_mistakes(scored: DataFrame) -> DataFrame:
 @query
 def mistake_summary(spark, sf):
     """A20 with a model: all counted mistakes per model and metric -> prompts in levels -> headings demoted."""
-    out = SM.summarize(_all_mistakes(td.scored_table(spark, sf)), I.OutlineBackend)
+    out = SM.summarize(_all_mistakes(td.scored_table(spark, sf)), SI.OutlineBackend)
     return out.select("model", "metric", "success", fn.demote_headings(F.col("summary")).alias("summary"))
 
 
+@query
+def mistake_summary_filtered(spark, sf):
+    """A20 over the rows a user has filtered, all models together, both metrics."""
+    spec = A.FilterSpec(models=("m0", "m1"), tags=("background",), start_date="1995-06-01", end_date="1998-12-31", timestamp_col="ts_parsed")
+    rows = td.result_store(spark, sf).filter(spec).withColumn("model", F.lit("all"))
+    out = SM.summarize(_all_mistakes(rows), SI.OutlineBackend)
+    return out.select("metric", "success", fn.demote_headings(F.col("summary")).alias("summary"))
+
+
 class _TallyBackend(I.BaseBackend):
     """Adds up the counts of the lines it is shown, and refuses more lines than a prompt may have."""
 

@@ -262,6 +262,7 @@ WHERE model IN ('m0', 'm1') AND doc = 'cin' AND prompt_version = 'v1'
   AND k % 47 <> 0 AND ts >= TIMESTAMP '1995-06-01 00:00:00' AND ts <= TIMESTAMP '2001-01-01 00:00:00'
   AND NOT isnan(judge_fields) AND judge_fields >= 6
   AND judge_format = 'correct'"""
+ORACLES["filter_reset"] = _w(BASE) + "SELECT id FROM s"
 ORACLES["facet_values"] = _w(BASE) + """
 SELECT DISTINCT facet, value FROM (
   SELECT 'model' AS facet, model AS value FROM s UNION ALL
@@ -510,6 +511,9 @@ SELECT id,
   CASE WHEN c <> 7 THEN true END AS read_little
 FROM f"""
 
+ORACLES["missing_inputs"] = """
+SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 8 = 7 AND o_orderkey % 64 NOT IN (7, 15)"""
+
 ORACLES["judge_run"] = _w(BASE) + """
 SELECT id, true AS success,
   CASE WHEN k % 29 = 0 THEN 'incorrect' WHEN k % 2 = 0 THEN 'correct' WHEN k % 13 = 0 THEN NULL ELSE 'correct' END
@@ -556,6 +560,15 @@ FROM (SELECT model, CASE WHEN k % 29 = 0 THEN 'format' ELSE 'nom' END AS field,
     CASE WHEN k % 29 = 0 THEN 'not a JSON object' ELSE 'missing' END AS verdict, count(*) AS n
   FROM s WHERE k % 29 = 0 OR k % 17 = 0 GROUP BY 1, 2, 3) GROUP BY model"""
 # Per row one mistake, or three: nom is missing, two keys are extra. Above a hundred different lines there are parts.
+_KEPT = "model IN ('m0', 'm1') AND k % 19 <> 0 AND k % 3 IN (0, 1) AND k % 47 <> 0 AND ts >= TIMESTAMP '1995-06-01' AND ts <= TIMESTAMP '1999-01-01'"
+ORACLES["mistake_summary_filtered"] = _w(BASE, VERDICTS) + f"""
+SELECT 'correct_fields' AS metric, true AS success, {_OUTLINE} AS summary
+FROM (SELECT field, verdict, count(*) AS n FROM fv WHERE verdict <> 'correct' AND id IN (SELECT id FROM s WHERE {_KEPT}) GROUP BY 1, 2)
+UNION ALL
+SELECT 'format_compliance', true, {_OUTLINE}
+FROM (SELECT CASE WHEN k % 29 = 0 THEN 'format' ELSE 'nom' END AS field,
+    CASE WHEN k % 29 = 0 THEN 'not a JSON object' ELSE 'missing' END AS verdict, count(*) AS n
+  FROM s WHERE (k % 29 = 0 OR k % 17 = 0) AND {_KEPT} GROUP BY 1, 2)"""
 ORACLES["mistake_summary_levels"] = _w(BASE) + """
 SELECT model, 'format_compliance' AS metric, true AS success,
   '- all: counted (' || CAST(sum(CASE WHEN k % 29 = 0 THEN 1 ELSE 3 END) AS VARCHAR) || ')' AS summary,
@@ -585,6 +598,12 @@ SELECT doc_id, CAST(p + 1 AS BIGINT) AS page_no, 'layout-reader' AS model_id, tr
 # "\n  answer: <words> words (max <limit>)  " with Python's whitespace word count.
 WORDS = ("CASE WHEN regexp_matches(prompt, '^[\\s\\v]*$') THEN 0 ELSE len(string_split_regex("
          "regexp_replace(prompt, '^[\\s\\v]+|[\\s\\v]+$', '', 'g'), '[\\s\\v]+')) END")
+ORACLES["infer_device"] = _w(REQUESTS) + """
+SELECT req_id, CASE WHEN req_id % 1000 % 3 = 0 THEN 'cuda:' || CAST(req_id % 1000 % 2 AS VARCHAR) ELSE 'cpu' END AS device,
+  coalesce(prompt <> '', false) AS success
+FROM rq"""
+ORACLES["text_sink"] = """
+SELECT doc_id, md5(coalesce(text, '')) AS text_md5, length(coalesce(text, '')) AS n_chars FROM documents"""
 ORACLES["infer_stream"] = _w(REQUESTS) + f"""
 SELECT req_id, 'echo-text' AS model_id,
   coalesce(prompt <> '', false) AS success,

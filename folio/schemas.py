@@ -23,37 +23,6 @@ PROMPT = T.StructType(
     ]
 )
 
-# M5: content block of a chat request.
-CONTENT_BLOCK = T.StructType(
-    [
-        T.StructField("type", T.StringType(), False),
-        T.StructField(
-            "source",
-            T.StructType(
-                [
-                    T.StructField("type", T.StringType(), True),
-                    T.StructField("media_type", T.StringType(), True),
-                    T.StructField("data", T.StringType(), True),
-                ]
-            ),
-            True,
-        ),
-        T.StructField("text", T.StringType(), True),
-    ]
-)
-
-# M7: result envelope of one inference call.
-RESULT_ENVELOPE = T.StructType(
-    [
-        T.StructField("text", T.StringType(), True),
-        T.StructField("model_id", T.StringType(), True),
-        T.StructField("inference_time_seconds", T.DoubleType(), True),
-        T.StructField("timestamp", T.TimestampType(), True),
-        T.StructField("device", T.StringType(), True),
-        T.StructField("error", T.StringType(), True),
-    ]
-)
-
 # M8: one experiment result row, as written by a run (timestamp is naive local time).
 RESULT_ROW = T.StructType(
     [
@@ -137,12 +106,3 @@ FIELD_RULES = [
     ("cin", "date_expiration", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$", True),
     ("cin", "nationalite", r"^Marocaine$", False),
 ]
-
-FIELD_RULE_SCHEMA = T.StructType(
-    [
-        T.StructField("doc", T.StringType(), False),
-        T.StructField("field", T.StringType(), False),
-        T.StructField("pattern", T.StringType(), False),
-        T.StructField("empty_ok", T.BooleanType(), False),
-    ]
-)

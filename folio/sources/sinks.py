@@ -111,11 +111,6 @@ def write_run_csv(df: DataFrame, path: str, name_col: str = "run_name") -> list[
     return made
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """CSV export in the run-file dialect (header, quoted multi-line cells)."""
-    _csv(df.write.mode("overwrite")).csv(path)
-
-
 def write_text(df: DataFrame, text_col: str, path: str) -> None:
     """One line per row (bullet lines, extracted texts). Line ends inside a text are escaped
     with a backslash, so a text of many lines is still one record; see :func:`read_text`."""

@@ -147,7 +147,7 @@ CARD_PROMPTS = {
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation cases: one per order, its identity card printed as ``label: value`` lines (the
     model's input; every 29th scan is blank) and the card's ground truth as JSON."""
-    from ..operators.evaluation import card_text
+    from ..testing import card_text
 
     k = F.col("o_orderkey")
     printed = card_text({f: F.col(f) for f in CIN_FIELDS})

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import testing as SI
 from ..operators import inference as I
 from ..operators import triage as TR
 from ..schemas import VALIDATION_FORMATS, Settings
@@ -48,7 +49,7 @@ def requests_stream_roundtrip(spark: SparkSession, requests: DataFrame, run_id:
     ckpt = shared_path(spark, "stream", run_id, "checkpoint")
     requests.write.mode("overwrite").parquet(src)
     schema = spark.read.parquet(src).schema
-    q = start_inference_stream(spark, src, schema, sink, ckpt, I.EchoTextBackend, "prompt", ["req_id"],
+    q = start_inference_stream(spark, src, schema, sink, ckpt, SI.EchoTextBackend, "prompt", ["req_id"],
                                settings_col="max_tokens")
     q.awaitTermination()
     return spark.read.parquet(sink).select("req_id", "model_id", "success", "error", F.length("text").alias("n_chars"))

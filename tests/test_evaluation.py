@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from folio import testing as SI
 from folio.operators import evaluation as EV
 from folio.sources import experiments, sinks
 
@@ -21,7 +22,7 @@ TRUTH = {"prenom": "Amal", "nom": "Idrissi", "date_naissance": "01.02.1990", "in
 RUNS = [("reader-exact", "v1", "Extract."), ("reader-sloppy", "v2", "Extract, no markdown.")]
 
 
-class BrokenClient(EV.CardReaderClient):
+class BrokenClient(SI.CardReaderClient):
     def _generate(self, request_json, settings):
         if json.loads(request_json)["model"] == "reader-sloppy":
             raise TimeoutError("model did not answer")
@@ -38,7 +39,7 @@ def _cases(spark):
 
 
 def test_evaluation_run_scores_each_case_and_run(spark):
-    out = EV.evaluation_run(_cases(spark), RUNS, EV.CardReaderClient, fields=list(TRUTH))
+    out = EV.evaluation_run(_cases(spark), RUNS, SI.CardReaderClient, fields=list(TRUTH))
     got = {(r.id, r.model): r for r in out.collect()}
     assert len(got) == 4 and all(r.success for r in got.values())
     exact, sloppy, blank = got[("c1", "reader-exact")], got[("c1", "reader-sloppy")], got[("c2", "reader-exact")]
@@ -46,7 +47,7 @@ def test_evaluation_run_scores_each_case_and_run(spark):
     assert sloppy.correct_fields == 2.0 and sloppy.format_compliance == "incorrect"  # initiales skipped, date with '/'
     assert sloppy.correct_fields_reason == "prenom=correct, nom=correct, date_naissance=mismatch, initiales=missing"
     assert not sloppy.generated.startswith("```")  # the v2 prompt asks for no markdown
-    assert blank.generated == EV.UNREADABLE and blank.correct_fields == 0.0
+    assert blank.generated == SI.UNREADABLE and blank.correct_fields == 0.0
     assert exact.prompt_version == "v1" and exact.tags == '["a"]' and exact.doc == "cin"
     assert exact.execution_time >= 0 and "T" in exact.timestamp
 
@@ -74,7 +75,7 @@ def test_grid_is_a_generator_not_a_join(spark):
 def test_unsupported_types_and_missing_truths_have_no_scores(spark):
     cases = _cases(spark).select("id", F.when(F.col("id") == "c1", "a.docx").otherwise("b.png").alias("in"), "content",
                                  F.when(F.col("id") == "c1", F.col("expected")).alias("expected"), "tags")
-    rows = {r.id: r for r in EV.evaluation_run(cases, RUNS[:1], EV.CardReaderClient, fields=list(TRUTH)).collect()}
+    rows = {r.id: r for r in EV.evaluation_run(cases, RUNS[:1], SI.CardReaderClient, fields=list(TRUTH)).collect()}
     assert rows["c1"].success is False and ".docx" in rows["c1"].error and rows["c1"].score_error == "failed_call"
     assert rows["c2"].success and rows["c2"].score_error == "missing_truth"
     assert {r.correct_fields for r in rows.values()} == {r.format_compliance for r in rows.values()} == {None}
@@ -94,12 +95,12 @@ def test_the_request_text_is_the_request(spark):
 
 
 def test_content_is_not_copied_per_run(spark):
-    plan = EV.evaluation_run(_cases(spark), RUNS, EV.CardReaderClient, fields=list(TRUTH))._jdf.queryExecution().optimizedPlan().toString()
+    plan = EV.evaluation_run(_cases(spark), RUNS, SI.CardReaderClient, fields=list(TRUTH))._jdf.queryExecution().optimizedPlan().toString()
     before_python = plan[plan.index("MapInPandas"):]
     assert before_python.count("Generate") == 0 and "Join" not in before_python and "base64" in before_python
 
 
-class CountingClient(EV.CardReaderClient):
+class CountingClient(SI.CardReaderClient):
     """Marks every call in a folder; fails on the cases it is told to."""
 
     def __init__(self, folder, failing=()):

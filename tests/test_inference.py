@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from folio import testing as SI
 from folio.operators import inference as I
 from folio.schemas import Settings
 from folio.streaming.inference_stream import start_inference_stream
@@ -44,7 +45,7 @@ class CountingBackend(I.BaseBackend):
 
 
 def test_generate_before_load_fails():
-    b = I.EchoTextBackend()
+    b = SI.EchoTextBackend()
     with pytest.raises(RuntimeError):
         b.generate("x", Settings())
     b.load()
@@ -74,10 +75,10 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark):
     src, sink, ckpt = (shared_path(spark, "test-stream", run, x) for x in ("in", "out", "ckpt"))
     reqs = spark.createDataFrame([(i, f"prompt number {i}", None) for i in range(20)], "req_id long, prompt string, max_tokens int")
     reqs.write.parquet(src)
-    args = (spark, src, reqs.schema, sink, ckpt, I.EchoTextBackend, "prompt", ["req_id"])
+    args = (spark, src, reqs.schema, sink, ckpt, SI.EchoTextBackend, "prompt", ["req_id"])
     start_inference_stream(*args, settings_col="max_tokens").awaitTermination()
     first = spark.read.parquet(sink)
-    batch = I.run_batch(reqs, I.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens")
+    batch = I.run_batch(reqs, SI.EchoTextBackend, "prompt", ["req_id"], settings_col="max_tokens")
     cols = ["req_id", "text", "success"]
     assert sorted(first.select(*cols).collect()) == sorted(batch.select(*cols).collect())
     start_inference_stream(*args, settings_col="max_tokens").awaitTermination()  # restart from the checkpoint
@@ -88,11 +89,11 @@ def test_slots_spread_one_long_document_over_tasks(spark):
     # 400 pages of one document, all in one input partition (as a long document arrives).
     pages = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") + 1).alias("page_no"),
                                     F.concat(F.lit("page "), F.col("id").cast("string")).alias("text")).coalesce(1)
-    out = I.run_batch(pages, I.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
+    out = I.run_batch(pages, SI.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
     per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(per_task) == 4 and min(r["count"] for r in per_task) > 50
     assert out.where("success").count() == 400
-    again = I.run_batch(pages, I.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
+    again = I.run_batch(pages, SI.EchoTextBackend, "text", ["doc_id", "page_no"], slots=4)
     where = lambda df: sorted(df.select("page_no", F.spark_partition_id().alias("p")).collect())
     assert where(out) == where(again)  # the same rows go to the same task on a rerun
 
@@ -122,7 +123,7 @@ def test_upload_stream_triages_then_reads_each_image_once(spark):
     for name, data in files.items():
         with open(os.path.join(local, name), "wb") as fh:
             fh.write(data)
-    args = (spark, src, sink, ckpt, I.ImageSizeBackend)
+    args = (spark, src, sink, ckpt, SI.ImageSizeBackend)
     start_upload_stream(*args).awaitTermination()
     got = {os.path.basename(r.path): r for r in spark.read.parquet(sink).collect()}
     assert got["a.png"].success and got["a.png"].text == "image 3x2" and got["a.png"].status == 200
@@ -178,5 +179,5 @@ def test_batched_and_concurrent_calls_and_device_override(spark):
 
 def test_a_limit_that_is_no_number_is_an_error_row(spark):
     df = spark.createDataFrame([(1, "a", "12"), (2, "b", "many")], "id long, x string, n string")
-    got = {r.id: r for r in I.run_batch(df, I.EchoTextBackend, "x", ["id"], settings_col="n").collect()}
+    got = {r.id: r for r in I.run_batch(df, SI.EchoTextBackend, "x", ["id"], settings_col="n").collect()}
     assert got[1].success and "max 12" in got[1].text and got[2].success is False and "ValueError" in got[2].error

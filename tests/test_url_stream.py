@@ -4,7 +4,7 @@ import glob
 import os
 import tempfile
 
-from folio.operators import inference as I
+from folio import testing as SI
 from folio.streaming import inference_stream as ST
 from test_assets import tiny_png
 
@@ -21,7 +21,7 @@ def _fetch(url, timeout):
 
 def _start(spark, base):
     q = ST.start_url_stream(spark, f"{base}/in", "id long, url string", f"{base}/out", f"{base}/checkpoint", _fetch,
-                            I.ImageSizeBackend, max_files_per_trigger=1)
+                            SI.ImageSizeBackend, max_files_per_trigger=1)
     q.awaitTermination()
     results, rejects = ST.read_url_sinks(spark, f"{base}/out", spark.createDataFrame([], "id long").schema["id"])
     return (sorted((r.id, r.text, r.status) for r in results.collect()),
@@ -46,8 +46,8 @@ def test_results_and_rejects_restart_and_replay(spark):
     assert _start(spark, base) == second
     # A crash between the outcome and the sinks: the outcome is taken as it is, nothing is fetched again.
     batch = spark.createDataFrame([(9, "http://h/c.png")], "id long, url string")
-    write = ST.url_batch_writer(f"{base}/other", _fetch, I.ImageSizeBackend)
-    ST.ocr_urls(batch, _fetch, I.ImageSizeBackend).write.parquet(f"{base}/other/outcome/batch=0")
+    write = ST.url_batch_writer(f"{base}/other", _fetch, SI.ImageSizeBackend)
+    ST.ocr_urls(batch, _fetch, SI.ImageSizeBackend).write.parquet(f"{base}/other/outcome/batch=0")
     before = len(os.listdir(FETCHED))
     write(batch, 0)
     assert len(os.listdir(FETCHED)) == before
