@@ -846,13 +846,13 @@ def ocr_upload_stream(spark, sf):
     from ..session import shared_path
     from ..streaming.inference_stream import start_upload_stream
 
-    folder, _ = td.upload_files(spark, sf)
+    folder = td.page_files(spark, sf, _page_body)
     base = shared_path(spark, "stream", uuid.uuid4().hex)
     start_upload_stream(spark, folder, f"{base}/out", f"{base}/checkpoint", SI.ImageSizeBackend, glob="*.img",
                         recursive=True).awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     key = F.regexp_extract("path", r"(\d+)\.img$", 1).cast("long")
-    return out.select(key.alias("id"), "status", "format", "success", "error", "text")
+    return out.select(key.alias("page_id"), "status", "format", "success", "error", "text")
 
 
 def _all_mistakes(scored: DataFrame) -> DataFrame:

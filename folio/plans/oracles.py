@@ -535,18 +535,12 @@ SELECT page_id, CASE c WHEN 'download_failed' THEN 422 WHEN 'invalid_image' THEN
 FROM (SELECT page_id, length(url) AS n, CASE WHEN length(url) % 7 = 0 THEN 'download_failed'
     WHEN length(url) % 5 = 0 THEN 'invalid_image' WHEN length(url) % 4 = 0 THEN 'processing_failed' END AS c FROM pages)"""
 ORACLES["ocr_url_stream"] = ORACLES["ocr_url"]
-# The files that exist, by the rule on the key; the test backend reads PNG files only.
+# A file per page whose fetch gives anything: a PNG as wide as its URL is long, or no image.
 ORACLES["ocr_upload_stream"] = """
-SELECT id, CASE WHEN c IN (0, 4) THEN 200 ELSE 400 END AS status,
-  CASE WHEN c IN (0, 2, 3) THEN 'PNG' WHEN c IN (4, 10) THEN 'JPEG' WHEN c = 11 THEN 'TIFF' WHEN c = 5 THEN 'GIF'
-    WHEN c = 6 THEN 'BMP' END AS format,
-  c = 0 AS success,
-  CASE WHEN c = 4 THEN 'ValueError: not a PNG image' WHEN c IN (1, 2) THEN 'invalid_image' WHEN c = 5 THEN 'unsupported_format'
-    WHEN c <> 0 THEN 'too_large' END AS error,
-  CASE WHEN c = 0 THEN 'image 3x2' ELSE '' END AS text
-FROM (
-  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 64 = 7 THEN 10 WHEN o_orderkey % 64 = 15 THEN 11 ELSE o_orderkey % 8 END AS c
-  FROM orders) WHERE c <> 7"""
+SELECT page_id, CASE WHEN n % 5 = 0 THEN 400 ELSE 200 END AS status, CASE WHEN n % 5 <> 0 THEN 'PNG' END AS format,
+  n % 5 <> 0 AS success, CASE WHEN n % 5 = 0 THEN 'invalid_image' END AS error,
+  CASE WHEN n % 5 <> 0 THEN 'image ' || CAST(n AS VARCHAR) || 'x3' ELSE '' END AS text
+FROM (SELECT page_id, length(url) AS n FROM pages) WHERE n % 7 <> 0"""
 _OUTLINE = (
     f"'## Summary' || {NL} || string_agg('### ' || field || ': ' || verdict || ' (' || CAST(n AS VARCHAR) || ')', {NL} "
     "ORDER BY n DESC, field, verdict)"

@@ -332,6 +332,27 @@ def upload_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     return folder, stored(spark, "upload-files", sf_dir, build)
 
 
+def page_files(spark: SparkSession, sf_dir: str, fetch) -> str:
+    """A folder with what ``fetch(url, timeout)`` gives for each page's URL, a file per page; no file where it fails."""
+    folder = stores.plain(shared_path(spark, "page-files", hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10],
+                                      spark.sparkContext.applicationId))
+
+    def write(batches):
+        for pdf in batches:
+            for page, url in zip(pdf["page_id"], pdf["url"]):
+                try:
+                    stores.write_bytes(f"{folder}/{page % 10}/{page}.img", fetch(url, 1.0))
+                except IOError:
+                    pass
+            yield pdf[["page_id"]]
+
+    def build(spark, sf_dir):
+        return spread(table(spark, sf_dir, "pages").select("page_id", "url")).mapInPandas(write, "page_id long")
+
+    stored(spark, "page-files", sf_dir, build)
+    return folder
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-generation requests: user turns of the conversations, with blank prompts and mixed sources."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
