@@ -2,16 +2,20 @@
 
 The index is a table of postings (word, template, position) of a fixed set of licence templates.
 
-1. Document frequencies of the index's words over all documents give their IDF. Each template's
-   anchors are its highest-IDF words that occur at all.
-2. One pass over the texts keeps, per document, its number of words and every occurrence of an
-   anchor with the words around it. That narrow table is written to the shared folder.
-3. Occurrences meet the anchors' postings on the word; the position in the text minus the
-   position in the template is where the template would begin. Words at the same relative
-   position in both are counted, and a place counts when enough of the template matches and
-   every word of its mandatory key phrase does.
-
-The texts are never shuffled; the postings are a constant table, so broadcasting them is safe.
+1. One pass over the texts keeps, per document, its number of words and every occurrence (position and
+   word) of a word of the index. That narrow table is written to the shared folder; texts are read
+   once and never shuffled.
+2. Document frequencies of the index's words come from that table.
+3. Each file looks up its own words: its ``TOP_WORDS`` highest-IDF licence words, and, for each template all
+   of whose mandatory key phrase's words the file holds, the rarest word of that phrase. An occurrence meets its
+   postings on the word; the position in the text minus the position in the template is where the template
+   would begin.
+4. Occurrences around it that stand at the same relative position in the template are counted. A place
+   counts when enough of the template matches and every word of its key phrase does. A place that
+   counts holds the whole key phrase, so step 3 finds every one of them.
+
+The score is the best coverage over the places that hold their key phrase or were reached by one of the file's
+highest-IDF words. The postings are a constant table, so broadcasting them is safe.
 
 Defined results: a null or empty text has no words and no labels; a null id is kept; repeated rows
 are scanned each (rows carry a number of their own); whole texts are read; an empty table gives
@@ -80,39 +84,31 @@ TEMPLATES: tuple[Template, ...] = (
     Template("cc-by", "creative commons attribution", "creative commons attribution"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
 )
-ANCHORS = 2
+#: A file's highest-IDF licence words that are looked up besides the key phrases.
+TOP_WORDS = 2
 MIN_COVERAGE = 0.8
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_JAVA), F.lit(0))
-
-
-def document_frequencies(docs: DataFrame, text: str, words: Sequence[str]) -> DataFrame:
-    """``word`` and the number of documents that hold it, for the given words."""
-    found = F.filter(words_of(F.col(text)), lambda w: F.lower(w).isin(list(words)))
-    each = F.array_distinct(F.transform(found, F.lower))
-    return docs.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    """The words, in lower case (folded once per text; no word of the templates holds a letter that another folds to)."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_JAVA), F.lit(0))
 
 
-def anchors(frequencies: dict[str, int], templates: Sequence[Template], k: int = ANCHORS) -> list[list[int]]:
-    """Per template the positions of its ``k`` rarest words that occur in the corpus."""
-    out = []
-    for t in templates:
-        known = [i for i, w in enumerate(t.words) if frequencies.get(w)]
-        out.append(sorted(known, key=lambda i: (frequencies[t.words[i]], i))[:k])
-    return out
+def key_anchors(frequencies: dict[str, int], templates: Sequence[Template]) -> list[int]:
+    """Per template the position of its key phrase's rarest word (of equal ones the first)."""
+    spans = [range(t.key_at, t.key_at + len(t.key.split())) for t in templates]
+    return [min(s, key=lambda i: (frequencies.get(t.words[i], 0), i)) for t, s in zip(templates, spans)]
 
 
-def _postings(spark: SparkSession, templates: Sequence[Template], at: list[list[int]]) -> DataFrame:
+def _postings(spark: SparkSession, templates: Sequence[Template], at: list[int]) -> DataFrame:
     rows = [
-        (t.words[j], i, j, t.words, t.label, t.base, t.key_at, t.key_at + len(t.key.split()))
+        (w, i, j, j == at[i], t.words, t.label, t.base, t.key_at, t.key_at + len(t.key.split()))
         for i, t in enumerate(templates)
-        for j in at[i]
+        for j, w in enumerate(t.words)
     ]
     return spark.createDataFrame(
         rows,
-        "word string, template int, j int, wording array<string>, label string, base boolean, key_from int, key_to int",
+        "word string, template int, j int, is_key boolean, wording array<string>, label string, base boolean, key_from int, key_to int",
     )
 
 
@@ -127,55 +123,78 @@ def scan(
     spark = docs.sparkSession
     docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     vocabulary = sorted({w for t in templates for w in t.words})
-    # At most one row per word of the templates reaches the driver.
-    frequencies = {r["word"]: r["df"] for r in document_frequencies(docs, "text", vocabulary).collect()}
-    at = anchors(frequencies, templates)
-    rare = sorted({t.words[j] for t, js in zip(templates, at) for j in js}) or [""]
-    reach = max(len(t.words) for t in templates)
-
-    placed = F.transform(F.col("words"), lambda w, i: F.struct(i.alias("pos"), F.lower(w).alias("word")))
-    hits = F.transform(
-        F.filter(placed, lambda x: x["word"].isin(rare)),
-        lambda x: F.struct(
-            x["pos"].alias("pos"),
-            x["word"].alias("word"),
-            F.greatest(x["pos"] - reach, F.lit(0)).alias("begin"),
-            F.transform(
-                F.slice(F.col("words"), F.greatest(x["pos"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)), F.lower
-            ).alias("around"),
-        ),
-    )
-    # The array of words is staged in a projection of its own: it is referred to several times.
+    # Words of the index only become structs; the array of words is staged, as it is referred to twice.
+    found = F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("pos"), w.alias("word"))))
     read = docs.select("doc_id", words_of(F.col("text")).alias("words")).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        hits.alias("hits"),
+        F.filter(found, lambda x: x.isNotNull()).alias("hits"),
     )
     scanned = stored(read, "licence-words")
 
-    start = F.col("hit.pos") - F.col("j")
-    same = F.transform(
-        F.col("wording"), lambda w, k: F.coalesce(F.get(F.col("hit.around"), F.col("start") - F.col("hit.begin") + k) == w, F.lit(False))
-    )
-    key = F.slice("same", F.col("key_from") + 1, F.col("key_to") - F.col("key_from"))
+    known = F.array_distinct(F.transform("hits", lambda x: x["word"]))
+    each = scanned.select(F.explode(known).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    # At most one row per word of the templates reaches the driver.
+    frequencies = {r["word"]: r["df"] for r in each.collect()}
+    at = key_anchors(frequencies, templates)
+    postings = _postings(spark, templates, at)
+    reach = max(len(t.words) for t in templates)
+
+    df_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, frequencies.get(w, 0))])
+    by_idf = F.array_sort(F.transform("known", lambda w: F.struct(F.element_at(df_of, w).alias("df"), w.alias("word"))))
+    keys = F.array(*[
+        F.struct(F.lit(i).alias("template"), F.array(*[F.lit(w) for w in t.key.split()]).alias("key"), F.lit(t.words[at[i]]).alias("word"))
+        for i, t in enumerate(templates)
+    ])
+    able = F.filter(keys, lambda t: F.size(F.array_except(t["key"], F.col("known"))) == 0)
+    files = (
+        scanned.where(F.size("hits") > 0)
+        .select("row", "hits", known.alias("known"))
+        .withColumns({"top": F.transform(F.slice(by_idf, 1, TOP_WORDS), lambda x: x["word"]), "able": able})
+        .withColumn("able_words", F.transform("able", lambda t: t["word"]))
+        .withColumn("able", F.transform("able", lambda t: t["template"]))
+    )
+    spots = F.filter(
+        F.transform(
+            "hits",
+            lambda x, i: F.when(
+                F.array_contains("top", x["word"]) | F.array_contains("able_words", x["word"]),
+                F.struct(
+                    x["pos"].alias("pos"),
+                    x["word"].alias("word"),
+                    # The occurrences within reach are among as many entries before and after this one.
+                    F.slice("hits", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("around"),
+                ),
+            ),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    begun = files.select("row", "top", "able", F.explode(spots).alias("hit")).join(F.broadcast(postings), F.col("hit.word") == F.col("word"))
+    by_top = F.array_contains("top", F.col("word"))
+    by_key = F.col("is_key") & F.array_contains("able", F.col("template"))
+    begun = begun.where(by_top | by_key).withColumns({"start": F.col("hit.pos") - F.col("j"), "by_top": by_top, "by_key": by_key})
+    # Words of the text that stand where the template has them.
+    same = F.filter(
+        F.transform("hit.around", lambda x: F.when(F.get(F.col("wording"), x["pos"] - F.col("start")) == x["word"], x["pos"] - F.col("start"))),
+        lambda k: k.isNotNull(),
+    )
+    in_key = F.filter("same", lambda k: (k >= F.col("key_from")) & (k < F.col("key_to")))
     places = (
-        scanned.select("row", F.explode("hits").alias("hit"))
-        .join(F.broadcast(_postings(spark, templates, at)), F.col("hit.word") == F.col("word"))
-        .withColumn("start", start)
-        .withColumn("same", same)
+        begun.withColumn("same", same)
         .select(
             "row",
-            "template",
             "start",
             "label",
             "base",
-            (F.size(F.filter("same", lambda x: x)) / F.size("same")).alias("coverage"),
-            F.forall(key, lambda x: x).alias("key_found"),
+            "by_top",
+            "by_key",
+            (F.size("same") / F.size("wording")).alias("coverage"),
+            (F.size(in_key) == F.col("key_to") - F.col("key_from")).alias("key_found"),
         )
-        .distinct()
-    )
-    base = F.col("base") & (F.col("coverage") == 1)
+    )
+    # Every place that counts is reached by its key anchor, and by that once: these rows are its only ones.
+    base = F.col("base") & (F.col("coverage") == 1) & F.col("by_key")
     accepted = F.when(F.col("base"), base).otherwise((F.col("coverage") >= min_coverage) & F.col("key_found"))
     found = places.groupBy("row").agg(
         F.count_if(base).alias("n_base"),
@@ -183,7 +202,7 @@ def scan(
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(accepted, F.col("label")))), ",").alias("labels"),
-        F.max("coverage").alias("score"),
+        F.max(F.when(F.col("by_top") | F.col("key_found"), F.col("coverage"))).alias("score"),
     )
     return (
         scanned.drop("hits")

@@ -161,7 +161,7 @@ FROM escaped GROUP BY conv_id
 
 
 def _license_sql() -> str:
-    """Words joined with every template word at its place; anchors only choose the places."""
+    """Every word of a template in a text gives a place; all places are compared with the whole template."""
     wordings = ", ".join(
         f"({i}, '{t.label}', {t.base}, {t.key_at}, {t.key_at + len(t.key.split())}, {j}, '{w}')"
         for i, t in enumerate(licenses.TEMPLATES)
@@ -178,21 +178,24 @@ WITH docs AS (
 ), t(i, label, base, key_from, key_to, j, word) AS (VALUES """
         + wordings
         + f"""
+), hits AS (
+  SELECT * FROM words WHERE word IN (SELECT word FROM t)
 ), df AS (
-  SELECT word, count(DISTINCT r) AS df FROM words WHERE word IN (SELECT word FROM t) GROUP BY word
-), anchors AS (
-  SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY i ORDER BY df, j) AS k FROM t JOIN df USING (word))
-  WHERE k <= {licenses.ANCHORS}
+  SELECT word, count(DISTINCT r) AS df FROM hits GROUP BY word
+), top AS (
+  SELECT r, word FROM (SELECT DISTINCT r, word FROM hits) JOIN df USING (word)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY df, word) <= {licenses.TOP_WORDS}
 ), places AS (
-  SELECT DISTINCT r, i, pos - j AS start FROM words JOIN anchors USING (word)
+  SELECT h.r, t.i, h.pos - t.j AS start, bool_or(top.word IS NOT NULL) AS by_top
+  FROM hits h JOIN t USING (word) LEFT JOIN top ON top.r = h.r AND top.word = h.word GROUP BY 1, 2, 3
 ), matched AS (
-  SELECT p.r, p.i, p.start, any_value(t.label) AS label, any_value(t.base) AS base,
+  SELECT p.r, p.i, p.start, any_value(t.label) AS label, any_value(t.base) AS base, any_value(p.by_top) AS by_top,
     count(w.word) / CAST(count(*) AS DOUBLE) AS coverage,
     bool_and(w.word IS NOT NULL OR t.j < t.key_from OR t.j >= t.key_to) AS key_found
-  FROM places p JOIN t ON t.i = p.i LEFT JOIN words w ON w.r = p.r AND w.pos = p.start + t.j AND w.word = t.word
+  FROM places p JOIN t ON t.i = p.i LEFT JOIN hits w ON w.r = p.r AND w.pos = p.start + t.j AND w.word = t.word
   GROUP BY p.r, p.i, p.start
 ), found AS (
-  SELECT r, max(coverage) AS score,
+  SELECT r, max(coverage) FILTER (by_top OR key_found) AS score,
     count(*) FILTER (base AND coverage = 1) AS n_base,
     min(start) FILTER (base AND coverage = 1) AS first_word,
     max(start) FILTER (base AND coverage = 1) AS last_word,

@@ -2,8 +2,6 @@
 
 import re
 
-import pytest
-
 from folio.llm import licenses as li
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -71,8 +69,34 @@ def test_main_path_is_native(spark, sf_small):
     assert "Python" not in plan and "Pandas" not in plan
 
 
-@pytest.mark.parametrize("k", [1, 2])
-def test_anchors_are_the_rarest_that_occur(k):
-    t = (li.Template("x", "the licence of rare words", "rare words"),)
-    at = li.anchors({"the": 100, "licence": 5, "of": 90, "words": 7}, t, k)
-    assert at == [[1, 4][:k]]
+def test_anchors_are_the_rarest_words_of_key_phrases():
+    t = (li.Template("x", "the licence of rare words", "of rare words"), li.Template("y", "the the", "the the"))
+    assert li.key_anchors({"the": 100, "licence": 5, "of": 90, "words": 7, "rare": 9}, t) == [4, 0]
+    assert li.key_anchors({}, t) == [2, 0]
+
+
+def test_a_reworded_notice_is_found_whatever_the_corpus(spark):
+    """The words that were changed are the rarest of the corpus: the places do not depend on them."""
+    isc = next(t for t in li.TEMPLATES if t.label == "isc").text
+    reworded = isc.replace("distribute", "hand on").replace("hand on", "spread").replace("any purpose", "whatever purpose")
+    assert sum(a != b for a, b in zip(isc.split(), reworded.split())) == 2
+    filler = " ".join(w for w in isc.split() if w not in ("distribute", "any"))
+    texts = [reworded] + [f"{filler[::-1]} {w} to use copy and permission" for w in isc.split() for _ in range(2) if w not in ("distribute", "any")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in li.scan(frame).collect()}
+    assert got[0]["labels"] == "isc" and got[0]["score"] == 11 / 13
+    assert all(got[i]["labels"] == "" for i in range(1, len(texts)))
+
+
+def test_texts_are_read_once(spark, sf_small):
+    """Document frequencies and places both come from the written table of occurrences."""
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    plan = li.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "regexp_extract_all" not in plan
+
+
+def test_no_letter_folds_to_a_letter_of_the_templates():
+    import sys
+
+    letters = {c for t in li.TEMPLATES for c in t.text}
+    assert not [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.lower() in letters]
