@@ -65,3 +65,13 @@ def test_hot_source(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("source"),
     )
     check(frame, 0.01)
+
+
+def test_repeated_rows_draw_each_for_itself(spark):
+    """Sources of equal rows (same id and text) come near their targets, and reruns agree."""
+    rows = [(1, "w " * 500, "a")] * 400 + [(2, "v " * 100, "b")] * 300 + [(3 + i, "u " * 50, "c") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6, "source").sortWithinPartitions("doc_id")
+    got = check(frame, 0.02)
+    again = check(frame, 0.02)
+    count = lambda rows: sorted((r["doc_id"], r["copies"]) for r in rows)
+    assert count(got) == count(again)
