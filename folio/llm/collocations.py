@@ -48,7 +48,7 @@ HELD_PAIRS = 1_000_000
 SIDE = 512
 #: Tile (x, y) is dense where (x + 1) * (y + 1) is at most this.
 DENSE_TILES = 8
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 #: Words for which there is a bucket of pairs, and rows a salt keeps of a language.
 BUCKET_PAIRS = 2_000_000
 SALTS = 32
