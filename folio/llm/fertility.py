@@ -10,8 +10,8 @@ The bands come from the corpus: for each language (or script), quartiles of each
 documents that pass the base rules and the fixed limits, equal measurements counted once, found by one aggregation over
 small steps of the measures. A limit lies :data:`SPREADS` spreads from the median, a spread being
 the distance to the quartile on that side as that of a normal distribution, and never outside the
-fixed, wide limits of :data:`BANDS`, which hold alone where there are under
-:data:`LEAST_DOCUMENTS` such documents. Bands given as a parameter are used as they are. Base
+fixed, wide limits of :data:`BANDS`. With n such documents it goes n / (n + :data:`TRUST`) of the way from the
+wide limit: one rule for every size, without a step. Bands given as a parameter are used as they are. Base
 rules: too few words, or more than half of the words inside repeated three-word windows.
 
 Defined results: a null or empty text has no words and fails the base; a null id or language is
@@ -64,8 +64,8 @@ BANDS: Mapping[str, Band] = {
     "cyrillic": Band(1.0, 9.0, 0.20, 3.0),
     "other": Band(0.25, 9.0, 0.95, 3.0),
 }
-#: Spreads between the median and a limit, and documents of a band from which its limits are found.
-SPREADS, LEAST_DOCUMENTS = 4, 100
+#: Spreads between the median and a limit, and documents at which a limit is halfway from the wide one.
+SPREADS, TRUST = 4, 30
 #: Steps that measures are counted in, and the least distance of a limit from the median.
 STEPS = {"chars_per_token": 0.001, "byte_share": 0.001, "entropy": 0.01}
 LEAST_DISTANCE = {"chars_per_token": 0.05, "byte_share": 0.10, "entropy": 0.5}
@@ -211,17 +211,23 @@ def found_bands(found: DataFrame, bands: Mapping[str, Band] = BANDS) -> dict[str
             low, mid, high = (cell["step"].to_numpy()[np.searchsorted(below, q * below[-1])] * size for q in (0.25, 0.5, 0.75))
             reach = [max(LEAST_DISTANCE[measure], SPREADS * 1.4826 * d) for d in (mid - low, high - mid)]
             limits[measure] = mid - reach[0], mid + reach[1], int(below[-1])
-        wide = bands[name]
-        if limits["entropy"][2] >= LEAST_DOCUMENTS:
-            out[name] = Band(
-                max(wide.min_chars_per_token, limits["chars_per_token"][0]),
-                min(wide.max_chars_per_token, limits["chars_per_token"][1]),
-                min(wide.max_byte_share, limits["byte_share"][1]),
-                max(wide.min_entropy, limits["entropy"][0]),
-            )
+        out[name] = shrunk(bands[name], limits, limits["entropy"][2])
     return out
 
 
+def shrunk(wide: Band, limits: Mapping[str, tuple[float, float, int]], n: int) -> Band:
+    """The wide limits moved towards those found in ``n`` documents, further the more there are."""
+    part = n / (n + TRUST)
+    inward = lambda limit, found: limit + part * max(0.0, found - limit)
+    down = lambda limit, found: limit - part * max(0.0, limit - found)
+    return Band(
+        inward(wide.min_chars_per_token, limits["chars_per_token"][0]),
+        down(wide.max_chars_per_token, limits["chars_per_token"][1]),
+        down(wide.max_byte_share, limits["byte_share"][1]),
+        inward(wide.min_entropy, limits["entropy"][0]),
+    )
+
+
 def within(bands: Mapping[str, Band]) -> Column:
     """Whether the measures of a row lie in its band."""
     out = F.lit(False)

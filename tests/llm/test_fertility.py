@@ -93,3 +93,26 @@ def test_bands_follow_the_corpus(spark):
     assert not kept & {i for i, _, _ in shouted} and len(kept) >= 295
     assert {r["doc_id"] for r in fe.keep_clean(frame).collect()} == kept
     assert fe.measures(frame, bands=fe.BANDS).where("kept").count() == 330
+
+
+def test_bands_move_without_a_step():
+    wide = fe.Band(1.3, 8.0, 0.1, 3.5)
+    limits = {"chars_per_token": (2.3, 3.0, 0), "byte_share": (0.0, 0.05, 0), "entropy": (2.0, 9.0, 0)}
+    made = [fe.shrunk(wide, limits, n) for n in (0, 99, 100, 101, 10**9)]
+    assert made[0] == wide and abs(made[4].min_chars_per_token - 2.3) < 1e-6 and abs(made[4].max_byte_share - 0.05) < 1e-6
+    assert all(m.min_entropy == 3.5 for m in made)  # a looser limit found in the corpus does not widen the band
+    for a, b in zip(made[1:3], made[2:4]):
+        assert a.min_chars_per_token < b.min_chars_per_token < a.min_chars_per_token + 0.01
+        assert a.max_chars_per_token > b.max_chars_per_token > a.max_chars_per_token - 0.05
+
+
+def test_one_document_more_changes_no_verdict(spark):
+    """The same texts with 99, 100 and 101 documents of their language."""
+    words = "the house of people went to see another film about history and music every morning".split()
+    rng = random.Random(8)
+    clean = [(i, " ".join(rng.choices(words, k=120)), "en") for i in range(99)]
+    shouted = [(1000 + i, " ".join(rng.choices(words, k=120)).upper(), "en") for i in range(5)]
+    more = [(500 + i, " ".join(rng.choices(words, k=120)), "en") for i in range(2)]
+    frames = [spark.createDataFrame(clean[: 94 + 5] + shouted + more[:k], "doc_id long, text string, lang string") for k in range(3)]
+    kept = [{r["doc_id"] for r in fe.measures(f).where("kept").collect()} for f in frames]
+    assert kept[0] == kept[1] - {500} == kept[2] - {500, 501} and not kept[0] & {i for i, _, _ in shouted}
