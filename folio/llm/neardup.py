@@ -15,10 +15,12 @@ reports the shingles that more than a hundredth of it holds, and the reports are
    open: each pair of two classes in them is still to be decided. That is done without loss by
    prefixes: shingles are put in one order, rare ones first, and a node is a member of the buckets
    of its first shingles, up to the one after which less than the threshold of its weight is left.
-   Two texts that resemble each other share such a shingle, whatever the order is. Members of
-   different classes are compared with some members of their bucket, those with the most links
-   first, whether these have resembled a leader or not; classes are merged and four times as many
-   are taken, until a bucket is one class or each of its pairs of two classes was compared.
+   Two texts that resemble each other share such a shingle, whatever the order is, and the weight that they
+   have in common lies behind the first one that they share, which most other pairs cannot meet. Of buckets with the
+   same nodes one is kept. A bucket's members are compared with the one of them that has the most
+   links, unless they are of its class; classes are merged, the leader leaves the bucket, and the next turn
+   takes the next one (after some turns several), until what is left in a bucket is one class. So each
+   pair of two classes in a bucket is compared, and a family costs one comparison a member.
 3. Pairs are verified by the exact weighted Jaccard similarity of their whole texts. A leader's
    text is dealt out by salt when many texts are compared with it.
 4. Verified links give classes by alternating large-star and small-star steps, each written to the
@@ -33,6 +35,7 @@ returned by :func:`keep_one`.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import WORD, mix64, packed, slices, stored, unpacked
+from ._common import WORD, discard, mix64, packed, slices, stored, unpacked
 
 _WORD = re.compile(WORD)
 SHINGLE = 5
@@ -55,8 +58,8 @@ REPORT_SHARE = 1 / 100
 BLOCK_SHINGLES = 2_000_000
 #: Texts compared with one leader in one piece.
 SALT_ROWS = 500
-#: Members of an open bucket that the others are compared with in the first round.
-FIRST_LEADERS = 16
+#: Turns in which an open bucket's members are compared with one of them; after these, so many times as many each turn.
+SINGLE_TURNS, MORE_LEADERS = 2, 16
 #: Cells of the table that orders shingles by how many texts hold them (collisions only cost time).
 CELLS = 1 << 18
 VOCABULARY = 300_000
@@ -134,31 +137,35 @@ class Sampler:
     def __init__(self, bands: int = BANDS, rows: int = ROWS):
         self.bands, self.rows = bands, rows
         self.seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64))
+        self.factors = self.seeds | np.uint64(1)  # odd: each sample hashes by a multiplication of its own
         self.gamma = _gamma2_quantiles()
         self.log_gamma = np.log(self.gamma)
-        self.uniform = ((np.arange(1 << _BITS) + 0.5) / (1 << _BITS)).astype(np.float32)
+        uniform = ((np.arange(1 << _BITS) + 0.5) / (1 << _BITS)).astype(np.float32)
+        self.rest = np.float32(1) - uniform
 
     def keys(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Keys [text, band] for the texts whose shingles begin at ``starts``."""
-        mask, log_weight = np.uint64((1 << _BITS) - 1), np.log(weights).astype(np.float32)
-        plain = not log_weight.any()
-        identity = (shingles >> np.uint64(32)) ^ (shingles & np.uint64(0xFFFFFFFF))
+        mask = np.uint64((1 << _BITS) - 1)
+        index = lambda h, shift: ((h >> np.uint64(shift)) & mask).view(np.int64)
+        # A weight of 1 is at step 0: only the others need their step and an element of their own.
+        heavy = np.flatnonzero(weights != 1)
+        log_weight = np.log(weights[heavy]).astype(np.float32)
+        identity = ((shingles >> np.uint64(32)) ^ (shingles & np.uint64(0xFFFFFFFF))).view(np.int64)
         out = np.zeros((len(starts), self.bands), np.uint64)
-        for k, seed in enumerate(self.seeds):
-            h = mix64(shingles ^ seed)
-            r = self.gamma[h & mask]
-            log_c = self.log_gamma[(h >> np.uint64(_BITS)) & mask]
-            beta = self.uniform[(h >> np.uint64(2 * _BITS)) & mask]
-            if plain:
-                step, element = np.float32(0), identity
-            else:
-                step = np.floor(log_weight / r + beta)
-                element = (identity + step.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-            log_a = log_c - r * (step - beta + np.float32(1))
+        for k, (seed, factor) in enumerate(zip(self.seeds, self.factors)):
+            h = shingles * factor
+            h ^= h >> np.uint64(29)
+            r, log_c, rest = self.gamma.take(index(h, 52)), self.log_gamma.take(index(h, 40)), self.rest.take(index(h, 28))
+            log_a, element = log_c - r * rest, identity
+            if len(heavy):
+                step = np.floor(log_weight / r[heavy] + (np.float32(1) - rest[heavy]))
+                log_a[heavy] -= r[heavy] * step
+                element = identity.copy()
+                element[heavy] = (element[heavy] + step.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
             # Floats as integers of the same order, above the identity of the sample.
-            bits = log_a.view(np.int32).astype(np.int64)
-            bits = np.where(bits < 0, ~bits, bits | 0x80000000) & 0xFFFFFFFF
-            least = np.minimum.reduceat(bits.astype(np.uint64) << np.uint64(32) | element, starts)
+            bits = log_a.view(np.int32)
+            bits = bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))
+            least = np.minimum.reduceat((bits.astype(np.int64) << 32) | element, starts).view(np.uint64)
             band = k // self.rows
             out[:, band] = mix64(out[:, band] ^ (least & np.uint64(0xFFFFFFFF)) + seed)
         return out
@@ -280,11 +287,23 @@ def _crowded(members: DataFrame, name: str) -> DataFrame:
     return stored(members.join(several, "key"), name)
 
 
-def _open(members: DataFrame, roots: DataFrame, least: int = 0) -> DataFrame:
-    """Members, with ``root``, of the buckets of more than ``least`` nodes that hold two classes or more."""
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with ``root``, of the buckets that hold two classes or more."""
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return rooted.join(several.where((F.col("n") > least) & (F.col("low") < F.col("high"))).select("key"), "key")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rooted.join(several.where(F.col("low") < F.col("high")).select("key"), "key")
+
+
+def _different(members: DataFrame) -> DataFrame:
+    """One bucket of each different set of nodes (told by two sums over the nodes' hashes and their number).
+
+    Of buckets with the same nodes a node's first one counts: the weight from it on is the largest of them."""
+    sums = [F.bit_xor(F.xxhash64(F.lit(s), "node")).alias(f"sum{s}") for s in (1, 2)]
+    sets = members.groupBy("key").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    first = sets.groupBy("n", "sum1", "sum2").agg(F.min("key").alias("kept"))
+    named = members.join(sets.join(first, ["n", "sum1", "sum2"]).select("key", "kept"), "key")
+    kept = named.groupBy("node", F.col("kept").alias("key")).agg(F.max("weight").alias("weight"), F.max("left").alias("left"))
+    return kept.select("node", "key", "weight", "left")
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
@@ -310,40 +329,46 @@ def _cell_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The first shingles of a text, in the order of ``counts`` and hash, that leave less than the threshold."""
+def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a text, in the order of ``counts`` and hash, that leave less than the threshold; and for each
+    the weight from it on. Two alike texts share one of these, and from the first that they share on both have at
+    least the weight that they must have in common."""
     order = np.lexsort((shingles, counts[_cell(shingles)]))
     total = weights.sum()
-    left = total - np.cumsum(weights[order])
-    return shingles[order[: int((left >= threshold * total * (1 - 1e-9)).sum()) + 1]]
+    used = np.cumsum(weights[order])
+    n = int((total - used >= threshold * total * (1 - 1e-9)).sum()) + 1
+    return shingles[order[:n]], (total - used + weights[order])[:n]
 
 
 def _prefixes(texts: DataFrame, frequent: dict[int, float], threshold: float) -> DataFrame:
-    """``node, key, weight``: the buckets of the first shingles of each text, and the text's whole weight."""
+    """``node, key, weight, left``: the buckets of the first shingles of each text, the text's whole weight and the
+    weight from that shingle on."""
     counts = _cell_counts(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, weigh = Shingler(), Weights(frequent)
         for batch in batches:
-            nodes, keys, sizes, totals = [], [], [], []
+            nodes, keys, left, sizes, totals = [], [], [], [], []
             for node, text in zip(batch["node"], batch["text"]):
                 shingles, times = shingler.of(text)
                 weights = weigh(shingles, times)
-                first = prefix(shingles, weights, counts, threshold)
-                first = first[counts[_cell(first)] > 1]  # the others are in no other text
+                first, after = prefix(shingles, weights, counts, threshold)
+                shared = counts[_cell(first)] > 1  # the others are in no other text
                 nodes.append(node)
-                keys.append(first.astype(np.int64))
-                sizes.append(len(first))
+                keys.append(first[shared].astype(np.int64))
+                left.append(after[shared])
+                sizes.append(int(shared.sum()))
                 totals.append(weights.sum())
             if nodes:
-                columns = {"node": np.repeat(nodes, sizes), "key": np.concatenate(keys), "weight": np.repeat(totals, sizes)}
+                columns = {"node": np.repeat(nodes, sizes), "key": np.concatenate(keys), "weight": np.repeat(totals, sizes),
+                           "left": np.concatenate(left)}
                 yield pd.DataFrame(columns)
 
-    return texts.select("node", "text").mapInPandas(run, "node long, key long, weight double")
+    return texts.select("node", "text").mapInPandas(run, "node long, key long, weight double, left double")
 
 
-def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands: int, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified pairs ``a < b`` of nodes (different texts) that resemble each other.
+def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands: int, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs ``a < b`` of nodes (different texts) that resemble each other, and their classes (``node, root``).
 
     ``nodes(node, doc_id, md5, bands)``, one row per different text.
     """
@@ -363,31 +388,43 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands:
     candidate = members.join(_leaders(members), "key").where(F.col("leader") != F.col("node"))
     checked = stored(_verified(candidate.select(*pair).distinct(), texts, frequent), "checked")
 
-    def linked() -> DataFrame:
-        return checked.where(F.col("sim") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    def alike(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("sim") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
 
-    roots = components(linked())
+    roots = components(alike(checked))
     unresolved = stored(_open(members, roots).select("node").distinct(), "unresolved")
+    discard(members)
     if unresolved.isEmpty():
-        return linked()
-    members = stored(_prefixes(texts.join(unresolved, "node"), frequent, threshold), "prefixes")
-    leaders = FIRST_LEADERS
-    members = stored(_open(members, roots), "open")
-    while not members.isEmpty():
-        ends = linked().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        return alike(checked), roots
+    prefixes = stored(_prefixes(texts.join(unresolved, "node"), frequent, threshold), "prefixes")
+    members = stored(_open(_different(prefixes), roots), "open")
+    discard(unresolved, prefixes)
+    leaders = 1
+    for turn in itertools.count(1):
+        if members.isEmpty():
+            return alike(checked), roots
+        ends = alike(checked).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         order = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("node"), "node")
         ranked = members.join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        chosen = chosen.select("key", F.col("node").alias("leader"), F.col("root").alias("_root"), F.col("weight").alias("_weight"))
-        light = F.least("weight", "_weight") >= F.greatest("weight", "_weight") * (threshold * (1 - 1e-9))
-        candidate = members.join(chosen, "key").where((F.col("root") != F.col("_root")) & light)
+        chosen = chosen.select("key", F.col("node").alias("leader"), *[F.col(c).alias(f"_{c}") for c in ("root", "weight", "left")])
+        chosen = stored(chosen, "chosen")
+        # The weight that two alike texts have in common lies, for both, behind the first shingle that they share.
+        common = (F.col("weight") + F.col("_weight")) * (threshold / (1 + threshold) * (1 - 1e-9))
+        candidate = members.join(chosen, "key").where((F.col("root") != F.col("_root")) & (F.least("left", "_left") >= common))
         pairs = candidate.select(*pair).distinct().join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
-        checked = checked.unionByName(stored(_verified(pairs, texts, frequent), "checked"))
-        roots = components(linked())
-        # A bucket of no more nodes than were taken has had each pair of two classes compared.
-        members = stored(_open(members.drop("root"), roots, leaders), "open")
-        leaders *= 4
-    return linked()
+        added = stored(_verified(pairs, texts, frequent), "checked")
+        checked = checked.unionByName(added)
+        if not alike(added).isEmpty():  # else the classes are as they were
+            before, roots = roots, merged(roots, alike(added))
+            discard(before)
+        # A leader has been compared with all of its bucket, so it leaves. What is left of one class needs nothing more.
+        taken = chosen.select("key", F.col("leader").alias("node"))
+        rest = stored(_open(members.drop("root").join(taken, ["key", "node"], "left_anti"), roots), "open")
+        discard(members, chosen)
+        members = rest
+        if turn >= SINGLE_TURNS:
+            leaders *= MORE_LEADERS
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -401,15 +438,30 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large.where(F.col("u") != F.col("v")).distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(
-            small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct(), "small"
-        )
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+        before, edges = edges, stored(small, "small")
+        discard(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (of :func:`components`) after further ``edges``: only the classes that these join are put together."""
+    ends = edges
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    joined = components(ends.where("a <> b"))
+    # What is joined here are roots and nodes without a class so far: neither stands in ``roots`` as a node.
+    of = joined.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    moved = roots.join(of, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    out = stored(moved.unionByName(joined), "roots")
+    discard(joined)
+    return out
+
+
 def classes(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -429,8 +481,8 @@ def classes(
         F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
     )
     nodes = stored(nodes, "nodes")
-    edges = stored(links(docs, nodes, frequent, bands, threshold), "links")
-    roots = components(edges)
+    edges, roots = links(docs, nodes, frequent, bands, threshold)
+    edges = stored(edges, "links")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = nodes.select("md5", "node").join(roots, "node", "left").join(ends, "node", "left")
     members = members.select("md5", F.coalesce("root", "node").alias("root"), "n_links")

@@ -148,8 +148,13 @@ def test_prefixes_of_alike_texts_meet():
         n = int(rng.integers(1, 30))
         a, b = (shingles[n:], weights[n:]), (shingles[:-3], weights[:-3] * rng.uniform(0.9, 1.0, 117))
         threshold = nd.similarity(a, b)
-        first = [nd.prefix(*x, counts, threshold) for x in (a, b)]
-        assert len(np.intersect1d(*first)) > 0
+        (first, left), (other, behind) = [nd.prefix(*x, counts, threshold) for x in (a, b)]
+        both, i, j = np.intersect1d(first, other, return_indices=True)
+        assert len(both) > 0
+        # From the first shared shingle on, both have the weight that they must have in common.
+        common = (a[1].sum() + b[1].sum()) * threshold / (1 + threshold)
+        assert np.minimum(left[i], behind[j]).max() >= common * (1 - 1e-9)
+        assert abs(left[0] - a[1].sum()) < 1e-9
 
 
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
@@ -178,3 +183,21 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[n] for n in "bcd"} == {"a"} and got["y"] == "x"
     assert {got[f"p{i:03}"] for i in range(1, 61)} == {"p000"}
+
+
+def test_buckets_of_the_same_nodes_are_one(spark):
+    rows = [(n, k, 1.0, 10.0 * n + k) for k in (1, 2) for n in (1, 2, 3)] + [(n, 3, 1.0, 5.0) for n in (1, 2)] + [(9, 4, 1.0, 1.0)]
+    got = nd._different(spark.createDataFrame(rows, "node long, key long, weight double, left double"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1.0, 12.0), (1, 3, 1.0, 5.0), (2, 1, 1.0, 22.0), (2, 3, 1.0, 5.0), (3, 1, 1.0, 32.0)]
+
+
+def test_merged_classes_are_the_components_of_all_edges(spark):
+    rng = random.Random(2)
+    first = [tuple(sorted(rng.sample(range(200), 2))) for _ in range(60)]
+    more = [tuple(sorted(rng.sample(range(200), 2))) for _ in range(60)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    got = nd.merged(nd.components(frame(first)), frame(more))
+    want = nd.components(frame(first + more))
+    rows = lambda df: sorted((r["node"], r["root"]) for r in df.collect())
+    assert rows(got) == rows(want)
+    assert rows(nd.merged(nd.components(frame(first)), frame(first[:3]))) == rows(nd.components(frame(first)))
