@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ._util import as_col
 
-# The characters Python's str.strip() removes (str.isspace), as a Java regex class.
-PY_WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The characters Python's str.strip() removes (str.isspace).
+PY_WHITESPACE = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove all leading/trailing whitespace (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(as_col(c), rf"^{PY_WHITESPACE}+|{PY_WHITESPACE}+$", "")
+    return F.btrim(as_col(c).cast("string"), F.lit(PY_WHITESPACE))
 
 
 def is_fenced(c) -> Column:
@@ -23,8 +26,10 @@ def is_fenced(c) -> Column:
 
 def fence_strip(c) -> Column:
     """Remove a markdown code fence (```` ``` ```` or ```` ```json ````) around a JSON answer."""
-    head = F.regexp_replace(as_col(c), r"^\s*```(?:json|JSON)?[ \t]*\r?\n?\s*", "")
-    return F.regexp_replace(head, r"\s*```\s*$", "")
+    c = as_col(c)
+    head = F.regexp_replace(c, r"^\s*```(?:json|JSON)?[ \t]*\r?\n?\s*", "")
+    # Texts without a mark, usually most of them, are not searched.
+    return F.when(F.contains(c, F.lit("```")), F.regexp_replace(head, r"\s*```\s*$", "")).otherwise(c)
 
 
 def preview(c, n: int = 1000, always_ellipsis: bool = False) -> Column:

@@ -88,9 +88,11 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
             {f"_v_{f}": F.when(F.col(f"_ev_{f}").isNotNull(), verdict(F.col(f"_ev_{f}"), F.col(f"_gv_{f}"))) for f in fields}
         )
         vcols = [(f, F.col(f"_v_{f}")) for f in fields]
-        # Expected keys outside the list (none, for well-formed truths) go the generic way.
+        # Expected keys outside the list (none, for well-formed truths) go the generic way. There are none where
+        # each expected key is accounted for by a value of a listed field.
         others = F.map_filter(e, lambda k, _: ~k.isin(list(fields)))
-        staged = staged.withColumn("_v_others", F.when(F.size(e) > 0, _verdicts(others, g)))
+        listed = sum((F.col(f"_ev_{f}").isNotNull().cast("int") for f in dict.fromkeys(fields)), F.lit(0))
+        staged = staged.withColumn("_v_others", F.when(F.size(e) > listed, _verdicts(others, g)))
         rest = F.coalesce(F.col("_v_others"), F.array().cast(staged.schema["_v_others"].dataType))
         n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
         n_correct = n_correct + F.size(F.filter(rest, lambda x: x["verdict"] == CORRECT))
@@ -113,9 +115,11 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
         n_correct = F.size(F.filter(v, lambda x: x["verdict"] == CORRECT))
         fields_reason = F.array_join(F.transform(v, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])), ", ")
         verdicts = v
-    ek = F.array_sort(F.map_keys(e))
-    gk = F.array_sort(F.map_keys(g))
-    same_keys = g.isNotNull() & (ek == gk)
+    ek = F.sort_array(F.map_keys(e))
+    gk = F.sort_array(F.map_keys(g))
+    # A column of its own: it is compared once for the verdict and the reason.
+    staged = staged.withColumn("_v_same_keys", g.isNotNull() & (ek == gk))
+    same_keys = F.col("_v_same_keys")
     format_reason = (
         F.when(g.isNull(), F.lit("not a JSON object"))
         .when(same_keys, F.lit(""))

@@ -82,6 +82,17 @@ def spread(df, *keys: str):
     return df.repartition(parallelism, *keys) if keys else df.repartition(parallelism)
 
 
+def dealt(df, rows: int, rows_per_task: int, *keys: str):
+    """``df`` of about ``rows`` rows in tasks of about ``rows_per_task`` each, where that gives more tasks than cores.
+
+    Adaptive execution merges shuffle partitions by the bytes that they hold. Before a projection that makes rows many
+    times wider (texts, JSON, parsed values) that leaves a few tasks whose output does not fit in memory; a number of
+    partitions that is named is not merged.
+    """
+    n = -(-rows // rows_per_task)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def broadcast_limit(spark) -> int:
     """The session's own broadcast threshold (``spark.sql.autoBroadcastJoinThreshold``)."""
     value = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
