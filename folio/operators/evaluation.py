@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import media_type, suffix
 from ..functions.text import iso_text
 from ..schemas import Settings
+from ..session import dealt, spread
 from . import inference as I
 from .scoring import with_scores
 from .triage import content_block
@@ -106,8 +107,13 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
 
 # ---------------------------------------------------------------- resumable runs
 
-#: Result rows that are committed at a time, about.
-WAVE_CALLS = 100_000
+#: Result rows that are committed at a time, about, and the most commits of one start: each costs a job, so a large
+#: evaluation commits larger waves.
+WAVE_CALLS, MAX_WAVES = 100_000, 32
+#: Calls of a task of a wave.
+TASK_CALLS = 100_000
+#: Runs whose answers one number tells, a bit each.
+_BITS = 62
 
 
 def _committed(spark: SparkSession, path: str) -> tuple[list[str], int]:
@@ -135,11 +141,16 @@ def missing_runs(cases: DataFrame, done: DataFrame | None, runs: Sequence[tuple[
         return cases.withColumn("wanted", every)
     number = F.coalesce(*[F.when((F.col("model") == m) & (F.col("prompt_version") == v), F.lit(i)) for i, (m, v, _) in enumerate(runs)])
     good = done.where("success") if retry_failed else done
-    # At most one entry per run, whatever the number of attempts.
-    have = good.select(F.col(key).alias("_key"), number.alias("_run")).groupBy("_key").agg(F.collect_set("_run").alias("_have"))
-    left = F.array_except(every, F.coalesce("_have", F.array().cast("array<int>")))
-    todo = cases.join(have, F.col(key) == F.col("_key"), "left").withColumn("wanted", left)
-    return todo.where(F.size("wanted") > 0).drop("_key", "_have")
+    # A bit per run, whatever the number of attempts.
+    words = range(-(-len(runs) // _BITS))
+    flag = lambda i: F.lit(1 << i % _BITS).cast("long")
+    bits = [F.bit_or(F.coalesce(*[F.when(F.col("_run") == i, flag(i)) for i in range(w * _BITS, min(len(runs), (w + 1) * _BITS))]))
+            .alias(f"_have{w}") for w in words]
+    have = good.select(F.col(key).alias("_key"), number.alias("_run")).groupBy("_key").agg(*bits)
+    word = [F.coalesce(F.col(f"_have{w}"), F.lit(0).cast("long")) for w in words]
+    left = F.array(*[F.when(word[i // _BITS].bitwiseAND(flag(i)) == 0, F.lit(i)) for i in range(len(runs))])
+    todo = cases.join(have, F.col(key) == F.col("_key"), "left").withColumn("wanted", F.array_compact(left))
+    return todo.where(F.size("wanted") > 0).drop("_key", *[f"_have{w}" for w in words])
 
 
 def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_client: Callable[[], I.Backend], path: str,
@@ -150,21 +161,36 @@ def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], ma
     The rows are the progress table: a wave's rows and the fact that they are finished are one commit (a
     Parquet folder ``attempt=…/wave=…``; only folders with ``_SUCCESS`` are read). Started again
     after a crash, or after calls have failed, the job anti-joins the committed keys before any call.
-    ``waves``: how many commits (default: by the number of calls); a wave is a hash part of the cases, so it is
-    spread over all tasks. ``max_waves`` stops after so many (what is left is run by the next start).
+    ``waves``: how many commits (default: by the number of calls, at most ``MAX_WAVES``); a wave is a hash part of the
+    cases, so it is spread over all tasks. What is left to do is found once and written by waves, so that a wave reads
+    its own cases only. ``max_waves`` stops after so many (what is left is run by the next start).
     """
     spark = cases.sparkSession
     folders, attempt = _committed(spark, path)
     todo = missing_runs(cases, _rows_of(spark, path, folders), runs, key, retry_failed)
     if waves is None:
-        waves = max(1, -(-todo.select(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] // WAVE_CALLS))
+        calls = todo.select(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+        waves = min(MAX_WAVES, max(1, -(-calls // WAVE_CALLS)))
+    staged = None
+    if waves > 1:
+        staged = f"{path}/attempt={attempt}/_todo"  # readers skip it
+        todo = todo.withColumn("_wave", F.pmod(F.xxhash64(F.lit(7), key), F.lit(waves)).cast("int"))
+        todo.write.mode("overwrite").partitionBy("_wave").parquet(staged)
     rows = 0
     for wave in range(min(waves, max_waves or waves)):
-        part = todo.where(F.pmod(F.xxhash64(F.lit(7), key), F.lit(waves)) == wave) if waves > 1 else todo
+        part = todo
+        if staged:
+            part = spark.read.schema(todo.schema).parquet(staged).where(F.col("_wave") == wave).drop("_wave")
+            n = part.count()  # from the files' footers
+            per_task = -(-TASK_CALLS // len(runs))
+            part = dealt(spread(part, key), n, per_task, key)
         out = evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
         target = f"{path}/attempt={attempt}/wave={wave}"
         out.write.mode("overwrite").parquet(target)
         rows += spark.read.parquet(target).count()
+    if staged:
+        where = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return rows
 
 

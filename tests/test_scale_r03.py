@@ -34,3 +34,29 @@ def test_keys_outside_the_list_and_null_values(spark):
     listed = {tuple(r) for r in S.with_scores(df, fields=["a", "b"]).select(columns).collect()}
     assert listed == {tuple(r) for r in S.with_scores(df).select(columns).collect()}
     assert {(i, n) for i, n, *_ in listed} == {(1, 1.0), (2, 2.0), (3, 1.0), (4, 0.0), (5, None)}
+
+
+def test_waves_read_what_was_written_once(spark, monkeypatch):
+    calls = []
+    find = EV.missing_runs
+    monkeypatch.setattr(EV, "missing_runs", lambda *a, **k: calls.append(1) or find(*a, **k))
+    monkeypatch.setattr(EV, "WAVE_CALLS", 1)
+    monkeypatch.setattr(EV, "MAX_WAVES", 3)
+    truth = '{"prenom":"A"}'
+    rows = [(k, f"scans/{k}.png", bytearray(b"prenom: A"), truth) for k in range(12)]
+    cases = spark.createDataFrame(rows, "id long, in string, content binary, expected string")
+    path = os.path.join(tempfile.mkdtemp(prefix="waves-"), "run")
+    assert EV.resume_evaluation(cases, RUNS, SI.CardReaderClient, path, max_waves=1) < 12 * len(RUNS)
+    assert sorted(os.listdir(f"{path}/attempt=1")) == ["wave=0"]
+    EV.resume_evaluation(cases, RUNS, SI.CardReaderClient, path)
+    assert sorted(os.listdir(f"{path}/attempt=2")) == ["wave=0", "wave=1", "wave=2"]  # at most so many commits
+    assert EV.evaluation_results(spark, path).where("success").count() == 12 * len(RUNS) and len(calls) == 2
+
+
+def test_missing_runs_beyond_one_word(spark):
+    runs = [("m", f"v{i}", "p") for i in range(70)]
+    cases = spark.createDataFrame([(1,), (2,)], "id long")
+    done = spark.createDataFrame([(1, "m", f"v{i}", i != 65) for i in range(70) if i not in (3, 64)] + [(1, "m", "other", True)],
+                                 "id long, model string, prompt_version string, success boolean")
+    left = {r.id: r.wanted for r in EV.missing_runs(cases, done, runs).collect()}
+    assert left == {1: [3, 64, 65], 2: list(range(70))}
