@@ -42,6 +42,10 @@ def _encoded(df: DataFrame, cols) -> DataFrame:
     return df.withColumns({c: encode_identity(F.col(c).cast("string")) for c in cols})
 
 
+#: Rows of a run file, at most: cells hold line ends, so one task reads a file from its first row to its last.
+ROWS_PER_FILE = 100_000
+
+
 def _csv(writer):
     # Cells may hold newlines, commas and quotes: quote them and double inner quotes. Spark's
     # CSV writer trims leading / trailing spaces of values by default; answers keep theirs.
@@ -50,6 +54,7 @@ def _csv(writer):
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
     )
 
 
@@ -106,6 +111,8 @@ def write_run_csv(df: DataFrame, path: str, name_col: str = "run_name") -> list[
             store.delete(hadoop.Path(target), False)  # the run's earlier file, if any
             if not store.rename(hadoop.Path(part), hadoop.Path(target)):
                 raise OSError(f"cannot rename {part} to {target}")
+            # A local store leaves the checksum of a file beside it; a folder of runs holds the runs.
+            store.delete(hadoop.Path(f"{path}/.{target.rsplit('/', 1)[1]}.crc"), False)
             made.append(target)
     store.delete(hadoop.Path(staged), True)
     return made

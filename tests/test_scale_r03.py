@@ -36,6 +36,18 @@ def test_keys_outside_the_list_and_null_values(spark):
     assert {(i, n) for i, n, *_ in listed} == {(1, 1.0), (2, 2.0), (3, 1.0), (4, 0.0), (5, None)}
 
 
+def test_run_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 10)
+    rows = [("cin_prompt_v1_m_x", str(k), "m", f"a\n{k}") for k in range(95)]
+    df = spark.createDataFrame(rows, "run_name string, id string, model string, generated string").coalesce(1)
+    folder = os.path.join(tempfile.mkdtemp(prefix="bounded-"), "runs")
+    assert len(sinks.write_run_csv(df, folder)) >= 10
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/*.csv")
+    assert sorted((r.id, r.generated) for r in back.collect()) == sorted((r[1], r[3]) for r in rows)
+    sinks.write_run_files(df.withColumn("doc", F.lit("cin")).withColumn("prompt_version", F.lit("v1")), f"{folder}-by-run")
+    assert sum(f.endswith(".csv") for _, _, files in os.walk(f"{folder}-by-run") for f in files) >= 10
+
+
 def test_waves_read_what_was_written_once(spark, monkeypatch):
     calls = []
     find = EV.missing_runs
