@@ -72,3 +72,28 @@ def test_missing_runs_beyond_one_word(spark):
                                  "id long, model string, prompt_version string, success boolean")
     left = {r.id: r.wanted for r in EV.missing_runs(cases, done, runs).collect()}
     assert left == {1: [3, 64, 65], 2: list(range(70))}
+
+
+def test_archives_are_scanned_like_files(spark):
+    folder = tempfile.mkdtemp(prefix="archives-")
+    png = bytes.fromhex("89504E470D0A1A0A0000000D4948445200000003000000020802000000")
+    late = bytes.fromhex("49492A0078110100") + bytes(70000) + bytes.fromhex(
+        "0300000103000100000028230000010103000100000028230000150103000100000003000000" + "00000000")
+    out = asset_source.ArchiveWriter(folder, "a")
+    paths = [out.add("1.img", png), out.add("1.img", png), out.add("2.img", late), out.add("3.img", None), out.add("4.txt", b"x")]
+    out.close()
+    with open(f"{folder}/broken.zip", "wb") as f:
+        f.write(b"no archive")
+    rows = {r.path: r for r in asset_source.scan_headers(spark, folder, glob="*.img", archives=True).collect()}
+    assert set(rows) == {*paths[:3], f"{folder}/broken.zip"} and len(set(paths)) == 5
+    assert rows[paths[1]].width == 3 and rows[paths[1]].decodable and rows[paths[1]].length == len(png)
+    assert rows[paths[2]].width == 9000 and rows[paths[2]].bytes_read <= 256
+    assert rows[f"{folder}/broken.zip"].error and not rows[f"{folder}/broken.zip"].decodable
+    with zipfile.ZipFile(f"{folder}/a-00000.zip") as archive:
+        assert archive.read("2.img") == late
+
+
+def test_uploads_lie_in_archives(spark, sf_small):
+    folder, files = td.upload_files(spark, sf_small)
+    on_disk = [f for _, _, names in os.walk(folder) for f in names if not f.startswith(".")]
+    assert files.count() == 1500 and 1 <= len(on_disk) < 100 and all(f.endswith(".zip") for f in on_disk)
