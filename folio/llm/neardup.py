@@ -1,11 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
-Shingles are runs of five words. A shingle weighs ``(1 + ln tf) * idf``. The IDF saturates: it is 1
-for shingles of up to a twentieth of all documents and falls to a floor of 0.75 for those of all
-documents, so that boilerplate counts less and a large group of copies still counts as copies.
-Only the frequent shingles need to be known for that (at most twenty times the mean number of
-shingles per document). They come from lossy counting over all documents: each block of documents
-reports the shingles that more than a hundredth of it holds, and the reports are summed.
+Shingles are runs of five words. A shingle weighs ``(1 + ln tf) * idf`` with ``idf = 1 + ln(1 + ln(n / df))``,
+df being the number of the n documents (copies included) that hold it: the IDF is damped like the term frequency, so that
+a large group of copies still counts as copies, but it falls with every further document, from the first one on. Weights
+are divided by that of a shingle of one document, which changes no similarity.
+
+The document frequencies are exact and no table of them is held anywhere. Documents are taken in blocks; a block's distinct
+shingles go to parts of the hash range, each part adds up its blocks' counts and answers every block with the frequencies of
+its shingles, in their order. A text keeps its frequencies beside it.
 
 1. Each text gets ``bands * rows`` consistent samples (element and quantised weight, chosen with
    probability equal to the weighted Jaccard similarity of two texts) and one key per band.
@@ -51,11 +53,10 @@ _WORD = re.compile(WORD)
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
-#: Share of documents from which a shingle weighs less than 1, and the least IDF.
-FREQUENT_SHARE, IDF_FLOOR = 1 / 20, 0.75
-#: A block of documents reports the shingles that more than this share of it holds.
-REPORT_SHARE = 1 / 100
-BLOCK_SHINGLES = 2_000_000
+#: Documents of a block are 2 to the power of this, and bytes of all texts for each part of the hash range.
+BLOCK_BITS, PART_BYTES = 9, 24_000_000
+#: Bytes of texts of a task that takes whole blocks.
+TASK_BYTES = 16_000_000
 #: Texts compared with one leader in one piece.
 SALT_ROWS = 500
 #: Turns in which an open bucket's members are compared with one of them; after these, so many times as many each turn.
@@ -99,25 +100,33 @@ def _hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
+def idf(df, n: int):
+    """Inverse document frequency of shingles that ``df`` of ``n`` documents hold, damped by a second logarithm."""
+    return 1.0 + np.log1p(np.log(n / np.asarray(df, np.float64)))
+
+
+saturated_idf = idf  # its name in the tests
+
+
 class Weights:
-    """Weights of shingles from the frequent ones (sorted hashes and their IDF)."""
+    """Weights of shingles from their counts in the text and their document frequencies."""
 
-    def __init__(self, frequent: dict[int, float]):
-        keys = np.array(sorted(frequent), np.uint64)
-        self.keys, self.idf = keys, np.array([frequent[int(k)] for k in keys], np.float64)
+    def __init__(self, n: int):
+        self.n, self.unit = n, float(idf(1, n)) if n else 1.0
 
-    def __call__(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = 1.0 + np.log(counts)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-            weight *= np.where(self.keys[at] == shingles, self.idf[at], 1.0)
-        return weight
+    def __call__(self, counts: np.ndarray, dfs: np.ndarray) -> np.ndarray:
+        return (1.0 + np.log(counts)) * (idf(dfs, self.n) / self.unit)
 
 
-def saturated_idf(df: float, n: float) -> float:
-    """1 up to the frequent share, then falling with the logarithm of the share, never below the floor."""
-    share = min(1.0, df / n)
-    return 1.0 if share <= FREQUENT_SHARE else max(IDF_FLOOR, float(np.log(share) / np.log(FREQUENT_SHARE)))
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of numbers, the first byte of all, then the second: shuffled files compress what sorted numbers share."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def numbers(data: bytes, dtype) -> np.ndarray:
+    """The numbers of :func:`planes`."""
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def _gamma2_quantiles() -> np.ndarray:
@@ -179,77 +188,78 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / total) if total else 0.0
 
 
-def frequent_shingles(texts: DataFrame) -> dict[int, float]:
-    """IDF below 1 of the frequent shingles of ``texts(text)``, one row per document.
-
-    Only shingles of more than a twentieth of the documents reach the driver: at most twenty
-    times the mean number of shingles per document.
-    """
-
-    def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, held, size, docs = Shingler(), [], 0, 0
-
-        def block() -> pd.DataFrame:
-            found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64),) * 2
-            often = times > REPORT_SHARE * docs
-            return pd.DataFrame({"shingle": found[often].astype(np.int64), "n": times[often].astype(np.int64)})
-
-        for batch in batches:
-            for text in batch["text"]:
-                shingles = shingler.of(text)[0]
-                held.append(shingles)
-                size, docs = size + len(shingles), docs + 1
-                if size > BLOCK_SHINGLES:
-                    yield block()
-                    held, size, docs = [], 0, 0
-        yield block()
-
-    n = texts.count()
-    reported = texts.mapInPandas(report, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df"))
-    frequent = reported.where(F.col("df") > FREQUENT_SHARE * n).collect()
-    return {int(np.uint64(np.int64(r["shingle"]))): saturated_idf(r["df"], n) for r in frequent}
-
-
-def _bands_udf(frequent: dict[int, float], bands: int, rows: int):
-    @F.pandas_udf("array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingler, sampler, weigh = Shingler(), Sampler(bands, rows), Weights(frequent)
-        for batch in batches:
-            texts, out = batch.tolist(), []
-            for part in slices(texts):
-                found = [shingler.of(t) for t in texts[part]]
-                sizes = np.array([len(s) for s, _ in found])
-                some = sizes > 0
-                keys: list = [None] * len(found)
-                if some.any():
-                    shingles = np.concatenate([s for s, _ in found])
-                    weights = weigh(shingles, np.concatenate([c for _, c in found]))
-                    starts = (np.cumsum(sizes) - sizes)[some]
-                    made = sampler.keys(shingles, weights, starts).astype(np.int64)
-                    for i, row in zip(np.flatnonzero(some), made):
-                        keys[i] = row
-                out += keys
-            yield pd.Series(out, dtype=object)
-
-    return run.asNondeterministic()  # evaluated once per row
-
-
-def _similarity_udf(frequent: dict[int, float]):
+def _sketched(rows: DataFrame, n: int, size: int, bands: int, per_band: int) -> DataFrame:
+    """``row, bands, dfs`` of ``rows(block, row, text)``, ``n`` rows of ``size`` bytes: band keys, and the document
+    frequencies of the text's distinct shingles in the order of :class:`Shingler`."""
+    bits = max(0, int(size // PART_BYTES).bit_length())
+    starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)
+    shingler, weigh = Shingler(), Weights(n)
+
+    def pieces(block: pd.DataFrame) -> pd.DataFrame:
+        held, times = np.unique(np.concatenate([shingler.of(t)[0] for t in block["text"]]), return_counts=True)
+        ends = np.append(np.searchsorted(held, starts), len(held))
+        some = np.flatnonzero(np.diff(ends))
+        cut = [slice(ends[i], ends[i + 1]) for i in some]
+        return pd.DataFrame(
+            {
+                "block": block["block"].iloc[0],
+                "part": some.astype(np.int32),
+                "shingles": [planes(held[c]) for c in cut],
+                "times": [planes(times[c].astype(np.uint32)) for c in cut],
+            }
+        )
+
+    def added(part: pd.DataFrame) -> pd.DataFrame:
+        held = [numbers(b, np.uint64) for b in part["shingles"]]
+        times = np.concatenate([numbers(b, np.uint32) for b in part["times"]])
+        _, place = np.unique(np.concatenate(held), return_inverse=True)
+        dfs = np.bincount(place, weights=times).astype(np.uint32)[place]
+        cuts = np.split(dfs, np.cumsum([len(h) for h in held])[:-1])
+        return part[["block", "part"]].assign(dfs=[planes(d) for d in cuts])
+
+    def sketches(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        texts = block["text"].tolist()
+        found = [shingler.of(t) for t in texts]
+        held = np.unique(np.concatenate([s for s, _ in found]))
+        known = [numbers(b, np.uint32) for b in answers.sort_values("part")["dfs"]]
+        dfs = np.concatenate([np.zeros(0, np.uint32), *known])
+        of = [dfs[np.searchsorted(held, s)] for s, _ in found]
+        sampler, keys = Sampler(bands, per_band), []
+        for part in slices(texts):
+            sizes = np.array([len(s) for s, _ in found[part]])
+            some, made = sizes > 0, [None] * len(sizes)
+            if some.any():
+                weights = weigh(np.concatenate([c for _, c in found[part]]), np.concatenate(of[part]))
+                shingles = np.concatenate([s for s, _ in found[part]])
+                sampled = sampler.keys(shingles, weights, (np.cumsum(sizes) - sizes)[some]).astype(np.int64)
+                for i, keys_of in zip(np.flatnonzero(some), sampled):
+                    made[i] = keys_of
+            keys += made
+        return pd.DataFrame({"row": block["row"], "bands": keys, "dfs": [planes(d) for d in of]})
+
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    rows = rows.repartition(int(tasks), "block")  # both uses of a block share this shuffle
+    parts = rows.groupBy("block").applyInPandas(pieces, "block long, part int, shingles binary, times binary")
+    answers = parts.groupBy("part").applyInPandas(added, "block long, part int, dfs binary")
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sketches, "row long, bands array<long>, dfs binary")
+
+
+def _similarity_udf(n: int):
     @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        shingler, weigh = Shingler(), Weights(frequent)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        shingler, weigh = Shingler(), Weights(n)
 
-        def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
+        def weighted(text: str, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
             shingles, counts = shingler.of(text)
-            return shingles, weigh(shingles, counts)
+            return shingles, weigh(counts, numbers(dfs, np.uint32))
 
         last, leader = None, (np.zeros(0, np.uint64), np.zeros(0))
-        for left, right in batches:
+        for batch in batches:
             out = []
-            for a, b in zip(left, right):
+            for a, a_dfs, b, b_dfs in zip(*batch):
                 if a != last:  # pairs of one leader follow each other
-                    last, leader = a, weighted(a)
-                out.append(similarity(leader, weighted(b)))
+                    last, leader = a, weighted(a, a_dfs)
+                out.append(similarity(leader, weighted(b, b_dfs)))
             yield pd.Series(out, dtype="float64")
 
     return run.asNondeterministic()
@@ -259,19 +269,19 @@ def _hash_of(text: Column) -> Column:
     return F.md5(F.encode(text, "UTF-8"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, frequent: dict[int, float]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """``pairs(leader, node)`` with the exact similarity ``sim``."""
     shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("shares"))
     left = pairs.join(texts, "node").join(shares, "leader")
     left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
     leaders = (
-        texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"))
+        texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"), F.col("dfs").alias("leader_dfs"))
         .join(shares, "leader")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
         .drop("shares")
     )
     both = left.join(leaders, ["leader", "salt"])
-    sim = _similarity_udf(frequent)(F.col("leader_text"), F.col("text"))
+    sim = _similarity_udf(n)(*[F.col(c) for c in ("leader_text", "leader_dfs", "text", "dfs")])
     return both.select("leader", "node", sim.alias("sim"))
 
 
@@ -340,18 +350,18 @@ def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, thresh
     return shingles[order[:n]], (total - used + weights[order])[:n]
 
 
-def _prefixes(texts: DataFrame, frequent: dict[int, float], threshold: float) -> DataFrame:
+def _prefixes(texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """``node, key, weight, left``: the buckets of the first shingles of each text, the text's whole weight and the
     weight from that shingle on."""
     counts = _cell_counts(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, weigh = Shingler(), Weights(frequent)
+        shingler, weigh = Shingler(), Weights(n)
         for batch in batches:
             nodes, keys, left, sizes, totals = [], [], [], [], []
-            for node, text in zip(batch["node"], batch["text"]):
+            for node, text, dfs in zip(batch["node"], batch["text"], batch["dfs"]):
                 shingles, times = shingler.of(text)
-                weights = weigh(shingles, times)
+                weights = weigh(times, numbers(dfs, np.uint32))
                 first, after = prefix(shingles, weights, counts, threshold)
                 shared = counts[_cell(first)] > 1  # the others are in no other text
                 nodes.append(node)
@@ -364,29 +374,23 @@ def _prefixes(texts: DataFrame, frequent: dict[int, float], threshold: float) ->
                            "left": np.concatenate(left)}
                 yield pd.DataFrame(columns)
 
-    return texts.select("node", "text").mapInPandas(run, "node long, key long, weight double, left double")
+    return texts.select("node", "text", "dfs").mapInPandas(run, "node long, key long, weight double, left double")
 
 
-def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands: int, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified pairs ``a < b`` of nodes (different texts) that resemble each other, and their classes (``node, root``).
 
-    ``nodes(node, doc_id, md5, bands)``, one row per different text.
+    ``docs(row, text)``, ``n`` rows; ``nodes(node, bands, dfs)``, one row per different text, with the row that holds it.
     """
     bucket = F.posexplode("bands").alias("band", "key")
     keys = nodes.where(F.col("bands").isNotNull()).select("node", bucket)
     members = _crowded(keys.select("node", F.xxhash64("band", "key").alias("key")), "members")
-    # One text per node: the row with the node's smallest id (repeats of it are dropped).
-    wanted = members.select("node").distinct().join(nodes.select("node", "md5", F.col("doc_id").alias("rep")), "node")
-    texts = (
-        docs.withColumn("_md5", _hash_of(F.col("text")))
-        .join(wanted, (F.col("md5") == F.col("_md5")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-        .select("node", "text")
-        .dropDuplicates(["node"])
-    )
+    wanted = nodes.select("node", "dfs").join(members.select("node").distinct(), "node")
+    texts = docs.select(F.col("row").alias("node"), "text").join(wanted, "node")
     texts = stored(texts, "texts")
     pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
     candidate = members.join(_leaders(members), "key").where(F.col("leader") != F.col("node"))
-    checked = stored(_verified(candidate.select(*pair).distinct(), texts, frequent), "checked")
+    checked = stored(_verified(candidate.select(*pair).distinct(), texts, n), "checked")
 
     def alike(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.col("sim") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -396,7 +400,7 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands:
     discard(members)
     if unresolved.isEmpty():
         return alike(checked), roots
-    prefixes = stored(_prefixes(texts.join(unresolved, "node"), frequent, threshold), "prefixes")
+    prefixes = stored(_prefixes(texts.join(unresolved, "node"), n, threshold), "prefixes")
     members = stored(_open(_different(prefixes), roots), "open")
     discard(unresolved, prefixes)
     leaders = 1
@@ -413,7 +417,7 @@ def links(docs: DataFrame, nodes: DataFrame, frequent: dict[int, float], bands:
         common = (F.col("weight") + F.col("_weight")) * (threshold / (1 + threshold) * (1 - 1e-9))
         candidate = members.join(chosen, "key").where((F.col("root") != F.col("_root")) & (F.least("left", "_left") >= common))
         pairs = candidate.select(*pair).distinct().join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
-        added = stored(_verified(pairs, texts, frequent), "checked")
+        added = stored(_verified(pairs, texts, n), "checked")
         checked = checked.unionByName(added)
         if not alike(added).isEmpty():  # else the classes are as they were
             before, roots = roots, merged(roots, alike(added))
@@ -472,21 +476,21 @@ def classes(
 ) -> DataFrame:
     """Per document: ``doc_id, node, class_id, n_links`` (links of its text) and ``class_size``."""
     docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    frequent = frequent_shingles(docs.select("text"))
-    made = _bands_udf(frequent, bands, rows)(F.col("text")).alias("bands")
     # Written once, so the row numbers are fixed from here on.
     number = F.monotonically_increasing_id().alias("row")
-    sketches = stored(docs.select("doc_id", number, _hash_of(F.col("text")).alias("md5"), made), "sketches")
-    nodes = sketches.groupBy("md5").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")
-    )
-    nodes = stored(nodes, "nodes")
-    edges, roots = links(docs, nodes, frequent, bands, threshold)
+    docs = stored(docs.select("doc_id", number, _hash_of(F.col("text")).alias("md5"), "text"), "docs")
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = docs.select(F.shiftright("row", BLOCK_BITS).alias("block"), "row", "text")
+    sketches = stored(_sketched(blocks, n, size, bands, rows), "sketches")
+    different = docs.groupBy("md5").agg(F.min("row").alias("node"))
+    nodes = stored(different.join(sketches.withColumnRenamed("row", "node"), "node"), "nodes")
+    discard(sketches)
+    edges, roots = links(docs, nodes, n, threshold)
     edges = stored(edges, "links")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     members = nodes.select("md5", "node").join(roots, "node", "left").join(ends, "node", "left")
     members = members.select("md5", F.coalesce("root", "node").alias("root"), "n_links")
-    rows_ = sketches.select("doc_id", "md5").join(members, "md5")
+    rows_ = docs.select("doc_id", "md5").join(members, "md5")
     named = rows_.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows_.join(named, "root").select(
         "doc_id", F.col("md5").alias("node"), "root", "class_id", "class_size",

@@ -201,3 +201,37 @@ def test_merged_classes_are_the_components_of_all_edges(spark):
     rows = lambda df: sorted((r["node"], r["root"]) for r in df.collect())
     assert rows(got) == rows(want)
     assert rows(nd.merged(nd.components(frame(first)), frame(first[:3]))) == rows(nd.components(frame(first)))
+
+
+def test_idf_falls_from_the_first_document_on():
+    values = nd.idf(np.arange(1, 1001), 1000)
+    assert (np.diff(values) < 0).all() and values[-1] == 1
+    weigh = nd.Weights(1000)
+    assert weigh(np.array([1]), np.array([1]))[0] == 1 and weigh(np.array([1]), np.array([2]))[0] < 1
+
+
+def test_document_frequencies_are_exact(spark, monkeypatch):
+    """Blocks of four documents and many parts: each shingle's number of documents, copies included."""
+    monkeypatch.setattr(nd, "BLOCK_BITS", 2)
+    monkeypatch.setattr(nd, "PART_BYTES", 500)
+    texts = [*families(seed=3, groups=6), "", "a b", "a b", "a a a a a a a"]
+    rows = spark.createDataFrame([(i >> 2, i, t) for i, t in enumerate(texts)], "block long, row long, text string")
+    size = sum(len(t) for t in texts)
+    got = {r["row"]: r for r in nd._sketched(rows, len(texts), size, nd.BANDS, nd.ROWS).collect()}
+    shingler = nd.Shingler()
+    held = [shingler.of(t)[0].tolist() for t in texts]
+    df = Counter(g for s in held for g in s)
+    assert max(df.values()) > 20 and len(got) == len(texts)
+    for i, shingles in enumerate(held):
+        assert nd.numbers(got[i]["dfs"], np.uint32).tolist() == [df[g] for g in shingles]
+        assert (got[i]["bands"] is None) == (not shingles)
+    weigh, sampler = nd.Weights(len(texts)), nd.Sampler()
+    for i in (0, 5, 20):
+        shingles, counts = shingler.of(texts[i])
+        weights = weigh(counts, np.array([df[int(g)] for g in shingles]))
+        assert got[i]["bands"] == sampler.keys(shingles, weights, np.array([0]))[0].astype(np.int64).tolist()
+
+
+def test_numbers_of_planes():
+    for values in (np.arange(300, dtype=np.uint32) * 70_001, np.array([2**63 + 5, 7], np.uint64), np.zeros(0, np.uint64)):
+        assert nd.numbers(nd.planes(values), values.dtype).tolist() == values.tolist()
