@@ -20,7 +20,7 @@ its shingles, in their order. A text keeps its frequencies beside it.
    Two texts that resemble each other share such a shingle, whatever the order is, and the weight that they
    have in common lies behind the first one that they share, which most other pairs cannot meet. Of buckets with the
    same nodes one is kept. A bucket's members are compared with the one of them that has the most
-   links, unless they are of its class; classes are merged, the leader leaves the bucket, and the next turn
+   links, unless they are of its class or share an earlier bucket with it; classes are merged, the leader leaves the bucket, and the next turn
    takes the next one (after some turns several), until what is left in a bucket is one class. So each
    pair of two classes in a bucket is compared, and a family costs one comparison a member.
 3. Pairs are verified by the exact weighted Jaccard similarity of their whole texts. A leader's
@@ -38,18 +38,17 @@ returned by :func:`keep_one`.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ._common import WORD, discard, mix64, packed, slices, stored, unpacked
+from ._common import discard, mix64, packed, slices, stored, unpacked
 
-_WORD = re.compile(WORD)
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
@@ -61,43 +60,109 @@ TASK_BYTES = 16_000_000
 SALT_ROWS = 500
 #: Turns in which an open bucket's members are compared with one of them; after these, so many times as many each turn.
 SINGLE_TURNS, MORE_LEADERS = 2, 16
+#: Buckets of a node that may be where a pair is compared; two nodes that share none of them meet in each that they share.
+HOMES = 64
 #: Cells of the table that orders shingles by how many texts hold them (collisions only cost time).
 CELLS = 1 << 18
-VOCABULARY = 300_000
 _BITS = 12
 
 
 class Shingler:
     """Distinct shingles (64-bit hashes) of texts, with their counts."""
 
-    def __init__(self):
-        self.words: dict[str, int] = {}
+    #: Characters of texts that are taken at a time, so that the arrays of a step stay in a core's cache.
+    CHARS = 150_000
 
-    def _hashes(self, words: list[str]) -> np.ndarray:
-        table = self.words
-        if len(table) > VOCABULARY:
-            table.clear()
-        new = [w for w in set(words) if w not in table]
-        for w in new:
-            table[w] = _hash(w)
-        return np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+    def __init__(self):
+        self.white = np.zeros(256, bool)
+        self.white[[0x20, *range(0x09, 0x0E)]] = True
+        # The bytes of a word in a little-endian load of eight, by how many of them are left.
+        self.mask = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = _WORD.findall(text)
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        h = self._hashes(words)
-        n = max(1, len(h) - SHINGLE + 1)
-        mixed = np.zeros(n, np.uint64)
-        for k in range(min(SHINGLE, len(h))):
-            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-        return np.unique(mix64(mixed), return_counts=True)
-
-
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        shingles, counts, _ = self.all([text])
+        return shingles, counts
+
+    def all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles and counts of the texts one after the other, in ascending order in each, and how many each has."""
+        found = [self._some(texts[part]) for part in slices(texts, self.CHARS)]
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return tuple(np.concatenate(x) for x in zip(empty, *found))
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        ends = np.cumsum([len(t) + 1 for t in parts])
+        data = b"\n".join([*parts, b" " * 8])
+        white = self.white.take(np.frombuffer(data, np.uint8))
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        edge = edge if white[0] else np.append(0, edge)
+        begins, word_ends = edge[::2], edge[1::2]
+        words = self._hashes(data, begins, word_ends - begins)
+        # The words of text i are first[i] : first[i + 1].
+        first = np.append(0, np.searchsorted(begins, ends))
+        n_words = np.diff(first)
+        windows = np.minimum(n_words, np.maximum(1, n_words - SHINGLE + 1))
+        of = np.cumsum(windows) - windows
+        at = np.arange(windows.sum()) + np.repeat(first[:-1] - of, windows)
+        length = np.repeat(np.minimum(n_words, SHINGLE), windows)
+        padded = np.append(words, np.zeros(SHINGLE, np.uint64))
+        mixed = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            new = mixed * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]
+            mixed = new if k == 0 else np.where(length > k, new, mixed)
+        mixed = mix64(mixed)
+        for a, b in zip(of.tolist(), (of + windows).tolist()):
+            mixed[a:b].sort()
+        new = np.ones(len(mixed), bool)
+        new[1:] = mixed[1:] != mixed[:-1]
+        new[of[windows > 0]] = True
+        place = np.flatnonzero(new)
+        counts = np.diff(np.append(place, len(mixed)))
+        sizes = np.diff(np.append(0, np.searchsorted(place, of + windows)))
+        return mixed[place], counts, sizes
+
+    def _hashes(self, data: bytes, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Hashes of the words: sums of the mixed loads of eight bytes, each by its place in the word, and the length."""
+        if not len(begins):
+            return np.zeros(0, np.uint64)
+        loads = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        n = (lengths + 7) >> 3
+        if n.max() == 1:
+            return mix64(loads[begins] & self.mask[lengths]) + lengths.astype(np.uint64)
+        of = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(of, n)
+        load = loads[np.repeat(begins, n) + 8 * place] & self.mask[np.minimum(np.repeat(lengths, n) - 8 * place, 8)]
+        load += place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.add.reduceat(mix64(load), of) + lengths.astype(np.uint64)
+
+
+def _runs(sizes: np.ndarray) -> list[slice]:
+    """The places of runs of these sizes that follow each other."""
+    ends = np.cumsum(sizes).tolist()
+    return [slice(a, b) for a, b in zip([0, *ends], ends)]
+
+
+def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``block, rows, sizes, data`` of batches of ``block, row, text``: the texts of a block are compressed together."""
+    for batch in batches:
+        out = []
+        for block, held in batch.groupby("block", sort=False):
+            parts = [t.encode("utf-8", "surrogatepass") for t in held["text"]]
+            sizes = np.array([len(t) for t in parts], np.uint64)
+            data = pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+            out.append((block, held["row"].to_numpy(np.int64).tobytes(), sizes.tobytes(), data))
+        yield pd.DataFrame(out, columns=["block", "rows", "sizes", "data"])
+
+
+def _opened(bundles: pd.DataFrame) -> tuple[np.ndarray, list[str]]:
+    """Rows and texts of :func:`_bundles`."""
+    rows, texts = [np.zeros(0, np.int64)], []
+    for of, sizes, data in zip(bundles["rows"], bundles["sizes"], bundles["data"]):
+        sizes = np.frombuffer(sizes, np.uint64).astype(np.int64)
+        raw = pa.decompress(data, int(sizes.sum()), codec="zstd", asbytes=True) if sizes.sum() else b""
+        rows.append(np.frombuffer(of, np.int64))
+        texts += [raw[run].decode("utf-8", "surrogatepass") for run in _runs(sizes)]
+    return np.concatenate(rows), texts
 
 
 def idf(df, n: int):
@@ -123,6 +188,11 @@ def planes(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
+def steps(held: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the first and the steps to the next: their running sums are the numbers."""
+    return np.diff(held, prepend=np.uint64(0))
+
+
 def numbers(data: bytes, dtype) -> np.ndarray:
     """The numbers of :func:`planes`."""
     size = np.dtype(dtype).itemsize
@@ -152,29 +222,54 @@ class Sampler:
         uniform = ((np.arange(1 << _BITS) + 0.5) / (1 << _BITS)).astype(np.float32)
         self.rest = np.float32(1) - uniform
 
+    #: Shingles that are sampled at a time, so that the arrays of a step stay in a core's cache (whole texts).
+    RUN = 32_768
+
     def keys(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Keys [text, band] for the texts whose shingles begin at ``starts``."""
+        begins = np.flatnonzero(np.diff(starts // self.RUN, prepend=-1))
+        out = [np.zeros((0, self.bands), np.uint64)]
+        for a, b in zip(begins, [*begins[1:], len(starts)]):
+            run = slice(starts[a], starts[b] if b < len(starts) else len(shingles))
+            out.append(self._keys(shingles[run], weights[run], starts[a:b] - starts[a]))
+        return np.concatenate(out)
+
+    def _keys(self, shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         mask = np.uint64((1 << _BITS) - 1)
-        index = lambda h, shift: ((h >> np.uint64(shift)) & mask).view(np.int64)
         # A weight of 1 is at step 0: only the others need their step and an element of their own.
         heavy = np.flatnonzero(weights != 1)
         log_weight = np.log(weights[heavy]).astype(np.float32)
         identity = ((shingles >> np.uint64(32)) ^ (shingles & np.uint64(0xFFFFFFFF))).view(np.int64)
+        heavy_identity = identity[heavy]
         out = np.zeros((len(starts), self.bands), np.uint64)
+        h, bits = np.empty_like(shingles), np.empty_like(shingles)
+        r, log_a, rest, sign = (np.empty(len(h), t) for t in (np.float32, np.float32, np.float32, np.int32))
+        index, order, log_bits = bits.view(np.int64), bits.view(np.int64), log_a.view(np.int32)
         for k, (seed, factor) in enumerate(zip(self.seeds, self.factors)):
-            h = shingles * factor
-            h ^= h >> np.uint64(29)
-            r, log_c, rest = self.gamma.take(index(h, 52)), self.log_gamma.take(index(h, 40)), self.rest.take(index(h, 28))
-            log_a, element = log_c - r * rest, identity
+            np.multiply(shingles, factor, out=h)
+            np.right_shift(h, np.uint64(29), out=bits)
+            np.bitwise_xor(h, bits, out=h)
+            np.right_shift(h, np.uint64(52), out=bits)
+            self.gamma.take(index, out=r, mode="clip")
+            for shift, table, values in ((40, self.log_gamma, log_a), (28, self.rest, rest)):
+                np.right_shift(h, np.uint64(shift), out=bits)
+                np.bitwise_and(bits, mask, out=bits)
+                table.take(index, out=values, mode="clip")
             if len(heavy):
-                step = np.floor(log_weight / r[heavy] + (np.float32(1) - rest[heavy]))
-                log_a[heavy] -= r[heavy] * step
-                element = identity.copy()
-                element[heavy] = (element[heavy] + step.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
+                heavy_r = r[heavy]
+                step = np.floor(log_weight / heavy_r + (np.float32(1) - rest[heavy]))
+            np.multiply(r, rest, out=rest)
+            np.subtract(log_a, rest, out=log_a)
+            if len(heavy):
+                log_a[heavy] -= heavy_r * step
+                identity[heavy] = (heavy_identity + step.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
             # Floats as integers of the same order, above the identity of the sample.
-            bits = log_a.view(np.int32)
-            bits = bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))
-            least = np.minimum.reduceat((bits.astype(np.int64) << 32) | element, starts).view(np.uint64)
+            np.right_shift(log_bits, 31, out=sign)
+            np.bitwise_and(sign, np.int32(0x7FFFFFFF), out=sign)
+            np.bitwise_xor(log_bits, sign, out=log_bits)
+            np.left_shift(log_bits, 32, out=order, dtype=np.int64)
+            np.bitwise_or(order, identity, out=order)
+            least = np.minimum.reduceat(order, starts).view(np.uint64)
             band = k // self.rows
             out[:, band] = mix64(out[:, band] ^ (least & np.uint64(0xFFFFFFFF)) + seed)
         return out
@@ -196,7 +291,7 @@ def _sketched(rows: DataFrame, n: int, size: int, bands: int, per_band: int) ->
     shingler, weigh = Shingler(), Weights(n)
 
     def pieces(block: pd.DataFrame) -> pd.DataFrame:
-        held, times = np.unique(np.concatenate([shingler.of(t)[0] for t in block["text"]]), return_counts=True)
+        held, times = np.unique(shingler.all(_opened(block)[1])[0], return_counts=True)
         ends = np.append(np.searchsorted(held, starts), len(held))
         some = np.flatnonzero(np.diff(ends))
         cut = [slice(ends[i], ends[i + 1]) for i in some]
@@ -204,13 +299,13 @@ def _sketched(rows: DataFrame, n: int, size: int, bands: int, per_band: int) ->
             {
                 "block": block["block"].iloc[0],
                 "part": some.astype(np.int32),
-                "shingles": [planes(held[c]) for c in cut],
+                "shingles": [planes(steps(held[c])) for c in cut],
                 "times": [planes(times[c].astype(np.uint32)) for c in cut],
             }
         )
 
     def added(part: pd.DataFrame) -> pd.DataFrame:
-        held = [numbers(b, np.uint64) for b in part["shingles"]]
+        held = [np.cumsum(numbers(b, np.uint64), dtype=np.uint64) for b in part["shingles"]]
         times = np.concatenate([numbers(b, np.uint32) for b in part["times"]])
         _, place = np.unique(np.concatenate(held), return_inverse=True)
         dfs = np.bincount(place, weights=times).astype(np.uint32)[place]
@@ -218,26 +313,22 @@ def _sketched(rows: DataFrame, n: int, size: int, bands: int, per_band: int) ->
         return part[["block", "part"]].assign(dfs=[planes(d) for d in cuts])
 
     def sketches(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts = block["text"].tolist()
-        found = [shingler.of(t) for t in texts]
-        held = np.unique(np.concatenate([s for s, _ in found]))
+        places, texts = _opened(block)
+        shingles, counts, sizes = shingler.all(texts)
+        held = np.unique(shingles)
         known = [numbers(b, np.uint32) for b in answers.sort_values("part")["dfs"]]
-        dfs = np.concatenate([np.zeros(0, np.uint32), *known])
-        of = [dfs[np.searchsorted(held, s)] for s, _ in found]
-        sampler, keys = Sampler(bands, per_band), []
-        for part in slices(texts):
-            sizes = np.array([len(s) for s, _ in found[part]])
-            some, made = sizes > 0, [None] * len(sizes)
-            if some.any():
-                weights = weigh(np.concatenate([c for _, c in found[part]]), np.concatenate(of[part]))
-                shingles = np.concatenate([s for s, _ in found[part]])
-                sampled = sampler.keys(shingles, weights, (np.cumsum(sizes) - sizes)[some]).astype(np.int64)
-                for i, keys_of in zip(np.flatnonzero(some), sampled):
-                    made[i] = keys_of
-            keys += made
-        return pd.DataFrame({"row": block["row"], "bands": keys, "dfs": [planes(d) for d in of]})
+        dfs = np.concatenate([np.zeros(0, np.uint32), *known])[np.searchsorted(held, shingles)]
+        sampler, keys = Sampler(bands, per_band), [None] * len(sizes)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            of = sampler.keys(shingles, weigh(counts, dfs), (np.cumsum(sizes) - sizes)[some]).astype(np.int64)
+            for i, keys_of in zip(some, of):
+                keys[i] = keys_of
+        of = [dfs[run] for run in _runs(sizes)]
+        return pd.DataFrame({"row": places, "bands": keys, "dfs": [planes(d) for d in of]})
 
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    rows = rows.mapInPandas(_bundles, "block long, rows binary, sizes binary, data binary")
     rows = rows.repartition(int(tasks), "block")  # both uses of a block share this shuffle
     parts = rows.groupBy("block").applyInPandas(pieces, "block long, part int, shingles binary, times binary")
     answers = parts.groupBy("part").applyInPandas(added, "block long, part int, dfs binary")
@@ -249,17 +340,19 @@ def _similarity_udf(n: int):
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         shingler, weigh = Shingler(), Weights(n)
 
-        def weighted(text: str, dfs: bytes) -> tuple[np.ndarray, np.ndarray]:
-            shingles, counts = shingler.of(text)
-            return shingles, weigh(counts, numbers(dfs, np.uint32))
+        def weighted(texts: list[str], dfs: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+            shingles, counts, sizes = shingler.all(texts)
+            weights = weigh(counts, np.concatenate([np.zeros(0, np.uint32), *[numbers(d, np.uint32) for d in dfs]]))
+            return [(shingles[run], weights[run]) for run in _runs(sizes)]
 
         last, leader = None, (np.zeros(0, np.uint64), np.zeros(0))
-        for batch in batches:
-            out = []
-            for a, a_dfs, b, b_dfs in zip(*batch):
-                if a != last:  # pairs of one leader follow each other
-                    last, leader = a, weighted(a, a_dfs)
-                out.append(similarity(leader, weighted(b, b_dfs)))
+        for a, a_dfs, b, b_dfs in batches:
+            out, texts = [], b.tolist()
+            for part in slices(texts):
+                for a_text, of, other in zip(a[part], a_dfs[part], weighted(texts[part], b_dfs[part])):
+                    if a_text != last:  # pairs of one leader follow each other
+                        last, leader = a_text, weighted([a_text], [of])[0]
+                    out.append(similarity(leader, other))
             yield pd.Series(out, dtype="float64")
 
     return run.asNondeterministic()
@@ -316,6 +409,22 @@ def _different(members: DataFrame) -> DataFrame:
     return kept.select("node", "key", "weight", "left")
 
 
+def _homed(members: DataFrame) -> DataFrame:
+    """Members with ``homes``: the first buckets of the node, most weight first.
+
+    Buckets have one order, that of their shingles, so two nodes agree on the first bucket that they share, and there both
+    have the most weight left. The pair is compared there alone: neither leaves it before it has been compared with all
+    others, unless the bucket is one class."""
+    first = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("left"), "key")))
+    homes = members.groupBy("node").agg(F.slice(first, 1, HOMES)["key"].alias("homes"))
+    return members.join(homes, "node")
+
+
+def _at_home() -> Column:
+    """Whether the bucket ``key`` is where the nodes of ``homes`` and ``_homes`` are compared."""
+    return F.coalesce(F.get(F.array_intersect("_homes", "homes"), F.lit(0)), "key") == F.col("key")
+
+
 def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(CELLS - 1)).astype(np.int64)
 
@@ -328,8 +437,7 @@ def _cell_counts(texts: DataFrame) -> np.ndarray:
         for batch in batches:
             all_texts = batch["text"].tolist()
             for part in slices(all_texts):
-                held = [_cell(shingler.of(t)[0]) for t in all_texts[part]]
-                counts += np.bincount(np.concatenate(held), minlength=CELLS)
+                counts += np.bincount(_cell(shingler.all(all_texts[part])[0]), minlength=CELLS)
         cells = np.flatnonzero(counts)
         yield pd.DataFrame({"cell": cells, "n": counts[cells]})
 
@@ -359,8 +467,10 @@ def _prefixes(texts: DataFrame, n: int, threshold: float) -> DataFrame:
         shingler, weigh = Shingler(), Weights(n)
         for batch in batches:
             nodes, keys, left, sizes, totals = [], [], [], [], []
-            for node, text, dfs in zip(batch["node"], batch["text"], batch["dfs"]):
-                shingles, times = shingler.of(text)
+            texts_of = batch["text"].tolist()
+            found = [shingler.all(texts_of[part]) for part in slices(texts_of)]
+            found = [(s[run], c[run]) for s, c, sizes in found for run in _runs(sizes)]
+            for node, (shingles, times), dfs in zip(batch["node"], found, batch["dfs"]):
                 weights = weigh(times, numbers(dfs, np.uint32))
                 first, after = prefix(shingles, weights, counts, threshold)
                 shared = counts[_cell(first)] > 1  # the others are in no other text
@@ -387,7 +497,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARI
     members = _crowded(keys.select("node", F.xxhash64("band", "key").alias("key")), "members")
     wanted = nodes.select("node", "dfs").join(members.select("node").distinct(), "node")
     texts = docs.select(F.col("row").alias("node"), "text").join(wanted, "node")
-    texts = stored(texts, "texts")
+    texts = stored(texts, "texts", compression="zstd")
     pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
     candidate = members.join(_leaders(members), "key").where(F.col("leader") != F.col("node"))
     checked = stored(_verified(candidate.select(*pair).distinct(), texts, n), "checked")
@@ -401,7 +511,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARI
     if unresolved.isEmpty():
         return alike(checked), roots
     prefixes = stored(_prefixes(texts.join(unresolved, "node"), n, threshold), "prefixes")
-    members = stored(_open(_different(prefixes), roots), "open")
+    members = stored(_homed(_open(_different(prefixes), roots)), "open")
     discard(unresolved, prefixes)
     leaders = 1
     for turn in itertools.count(1):
@@ -411,11 +521,12 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARI
         order = Window.partitionBy("key").orderBy(F.desc("links"), F.xxhash64("node"), "node")
         ranked = members.join(ends, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leaders)
-        chosen = chosen.select("key", F.col("node").alias("leader"), *[F.col(c).alias(f"_{c}") for c in ("root", "weight", "left")])
+        chosen = chosen.select("key", F.col("node").alias("leader"), *[F.col(c).alias(f"_{c}") for c in ("root", "weight", "left", "homes")])
         chosen = stored(chosen, "chosen")
         # The weight that two alike texts have in common lies, for both, behind the first shingle that they share.
         common = (F.col("weight") + F.col("_weight")) * (threshold / (1 + threshold) * (1 - 1e-9))
-        candidate = members.join(chosen, "key").where((F.col("root") != F.col("_root")) & (F.least("left", "_left") >= common))
+        apart = (F.col("root") != F.col("_root")) & (F.least("left", "_left") >= common)
+        candidate = members.join(chosen, "key").where(apart & _at_home())
         pairs = candidate.select(*pair).distinct().join(checked.select("leader", "node"), ["leader", "node"], "left_anti")
         added = stored(_verified(pairs, texts, n), "checked")
         checked = checked.unionByName(added)
@@ -478,7 +589,7 @@ def classes(
     docs = spread(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     # Written once, so the row numbers are fixed from here on.
     number = F.monotonically_increasing_id().alias("row")
-    docs = stored(docs.select("doc_id", number, _hash_of(F.col("text")).alias("md5"), "text"), "docs")
+    docs = stored(docs.select("doc_id", number, _hash_of(F.col("text")).alias("md5"), "text"), "docs", compression="zstd")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     blocks = docs.select(F.shiftright("row", BLOCK_BITS).alias("block"), "row", "text")
     sketches = stored(_sketched(blocks, n, size, bands, rows), "sketches")

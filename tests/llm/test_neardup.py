@@ -5,6 +5,8 @@ from collections import Counter
 from math import log
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from folio.llm import neardup as nd
 
@@ -235,3 +237,57 @@ def test_document_frequencies_are_exact(spark, monkeypatch):
 def test_numbers_of_planes():
     for values in (np.arange(300, dtype=np.uint32) * 70_001, np.array([2**63 + 5, 7], np.uint64), np.zeros(0, np.uint64)):
         assert nd.numbers(nd.planes(values), values.dtype).tolist() == values.tolist()
+
+
+def test_shingles_of_many_texts_are_the_runs_of_words():
+    """All texts at a time, in slices: as many distinct runs, counted as often, as by splitting each text."""
+    rng = random.Random(9)
+    words = ["a", "b\0", "b", "é漢", "c\x1cd", "12345678", "123456789", "x" * 33, "　", "😀"]
+    texts = ["", " \t", "a", "a b c d", "a b c d e", " a\x0bb\x0cc\nd\re f ", "a " * 40, "w" * 5000]
+    texts += [rng.choice([" ", "\n "]).join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(200)]
+    shingler, named = nd.Shingler(), {}
+    shingler.CHARS = 700
+    shingles, counts, sizes = shingler.all(texts)
+    assert sizes.sum() == len(shingles) == len(counts)
+    for text, run in zip(texts, nd._runs(sizes)):
+        held = text.encode().split()
+        want = Counter(tuple(held[i : i + 5]) for i in range(max(1, len(held) - 4))) if held else {}
+        assert sorted(counts[run].tolist()) == sorted(want.values()) and (np.diff(shingles[run].astype(object)) > 0).all()
+        named.setdefault(tuple(shingles[run].tolist()), set()).add(tuple(sorted(want)))
+        assert all((a == b).all() for a, b in zip(shingler.of(text), (shingles[run], counts[run])))
+    assert all(len(v) == 1 for v in named.values())
+    every = {tuple(t.encode().split()[i : i + 5]) for t in texts if t.split() for i in range(max(1, len(t.encode().split()) - 4))}
+    assert len(np.unique(shingles)) == len(every - {()})
+
+
+def test_runs_of_the_sampler_change_no_key(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 40, 60)
+    shingles, weights = rng.integers(0, 2**63, sizes.sum()).astype(np.uint64), rng.choice([1.0, 0.7, 1.9], sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    whole = nd.Sampler().keys(shingles, weights, starts)
+    monkeypatch.setattr(nd.Sampler, "RUN", 16)
+    assert (nd.Sampler().keys(shingles, weights, starts) == whole).all() and whole.shape == (60, nd.BANDS)
+
+
+def test_texts_of_a_block_are_bundled():
+    batch = pd.DataFrame({"block": [1, 0, 1, 1], "row": [9, 2, 8, 7], "text": ["é a" * 50, "", "", "😀"]})
+    bundles = pd.concat(nd._bundles(iter([batch, batch[:0], batch[1:2]])))
+    rows, texts = nd._opened(bundles[bundles["block"] == 1])
+    assert (rows.tolist(), texts) == ([9, 8, 7], ["é a" * 50, "", "😀"])
+    assert nd._opened(bundles[bundles["block"] == 0])[1] == ["", ""]
+
+
+def test_a_pair_is_compared_in_the_first_bucket_that_it_shares(spark, monkeypatch):
+    """Members of 30 common buckets: one row for a pair, not 30; buckets beyond the listed ones lose no pair."""
+    monkeypatch.setattr(nd, "HOMES", 4)
+    rows = [(n, 1000 - k, 40.0, 40.0 - k) for n in (1, 2, 3) for k in range(n, 30)] + [(4, 5, 40.0, 9.0), (5, 5, 40.0, 9.0)]
+    members = nd._homed(spark.createDataFrame(rows, "node long, key long, weight double, left double"))
+    other = members.select("key", *[F.col(c).alias(f"_{c}") for c in ("node", "homes")])
+    pairs = members.join(other, "key").where((F.col("node") < F.col("_node")) & nd._at_home())
+    assert sorted((r["node"], r["_node"], r["key"]) for r in pairs.collect()) == [(1, 2, 998), (1, 3, 997), (2, 3, 997), (4, 5, 5)]
+
+
+def test_steps_of_sorted_numbers():
+    held = np.array([3, 2**40, 2**63 + 1, 2**64 - 1], np.uint64)
+    assert np.cumsum(nd.steps(held), dtype=np.uint64).tolist() == held.tolist() and not len(nd.steps(held[:0]))
