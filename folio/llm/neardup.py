@@ -37,6 +37,7 @@ returned by :func:`keep_one`.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -59,7 +60,7 @@ TASK_BYTES = 16_000_000
 #: Texts compared with one leader in one piece.
 SALT_ROWS = 500
 #: Turns in which an open bucket's members are compared with one of them; after these, so many times as many each turn.
-SINGLE_TURNS, MORE_LEADERS = 2, 16
+SINGLE_TURNS, MORE_LEADERS = 1, 16
 #: Buckets of a node that may be where a pair is compared; two nodes that share none of them meet in each that they share.
 HOMES = 64
 #: Cells of the table that orders shingles by how many texts hold them (collisions only cost time).
@@ -199,6 +200,7 @@ def numbers(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+@functools.cache
 def _gamma2_quantiles() -> np.ndarray:
     """Quantiles of the Gamma(2, 1) distribution, by bisection of its distribution function."""
     p = (np.arange(1 << _BITS) + 0.5) / (1 << _BITS)
@@ -415,9 +417,8 @@ def _homed(members: DataFrame) -> DataFrame:
     Buckets have one order, that of their shingles, so two nodes agree on the first bucket that they share, and there both
     have the most weight left. The pair is compared there alone: neither leaves it before it has been compared with all
     others, unless the bucket is one class."""
-    first = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("left"), "key")))
-    homes = members.groupBy("node").agg(F.slice(first, 1, HOMES)["key"].alias("homes"))
-    return members.join(homes, "node")
+    every = F.collect_list(F.struct((-F.col("left")).alias("left"), "key")).over(Window.partitionBy("node"))
+    return members.withColumn("homes", F.slice(F.sort_array(every), 1, HOMES)["key"])
 
 
 def _at_home() -> Column:
