@@ -25,8 +25,8 @@ its shingles, in their order. A text keeps its frequencies beside it.
    pair of two classes in a bucket is compared, and a family costs one comparison a member.
 3. Pairs are verified by the exact weighted Jaccard similarity of their whole texts. A leader's
    text is dealt out by salt when many texts are compared with it.
-4. Verified links give classes by alternating large-star and small-star steps, each written to the
-   shared folder. A class is named by its smallest document id.
+4. Verified links give classes by alternating large-star and small-star steps, until every class is a
+   star; two steps are written to the shared folder at a time. A class is named by its smallest document id.
 
 Defined results: a text of fewer than five words has one shingle, all its words; a text without
 words (null, empty, white space) resembles only exact copies of itself; a null id counts as
@@ -366,13 +366,15 @@ def _hash_of(text: Column) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """``pairs(leader, node)`` with the exact similarity ``sim``."""
+    # One row for SALT_ROWS pairs at most, so it is broadcast; a leader with fewer pairs has one share.
     shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("shares"))
-    left = pairs.join(texts, "node").join(shares, "leader")
-    left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
+    shares = F.broadcast(shares.where("shares > 1"))
+    left = pairs.join(texts, "node").join(shares, "leader", "left")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     leaders = (
         texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text"), F.col("dfs").alias("leader_dfs"))
-        .join(shares, "leader")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .join(shares, "leader", "left")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
         .drop("shares")
     )
     both = left.join(leaders, ["leader", "salt"])
@@ -380,16 +382,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return both.select("leader", "node", sim.alias("sim"))
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """The node of each bucket with the smallest draw (equal buckets draw equal leaders)."""
-    draw = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("node"))
-    return members.groupBy("key").agg(F.min(draw).alias("first")).select("key", F.col("first.node").alias("leader"))
-
-
 def _crowded(members: DataFrame, name: str) -> DataFrame:
-    """Members (node, key, ...) of the buckets that have two nodes or more."""
-    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return stored(members.join(several, "key"), name)
+    """Members (node, key, ...) of the buckets that have two nodes or more, with the bucket's ``leader``: the node with
+    the smallest draw (equal buckets draw equal leaders)."""
+    draw = F.struct(F.xxhash64("node").alias("draw"), F.col("node").alias("node"))
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min(draw).alias("first")).where("n > 1")
+    return stored(members.join(several.select("key", F.col("first.node").alias("leader")), "key"), name)
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -500,7 +498,7 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARI
     texts = docs.select(F.col("row").alias("node"), "text").join(wanted, "node")
     texts = stored(texts, "texts", compression="zstd")
     pair = [F.greatest("leader", "node").alias("node"), F.least("leader", "node").alias("leader")]
-    candidate = members.join(_leaders(members), "key").where(F.col("leader") != F.col("node"))
+    candidate = members.where(F.col("leader") != F.col("node"))
     checked = stored(_verified(candidate.select(*pair).distinct(), texts, n), "checked")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -543,24 +541,35 @@ def links(docs: DataFrame, nodes: DataFrame, n: int, threshold: float = SIMILARI
             leaders *= MORE_LEADERS
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours, linked with the smallest of the node and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return large.where(F.col("u") != F.col("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours, linked with the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every class is a star around its smallest node: a node has one smaller neighbour, or only larger ones."""
+    ends = edges.select("u", F.lit(2).alias("n")).unionByName(edges.select(F.col("v").alias("u"), F.lit(1).alias("n")))
+    of = ends.groupBy("u").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return of.where("most = 2 and all > 2").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node on an edge ``(a, b)``; the root is the smallest node reached."""
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where(F.col("u") != F.col("v")).distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        before, edges = edges, stored(small, "small")
-        discard(before, large)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    while not _stars(edges):  # the steps do not change stars
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(before)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:

@@ -193,6 +193,31 @@ def test_buckets_of_the_same_nodes_are_one(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 1.0, 12.0), (1, 3, 1.0, 5.0), (2, 1, 1.0, 22.0), (2, 3, 1.0, 5.0), (3, 1, 1.0, 32.0)]
 
 
+def test_stars_are_found_without_a_further_step(spark, monkeypatch):
+    written, real = [], nd.stored
+    monkeypatch.setattr(nd, "stored", lambda df, name, **options: (written.append(name), real(df, name, **options))[1])
+    stars = spark.createDataFrame([(1, 2), (3, 1), (1, 9), (4, 7), (4, 7)], "a long, b long")
+    assert {r["node"]: r["root"] for r in nd.components(stars).collect()} == {2: 1, 3: 1, 9: 1, 7: 4}
+    assert len(written) == 1  # the edges alone
+    written.clear()
+    path = spark.createDataFrame([(1, 3), (2, 3)], "a long, b long")
+    assert {r["node"]: r["root"] for r in nd.components(path).collect()} == {2: 1, 3: 1}
+    assert len(written) == 2  # and the two steps of one round
+
+
+def test_a_leader_of_many_pairs_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SALT_ROWS", 2)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join([*words, *extra]) for extra in ([], ["a"], ["b"], ["c"], ["d", "e"], ["f"])]
+    held = [len(nd.Shingler().of(t)[0]) for t in texts]
+    rows = [(i, t, nd.planes(np.ones(n, np.uint32))) for i, (t, n) in enumerate(zip(texts, held))]
+    frame = spark.createDataFrame(rows, "node long, text string, dfs binary")
+    pairs = [(0, i) for i in range(1, 6)] + [(4, 5)]  # one leader of three shares, and one of one
+    got = nd._verified(spark.createDataFrame(pairs, "leader long, node long"), frame, 6).collect()
+    assert sorted((r["leader"], r["node"]) for r in got) == pairs
+    assert all(0.8 < r["sim"] < 1 for r in got)
+
+
 def test_merged_classes_are_the_components_of_all_edges(spark):
     rng = random.Random(2)
     first = [tuple(sorted(rng.sample(range(200), 2))) for _ in range(60)]
