@@ -259,46 +259,81 @@ def blocks(texts: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.n
     return keys, follows, owner
 
 
-def _summed(groups: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each group (padding: 0)."""
-    groups = groups.ravel()
+def _summed(groups: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that occur (but for padding), and the sums of their rows."""
+    groups = groups.ravel().astype(np.uint16)  # sorted by its digits
     order = np.argsort(groups, kind="stable")
     ordered = groups[order]
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    out = np.zeros((GROUPS + 1, rows.shape[-1]), np.float32)
-    out[ordered[begins]] = np.add.reduceat(rows.reshape(len(groups), -1)[order], begins, axis=0)
-    out[GROUPS] = 0
-    return out
+    found, sums = ordered[begins], np.add.reduceat(rows.reshape(len(groups), -1).take(order, axis=0), begins, axis=0)
+    return (found[:-1], sums[:-1]) if found[-1] == GROUPS else (found, sums)
+
+
+#: Blocks of a step that are taken at a time, so that their arrays stay in a core's cache.
+PART_BLOCKS = 32
+#: Distances of the keys that a query may see, and what keeps the others out.
+_NEAR = np.maximum(_DISTANCE, 0)
+_UNSEEN = np.where(_SEEN, 0, -1e9).astype(np.float32)
+_ONES = {n: np.ones((n, 1), np.float32) for n in (WIDTH, CLASSES)}
+
+
+def _softmax(x: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the rows and their sums; taken from a row's largest value only where one would overflow or vanish."""
+    e = np.exp(x) if x.max() < 60 else None
+    sums = None if e is None else e @ ones
+    if sums is None or sums.min() < 1e-20:
+        e = np.exp(x - x.max(axis=1, keepdims=True))
+        sums = e @ ones
+    return e, sums
 
 
 def train_step(w: dict[str, np.ndarray], grown: dict[str, np.ndarray], t: Tables, keys: np.ndarray, target: np.ndarray) -> None:
     """One Adagrad step on the blocks; ``target`` has the class that follows each query (-1: none)."""
-    query = keys[:, CONTEXT:]
-    q, k, v = w["q"][query], w["k"][keys], w["v"][keys]
     scale = np.float32(DIM**-0.5)
-    s = q @ k.transpose(0, 2, 1) * scale + w["far"][np.maximum(_DISTANCE, 0)]
-    s = np.where(_SEEN & (keys != GROUPS)[:, None, :], s, np.float32(-1e9))
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    o = a @ v
-    logits = t.table[np.minimum(query, GROUPS - 1)] + o @ w["out"]
-    p = np.exp(logits - logits.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    known = target >= 0
-    b, i = np.nonzero(known)
-    p[b, i, target[b, i]] -= 1
-    d = p * (known / np.float32(max(known.sum(), 1)))[:, :, None].astype(np.float32)
-    grad = {"out": o.reshape(-1, DIM).T @ d.reshape(-1, CLASSES)}
-    do = d @ w["out"].T
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    grad["far"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=ds.sum(axis=0).ravel(), minlength=WIDTH)
-    grad["q"] = _summed(query, ds @ k * scale)
-    of_keys = np.concatenate([ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ do], axis=2)
-    grad["k"], grad["v"] = np.split(_summed(keys, of_keys), 2, axis=1)
-    for name, g in grad.items():
-        grown[name] += g * g
-        w[name] -= (LEARNING_RATE * g / np.sqrt(grown[name] + 1e-8)).astype(np.float32)
+    share = np.float32(1 / max(int((target >= 0).sum()), 1))
+    near = w["far"][_NEAR] + _UNSEEN
+    out, out_t = w["out"], np.ascontiguousarray(w["out"].T)
+    grad_out, grad_far = np.zeros((DIM, CLASSES), np.float32), np.zeros((BLOCK, WIDTH), np.float32)
+    of_query = np.empty((len(keys), BLOCK, DIM), np.float32)
+    of_keys = np.empty((len(keys), WIDTH, 2 * DIM), np.float32)
+    for begin in range(0, len(keys), PART_BLOCKS):
+        part = slice(begin, begin + PART_BLOCKS)
+        key, wanted = keys[part], target[part].ravel()
+        query = key[:, CONTEXT:]
+        q, k, v = w["q"].take(query, axis=0), w["k"].take(key, axis=0), w["v"].take(key, axis=0)
+        q *= scale
+        a = q @ k.transpose(0, 2, 1)
+        a += near
+        a += np.where(key == GROUPS, np.float32(-1e9), np.float32(0))[:, None, :]
+        a, sums = _softmax(a.reshape(-1, WIDTH), _ONES[WIDTH])
+        a /= sums
+        a = a.reshape(len(key), BLOCK, WIDTH)
+        o = (a @ v).reshape(-1, DIM)
+        p = o @ out
+        p += t.table.take(query.ravel(), axis=0, mode="clip")
+        p, sums = _softmax(p, _ONES[CLASSES])
+        known = wanted >= 0
+        p *= np.where(known, share, np.float32(0))[:, None] / sums
+        at = np.flatnonzero(known)
+        p.ravel()[at * CLASSES + wanted[at]] -= share
+        grad_out += o.T @ p
+        do = p @ out_t
+        mean = np.einsum("nd,nd->n", do, o).reshape(len(key), BLOCK, 1)  # of a row's gradients under its attention
+        do = do.reshape(len(key), BLOCK, DIM)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= mean
+        ds *= a
+        grad_far += ds.sum(axis=0)
+        np.matmul(ds, k, out=of_query[part])
+        of_keys[part, :, :DIM] = ds.transpose(0, 2, 1) @ q  # q is scaled
+        of_keys[part, :, DIM:] = a.transpose(0, 2, 1) @ do
+    of_query *= scale
+    rows, of_keys = _summed(keys, of_keys)
+    far = np.bincount(_NEAR.ravel(), weights=grad_far.ravel(), minlength=WIDTH)
+    grads = [("out", slice(None), grad_out), ("far", slice(None), far), ("q", *_summed(keys[:, CONTEXT:], of_query))]
+    for name, at, g in (*grads, ("k", rows, of_keys[:, :DIM]), ("v", rows, of_keys[:, DIM:])):  # the other rows have no gradient
+        grown[name][at] += g * g
+        w[name][at] -= (LEARNING_RATE * g / np.sqrt(grown[name][at] + 1e-8)).astype(np.float32)
 
 
 def train(texts: DataFrame, t: Tables) -> dict[str, np.ndarray]:
