@@ -22,8 +22,10 @@ JSON_SPACE = " \t\n\r"
 def looks_like_object(c) -> Column:
     """Text starts with ``{`` and ends with ``}`` once JSON whitespace is trimmed (so an answer
     with a trailing newline is an object; the trailing prose ``from_json`` accepts is not)."""
-    t = F.btrim(as_col(c), F.lit(JSON_SPACE))
-    return t.startswith("{") & t.endswith("}")
+    c = as_col(c)
+    t = F.btrim(c, F.lit(JSON_SPACE))
+    # Texts without space around them, usually most of them, are not trimmed (as an OR, both sides' parts are made first).
+    return F.when(c.startswith("{") & c.endswith("}"), F.lit(True)).otherwise(t.startswith("{") & t.endswith("}"))
 
 
 def parse_object(c, strip_fence: bool = True) -> Column:

@@ -67,7 +67,8 @@ def iso_seconds(ts) -> Column:
 
 def iso_text(ts) -> Column:
     """Python ``datetime.isoformat()`` of a naive timestamp: the fraction only when it is not zero."""
-    frac = F.regexp_extract(_ntz_text(ts), r"\.(\d+)$", 1)
+    text = _ntz_text(ts)
+    frac = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise(F.lit(""))
     whole = iso_seconds(ts)
     return F.when(frac == "", whole).otherwise(F.concat(whole, F.lit("."), F.rpad(frac, 6, "0")))
 

@@ -3,7 +3,7 @@
 Per case and run: the chat request is built from the case's file and the prompt (I8), the
 model client answers it (I2 / I3 via ``run_variants``: a case's bytes are encoded and shipped once, one
 client per task, failures as error rows, latency measured around the call only), and the answer is
-scored against the case's ground truth (J1 / J2 / J4). The rows have the result-row columns (M8) plus the
+scored against the case's ground truth, which is parsed once per case (J1 / J2 / J4). The rows have the result-row columns (M8) plus the
 prompt version; write them with :func:`folio.sources.sinks.write_run_files` or ``write_results``.
 
 :func:`resume_evaluation` writes the rows wave by wave and calls, when it is started again, only what has
@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import media_type, suffix
@@ -23,7 +23,7 @@ from ..functions.text import iso_text
 from ..schemas import Settings
 from ..session import dealt, spread
 from . import inference as I
-from .scoring import with_scores
+from .scoring import with_scores, with_truth
 from .triage import content_block
 
 
@@ -43,12 +43,17 @@ def run_grid(cases: DataFrame, runs: Sequence[tuple[str, str, str]]) -> DataFram
 
 def request_builder(max_tokens: int) -> Callable[[str, dict[str, str]], str]:
     """``(file block as JSON, run) -> chat request as JSON``: :func:`folio.operators.inference.build_request` as text,
-    with the block's text in its place, so its bytes are encoded once for all runs."""
+    with the block's text in its place, so its bytes are encoded once for all runs, and the run's once for all cases."""
+    ends: dict[tuple[str, str], tuple[str, str]] = {}
 
     def build(block: str, run: dict[str, str]) -> str:
-        model, prompt = json.dumps(run["model"], ensure_ascii=False), json.dumps(run["prompt"], ensure_ascii=False)
-        return (f'{{"model":{model},"max_tokens":{max_tokens},"messages":[{{"role":"user","content":'
-                f'[{block},{{"type":"text","text":{prompt}}}]}}]}}')
+        named = run["model"], run["prompt"]
+        if named not in ends:
+            model, prompt = (json.dumps(x, ensure_ascii=False) for x in named)
+            ends[named] = (f'{{"model":{model},"max_tokens":{max_tokens},"messages":[{{"role":"user","content":[',
+                           f',{{"type":"text","text":{prompt}}}]}}]}}')
+        head, tail = ends[named]
+        return f"{head}{block}{tail}"
 
     return build
 
@@ -82,9 +87,9 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     variants = [{"model": m, "prompt_version": v, "prompt": p} for m, v, p in runs]
     answered = I.run_variants(staged, make_client, variants, request_builder(settings.api_max_tokens), "block", [key],
                               ["model", "prompt_version"], settings, [expected_col, *context], "unsupported", wanted_col, slots,
-                              concurrency=concurrency, warm=warm)
+                              concurrency=concurrency, warm=warm, per_row=lambda rows: with_truth(rows, expected_col, fields))
     scored = with_scores(answered.withColumnRenamed("text", "generated"), expected_col, "generated", fields,
-                         failed=~F.col("success"))
+                         failed=~F.col("success"), truth=True)
     return scored.select(
         key,
         F.lit(doc).alias("doc"),
@@ -174,31 +179,40 @@ def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], ma
     staged = None
     if waves > 1:
         staged = f"{path}/attempt={attempt}/_todo"  # readers skip it
-        todo = todo.withColumn("_wave", F.pmod(F.xxhash64(F.lit(7), key), F.lit(waves)).cast("int"))
-        todo.write.mode("overwrite").partitionBy("_wave").parquet(staged)
+        wave_of = F.pmod(F.xxhash64(F.lit(7), key), F.lit(waves)).cast("int")
+        todo.withColumn("_wave", wave_of).write.mode("overwrite").partitionBy("_wave").parquet(staged)
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        store = hadoop.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     rows = 0
     for wave in range(min(waves, max_waves or waves)):
         part = todo
         if staged:
-            part = spark.read.schema(todo.schema).parquet(staged).where(F.col("_wave") == wave).drop("_wave")
+            own = f"{staged}/_wave={wave}"  # only its folder is listed; there is none for a wave without cases
+            part = spark.read.schema(todo.schema).parquet(own) if store.exists(hadoop.Path(own)) else todo.limit(0)
             n = part.count()  # from the files' footers
             per_task = -(-TASK_CALLS // len(runs))
             part = dealt(spread(part, key), n, per_task, key)
         out = evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
         target = f"{path}/attempt={attempt}/wave={wave}"
         out.write.mode("overwrite").parquet(target)
-        rows += spark.read.parquet(target).count()
+        rows += spark.read.schema(out.schema).parquet(target).count()  # from the files' footers
     if staged:
-        where = spark._jvm.org.apache.hadoop.fs.Path(staged)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        store.delete(hadoop.Path(staged), True)
     return rows
 
 
-def evaluation_results(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """One row per (case, model, prompt): the good answer, else the last failure; ``attempt`` tells from which start."""
-    best = Window.partitionBy(key, "model", "prompt_version").orderBy(F.col("success").desc(), F.col("attempt").desc())
+def evaluation_results(spark: SparkSession, path: str, key: str = "id", calls: str | None = None) -> DataFrame:
+    """One row per (case, model, prompt): the good answer, else the last failure; ``attempt`` tells from which start.
+
+    ``calls``: a column with the number of calls that were made for it, counted in the same pass.
+    """
     found = _rows_of(spark, path, _committed(spark, path)[0])
     if found is None:
         raise FileNotFoundError(f"no finished wave under {path}")
-    rows = found.withColumn("_best", F.row_number().over(best))
-    return rows.where(F.col("_best") == 1).drop("_best", "wave")
+    keys = [key, "model", "prompt_version"]
+    kept = [c for c in found.columns if c != "wave"]
+    # Rows of equal rank come in one order for all columns, so the columns of a result are those of one row.
+    rank = F.coalesce(F.col("success").cast("long"), F.lit(-1)) * F.lit(1 << 32) + F.col("attempt")
+    best = [F.max_by(c, rank).alias(c) for c in kept if c not in keys]
+    made = [F.count(F.lit(1)).alias(calls)] if calls else []
+    return found.groupBy(*keys).agg(*best, *made).select(*kept, *([calls] if calls else []))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions._util import posexplode_rows
 from ..functions.text import iso_utc_text
 from ..schemas import Settings
 
@@ -347,12 +348,13 @@ def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: S
                  build: Callable[[Any, dict[str, str]], Any], input_col: str, keys: Sequence[str], named: Sequence[str],
                  settings: Settings = Settings(), carry: Sequence[str] = (), skip_col: str | None = None,
                  wanted_col: str | None = None, slots: int | None = None, batch_size: int = 1, concurrency: int = 1,
-                 warm: bool = False) -> DataFrame:
+                 warm: bool = False, per_row: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row in, one row out per variant: keys, ``carry``, the variant's ``named`` fields, the envelope.
 
     ``build(input, variant)`` makes a call's input inside the task, so a row's input reaches the task once however
-    many variants there are. ``wanted_col`` (array of variant numbers) limits a row to these variants; ``skip_col``
-    as in :func:`run_batch`.
+    many variants there are; its answers leave the task in one row, too, and become rows after it. ``wanted_col``
+    (array of variant numbers) limits a row to these variants; ``skip_col`` as in :func:`run_batch`. ``per_row``
+    adds columns to the keys and ``carry`` (a parsed truth, say), made once per row and given to each of its variants.
     """
     out_cols = list(dict.fromkeys([*keys, *carry]))
     cols = list(dict.fromkeys([*out_cols, input_col, *[c for c in (skip_col, wanted_col) if c]]))
@@ -370,37 +372,48 @@ def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: S
                 begin, held = i + 1, 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        epoch, us = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc), dt.timedelta(microseconds=1)
         with _Lease(make_backend, key) as lease:
             for pdf in (part for batch in batches for part in parts(batch)):
                 n = len(pdf)
                 wanted = pdf[wanted_col].tolist() if wanted_col else [range(len(variants))] * n
-                pairs = [(i, int(v)) for i in range(n) if wanted[i] is not None for v in wanted[i]]
-                if not pairs:
+                wanted = [[] if w is None else [int(v) for v in w] for w in wanted]
+                if not any(wanted):
                     continue
                 inputs = pdf[input_col].tolist()
                 skips = pdf[skip_col].tolist() if skip_col else [None] * n
-                now = dt.datetime.now(dt.timezone.utc)
-                results = [("", 0.0, now, None if _absent(skips[i]) else str(skips[i])) for i, _ in pairs]
-                sent = [k for k, (i, _) in enumerate(pairs) if _absent(skips[i])]
-                if sent:
-                    built = [build(inputs[pairs[k][0]], variants[pairs[k][1]]) for k in sent]
-                    answers = _called(lease.get(), built, [settings] * len(sent), batch_size, concurrency)
-                    for k, answer in zip(sent, answers):
-                        results[k] = answer
-                called = set(sent)
-                texts, secs, stamps, errors = map(list, zip(*results))
-                at = [i for i, _ in pairs]
-                out = {c: [column[i] for i in at] for c in out_cols for column in [pdf[c].tolist()]}
-                out |= {c: [variants[v][c] for _, v in pairs] for c in named}
+                sent = [i for i in range(n) if wanted[i] and _absent(skips[i])]
+                built = [build(inputs[i], variants[v]) for i in sent for v in wanted[i]]
+                answers = iter(_called(lease.get(), built, [settings] * len(built), batch_size, concurrency) if built else ())
+                now, called = dt.datetime.now(dt.timezone.utc), set(sent)
+                skipped = [None if _absent(s) else ("", 0.0, now, str(s)) for s in skips]
+                rows = [[next(answers) if i in called else skipped[i] for _ in w] for i, w in enumerate(wanted)]
                 model_id, device = (getattr(lease.backend, a, None) for a in ("model_id", "device"))
-                out |= {"text": texts, "model_id": [model_id if k in called else None for k in range(len(pairs))],
-                        "inference_time_seconds": secs, "timestamp": stamps,
-                        "device": [device if k in called else None for k in range(len(pairs))], "error": errors,
-                        "success": [e is None for e in errors]}
-                yield pd.DataFrame(out)
-
-    fields = [projected.schema[c] for c in out_cols] + [T.StructField(c, T.StringType()) for c in named]
-    return projected.mapInPandas(run, envelope_schema(fields))
+                out = {"_variant": wanted, "_text": [[r[0] for r in row] for row in rows],
+                       "_seconds": [[r[1] for r in row] for row in rows],
+                       "_micros": [[(r[2] - epoch) // us for r in row] for row in rows],
+                       "_error": [[r[3] for r in row] for row in rows],
+                       "_model_id": [model_id if i in called else None for i in range(n)],
+                       "_device": [device if i in called else None for i in range(n)]}
+                yield pdf[out_cols].assign(**out)
+
+    made = [("_variant", T.ArrayType(T.IntegerType())), ("_text", T.ArrayType(T.StringType())),
+            ("_seconds", T.ArrayType(T.DoubleType())), ("_micros", T.ArrayType(T.LongType())),
+            ("_error", T.ArrayType(T.StringType())), ("_model_id", T.StringType()), ("_device", T.StringType())]
+    fields = [projected.schema[c] for c in out_cols] + [T.StructField(c, kind) for c, kind in made]
+    rows = projected.mapInPandas(run, T.StructType(fields))
+    rows = per_row(rows) if per_row else rows
+    lists = [c for c, kind in made if isinstance(kind, T.ArrayType)]
+    kept = [c for c in rows.columns if c not in lists]
+    each = posexplode_rows(rows, kept, F.arrays_zip(*lists), value="_call")
+    call = F.col("_call")
+    envelope = {
+        "text": call["_text"], "model_id": F.col("_model_id"), "inference_time_seconds": call["_seconds"],
+        "timestamp": F.timestamp_micros(call["_micros"]), "device": F.col("_device"), "error": call["_error"],
+        "success": call["_error"].isNull(),
+    }
+    names = {c: F.get(F.array(*[F.lit(v[c]) for v in variants]).cast("array<string>"), call["_variant"]) for c in named}
+    return each.select(*[c for c in kept if c not in ("_model_id", "_device")], *[v.alias(c) for c, v in (names | envelope).items()])
 
 
 def settings_overlay(max_tokens: Column, settings: Settings = Settings()) -> Column:

@@ -50,7 +50,8 @@ MISSING_TRUTH, FAILED_CALL = "missing_truth", "failed_call"
 
 
 def with_scores(df: DataFrame, expected: str = "expected", generated: str = "generated",
-                fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False) -> DataFrame:
+                fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False,
+                truth: bool = False) -> DataFrame:
     """Add ``correct_fields`` (J1), ``format_compliance`` (J2), their reasons (J4) and ``score_error``.
 
     ``fields``: the document kind's field list, when known. Their verdicts are then plain CASE
@@ -58,30 +59,41 @@ def with_scores(df: DataFrame, expected: str = "expected", generated: str = "gen
     generic way, so both ways score every expected key. ``failed`` marks rows whose model call
     failed: they, and rows without a ground-truth object, are not scorable (NULL scores and a
     ``score_error``), which is not the same as wrong. ``strict``: the answer must be one JSON text
-    (Python's parser), with nothing after it.
+    (Python's parser), with nothing after it. ``truth``: :func:`with_truth` has parsed the truths, with the same ``fields``.
     """
-    out = with_verdicts(df, expected, generated, fields, failed, strict)
+    out = with_verdicts(df, expected, generated, fields, failed, strict, truth)
     return out.drop("_e", "_g", "_verdicts", *[c for c in out.columns if c.startswith(("_v_", "_ev_", "_gv_"))])
 
 
-def _parsed(df: DataFrame, expected: str, generated: str, strict: bool = False) -> DataFrame:
+def with_truth(df: DataFrame, expected: str = "expected", fields: Sequence[str] | None = None) -> DataFrame:
+    """Add the parsed ground truth, for tables in which a truth stands for several answers: it is parsed once, and
+    :func:`with_scores` (``truth=True``) takes it from the rows."""
+    staged = df.withColumn("_e", parse_object(F.col(expected), strip_fence=False)).withColumn("_e", last_wins("_e"))
+    return staged.withColumns({f"_ev_{f}": F.try_element_at(F.col("_e"), F.lit(f)) for f in fields}) if fields else staged
+
+
+def _parsed(df: DataFrame, expected: str, generated: str, strict: bool = False, truth: bool = False) -> DataFrame:
     # The stripped text is its own column: referenced three times by the parse, it is then
     # computed once instead of being inlined into each reference.
     staged = df.withColumn("_gtext", fence_strip(F.col(generated)))
-    e = parse_object(F.col(expected), strip_fence=False)
     g = parse_object_strict(F.col("_gtext")) if strict else parse_object(F.col("_gtext"), strip_fence=False)
-    staged = staged.withColumns({"_e": e, "_g": g}).drop("_gtext")
-    return staged.withColumns({"_e": last_wins("_e"), "_g": last_wins("_g")})
+    parsed = {"_g": g} if truth else {"_e": parse_object(F.col(expected), strip_fence=False), "_g": g}
+    staged = staged.withColumns(parsed).drop("_gtext")
+    if truth:  # a truth's keys do not repeat, so neither do those of an answer with the same ones
+        return staged.withColumn("_g", F.when(F.map_keys("_g") == F.map_keys("_e"), F.col("_g")).otherwise(last_wins("_g")))
+    return staged.withColumns({c: last_wins(c) for c in parsed})
 
 
 def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "generated",
-                  fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False) -> DataFrame:
-    staged = _parsed(df, expected, generated, strict)
+                  fields: Sequence[str] | None = None, failed: Column | None = None, strict: bool = False,
+                  truth: bool = False) -> DataFrame:
+    staged = _parsed(df, expected, generated, strict, truth)
     e, g = F.col("_e"), F.col("_g")
     if fields:
         lookups = {}
         for f in fields:
-            lookups[f"_ev_{f}"] = F.try_element_at(e, F.lit(f))
+            if not truth:
+                lookups[f"_ev_{f}"] = F.try_element_at(e, F.lit(f))
             lookups[f"_gv_{f}"] = F.when(g.isNotNull(), F.try_element_at(g, F.lit(f)))
         staged = staged.withColumns(lookups)
         staged = staged.withColumns(
@@ -95,8 +107,9 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
         staged = staged.withColumn("_v_others", F.when(F.size(e) > listed, _verdicts(others, g)))
         rest = F.coalesce(F.col("_v_others"), F.array().cast(staged.schema["_v_others"].dataType))
         n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
-        n_correct = n_correct + F.size(F.filter(rest, lambda x: x["verdict"] == CORRECT))
-        named = F.array_compact(F.transform(rest, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])))
+        more = F.col("_v_others").isNotNull()
+        n_correct = n_correct + F.when(more, F.size(F.filter(rest, lambda x: x["verdict"] == CORRECT))).otherwise(F.lit(0))
+        named = F.when(more, F.array_compact(F.transform(rest, lambda x: F.concat(x["field"], F.lit("="), x["verdict"]))))
         fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols], named)
         # Entries for fields the expected object lacks have a NULL verdict; explode_verdicts drops them.
         verdicts = F.concat(
@@ -115,10 +128,11 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
         n_correct = F.size(F.filter(v, lambda x: x["verdict"] == CORRECT))
         fields_reason = F.array_join(F.transform(v, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])), ", ")
         verdicts = v
-    ek = F.sort_array(F.map_keys(e))
-    gk = F.sort_array(F.map_keys(g))
-    # A column of its own: it is compared once for the verdict and the reason.
-    staged = staged.withColumn("_v_same_keys", g.isNotNull() & (ek == gk))
+    ek, gk = F.map_keys(e), F.map_keys(g)
+    # A column of its own: it is compared once for the verdict and the reason. Keys do not repeat, so they are sorted
+    # only where there are as many in another order.
+    reordered = (F.size(ek) == F.size(gk)) & (F.sort_array(ek) == F.sort_array(gk))
+    staged = staged.withColumn("_v_same_keys", g.isNotNull() & ((ek == gk) | reordered))
     same_keys = F.col("_v_same_keys")
     format_reason = (
         F.when(g.isNull(), F.lit("not a JSON object"))
@@ -126,9 +140,9 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
         .otherwise(
             F.concat(
                 F.lit("missing: "),
-                F.array_join(F.array_except(ek, gk), ","),
+                F.array_join(F.sort_array(F.array_except(ek, gk)), ","),
                 F.lit("; extra: "),
-                F.array_join(F.array_except(gk, ek), ","),
+                F.array_join(F.sort_array(F.array_except(gk, ek)), ","),
             )
         )
     )

@@ -56,7 +56,7 @@ def content_block(content: Column, path: Column) -> Column:
 
     Spark's ``base64`` may wrap lines (``\\r\\n`` every 76 characters); the API wants one line.
     """
-    data = F.translate(F.base64(content), "\r\n", "")
+    data = F.replace(F.replace(F.base64(content), F.lit("\r")), F.lit("\n"))
     return F.struct(
         block_type(path).alias("type"),
         F.struct(F.lit("base64").alias("type"), media_type(path).alias("media_type"), data.alias("data")).alias("source"),
