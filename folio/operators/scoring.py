@@ -90,27 +90,29 @@ def with_verdicts(df: DataFrame, expected: str = "expected", generated: str = "g
     staged = _parsed(df, expected, generated, strict, truth)
     e, g = F.col("_e"), F.col("_g")
     if fields:
-        lookups = {}
-        for f in fields:
-            if not truth:
-                lookups[f"_ev_{f}"] = F.try_element_at(e, F.lit(f))
-            lookups[f"_gv_{f}"] = F.when(g.isNotNull(), F.try_element_at(g, F.lit(f)))
-        staged = staged.withColumns(lookups)
+        in_truth = {f"_ev_{f}": F.try_element_at(e, F.lit(f)) for f in fields}
+        in_answer = {f"_gv_{f}": F.when(g.isNotNull(), F.try_element_at(g, F.lit(f))) for f in fields}
+        if not truth:
+            staged = staged.withColumns(in_truth | in_answer)
+        # Expected keys outside the list (none, for well-formed truths) go the generic way. There are none where
+        # each expected key is accounted for by a value of a listed field. What is evaluated by lambdas stands here, so
+        # that all that follows is compiled into one step and no row of looked up values is built.
+        others = F.map_filter(e, lambda k, _: ~k.isin(list(fields)))
+        listed = sum((F.col(f"_ev_{f}").isNotNull().cast("int") for f in dict.fromkeys(fields)), F.lit(0))
+        rest = _verdicts(others, g)
+        named = F.array_compact(F.transform(rest, lambda x: F.concat(x["field"], F.lit("="), x["verdict"])))
+        more = F.size(e) > listed
+        staged = staged.withColumns({"_v_others": F.when(more, rest), "_v_others_named": F.when(more, named)})
+        if truth:
+            staged = staged.withColumns(in_answer)
         staged = staged.withColumns(
             {f"_v_{f}": F.when(F.col(f"_ev_{f}").isNotNull(), verdict(F.col(f"_ev_{f}"), F.col(f"_gv_{f}"))) for f in fields}
         )
         vcols = [(f, F.col(f"_v_{f}")) for f in fields]
-        # Expected keys outside the list (none, for well-formed truths) go the generic way. There are none where
-        # each expected key is accounted for by a value of a listed field.
-        others = F.map_filter(e, lambda k, _: ~k.isin(list(fields)))
-        listed = sum((F.col(f"_ev_{f}").isNotNull().cast("int") for f in dict.fromkeys(fields)), F.lit(0))
-        staged = staged.withColumn("_v_others", F.when(F.size(e) > listed, _verdicts(others, g)))
         rest = F.coalesce(F.col("_v_others"), F.array().cast(staged.schema["_v_others"].dataType))
         n_correct = sum((F.coalesce((vc == CORRECT).cast("int"), F.lit(0)) for _, vc in vcols), F.lit(0))
-        more = F.col("_v_others").isNotNull()
-        n_correct = n_correct + F.when(more, F.size(F.filter(rest, lambda x: x["verdict"] == CORRECT))).otherwise(F.lit(0))
-        named = F.when(more, F.array_compact(F.transform(rest, lambda x: F.concat(x["field"], F.lit("="), x["verdict"]))))
-        fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols], named)
+        n_correct = n_correct + F.size(rest) - F.size(F.array_remove(rest["verdict"], CORRECT))
+        fields_reason = F.concat_ws(", ", *[F.concat(F.lit(f + "="), vc) for f, vc in vcols], F.col("_v_others_named"))
         # Entries for fields the expected object lacks have a NULL verdict; explode_verdicts drops them.
         verdicts = F.concat(
             F.array(
