@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,8 +185,8 @@ def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], ma
         todo.withColumn("_wave", wave_of).write.mode("overwrite").partitionBy("_wave").parquet(staged)
         hadoop = spark._jvm.org.apache.hadoop.fs
         store = hadoop.Path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = 0
-    for wave in range(min(waves, max_waves or waves)):
+
+    def planned(wave: int) -> DataFrame:
         part = todo
         if staged:
             own = f"{staged}/_wave={wave}"  # only its folder is listed; there is none for a wave without cases
@@ -192,10 +194,18 @@ def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], ma
             n = part.count()  # from the files' footers
             per_task = -(-TASK_CALLS // len(runs))
             part = dealt(spread(part, key), n, per_task, key)
-        out = evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
-        target = f"{path}/attempt={attempt}/wave={wave}"
-        out.write.mode("overwrite").parquet(target)
-        rows += spark.read.schema(out.schema).parquet(target).count()  # from the files' footers
+        return evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
+
+    rows, last = 0, min(waves, max_waves or waves)
+    with ThreadPoolExecutor(1) as ahead:  # a wave's plan takes a second, so it is made while the wave before it runs
+        following = ahead.submit(inheritable_thread_target(planned), 0)
+        for wave in range(last):
+            out = following.result()
+            if wave + 1 < last:
+                following = ahead.submit(inheritable_thread_target(planned), wave + 1)
+            target = f"{path}/attempt={attempt}/wave={wave}"
+            out.write.mode("overwrite").parquet(target)
+            rows += spark.read.schema(out.schema).parquet(target).count()  # from the files' footers
     if staged:
         store.delete(hadoop.Path(staged), True)
     return rows
