@@ -3,7 +3,7 @@
 Per case and run: the chat request is built from the case's file and the prompt (I8), the
 model client answers it (I2 / I3 via ``run_variants``: a case's bytes are encoded and shipped once, one
 client per task, failures as error rows, latency measured around the call only), and the answer is
-scored against the case's ground truth, which is parsed once per case (J1 / J2 / J4). The rows have the result-row columns (M8) plus the
+scored against the case's ground truth (J1 / J2 / J4). The rows have the result-row columns (M8) plus the
 prompt version; write them with :func:`folio.sources.sinks.write_run_files` or ``write_results``.
 
 :func:`resume_evaluation` writes the rows wave by wave and calls, when it is started again, only what has
@@ -64,7 +64,7 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
                    key: str = "id", path_col: str = "in", content_col: str = "content", expected_col: str = "expected",
                    doc: str = "cin", fields: Sequence[str] | None = None, settings: Settings = Settings(),
                    slots: int | None = None, wanted_col: str | None = None, concurrency: int = 1,
-                   warm: bool = False) -> DataFrame:
+                   warm: bool = False, parse_once: bool = False) -> DataFrame:
     """Run every case through every (model, prompt) and score the answers.
 
     ``cases``: ``key``, the input path (its suffix gives the media type), the input bytes, the
@@ -74,7 +74,8 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     record local time without a zone); ``execution_time`` is the model call alone, in seconds.
     A failed call, an unsupported file type and a missing truth give rows without scores, with
     ``score_error`` set, so that outages do not count as wrong answers. ``wanted_col``: numbers of the
-    runs that a case still needs (default: all).
+    runs that a case still needs (default: all). ``parse_once``: the truth goes through the model's task and is parsed
+    once per case, and not for each of its answers; they become rows by a generator after the task.
     """
     context = [c for c in ("tags", "notes") if c in cases.columns]
     block = content_block(F.col(content_col), F.col(path_col))
@@ -89,9 +90,10 @@ def evaluation_run(cases: DataFrame, runs: Sequence[tuple[str, str, str]], make_
     variants = [{"model": m, "prompt_version": v, "prompt": p} for m, v, p in runs]
     answered = I.run_variants(staged, make_client, variants, request_builder(settings.api_max_tokens), "block", [key],
                               ["model", "prompt_version"], settings, [expected_col, *context], "unsupported", wanted_col, slots,
-                              concurrency=concurrency, warm=warm, per_row=lambda rows: with_truth(rows, expected_col, fields))
+                              concurrency=concurrency, warm=warm,
+                              per_row=(lambda rows: with_truth(rows, expected_col, fields)) if parse_once else None)
     scored = with_scores(answered.withColumnRenamed("text", "generated"), expected_col, "generated", fields,
-                         failed=~F.col("success"), truth=True)
+                         failed=~F.col("success"), truth=parse_once)
     return scored.select(
         key,
         F.lit(doc).alias("doc"),
@@ -194,15 +196,15 @@ def resume_evaluation(cases: DataFrame, runs: Sequence[tuple[str, str, str]], ma
             n = part.count()  # from the files' footers
             per_task = -(-TASK_CALLS // len(runs))
             part = dealt(spread(part, key), n, per_task, key)
-        return evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", **options)
+        return evaluation_run(part, runs, make_client, key=key, wanted_col="wanted", parse_once=True, **options)
 
     rows, last = 0, min(waves, max_waves or waves)
     with ThreadPoolExecutor(1) as ahead:  # a wave's plan takes a second, so it is made while the wave before it runs
-        following = ahead.submit(inheritable_thread_target(planned), 0)
+        following = ahead.submit(inheritable_thread_target(spark)(planned), 0)
         for wave in range(last):
             out = following.result()
             if wave + 1 < last:
-                following = ahead.submit(inheritable_thread_target(planned), wave + 1)
+                following = ahead.submit(inheritable_thread_target(spark)(planned), wave + 1)
             target = f"{path}/attempt={attempt}/wave={wave}"
             out.write.mode("overwrite").parquet(target)
             rows += spark.read.schema(out.schema).parquet(target).count()  # from the files' footers

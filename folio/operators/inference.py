@@ -352,9 +352,10 @@ def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: S
     """One row in, one row out per variant: keys, ``carry``, the variant's ``named`` fields, the envelope.
 
     ``build(input, variant)`` makes a call's input inside the task, so a row's input reaches the task once however
-    many variants there are; its answers leave the task in one row, too, and become rows after it. ``wanted_col``
-    (array of variant numbers) limits a row to these variants; ``skip_col`` as in :func:`run_batch`. ``per_row``
-    adds columns to the keys and ``carry`` (a parsed truth, say), made once per row and given to each of its variants.
+    many variants there are. ``wanted_col`` (array of variant numbers) limits a row to these variants; ``skip_col``
+    as in :func:`run_batch`. ``per_row`` adds columns to the keys and ``carry`` (a parsed truth, say) that are made once
+    per row and given to each of its variants: a row's answers then leave the task in one row, too, and become rows
+    after it.
     """
     out_cols = list(dict.fromkeys([*keys, *carry]))
     cols = list(dict.fromkeys([*out_cols, input_col, *[c for c in (skip_col, wanted_col) if c]]))
@@ -389,6 +390,17 @@ def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: S
                 skipped = [None if _absent(s) else ("", 0.0, now, str(s)) for s in skips]
                 rows = [[next(answers) if i in called else skipped[i] for _ in w] for i, w in enumerate(wanted)]
                 model_id, device = (getattr(lease.backend, a, None) for a in ("model_id", "device"))
+                if not per_row:
+                    at = [i for i, w in enumerate(wanted) for _ in w]
+                    texts, secs, stamps, errors = map(list, zip(*(r for row in rows for r in row)))
+                    out = {c: [column[i] for i in at] for c in out_cols for column in [pdf[c].tolist()]}
+                    out |= {c: [variants[v][c] for w in wanted for v in w] for c in named}
+                    out |= {"text": texts, "model_id": [model_id if i in called else None for i in at],
+                            "inference_time_seconds": secs, "timestamp": stamps,
+                            "device": [device if i in called else None for i in at], "error": errors,
+                            "success": [e is None for e in errors]}
+                    yield pd.DataFrame(out)
+                    continue
                 out = {"_variant": wanted, "_text": [[r[0] for r in row] for row in rows],
                        "_seconds": [[r[1] for r in row] for row in rows],
                        "_micros": [[(r[2] - epoch) // us for r in row] for row in rows],
@@ -397,12 +409,14 @@ def run_variants(df: DataFrame, make_backend: Callable[[], Backend], variants: S
                        "_device": [device if i in called else None for i in range(n)]}
                 yield pdf[out_cols].assign(**out)
 
+    if not per_row:
+        fields = [projected.schema[c] for c in out_cols] + [T.StructField(c, T.StringType()) for c in named]
+        return projected.mapInPandas(run, envelope_schema(fields))
     made = [("_variant", T.ArrayType(T.IntegerType())), ("_text", T.ArrayType(T.StringType())),
             ("_seconds", T.ArrayType(T.DoubleType())), ("_micros", T.ArrayType(T.LongType())),
             ("_error", T.ArrayType(T.StringType())), ("_model_id", T.StringType()), ("_device", T.StringType())]
     fields = [projected.schema[c] for c in out_cols] + [T.StructField(c, kind) for c, kind in made]
-    rows = projected.mapInPandas(run, T.StructType(fields))
-    rows = per_row(rows) if per_row else rows
+    rows = per_row(projected.mapInPandas(run, T.StructType(fields)))
     lists = [c for c, kind in made if isinstance(kind, T.ArrayType)]
     kept = [c for c in rows.columns if c not in lists]
     each = posexplode_rows(rows, kept, F.arrays_zip(*lists), value="_call")

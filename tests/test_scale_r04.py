@@ -31,7 +31,7 @@ def _plan(df):
 
 
 def test_a_truth_is_parsed_once_per_case(spark, sf_small):
-    plan = _plan(EV.evaluation_run(td.cases(spark, sf_small), RUNS, SI.CardReaderClient, fields=td.CIN_FIELDS))
+    plan = _plan(EV.evaluation_run(td.cases(spark, sf_small), RUNS, SI.CardReaderClient, fields=td.CIN_FIELDS, parse_once=True))
     # The rows of a case's runs are made above its truth's parse and above the model.
     above, below = plan[: plan.index("Generate")], plan[plan.index("Generate"):]
     assert above.count("from_json") == 1 and below[: below.index("MapInPandas")].count("from_json") == 1
@@ -42,8 +42,11 @@ def test_variants_of_a_row(spark):
     rows = [(1, "p", None, [0, 1, 2]), (2, "q", None, None), (3, "r", "no file", [2, 0]), (4, None, "none", []), (5, "x", None, [2]),
             (6, None, "null", [1])]
     df = spark.createDataFrame(rows, "k long, t string, skip string, wanted array<int>").withColumn("kept", F.col("k") * 10).coalesce(1)
-    out = I.run_variants(df, PickyBackend, variants, lambda text, v: text + v["end"], "t", ["k"], ["name"], carry=["kept"],
-                         skip_col="skip", wanted_col="wanted", per_row=lambda r: r.withColumn("twice", F.col("kept") * 2))
+    run = lambda **more: I.run_variants(df, PickyBackend, variants, lambda text, v: text + v["end"], "t", ["k"], ["name"],
+                                        carry=["kept"], skip_col="skip", wanted_col="wanted", **more)
+    out = run(per_row=lambda r: r.withColumn("twice", F.col("kept") * 2))
+    varied = ("twice", "timestamp", "inference_time_seconds")
+    assert sorted(map(str, out.drop(*varied).collect())) == sorted(map(str, run().drop(*varied).collect()))
     assert out.columns == ["k", "kept", "twice", "name", *[f.name for f in I.ENVELOPE_FIELDS]]
     got = {(r.k, r.name): r for r in out.collect()}
     assert set(got) == {(1, "a"), (1, "b"), (1, None), (3, "a"), (3, None), (5, None), (6, "b")}
